@@ -17,6 +17,7 @@ packed each; very long texts give many whole sequences; an empty table gives an
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm.common import buckets_of, written
-from colophon.llm.word_cache import WordCache, portions
+from colophon.llm.word_cache import WordCache
 
 LENGTH, UNIT, CLOSING_ID = 4096, 128, 2
 UNITS = LENGTH // UNIT
@@ -105,11 +106,11 @@ def token_table(documents: DataFrame, vocabulary: str) -> DataFrame:
         end = np.array([CLOSING_ID], "<u4" if wide else "<u2").tobytes()
         for batch in batches:
             ids = []
-            for part in portions(batch.column(1).to_pylist()):
-                split = [(t or b"").split() for t in part]
-                known = cache.ready(w for words in split for w in words)
-                ids += [b"".join(map(known.__getitem__, words)) + end for words in split]
-                cache.tidy()
+            for t in batch.column(1).to_pylist():
+                text = t or b""
+                plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+                ids.append(b"".join(map(cache.__getitem__, (text.lower() if plain else text).split())) + end)
+                cache.turn()
             counts = pa.array([len(x) // len(end) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
@@ -126,21 +127,49 @@ def _wide(vocabulary: str) -> bool:
 
 
 def _cache(vocabulary: str, wide: bool) -> WordCache:
-    """White space is dropped by this vocabulary's normalisation and pre-tokenization, so words are encoded one by one."""
+    """A cache that encodes words one by one.
+
+    The vocabulary's normalisation drops white space and lower-cases, its pre-tokenization parts letters
+    from marks, and it works on UTF-8 bytes written as letters. So a word of lower-case Latin letters goes
+    to the merges as it is, one of letters and a last full stop or comma is the two together, and any other goes through
+    the whole tokenizer. Texts are lower-cased (ASCII) before, unless they hold what may be a special token or
+    a combining mark, with which the order of the steps could matter.
+    """
     if vocabulary not in _CACHES:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(vocabulary)
-        kind = "<u4" if wide else "<u2"
+        tokenizer, kind = Tokenizer.from_file(vocabulary), "<u4" if wide else "<u2"
+        merges, size, letters = tokenizer.model, 4 if wide else 2, re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+        # byte-level vocabularies write the bytes of non-ASCII letters as the characters of the same number, or from 256 on
+        shown = {b: 256 + b - 127 + 33 for b in range(127, 161)} | {173: 256 + 67}
+        bare = _bare_merges(tokenizer)
+
+        written_ids = [i.to_bytes(size, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+        def encode(word: bytes) -> bytes:
+            if bare and word.isalpha() and word.islower():
+                return b"".join([written_ids[t.id] for t in merges.tokenize(word.decode())])
+            w = word.decode("utf-8", "replace")
+            if bare and letters.fullmatch(w):
+                return b"".join([written_ids[t.id] for t in merges.tokenize(word.decode("latin-1").translate(shown))])
+            if bare and w[-1] in ".," and letters.fullmatch(w, 0, len(w) - 1):
+                return cache[word[:-1]] + cache[word[-1:]]
+            return np.array(tokenizer.encode(w, add_special_tokens=False).ids, kind).tobytes()
+
+        cache = _CACHES[vocabulary] = WordCache(encode)
+    return _CACHES[vocabulary]
 
-        def many(words: list[bytes]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in model.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
-        _CACHES[vocabulary] = WordCache(many)
-    return _CACHES[vocabulary]
+def _bare_merges(tokenizer) -> bool:
+    """True if a few words show that this vocabulary treats words as `_cache` says."""
+    shown = {b: 256 + b - 127 + 33 for b in range(127, 161)} | {173: 256 + 67}
+    words = ["the", "lettres", "\u00e9t\u00e9", "stra\u00dfe", "ma\u00f1ana", "\u00fcber", "\u00e0", "\u00edo", "\u00f8\u00ff", "qzx"]
+    whole = lambda w: tokenizer.encode(w, add_special_tokens=False).ids
+    alone = lambda w: [t.id for t in tokenizer.model.tokenize(w.encode().decode("latin-1").translate(shown))]
+    return all(alone(w) == whole(w) and whole(w.upper() + ".") == whole(w) + whole(".") for w in words if w.upper().lower() == w)
 
 
 def place_parts(tokens: DataFrame) -> tuple[DataFrame, dict[str, int]]:

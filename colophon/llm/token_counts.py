@@ -22,13 +22,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.word_cache import WordCache, portions
+from colophon.llm.word_cache import WordCache
 
 FREQUENT_PER_TASK, TABLE_SIZE, TALLY_LIMIT = 4096, 32768, 200_000
 SPACE_MARK = "▁".encode()
@@ -46,9 +46,10 @@ def splits_exactly(model) -> bool:
     return not any(re.search("[^▁]▁|\n| ", p) for p in pieces)
 
 
-def _lengths(model, words: list[bytes]) -> list[int]:
-    lead = len(model.encode("a"))
-    return [len(x) - lead for x in model.encode(["a" + w.decode("utf-8", "replace") for w in words], num_threads=1)]
+def length_of(model) -> Callable[[bytes], int]:
+    """Tokens of a pre-token inside a text: those that it adds after a letter."""
+    lead, encode = len(model.encode("a")), model.encode
+    return lambda word: len(encode("a" + word.decode("utf-8", "replace"))) - lead
 
 
 def frequent_lengths(documents: DataFrame, model_path: str) -> dict[bytes, int]:
@@ -58,10 +59,9 @@ def frequent_lengths(documents: DataFrame, model_path: str) -> dict[bytes, int]:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for part in portions(batch.column(0).to_pylist()):
-                for text in part:
-                    if text:
-                        seen.update(pre_tokens(text))
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(pre_tokens(text))
                 if len(seen) > TALLY_LIMIT:
                     seen = Counter(dict(seen.most_common(TALLY_LIMIT // 2)))
         best = [(w, n) for w, n in seen.most_common(FREQUENT_PER_TASK) if len(w) <= 64]
@@ -71,7 +71,8 @@ def frequent_lengths(documents: DataFrame, model_path: str) -> dict[bytes, int]:
     top = texts.mapInArrow(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TABLE_SIZE)
     words = [bytes(r["word"]) for r in top.collect()]
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return dict(zip(words, _lengths(model, words), strict=True)) if words else {}
+    length = length_of(model)
+    return {w: length(w) for w in words}
 
 
 def count_tokens(documents: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
@@ -87,20 +88,20 @@ def count_tokens(documents: DataFrame, model_path: str, limit: int = 4096) -> Da
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         if key not in _CACHES:
             _CACHES.clear()
-            _CACHES[key] = WordCache(lambda words: _lengths(model, words), table.value)
+            _CACHES[key] = WordCache(length_of(model), table.value)
         cache = _CACHES[key]
-        cache.encode_many = lambda words: _lengths(model, words)
+        known = cache.__getitem__
         for batch in batches:
             counts: list[int] = []
             texts = batch.column(1).to_pylist()
-            for part in portions(texts):
-                if not exact:
-                    counts += [len(model.encode((t or b"").decode("utf-8", "replace"))) for t in part]
-                    continue
-                split = [pre_tokens(t) if t else [] for t in part]
-                known = cache.ready(w for words in split for w in words)
-                counts += [sum(map(known.__getitem__, words)) for words in split]
-                cache.tidy()
+            for t in texts:
+                if not t:
+                    counts.append(0)
+                elif exact:
+                    counts.append(sum(map(known, pre_tokens(t))))
+                    cache.turn()
+                else:
+                    counts.append(len(model.encode(t.decode("utf-8", "replace"))))
             sizes = [len(t or b"") for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],

@@ -2,56 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 #: Longer byte strings are encoded but never kept.
 KEEP_BYTES = 64
 
 
-class WordCache:
-    """Two generations of at most `limit` entries each over a fixed first tier.
+class WordCache(dict):
+    """cache[word] is encode(word); at most two generations of `limit` words are kept over a fixed first tier.
 
-    A word found in the old generation moves to the young one; when the young one is full it becomes the
-    old one. Memory is bounded however many different words a worker meets, and frequent words stay.
+    A word found in the old generation moves to the young one; when the young one is full, `turn` makes it
+    the old one. Memory is bounded however many different words a worker meets, and frequent words stay.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes]], list], first: dict[bytes, object] | None = None, limit: int = 250_000):
-        self.encode_many, self.first, self.limit = encode_many, first or {}, limit
-        self.old: dict[bytes, object] = {}
-        self.now: dict[bytes, object] = dict(self.first)
-
-    def ready(self, words: Iterable[bytes]) -> dict[bytes, object]:
-        """A mapping that holds all the words until `tidy` is called."""
-        new = set(words).difference(self.now)
-        miss = []
-        for w in new:
-            got = self.old.get(w)
-            if got is None:
-                miss.append(w)
-            else:
-                self.now[w] = got
-        if miss:
-            self.now.update(zip(miss, self.encode_many(miss), strict=True))
-            self.long = [w for w in miss if len(w) > KEEP_BYTES]
-            return self.now
-        self.long = []
-        return self.now
-
-    def tidy(self) -> None:
-        for w in self.long:
-            self.now.pop(w, None)
-        if len(self.now) > self.limit + len(self.first):
-            self.old, self.now = self.now, dict(self.first)
-
-
-def portions(texts: list, most: int = 2_000_000) -> Iterator[list]:
-    """The texts in lists of about `most` bytes, so that the words of one list fit in memory; a longer text stands alone."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or b"")
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+    def __init__(self, encode: Callable[[bytes], object], first: dict[bytes, object] | None = None, limit: int = 250_000):
+        super().__init__(first or {})
+        self.encode, self.first, self.limit, self.old = encode, first or {}, limit, {}
+
+    def __missing__(self, word: bytes) -> object:
+        got = self.old.get(word)
+        if got is None:
+            got = self.encode(word)
+        if len(word) <= KEEP_BYTES:
+            self[word] = got
+        return got
+
+    def turn(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.limit + len(self.first):
+            self.old = dict(self)
+            self.clear()
+            self.update(self.first)
