@@ -2,7 +2,8 @@
 
 Every line is judged by punctuation, navigation and boilerplate rules, failing lines are removed, and a
 document is rejected when the removed lines held too much of its text. DataFrame functions only: one
-pass over the documents, no shuffle, no Python on executors.
+pass over the documents, no shuffle, no Python on executors. Windows of three words are compared by
+64-bit hashes (two different ones in a text of 20,000 words agree with a chance of one in 10^11).
 
 Defined results: a null or empty text has no words and fails the base rules; a line without a word is
 neither judged nor removed; repeated documents get equal rows; an empty table gives an empty table; other
@@ -11,6 +12,9 @@ columns are kept as they are by clean_documents and never read by line_quality.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,80 +36,97 @@ BOILERPLATE = (
     r"all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|(uses?|accept) cookies"
     r"|enable javascript|click here|subscribe to our|lorem ipsum|^\W*(copyright|\(c\)|©)|^\W*licensed under the "
 )
+#: A text without any of these has no line of boilerplate; looking for them is much cheaper than the pattern.
+BOILERPLATE_HINTS = (
+    "rights reserved", "terms of ", "privacy policy", "cookie", "javascript", "click here", "subscribe to our", "lorem ipsum", "copyright", "(c)", "©", "licensed under ",
+)
 BASE = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), characters, text)
 
 
 def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(_without(text, characters))
 
 
-def line_fails(line: Column) -> Column:
-    """True if a line with a word breaks the punctuation, navigation or boilerplate rule."""
-    solid = F.length(_without(line, SPACE_CHARS))
-    low = F.lower(line)
+def line_fails(line: Column, solid: Column, signs: Column, hinted: Column) -> Column:
+    """True if a line with a word breaks the punctuation, navigation or boilerplate rule.
+
+    solid: its non-space characters. signs, hinted: whether its text has any symbol or '!', and hints of
+    boilerplate; without them the costlier counts are left out.
+    """
     punctuation = (
-        (_count(line, SYMBOLS.replace("|", "")) * 100 > solid * MAX_SYMBOLS)
-        | (_count(line, "!") * 100 > solid * MAX_EXCLAIMS)
+        (signs & (_count(line, SYMBOLS.replace("|", "")) * 100 > solid * MAX_SYMBOLS))
+        | (signs & (_count(line, "!") * 100 > solid * MAX_EXCLAIMS))
         | ((solid >= UNPUNCTUATED) & ~line.rlike(SENTENCE_MARKS))
     )
     bars = _count(line, "|»>")
-    navigation = ((bars >= 2) & (bars * 100 >= solid * MIN_BARS)) | low.rlike(NAVIGATION)
-    return (solid > 0) & (punctuation | navigation | low.rlike(BOILERPLATE))
+    navigation = (signs & (bars >= 2) & (bars * 100 >= solid * MIN_BARS)) | ((solid <= 200) & F.lower(line).rlike(NAVIGATION))
+    return (solid > 0) & (punctuation | navigation | (hinted & F.lower(line).rlike(BOILERPLATE)))
 
 
 def _measured(rows: DataFrame) -> DataFrame:
-    """rows(text, ...) with n_words, BASE, __lines, __failed (line by line) and lost_chars.
+    """rows(text, ...) with n_words, BASE, __judged (lines with l, solid and bad) and lost_chars.
 
     Each select below ends with what the next reads more than once, so that the optimiser keeps it as a
     column and does not compute it anew for each element of an array.
     """
     rest = rows.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = rows.select(*rest, words_of(text).alias("__words"), F.split(text, "\n", -1).alias("__lines"))
+    a = rows.select(
+        *rest,
+        words_of(text).alias("__words"),
+        F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("l"), F.length(_without(x, SPACE_CHARS)).alias("solid"))).alias("__lines"),
+        F.lower(text).alias("__low"),
+        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
+    )
     n = F.size("__words")
-    window = lambda i: F.concat_ws(" ", F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2))
+    hinted = reduce(or_, [F.col("__low").contains(x) for x in BOILERPLATE_HINTS])
+    window = lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2))
     b = a.select(
         *rest,
         n.cast("long").alias("n_words"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
         "__lines",
-        F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<string>")).alias("__windows"),
-        F.filter("__lines", lambda x: F.length(_without(x, SPACE_CHARS)) > 0).alias("__full"),
-        F.transform("__lines", line_fails).alias("__failed"),
+        hinted.alias("__hinted"),
+        ((F.col("n_symbols") > 0) | text.contains("!") | text.contains("»")).alias("__signs"),
+        F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<bigint>")).alias("__windows"),
+        F.transform(F.filter("__lines", lambda x: x["solid"] > 0), lambda x: x["l"]).alias("__full"),
     )
     repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
     placed = F.sort_array(F.transform("__windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    bad = lambda x: line_fails(x["l"], x["solid"], F.col("__signs"), F.col("__hinted"))
     c = b.select(
         *rest,
         "n_words",
-        "__lines",
-        "__failed",
+        "word_chars",
+        "n_symbols",
+        F.transform("__lines", lambda x: F.struct(x["l"].alias("l"), x["solid"].alias("solid"), bad(x).alias("bad"))).alias("__judged"),
         (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
         F.when(repeats, placed).otherwise(placed_none()).alias("__placed"),
     )
     same = lambda x, i: (x["w"] == F.get("__placed", i - 1)["w"]) | (x["w"] == F.get("__placed", i + 1)["w"])
     again = F.filter("__placed", lambda x, i: F.coalesce(same(x, i), F.lit(False)))
     covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    removed = F.filter("__lines", lambda x, i: F.get("__failed", i))
+    removed = F.filter("__judged", lambda x: x["bad"])
     return c.select(
         *rest,
         "n_words",
-        F.length(_without(text, SPACE_CHARS)).cast("long").alias("word_chars"),
-        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
+        "word_chars",
+        "n_symbols",
         "n_dup_lines",
         F.size(covered).cast("long").alias("n_repeat_words"),
-        "__lines",
-        "__failed",
-        F.length(_without(F.array_join(removed, ""), SPACE_CHARS)).cast("long").alias("lost_chars"),
+        "__judged",
+        F.aggregate(removed, F.lit(0).cast("long"), lambda s, x: s + x["solid"]).alias("lost_chars"),
         F.size(removed).cast("long").alias("n_lines_removed"),
     )
 
 
 def placed_none() -> Column:
-    return F.array().cast("array<struct<w:string,i:int>>")
+    return F.array().cast("array<struct<w:bigint,i:int>>")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -132,7 +153,7 @@ def clean_documents(documents: DataFrame) -> DataFrame:
     # inline them, and count words anew for every element of an array.
     held = _judged(rows).withColumn("__row_number", F.monotonically_increasing_id())
     kept = held.filter(F.col("kept") & (F.col("__row_number") >= 0))
-    clean = F.array_join(F.filter("__lines", lambda x, i: ~F.get("__failed", i)), "\n")
+    clean = F.array_join(F.transform(F.filter("__judged", lambda x: ~x["bad"]), lambda x: x["l"]), "\n")
     new = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
     return kept.withColumn("__clean", clean).select(*[new.get(c, F.col("__row")[c]).alias(c) for c in columns])
 
@@ -158,7 +179,7 @@ WITH w AS (
   SELECT doc_id, sum(solid) AS lost_chars, count(*) AS n_lines_removed FROM l
   WHERE symbols * 100 > solid * 15 OR exclaims * 100 > solid * 12
      OR (solid >= 80 AND NOT regexp_matches(l, '[.!?…:;。！？]'))
-     OR (bars >= 2 AND bars * 100 >= solid * 5) OR regexp_matches(low, '@NAV@') OR regexp_matches(low, '@BOIL@')
+     OR (bars >= 2 AND bars * 100 >= solid * 5) OR (solid <= 200 AND regexp_matches(low, '@NAV@')) OR regexp_matches(low, '@BOIL@')
   GROUP BY doc_id
 ), m AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
