@@ -53,7 +53,7 @@ def branch_paths(messages: DataFrame, branches: int) -> DataFrame:
     """conv_id, branch (1 is the best), leaf, path_score, msg_id and depth of the messages on the chosen paths."""
     nodes = messages.select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("p"))
-    hop = written(
+    first = written(
         nodes.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent_id") == F.col("p")), "left").select(
             "conv_id",
             "msg_id",
@@ -63,32 +63,29 @@ def branch_paths(messages: DataFrame, branches: int) -> DataFrame:
         ),
         "reply-hops",
     )
-    n, hops = nodes.count(), [hop]
-    while 2 ** (len(hops) - 1) <= n and not hop.filter("up IS NOT NULL").isEmpty():
-        far = hop.select(
-            F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.col("up").alias("up2"), F.col("hops").alias("h2"), F.col("score").alias("s2")
-        )
-        hop = written(
-            hop.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")), "left").select(
-                "conv_id",
-                "msg_id",
-                F.col("up2").alias("up"),
-                (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"),
-                (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
-            ),
+    # jumps[k] leads 2^k messages up; a message leaves it once its path to the root is known, so that a
+    # few long conversations don't make all messages take part in every join
+    n, done, jumps = first.count(), first.filter("up IS NULL"), [first.filter("up IS NOT NULL")]
+    while 2 ** (len(jumps) - 1) <= n and not jumps[-1].isEmpty():
+        far = done.union(jumps[-1]).toDF("c", "m", "up2", "h2", "s2")
+        moved = written(
+            jumps[-1]
+            .join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")))
+            .select("conv_id", "msg_id", F.col("up2").alias("up"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("score") + F.col("s2")).alias("score")),
             "reply-hops",
         )
-        hops.append(hop)
-    answered = hops[0].filter("up IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("up").alias("p")).distinct()
-    leaves = hop.filter("up IS NULL").join(answered, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("p")), "left_anti")
+        done = done.union(moved.filter("up IS NULL"))
+        jumps.append(moved.filter("up IS NOT NULL"))
+    answered = jumps[0].select(F.col("conv_id").alias("c"), F.col("up").alias("p")).distinct()
+    leaves = done.join(answered, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("p")), "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("hops"), "msg_id")
     path = (
         leaves.withColumn("branch", F.row_number().over(best))
         .filter(F.col("branch") <= branches)
         .select("conv_id", "branch", F.col("msg_id").alias("leaf"), F.col("score").alias("path_score"), "msg_id", F.col("hops").alias("depth"))
     )
-    for k in reversed(range(len(hops))):
-        jump = hops[k].filter("up IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "up")
+    for k in reversed(range(len(jumps))):
+        jump = jumps[k].select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "up")
         above = path.join(jump, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("m"))).select(
             "conv_id", "branch", "leaf", "path_score", F.col("up").alias("msg_id"), (F.col("depth") - 2**k).alias("depth")
         )
