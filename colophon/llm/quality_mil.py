@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +62,7 @@ def _word_features(b: bytes) -> bytes:
 def passage_features(texts: list[bytes | None]) -> Iterator[np.ndarray]:
     """A row of features for each passage of each text; one row of zeros for a text without words."""
     if not _CACHES:
-        _CACHES.append(WordCache(_word_features, limit=100_000))
+        _CACHES.append(WordCache(_word_features, limit=60_000))
     cache, width = _CACHES[0], WORD_FEATURES + HASH_FEATURES
     for text in texts:
         words = (text or b"").split()
@@ -169,50 +169,59 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
     share = min(1.0, TRAIN_DOCUMENTS / max(1, known.count()))
     sample = known.filter(F.pmod(F.xxhash64("l_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            bags = [x.astype("<f4").tobytes() for x in passage_features(list(b["text"]))]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "bag": bags})
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [x.astype("<f4").tobytes() for x in passage_features(_texts(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], ["doc_id", "quality", "bag"])
 
     # the sample has about TRAIN_DOCUMENTS rows of two numbers, whatever the number of labels
     joined = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
-    rows = joined.select("doc_id", "quality", "text").mapInPandas(measure, "doc_id long, quality int, bag binary").collect()
+    rows = joined.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(measure, "doc_id long, quality int, bag binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["bag"])))
     return train([np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES) for r in rows], [int(r["quality"] > 0) for r in rows])
 
 
-def scored(documents: DataFrame, model: dict) -> DataFrame:
-    """The documents with column __score."""
+def _texts(column: pa.Array, rows: int = 256) -> Iterator[bytes | None]:
+    """The texts of an Arrow column as bytes, few at a time: they are never all held as objects."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).cast(pa.binary()).to_pylist()
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        bags: list[np.ndarray] = []
-        held = 0
-        for bag in passage_features(list(texts)):
-            bags.append(bag)
-            held += len(bag)
-            if held >= 20_000:
-                out.append(scores(model, bags))
-                bags, held = [], 0
-        out.append(scores(model, bags))
-        return pd.Series(np.concatenate(out))
 
-    return documents.withColumn("__score", score(F.col("text").cast("binary")))
+def _batch_scores(model: dict, column: pa.Array) -> np.ndarray:
+    out, bags, held = [], [], 0
+    for bag in passage_features(_texts(column)):
+        bags.append(bag)
+        held += len(bag)
+        if held >= 5_000:
+            out.append(scores(model, bags))
+            bags, held = [], 0
+    return np.concatenate([*out, scores(model, bags)])
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    rows = documents.select("doc_id", "text")
-    found = scored(rows, fit(rows, labels))
-    return found.select(
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    model = fit(rows, labels)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_batch_scores(model, batch.column(1)), pa.float64())], ["doc_id", "score"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(score, f"doc_id {kind}, score double").select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
-        F.col("__score").alias("score"),
-        F.when(F.col("__score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"),
+        "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"),
     )
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier takes for good, all columns."""
-    return scored(documents, fit(documents, labels)).filter(F.col("__score") >= THRESHOLD).drop("__score")
+    model, at = fit(documents, labels), documents.columns.index("text")
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_batch_scores(model, batch.column(at)) >= THRESHOLD, pa.bool_()))
+
+    return documents.mapInArrow(good, documents.schema)
