@@ -5,12 +5,14 @@ one set form a class, represented by the smallest doc_id; only classes go on, so
 HASHES minima of multiply-add hashes make a signature, BANDS bands of it the buckets; two sets of similarity
 0.75 share no bucket with a probability of (1 - 0.75 ** 4) ** 32, five in a million.
 
-No bucket is expanded into all pairs. A round compares the members of each bucket with one pivot; pairs
-whose signatures agree too little are dropped (SIGNATURE_LEAST of HASHES, over five standard deviations below 0.75), the rest
-are confirmed on their full sets, and components are taken. What a component holds already needs no more
-pairs, so a group of thousands of near copies takes about its size in pairs. Rounds with other pivots follow
-while buckets hold many pairs across components; then all pairs left across components are compared, so
-that no candidate pair that could join two components goes unchecked.
+No bucket is expanded into all pairs. First every member of a bucket is compared with the bucket's smallest;
+signatures that agree in SIGNATURE_LEAST of HASHES (over five standard deviations below 0.75) make a sketch link.
+Buckets whose members are not all connected yet are then compared in blocks: a cell holds two blocks of
+bounded size, compares what is not connected, and passes on only links that connect something, so its
+output is no larger than its input. The components of sketch links are families, outside of which no two texts
+can be similar. The sketch links are confirmed on full sets; families that fall apart are compared in
+blocks once more, this time on full sets. A group of thousands of near copies thus costs about its size,
+and every candidate pair that could connect two components is checked.
 
 Defined results: null or empty texts, and texts without words, have 0 shingles and link with nothing; fewer
 than SHINGLE words are one shingle; rows with equal doc_id count as one document; rows without a doc_id
@@ -19,7 +21,7 @@ take the component of their copies, and keep themselves if they have none; an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ SHINGLE, HASHES, BANDS, SEED = 5, 128, 32, 20240229
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
 SIGNATURE_LEAST = 70
-#: Rounds with one pivot a bucket, and the pairs across components, for each row of a bucket, below which they end early.
-PIVOT_ROUNDS, PAIRS_PER_ROW = 6, 8
+#: Size of a block: so many signatures, or shingles of full sets.
+BLOCK_NODES, BLOCK_SHINGLES = 256, 50_000
+#: Up to so many ids (8 bytes each, counted before) are broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 _MIX, _FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _CACHES: list[WordCache] = []
 
@@ -44,7 +48,7 @@ def _cache() -> WordCache:
     if not _CACHES:
         import xxhash
 
-        _CACHES.append(WordCache(xxhash.xxh3_64_intdigest))
+        _CACHES.append(WordCache(xxhash.xxh3_64_intdigest, limit=150_000))
     return _CACHES[0]
 
 
@@ -82,6 +86,13 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts: few texts, signatures or sets are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _sketched(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the whole set) and sig of every document."""
 
@@ -89,7 +100,7 @@ def _sketched(documents: DataFrame) -> DataFrame:
         import xxhash
 
         family = _family()
-        for batch in batches:
+        for batch in _slices(batches):
             counts, keys, sigs = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 counts.append(len(s))
@@ -109,7 +120,7 @@ def _bands(classes: DataFrame) -> DataFrame:
     rows = HASHES // BANDS
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             m = batch.num_rows
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(m, BANDS, rows).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (m, BANDS)).copy()
@@ -131,84 +142,180 @@ def _paired(pairs: DataFrame, payload: DataFrame, name: str) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "of_a", "of_b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs(a, b) that the signatures don't rule out and the full sets confirm."""
+def _enough(both, sizes_a, sizes_b):
+    return 100 * both >= PERCENT * (sizes_a + sizes_b - both)
+
+
+def _sketch_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs(a, b) whose signatures agree enough."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((a == b).sum(1) >= SIGNATURE_LEAST))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    return _paired(pairs, classes, "sig").mapInArrow(alike, "a long, b long")
 
-        for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
-            right = [xxhash.xxh3_128_digest(s) == k for s, k in zip(found, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
+
+def _set_links(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs(a, b) whose sets are similar enough."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+                keep.append(bool(_enough(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    near = written(_paired(pairs, classes, "sig").mapInArrow(alike, "a long, b long"), "near-pairs")
-    if near.isEmpty():
-        return near
-    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    keys = wanted.join(classes.select("node", "set_key"), "node")
-    full = written(texts.join(keys, "node").select("node", "text", "set_key").mapInArrow(sets, "node long, shingles binary"), "near-sets")
-    return written(_paired(near, full, "shingles").mapInArrow(exact, "a long, b long").distinct(), "near-links")
-
+    return _paired(pairs, full, "shingles").mapInArrow(exact, "a long, b long")
 
-def _could(n1: str, n2: str):
-    """Sets of these sizes can reach the similarity."""
-    return (F.col(n1) * 100 >= F.col(n2) * PERCENT) & (F.col(n2) * 100 >= F.col(n1) * PERCENT)
 
+def _full_sets(nodes: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """node, n and shingles (the whole set) of the nodes, made from the texts again and written."""
 
-def _pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Every member of a bucket with the bucket's pivot of this turn, where they are in different components."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.col("node"), "node", "n", "component")
-    pivots = rows.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.*").toDF("bucket", "h", "pn", "p_n", "p_component")
-    found = rows.join(pivots, "bucket").filter((F.col("component") != F.col("p_component")) & _could("n", "p_n"))
-    return found.select(F.col("pn").alias("a"), F.col("node").alias("b")).distinct()
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
+        for batch in _slices(batches):
+            found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
+            right = [xxhash.xxh3_128_digest(s) == k for s, k in zip(found, batch.column(2).to_pylist(), strict=True)]
+            sizes = pa.array([len(s) // 8 for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(found, pa.binary())], ["node", "n", "shingles"]).filter(pa.array(right, pa.bool_()))
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows(node, n, bucket) with their components by links, of buckets with more than one component."""
-    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    now = rows.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    return written(now.join(mixed, "bucket"), "near-buckets")
+    keys = written(nodes.join(classes.select("node", "set_key"), "node"), "near-wanted")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    return written(texts.join(keys, "node").select("node", "text", "set_key").mapInArrow(sets, "node long, n long, shingles binary"), "near-sets")
+
+
+def _similar_signatures(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    a, b = (np.frombuffer(b"".join(x), "<u4").reshape(-1, HASHES) for x in (left, right))
+    out = np.empty((len(a), len(b)), bool)
+    for i in range(0, len(a), 64):
+        out[i : i + 64] = (a[i : i + 64, None, :] == b[None, :, :]).sum(2) >= SIGNATURE_LEAST
+    return out
+
+
+def _similar_sets(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Which pairs of sets are similar: intersections by products of membership matrices, a slice of shingles at a time."""
+    sides = []
+    for side in (left, right):
+        sets = [np.frombuffer(x, np.uint64) for x in side]
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([len(x) for x in sets])))
+    (va, ia, na), (vb, ib, nb) = sides
+    common = np.intersect1d(va, vb)
+    both = np.zeros((len(left), len(right)), np.float32)
+    parts = []
+    for v, i in ((va, ia), (vb, ib)):
+        at = np.searchsorted(common, v)
+        good = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == v) if len(common) else np.zeros(len(v), bool)
+        order = np.argsort(at[good], kind="stable")
+        parts.append((at[good][order], i[good][order]))
+    for low in range(0, len(common), 2048):
+        slices = []
+        for (at, i), m in zip(parts, (len(left), len(right)), strict=True):
+            x, y = np.searchsorted(at, [low, low + 2048])
+            member = np.zeros((m, 2048), np.float32)
+            member[i[x:y], at[x:y] - low] = 1
+            slices.append(member)
+        both += slices[0] @ slices[1].T
+    return _enough(both.astype(np.int64), na[:, None], nb[None, :])
+
+
+def _connecting(components_l: np.ndarray, components_r: np.ndarray, similar: np.ndarray) -> list[tuple[int, int]]:
+    """Of the similar (row, column) pairs, those that connect components that nothing before has connected."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, seen = [], set()
+    for i, j in np.argwhere(similar & (components_l[:, None] != components_r[None, :])):
+        pair = (int(components_l[i]), int(components_r[j]))
+        if pair in seen:
+            continue
+        seen.add(pair)
+        x, y = root(pair[0]), root(pair[1])
+        if x != y:
+            parent[x] = y
+            out.append((int(i), int(j)))
+    return out
+
+
+def _block_links(rows: DataFrame, payload: DataFrame, per_block: int, similar: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+    """Links(a, b) that connect the components inside each group, by comparing blocks of its nodes.
+
+    rows: g, node, component, w (what a node adds to a block's size). payload: node, data. All nodes of a group
+    but those of its largest component meet all others; a cell is one block of each side.
+    """
+    sizes = rows.groupBy("g", "component").agg(F.sum("w").alias("cw")).groupBy("g")
+    groups = sizes.agg(F.sum("cw").alias("all_w"), F.max(F.struct("cw", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda w: F.ceil(w / per_block).cast("int")
+    shaped = groups.select(F.col("g").alias("of"), F.col("top.component").alias("main"), blocks(F.col("all_w")).alias("nb"), blocks(F.col("all_w") - F.col("top.cw")).alias("mb"))
+    dealt = rows.join(shaped, F.col("g") == F.col("of"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.withColumns({"i": deal("nb"), "j": every("mb"), "side": F.lit(0)})
+    right = dealt.filter("component <> main").withColumns({"j": deal("mb"), "i": every("nb"), "side": F.lit(1)})
+    columns = ["g", "i", "j", "side", "node", "component"]
+    cells = left.select(*columns).unionByName(right.select(*columns)).join(payload, "node").select(*columns, "data")
+    by = ["g", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def found(cell: list[tuple]) -> list[tuple[int, int]]:
+            ls, rs = [r for r in cell if r[3] == 0], [r for r in cell if r[3] == 1]
+            if not ls or not rs:
+                return []
+            close = similar([r[6] for r in ls], [r[6] for r in rs])
+            hits = _connecting(np.array([r[5] for r in ls]), np.array([r[5] for r in rs]), close)
+            return [(min(ls[i][4], rs[j][4]), max(ls[i][4], rs[j][4])) for i, j in hits]
+
+        def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in _slices(batches):
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    out += found(held)
+                    held = []
+                held.append(row)
+            yield table(out)
+        yield table(found(held)) if held else table([])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, *by).sortWithinPartitions(*by, "side").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _components_of(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Confirmed links(a, b) between classes that connect whatever candidate pairs can connect."""
     rows = _bands(classes)
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("bucket")
-    rows = written(rows.join(shared, "bucket"), "near-rows")
-    now = rows.withColumn("component", F.col("node"))
-    links = None
-    for turn in range(PIVOT_ROUNDS):
-        new = _confirmed(_pivot_pairs(now, turn), classes, documents)
-        links = new if links is None else written(links.union(new), "near-links")
-        now = _labelled(rows, links)
-        sizes = now.groupBy("bucket", "component").count().groupBy("bucket")
-        cross = sizes.agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        total = cross.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
-        if not total["rows"]:
-            return links
-        if total["pairs"] <= PAIRS_PER_ROW * total["rows"]:
-            break
-    other = now.toDF("bucket", "node2", "n2", "component2")
-    left = now.join(other, "bucket").filter((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & _could("n", "n2"))
-    rest = _confirmed(left.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), classes, documents)
-    return links.union(rest)
+    least = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("y")).filter("p.node < y")
+    rows = written(rows.join(least.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket"), "near-rows")
+    alike = (F.col("n") * 100 >= F.col("pivot_n") * PERCENT) & (F.col("pivot_n") * 100 >= F.col("n") * PERCENT)
+    first = rows.filter(alike & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    sketch = written(_sketch_links(first, classes), "near-sketch-links")
+    labelled = rows.join(_components_of(sketch), "node", "left").select(F.col("bucket").alias("g"), "node", F.coalesce("component", "node").alias("component"), F.lit(1).alias("w"))
+    labelled = written(labelled, "near-buckets")
+    more = _block_links(labelled, classes.select("node", F.col("sig").alias("data")), BLOCK_NODES, _similar_signatures)
+    sketch = written(sketch.union(more), "near-sketch-links")
+    families = written(_components_of(sketch).toDF("node", "g"), "near-families")
+    full = _full_sets(families.select("node"), classes, documents)
+    links = written(_set_links(sketch, full), "near-links")
+    parts = full.join(families, "node").join(_components_of(links), "node", "left")
+    parts = written(parts.select("g", "node", F.coalesce("component", "node").alias("component"), F.col("n").alias("w")), "near-parts")
+    rest = _block_links(parts, full.select("node", F.col("shingles").alias("data")), BLOCK_SHINGLES, _similar_sets)
+    return written(links.union(rest), "near-links")
 
 
 def near_components(documents: DataFrame) -> DataFrame:
