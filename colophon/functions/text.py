@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The characters, words and marks below define which titles count as the same.
 NUMERALS = "0-9〇零一二三四五六七八九十百千两壹贰叁肆伍陆柒捌玖拾"
@@ -25,7 +26,7 @@ DROPPED = r"[\p{P}\p{Z}\s\x1c-\x1f\x85؝᭽᭾⹓-⹝]"
 LAST_BRACKETS = r"(?:[（(\[][^）)\]]*[）)\]]\s*)+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
