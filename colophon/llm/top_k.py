@@ -11,7 +11,7 @@ Defined results: vectors that are null, or hold null or non-finite components, t
 without a vec_id. A query is never its own candidate: rows of its own vec_id are left out, and equal vectors
 of other ids are candidates as any; of rows with one vec_id the first of their (equal or ordered) vectors
 counts. Vectors of another length than the query's are not comparable and are left out. A query without
-candidates has no rows; an empty table gives an empty table.
+candidates has no rows; a score that doesn't fit in a long is an error; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -56,7 +56,12 @@ def products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     most = int(np.abs(queries).max(initial=0)) * int(np.abs(shard).max(initial=0)) * dim
     if most < 2**53:
         return (queries.astype(np.float64) @ shard.astype(np.float64).T).astype(np.int64)
-    return queries @ shard.T
+    if most < 2**63:
+        return queries @ shard.T
+    exact = queries.astype(object) @ shard.astype(object).T
+    if any(abs(int(x)) >= 2**63 for x in exact.flat):
+        raise OverflowError("an inner product does not fit in a long")
+    return exact.astype(np.int64)
 
 
 def _cell(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
