@@ -88,6 +88,16 @@ def differs_by_serial(a: Column, b: Column) -> Column:
     return (a != b) & (F.length(a) >= 2) & (F.length(b) >= 2) & (head >= 2) & fits(rest(a)) & fits(rest(b))
 
 
+def has_cjk(text: Column) -> Column:
+    return text.rlike(f"[{CJK}]")
+
+
+def cjk_ratio(text: Column) -> Column:
+    """Share of CJK characters among those that aren't spaces; 0 without any."""
+    solid = F.length(F.regexp_replace(text, r"\s", ""))
+    return F.when(solid == 0, 0.0).otherwise(F.length(F.regexp_replace(text, f"[^{CJK}]", "")) / solid)
+
+
 def gram_size(key: Column) -> Column:
     """2 for keys with a fair share of CJK characters, else 3."""
     cjk = F.length(F.regexp_replace(key, f"[^{CJK}]", ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +17,7 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not home:
         home = tempfile.mkdtemp(prefix="colophon-")
+        atexit.register(shutil.rmtree, home, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{home}")
     path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)

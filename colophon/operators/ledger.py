@@ -66,6 +66,33 @@ def merge_plan(members: DataFrame, keep: DataFrame, sources: DataFrame | None =
     )
 
 
+def step_status(steps: DataFrame, records: DataFrame, copied: DataFrame | None = None) -> DataFrame:
+    """steps(source_id, target_id) with error (null if the step may run) and note, against the records as they are now.
+
+    copied(source_id, ok) tells how copying files went; a source is deleted only after its files were copied.
+    """
+    side = lambda s: records.select(F.col("id").alias(f"{s}_id"), F.col("formats").alias(f"{s}_formats"))
+    rows = steps.join(side("source"), "source_id", "left").join(side("target"), "target_id", "left")
+    if copied is not None:
+        rows = rows.join(copied.select("source_id", F.col("ok")), "source_id", "left")
+    else:
+        rows = rows.withColumn("ok", F.lit(True))
+    error = (
+        F.when(F.col("source_id") == F.col("target_id"), "merge.same_book")
+        .when(F.col("source_formats").isNull(), "merge.source_missing")
+        .when(F.col("target_formats").isNull(), "merge.target_missing")
+        .when(~F.coalesce("ok", F.lit(True)), "merge.copy_failed")
+    )
+    new = F.size(F.array_except("source_formats", "target_formats"))
+    return rows.select("source_id", "target_id", error.alias("error"), F.when(error.isNull() & (new == 0), "no_new_formats").alias("note"))
+
+
+def merge_outcome(status: DataFrame) -> DataFrame:
+    """One code for all steps: ok, or group.already_merged / merge.failed where every step failed."""
+    missing, failed, n = F.count_if(F.col("error") == "merge.source_missing"), F.count("error"), F.count("*")
+    return status.agg(F.when(n == missing, "group.already_merged").when(n == failed, "merge.failed").otherwise("ok").alias("err"))
+
+
 def plan_totals(plan: DataFrame) -> DataFrame:
     """group_id, steps, moved_total, dropped_total, reclaimable_bytes, disk_waste_bytes of a plan."""
     wasted = (F.size("dropped_formats") > 0) & (F.size("moved_formats") == 0)

@@ -68,8 +68,8 @@ def page_of(report: DataFrame, page: object = 0, size: object = 50) -> DataFrame
             return default
 
     p, s = number(page, 0, 0, 2**31 // MOST_PAGE), number(size, 50, 1, MOST_PAGE)
-    total = report.agg(F.count("*").alias("total"))
-    return report.orderBy("index").offset(p * s).limit(s).crossJoin(F.broadcast(total))
+    total = report.agg(F.count("*").alias("total")).select(F.lit(1).alias("one"), "total")  # a single row
+    return report.orderBy("index").offset(p * s).limit(s).withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
 
 
 def report_signature(report: DataFrame, generated_at: str) -> DataFrame:

@@ -475,6 +475,36 @@ def merge_apply(spark, sf_dir):
     return ledger.apply_merge(s.records, plan).select("id", joined("formats").alias("formats"))
 
 
+@query(
+    O.over(
+        O.GROUPS,
+        """SELECT m.id AS source_id, keeper_id AS target_id, CASE WHEN m.id = keeper_id THEN 'merge.same_book' WHEN m.id % 7 = 0 THEN 'merge.source_missing' WHEN keeper_id % 7 = 0 THEN 'merge.target_missing' END AS error,
+        CASE WHEN m.id <> keeper_id AND m.id % 7 <> 0 AND keeper_id % 7 <> 0 AND list_has_all(kept_formats, m.formats) THEN 'no_new_formats' END AS note FROM members m JOIN kept USING (group_id)""",
+    )
+)
+def step_status(spark, sf_dir):
+    s = scan(spark, sf_dir)
+    steps = s.members.join(G.keepers(s.members), "group_id").select(F.col("id").alias("source_id"), F.col("keeper_id").alias("target_id"))
+    return ledger.step_status(steps, s.records.filter("id % 7 <> 0"))
+
+
+@query(O.over(O.GROUPS, "SELECT index, id, title FROM members JOIN groups USING (group_id) JOIN kept USING (group_id) WHERE id <> keeper_id"))
+def removed_titles(spark, sf_dir):
+    s = scan(spark, sf_dir)
+    return ledger.removed_titles(ledger.merge_ledger(ledger.merge_plan(s.members, G.keepers(s.members)), s.report, "now"))
+
+
+@query("SELECT x.doc_id AS a, y.doc_id AS b, '2026-01-01' AS at FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20 WHERE x.doc_id % 10 = 0 ORDER BY a DESC LIMIT 10 OFFSET 10")
+def ignored_page(spark, sf_dir):
+    return ignore.ignored_rows(dismissed(catalog.document_catalog(spark, sf_dir)), 1, 10).select("a", "b", "at")
+
+
+@query(O.over(O.values([(t[0],) for t in TITLES[:-1]], ["s"]), f"SELECT s, regexp_matches(s, '[{T.CJK}]') AS has_cjk, len(regexp_replace(s, '[^{T.CJK}]', '', 'g'))::DOUBLE / len(s) AS cjk_ratio, {O.squeezed('s')} AS squeezed FROM v"))
+def script_functions(spark, sf_dir):
+    s = F.col("s")
+    return fixture(spark, [(t[0],) for t in TITLES[:-1]], ["s"]).select("s", T.has_cjk(s).alias("has_cjk"), T.cjk_ratio(s).alias("cjk_ratio"), T.squeezed(s).alias("squeezed"))
+
+
 @query(O.over(O.GROUPS, "SELECT id, title, index FROM members JOIN groups USING (group_id) WHERE id % 7 = 0"))
 def delete_ledger(spark, sf_dir):
     s = scan(spark, sf_dir)

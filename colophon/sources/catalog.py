@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colophon.functions import isbn as I
@@ -24,12 +24,12 @@ def _list(value: Column, kind: str) -> Column:
     return F.filter(F.coalesce(as_list, F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False)))
 
 
-def load_records(raw: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def load_records(raw: DataFrame, ids: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Catalog records with every default filled in, so that null logic reaches no predicate.
 
     raw needs an id; other columns are optional (`author`, `available_formats`, `timestamp`, `#book_type`
-    and `available sizes` come under the names that hosts use). Rows without an id are left out. ids restricts by a
-    semi-join.
+    come under the names that hosts use). Rows without an id are left out. ids restricts by a semi-join; most keeps
+    the first so many by id (a scan limit).
     """
     have = dict(raw.dtypes)
 
@@ -61,7 +61,8 @@ def load_records(raw: DataFrame, ids: DataFrame | None = None) -> DataFrame:
             value = source.cast(kind) if source is not None else nothing
         out.append(value.alias(name))
     rows = raw.filter("id IS NOT NULL").select(*out).withColumn("comments_present", M.has_text(F.col("comments")))
-    return rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")
+    rows = rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")
+    return rows if most is None else rows.orderBy("id").limit(most)
 
 
 def prepare(records: DataFrame) -> DataFrame:
@@ -157,10 +158,24 @@ def read_report(spark: SparkSession, path: str, form: str = "parquet", index: in
     return frame if index is None else frame.filter(F.col("index") == index)
 
 
+MARKER = "task_id string, generated_at string, path string, group_count bigint"
+
+
+def write_latest(spark: SparkSession, path: str, task_id: str, generated_at: str, report_path: str, groups: int) -> None:
+    """Writes the pointer to the newest report."""
+    spark.createDataFrame([(task_id, generated_at, report_path, groups)], MARKER).coalesce(1).write.mode("overwrite").json(path)
+
+
+def latest_report(spark: SparkSession, path: str, task_id: str | None = None, generated_at: str | None = None) -> DataFrame:
+    """The pointer, or nothing unless task and time agree with what is asked for."""
+    rows = spark.read.schema(MARKER).json(path)
+    for name, value in (("task_id", task_id), ("generated_at", generated_at)):
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    return rows
+
+
 def kept_reports(reports: DataFrame, keep: int = 5) -> DataFrame:
     """reports(path, mtime, protected) with pruned: all but the newest `keep`; protected ones stay besides."""
-    from pyspark.sql import Window
-
     newest = F.row_number().over(Window.orderBy(F.desc("mtime"), F.desc("path")))
     ranked = reports.filter("NOT protected").select("path", newest.alias("place"))
     return reports.join(ranked, "path", "left").select(

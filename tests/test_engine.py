@@ -200,3 +200,28 @@ def test_stream(spark, tmp_path):
 def test_all_pairs_of_a_group(spark):
     members = spark.createDataFrame([(1, i) for i in range(5)], "group_id long, id long")
     assert {(r["a"], r["b"]) for r in ignore.pairs_in(members).collect()} == set(itertools.combinations(range(5), 2))
+
+
+def test_step_codes(spark):
+    now = spark.createDataFrame([(1, ["EPUB"]), (2, ["PDF"]), (3, ["EPUB"])], "id long, formats array<string>")
+    steps = spark.createDataFrame([(2, 1), (3, 1), (1, 1), (9, 1), (2, 8)], "source_id long, target_id long")
+    got = sorted((r["source_id"], r["target_id"], r["error"], r["note"]) for r in ledger.step_status(steps, now).collect())
+    assert got == [(1, 1, "merge.same_book", None), (2, 1, None, None), (2, 8, "merge.target_missing", None), (3, 1, None, "no_new_formats"), (9, 1, "merge.source_missing", None)]
+    copied = spark.createDataFrame([(2, False)], "source_id long, ok boolean")
+    failed = ledger.step_status(steps.filter("source_id = 2 AND target_id = 1"), now, copied)
+    assert failed.first()["error"] == "merge.copy_failed"
+    assert ledger.merge_outcome(failed).first()["err"] == "merge.failed"
+    assert ledger.merge_outcome(ledger.step_status(steps.filter("source_id = 9"), now)).first()["err"] == "group.already_merged"
+
+
+def test_marker(spark, tmp_path):
+    catalog.write_latest(spark, f"{tmp_path}/m", "t1", "now", "/reports/1", 7)
+    assert catalog.latest_report(spark, f"{tmp_path}/m", "t1", "now").first()["group_count"] == 7
+    assert catalog.latest_report(spark, f"{tmp_path}/m", "t2").count() == 0
+
+
+def test_scan_limit_and_subset(spark):
+    raw = spark.createDataFrame(BASE, SCHEMA)
+    assert [r["id"] for r in catalog.load_records(raw, most=2).collect()] == [1, 2]
+    ids = spark.createDataFrame([(5,), (5,), (77,)], "id long")
+    assert [r["id"] for r in catalog.load_records(raw, ids).collect()] == [5]
