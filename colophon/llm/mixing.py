@@ -119,7 +119,7 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def mixed_pieces(documents: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def mixed_pieces(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
     documents: doc_id, source, size, source_size, target, sid, at (first word in its source's order).
