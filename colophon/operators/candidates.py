@@ -1,7 +1,8 @@
 """Candidate pairs: blocked equi-joins and an inverted-index similarity join.
 
 Titles are compared once for each pair of distinct keys of a block, not for each pair of records. Key
-pairs come from joins on shared n-grams with a lossless length filter; only they get the full score.
+pairs come from joins on the rarest n-grams of each key, with lossless prefix and length filters; only they
+are scored.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions import text as T
 from colophon.functions.metadata import DEFAULT_THRESHOLD
+from colophon.operators.components import stage
 
 MAX_BUCKET = 3000
 PAIR = ["a", "b", "reasons", "similarity", "same_type"]
@@ -58,36 +60,52 @@ def serial_key_pairs(keys: DataFrame) -> DataFrame:
 
 
 def _near_by_grams(keys: DataFrame, column: str, n: int, threshold: float) -> DataFrame:
-    """Pairs of keys of a block whose n-gram Dice of `column` reaches the threshold."""
-    sized = keys.select("block", "title_key", "title_core_key", F.explode(T.grams(F.col(column), n)).alias("gram"), F.size(T.grams(F.col(column), n)).alias("n"))
-    counted = sized.groupBy("block", "gram", "title_key", "title_core_key", "n").agg(F.count("*").alias("c"))
-    right = counted.toDF("block", "gram", "key_b", "core_b", "n_b", "c_b")
-    # a multiset shares no more than the smaller one holds
+    """Pairs of keys of a block whose n-gram Dice of `column` reaches the threshold, with the Dice.
+
+    Repeated grams are numbered, so multisets become sets. Each set is ordered by how rare its grams are
+    in the block; two sets that are similar enough share one of their first few (Chaudhuri et al., 2006),
+    so only those are joined, and only pairs found that way are intersected in full.
+    """
+    name = ["block", "title_key", "title_core_key"]
+    counted = keys.select(*name, F.explode(T.grams(F.col(column), n)).alias("gram")).groupBy(*name, "gram").count()
+    each = counted.select(*name, F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda i: F.concat_ws("\x00", "gram", i.cast("string")))).alias("gram"))
+    rare = each.groupBy("block", "gram").count()
+    ordered = each.join(rare, ["block", "gram"]).groupBy(*name).agg(F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("s"))
+    sets = stage(ordered.select(*name, F.col("s.gram").alias("grams"), F.size("s").alias("n")), "grams")
+    # the least overlap that a partner of any possible size asks for
+    least = F.ceil(F.col("n") * threshold / (2 - threshold) - 1e-9)
+    first_few = sets.select(*name, "n", F.explode(F.slice("grams", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("gram"))
+    other = first_few.toDF("block", "key_b", "core_b", "n_b", "gram")
     possible = F.least("n", "n_b") * 2.0 >= (F.col("n") + F.col("n_b")) * threshold - 1e-9
-    first = (F.col("title_key") < F.col("key_b")) | ((F.col("title_key") == F.col("key_b")) & (F.col("title_core_key") < F.col("core_b")))
-    shared = counted.join(right, ["block", "gram"]).filter(first & possible)
-    sums = shared.groupBy("block", F.col("title_key").alias("key_a"), F.col("title_core_key").alias("core_a"), "key_b", "core_b").agg(
-        (F.sum(F.least("c", "c_b")) * 2.0 / F.first(F.col("n") + F.col("n_b"))).alias("dice")
-    )
+    ahead = (F.col("title_key") < F.col("key_b")) | ((F.col("title_key") == F.col("key_b")) & (F.col("title_core_key") < F.col("core_b")))
+    found = first_few.join(other, ["block", "gram"]).filter(ahead & possible).select(*name, "key_b", "core_b").distinct()
+    right = sets.toDF("block", "key_b", "core_b", "grams_b", "n_b")
     view = F.lit("full" if column == "title_key" else "core")
-    return sums.filter(F.col("dice") >= threshold - 1e-9).select("block", "key_a", "core_a", "key_b", "core_b", view.alias("view"), F.lit(n).alias("n"), "dice")
+    dice = F.size(F.array_intersect("grams", "grams_b")) * 2.0 / (F.col("n") + F.col("n_b"))
+    scored = found.join(sets, name).join(right, ["block", "key_b", "core_b"]).select(
+        "block", F.col("title_key").alias("key_a"), F.col("title_core_key").alias("core_a"), "key_b", "core_b", view.alias("view"), F.lit(n).alias("n"), dice.alias("dice")
+    )
+    return scored.filter(F.col("dice") >= threshold - 1e-9)
 
 
 def scored_keys(members: DataFrame, threshold: float) -> DataFrame:
     """block, key_a, core_a, key_b, core_b, score of different title keys that reach the threshold."""
-    keys = members.filter("title_key <> ''").select("block", "title_key", "title_core_key").distinct()
+    keys = stage(members.filter("title_key <> ''").select("block", "title_key", "title_core_key").distinct(), "keys")
     noted = keys.filter("title_core_key <> '' AND title_core_key <> title_key").select("block").distinct()
     han = keys.filter((T.gram_size(F.col("title_key")) == 2) | (T.gram_size(F.col("title_core_key")) == 2)).select("block").distinct()
     with_notes = keys.join(noted, "block", "left_semi").filter("title_core_key <> ''")
-    same_core = with_notes.join(with_notes.toDF("block", "key_b", "core_b"), "block").filter("title_core_key = core_b AND title_key < key_b")
-    found = (
-        _near_by_grams(keys, "title_key", 3, threshold)
-        .union(_near_by_grams(keys.join(han, "block", "left_semi"), "title_key", 2, threshold))
-        .union(_near_by_grams(with_notes, "title_core_key", 3, threshold))
-        .union(_near_by_grams(with_notes.join(han, "block", "left_semi"), "title_core_key", 2, threshold))
-        .union(same_core.select("block", F.col("title_key").alias("key_a"), F.col("title_core_key").alias("core_a"), "key_b", "core_b", F.lit("core"), F.lit(0), F.lit(1.0)))
-        .filter("key_a <> key_b")
-    )
+    has_notes, has_han = not noted.isEmpty(), not han.isEmpty()
+    found = _near_by_grams(keys, "title_key", 3, threshold)
+    if has_han:
+        found = found.union(_near_by_grams(keys.join(han, "block", "left_semi"), "title_key", 2, threshold))
+    if has_notes:
+        twins = with_notes.toDF("block", "key_b", "title_core_key")
+        same_core = with_notes.join(twins, ["block", "title_core_key"]).filter("title_key < key_b").withColumn("core_b", F.col("title_core_key"))
+        found = found.union(same_core.select("block", F.col("title_key").alias("key_a"), F.col("title_core_key").alias("core_a"), "key_b", "core_b", F.lit("core"), F.lit(0), F.lit(1.0)))
+        found = found.union(_near_by_grams(with_notes, "title_core_key", 3, threshold))
+    if has_notes and has_han:
+        found = found.union(_near_by_grams(with_notes.join(han, "block", "left_semi"), "title_core_key", 2, threshold))
+    found = found.filter("key_a <> key_b")
     ka, kb, ca, cb = (F.col(c) for c in ("key_a", "key_b", "core_a", "core_b"))
     full = F.col("view") == "full"
     a, b = F.when(full, ka).otherwise(ca), F.when(full, kb).otherwise(cb)

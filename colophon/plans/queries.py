@@ -304,9 +304,9 @@ CELLS = """cells AS (
 )"""
 
 
-@query(O.over(O.GROUPS.strip() + ", " + CELLS, "SELECT group_id, field, shared, best_id FROM fields"))
+@query(O.over(O.GROUPS.strip() + ", " + CELLS, "SELECT group_id, field, shared, coalesce(best_id, -1) AS best_id FROM fields"))
 def diff_shared(spark, sf_dir):
-    return G.diff_fields(scan(spark, sf_dir).members).drop("place")
+    return G.diff_fields(scan(spark, sf_dir).members).drop("place").withColumn("best_id", F.coalesce("best_id", F.lit(-1)))
 
 
 @query(
