@@ -124,10 +124,10 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:
-    """revisit_id, canonical_url, response_id, outcome and merged (headers as name=value lines, sorted) of every revisit."""
+    """revisit_id, canonical_url, response_id (-1: none), outcome and merged (headers as name=value lines, sorted) of every revisit."""
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return resolve_revisits(records_of_pages(pages)).select(
-        "revisit_id", "canonical_url", "response_id", "outcome", F.array_join(lines, "\n").alias("merged")
+        "revisit_id", "canonical_url", F.coalesce("response_id", F.lit(-1)).alias("response_id"), "outcome", F.array_join(lines, "\n").alias("merged")
     )
 
 
@@ -151,7 +151,7 @@ j AS (
     WHEN page_id % 4 IN (0, 1) AND f_tag = r_tag OR page_id % 4 = 2 AND f_day = r_day THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
   FROM j WHERE n = 1
 )
-SELECT revisit_id, canonical AS canonical_url, f_id * 2 AS response_id, outcome,
+SELECT revisit_id, canonical AS canonical_url, coalesce(f_id * 2, -1) AS response_id, outcome,
   CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=' || page_id || chr(10) || 'content-length=' || size || chr(10) || 'etag='
     || CASE WHEN page_id % 4 = 1 THEN 'W/' ELSE '' END || '"' || f_tag || '"' || chr(10) || 'last-modified=day ' || f_day END AS merged
 FROM o
