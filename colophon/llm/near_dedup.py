@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from colophon.llm.common import written
 from colophon.llm.components import connected_components
-from colophon.llm.word_cache import WordCache
+from colophon.llm.word_cache import WordCache, worker_cache
 
 SHINGLE, HASHES, BANDS, SEED = 5, 128, 32, 20240229
 #: Percent of the union that the intersection must reach.
@@ -41,15 +41,15 @@ BLOCK_NODES, BLOCK_SHINGLES = 256, 50_000
 #: Up to so many ids (8 bytes each, counted before) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 _MIX, _FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_CACHES: list[WordCache] = []
 
 
 def _cache() -> WordCache:
-    if not _CACHES:
+    def make() -> WordCache:
         import xxhash
 
-        _CACHES.append(WordCache(xxhash.xxh3_64_intdigest, limit=150_000))
-    return _CACHES[0]
+        return WordCache(xxhash.xxh3_64_intdigest, limit=150_000)
+
+    return worker_cache("shingles", make)
 
 
 def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -91,6 +91,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def _sketched(documents: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm.common import buckets_of, written
-from colophon.llm.word_cache import WordCache
+from colophon.llm.word_cache import WordCache, worker_cache
 
 LENGTH, UNIT, CLOSING_ID = 4096, 128, 2
 UNITS = LENGTH // UNIT
@@ -35,7 +35,6 @@ BUCKETS = 2048
 #: What a unit costs outside of patterns, against 1 / UNITS inside a full one.
 LOOSE_COST = 1.02
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part string"
-_CACHES: dict[str, WordCache] = {}
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -135,7 +134,7 @@ def _cache(vocabulary: str, wide: bool) -> WordCache:
     the whole tokenizer. Texts are lower-cased (ASCII) before, unless they hold what may be a special token or
     a combining mark, with which the order of the steps could matter.
     """
-    if vocabulary not in _CACHES:
+    def make() -> WordCache:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -159,8 +158,10 @@ def _cache(vocabulary: str, wide: bool) -> WordCache:
                 return cache[word[:-1]] + cache[word[-1:]]
             return np.array(tokenizer.encode(w, add_special_tokens=False).ids, kind).tobytes()
 
-        cache = _CACHES[vocabulary] = WordCache(encode)
-    return _CACHES[vocabulary]
+        cache = WordCache(encode)
+        return cache
+
+    return worker_cache(vocabulary, make)
 
 
 def _bare_merges(tokenizer) -> bool:

@@ -25,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.word_cache import WordCache
+from colophon.llm.word_cache import WordCache, worker_cache
 
 PASSAGE, TRAIN_DOCUMENTS, THRESHOLD, FOLDS = 96, 4000, 0.3, 5
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, SEED = 24, 12, 30, 64, 0.01, 7
 WORD_FEATURES, HASH_FEATURES = 12, 8
 FEATURES = WORD_FEATURES + HASH_FEATURES + 3
 _SYMBOLS = frozenset("#*$%&|<>")
-_CACHES: list[WordCache] = []
 
 
 def _word_features(b: bytes) -> bytes:
@@ -61,9 +60,8 @@ def _word_features(b: bytes) -> bytes:
 
 def passage_features(texts: list[bytes | None]) -> Iterator[np.ndarray]:
     """A row of features for each passage of each text; one row of zeros for a text without words."""
-    if not _CACHES:
-        _CACHES.append(WordCache(_word_features, limit=60_000))
-    cache, width = _CACHES[0], WORD_FEATURES + HASH_FEATURES
+    cache = worker_cache("quality", lambda: WordCache(_word_features, limit=60_000))
+    width = WORD_FEATURES + HASH_FEATURES
     for text in texts:
         words = (text or b"").split()
         n = len(words)

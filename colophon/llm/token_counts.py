@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.word_cache import WordCache
+from colophon.llm.word_cache import WordCache, worker_cache
 
 FREQUENT_PER_TASK, TABLE_SIZE, TALLY_LIMIT = 4096, 32768, 200_000
 SPACE_MARK = "▁".encode()
 PRE_TOKEN = re.compile(rb"[ \n]+[^ \n]*")
-_CACHES: dict[str, WordCache] = {}
 
 
 def pre_tokens(text: bytes) -> list[bytes]:
@@ -86,10 +85,7 @@ def count_tokens(documents: DataFrame, model_path: str, limit: int = 4096) -> Da
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        if key not in _CACHES:
-            _CACHES.clear()
-            _CACHES[key] = WordCache(length_of(model), table.value)
-        cache = _CACHES[key]
+        cache = worker_cache(key, lambda: WordCache(length_of(model), table.value))
         known = cache.__getitem__
         for batch in batches:
             counts: list[int] = []

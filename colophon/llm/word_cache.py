@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
+from typing import Any
 
 #: Longer byte strings are encoded but never kept.
 KEEP_BYTES = 64
@@ -33,3 +35,19 @@ class WordCache(dict):
             self.old = dict(self)
             self.clear()
             self.update(self.first)
+
+
+_ALIVE: dict[str, Any] = {}
+
+
+def worker_cache(key: str, make: Callable[[], Any]) -> Any:
+    """The worker's cache of this key. A worker holds one at a time: it outlives a stage, and the caches of
+    the stages before would add up."""
+    if key not in _ALIVE:
+        import pyarrow as pa
+
+        _ALIVE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _ALIVE[key] = make()
+    return _ALIVE[key]
