@@ -10,9 +10,9 @@ doc_id among those whose crc32(doc_id as text) mod 5 is not 0. Scoring is one ma
 the model (some 10 kB) in the closure: no shuffle, whole texts.
 
 Defined results: a null or empty text is one passage of zero features and gets the score of that;
-documents with equal texts get equal scores; without usable labels every score is 0.5, with labels of one
-class only it is 0.99 or 0.01; an empty table gives an empty table. Labels, lang, source and doc_id are never
-features.
+documents with equal texts get equal scores; of labelled rows with one doc_id one is learnt from; without
+usable labels every score is 0.5, with labels of one class only it is 0.99 or 0.01; an empty table gives an
+empty table. Labels, lang, source and doc_id are never features.
 """
 
 from __future__ import annotations
@@ -174,8 +174,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
 
     # the sample has about TRAIN_DOCUMENTS rows of two numbers, whatever the number of labels
     joined = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
-    rows = joined.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(measure, "doc_id long, quality int, bag binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["bag"])))
+    rows = joined.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(measure, "doc_id long, quality int, bag binary")
+    # a doc_id of many rows counts once
+    rows = sorted(rows.groupBy("doc_id").agg(F.min(F.struct("bag", "quality")).alias("b")).select("doc_id", "b.*").collect())
     return train([np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES) for r in rows], [int(r["quality"] > 0) for r in rows])
 
 
