@@ -191,6 +191,8 @@ def test_classifier_odd_and_empty(spark, odd, docs):
     assert len(rows) == len(ODD) and {r["score"] for r in rows} == {0.5}
     assert quality_mil.score_documents(none(odd), labels).count() == 0
     assert quality_mil.good_documents(odd, none(labels)).columns == odd.columns
+    twice = quality_mil.fit(docs.union(docs), labels)
+    assert all(np.array_equal(twice[k], model[k]) for k in model)
     one = quality_mil.scores(model, list(quality_mil.passage_features([None, b"", b"a b", b"a b"])))
     assert one[0] == one[1] and one[2] == one[3] and all(0 <= s <= 1 for s in one)
 
