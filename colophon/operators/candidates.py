@@ -14,7 +14,6 @@ from colophon.functions import text as T
 from colophon.functions.metadata import DEFAULT_THRESHOLD
 from colophon.operators.components import stage
 
-MAX_BUCKET = 3000
 PAIR = ["a", "b", "reasons", "similarity", "same_type"]
 
 
@@ -31,12 +30,13 @@ def blocks(records: DataFrame) -> DataFrame:
     return records.select("id", "title_key", "title_core_key", "isbn_key", "book_type", F.explode(keys).alias("block"))
 
 
-def bucket_sizes(records: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """block, size and skipped of every block."""
-    return blocks(records).groupBy("block").agg(F.count("*").alias("size")).withColumn("skipped", F.col("size") > max_bucket)
+def bucket_sizes(records: DataFrame, max_bucket: int | None = None) -> DataFrame:
+    """block, size and skipped of every block; none is skipped without a max_bucket."""
+    skipped = F.lit(False) if max_bucket is None else F.col("size") > max_bucket
+    return blocks(records).groupBy("block").agg(F.count("*").alias("size")).withColumn("skipped", skipped)
 
 
-def open_blocks(records: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def open_blocks(records: DataFrame, max_bucket: int | None = None) -> DataFrame:
     """The rows of blocks that are not skipped. The sizes are one pre-aggregated row a block."""
     usable = bucket_sizes(records, max_bucket).filter("size > 1 AND NOT skipped").select("block")
     return blocks(records).join(usable, "block")
@@ -119,7 +119,7 @@ def scored_keys(members: DataFrame, threshold: float) -> DataFrame:
     return scored.filter(F.col("score") >= threshold).groupBy("block", "key_a", "core_a", "key_b", "core_b").agg(F.max("score").alias("score"))
 
 
-def title_matches(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def title_matches(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None) -> DataFrame:
     """a, b, similarity, same_type, isbn_differs of records of one author with similar titles."""
     members = open_blocks(records, max_bucket).filter("title_key <> ''")
     named = lambda s: members.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "title_key", "title_core_key", "isbn_key", "book_type")])
@@ -143,7 +143,7 @@ def _near_records(members: DataFrame, threshold: float) -> DataFrame:
     return joined.select(*_ids(), F.col("score").alias("similarity"))
 
 
-def _all_matches(records: DataFrame, threshold: float, max_bucket: int) -> DataFrame:
+def _all_matches(records: DataFrame, threshold: float, max_bucket: int | None) -> DataFrame:
     by_isbn = isbn_matches(records).select("a", "b", F.array(F.lit("isbn")).alias("reasons"), F.lit(1.0).alias("similarity"), "same_type")
     weak = F.when(F.col("isbn_differs"), F.array(F.lit("fuzzy_metadata"))).otherwise(F.array(F.lit("fuzzy_metadata"), F.lit("weak_title_only")))
     by_title = title_matches(records, threshold, max_bucket).select("a", "b", weak.alias("reasons"), "similarity", "same_type")
@@ -158,12 +158,12 @@ def merge_pairs(matches: DataFrame) -> DataFrame:
     return best.select("a", "b", F.when(F.array_contains("r", "isbn"), F.array(F.lit("isbn"))).otherwise(F.col("r")).alias("reasons"), "similarity")
 
 
-def candidate_pairs(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def candidate_pairs(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None) -> DataFrame:
     """a < b, reasons, similarity of prepared records that may be the same item; never across book types."""
     return merge_pairs(_all_matches(records, threshold, max_bucket).filter("same_type"))
 
 
-def scan_stats(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def scan_stats(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None) -> DataFrame:
     """One row: comparisons, skipped_buckets, skipped_books, skipped_serial, skipped_cross_type.
 
     Comparisons are counted without listing pairs: all pairs of keyed members of a block, less serial ones.

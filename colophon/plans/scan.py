@@ -21,7 +21,7 @@ class Scan:
 
 
 def run_scan(
-    records: DataFrame, threshold: object = DEFAULT_THRESHOLD, ignored: DataFrame | None = None, rule: str = "metadata", max_bucket: int = candidates.MAX_BUCKET
+    records: DataFrame, threshold: object = DEFAULT_THRESHOLD, ignored: DataFrame | None = None, rule: str = "metadata", max_bucket: int | None = None
 ) -> Scan:
     """Scans catalog records for duplicates; dismissed pairs are removed before grouping."""
     prepared = stage(prepare(records), "records")  # read by several joins: keys are computed once

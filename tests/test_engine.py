@@ -85,6 +85,23 @@ def test_bucket_cap_is_counted(spark):
     assert (stats["skipped_buckets"], stats["skipped_books"], stats["comparisons"]) == (1, 20, 0)
 
 
+def test_large_blocks_are_compared(spark, tmp_path):
+    """The registered queries over one source of more rows than the reference's cap of 3000."""
+    from colophon.plans.queries import QUERIES
+
+    digest = F.md5(F.col("id").cast("string").cast("binary"))
+    near = F.md5(F.lit("near").cast("binary"))
+    title = F.when(F.col("id").isin(1, 3000), "the same first line").when(F.col("id") == 2, near).when(F.col("id") == 2999, F.concat(near, F.lit("x"))).otherwise(digest)
+    text = F.concat(title, F.lit("\n"), digest)
+    docs = spark.range(3001).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert {(r["a"], r["b"]) for r in QUERIES["candidate_pairs"](spark, str(tmp_path)).collect()} == {(1, 3000), (2, 2999)}
+    assert {(r["id"], r["group_id"]) for r in QUERIES["components"](spark, str(tmp_path)).collect()} == {(1, 1), (3000, 1), (2, 2), (2999, 2)}
+    stats = QUERIES["scan_stats"](spark, str(tmp_path)).first()
+    assert (stats["comparisons"], stats["skipped_buckets"], stats["skipped_books"]) == (3001 * 3000 // 2, 0, 0)
+
+
 def test_no_author_is_one_block(spark):
     prepared = catalog.prepare(records(spark, [row(1, "same", None), row(2, "same", None)]))
     assert C.scan_stats(prepared).first()["comparisons"] == 1
