@@ -338,7 +338,17 @@ def near_components(documents: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that represent their component, all columns; of rows with one doc_id one stays."""
-    kept = near_components(documents).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.filter("doc_id IS NULL"))
+    """One row of each group of near copies, all columns: the one with the smallest doc_id, one without a doc_id last.
+
+    Rows are told apart by number, so missing and repeated ids hide neither copies nor different texts. Texts
+    without words link with nothing; of such rows with one doc_id one stays.
+    """
+    numbered = written(documents.select("*", F.monotonically_increasing_id().alias("__row_id")), "near-documents")
+    near = near_components(numbered.select(F.col("__row_id").alias("doc_id"), "text"))
+    groups = near.select(F.col("doc_id").alias("__row_id"), "component_id", (F.col("n_shingles") == 0).alias("wordless"))
+    ids = numbered.select("__row_id", F.col("doc_id").alias("id"))
+    own = F.when(F.col("wordless") & F.col("id").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("id").cast("long").alias("key")))
+    group = F.coalesce(own, F.struct(F.lit(0).alias("kind"), F.col("component_id").alias("key")))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__row_id")).alias("first")
+    kept = groups.join(ids, "__row_id").groupBy(group.alias("group")).agg(first).select(F.col("first.__row_id").alias("__row_id"))
+    return numbered.join(kept, "__row_id", "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])

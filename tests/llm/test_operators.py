@@ -386,6 +386,18 @@ def test_near_duplicates_odd_and_empty(spark, odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    words = lambda start: [f"w{start + i}" for i in range(200)]
+    a, b, c, d = (" ".join(words(1000 * i)) for i in range(4))
+    near_a, near_b = " ".join([*words(0)[:-2], "x", "y"]), " ".join([*words(1000)[:-2], "x", "y"])
+    rows = [(None, a), (None, a), (None, near_a), (7, c), (7, d), (5, near_b), (3, b), (9, b), (9, "something else"), (None, near_b), (8, ""), (8, ""), (4, None)]
+    kept = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    unnamed = [r["text"] for r in kept if r["doc_id"] is None]
+    assert len(unnamed) == 1 and unnamed[0] in (a, near_a)
+    named = sorted((r["doc_id"], r["text"] or "") for r in kept if r["doc_id"] is not None)
+    assert named == sorted([(3, b), (7, c), (7, d), (9, "something else"), (8, ""), (4, "")])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_stars(spark, seed):
     rng = random.Random(seed)
