@@ -9,8 +9,8 @@ Ties go to the smaller vec_id. The order (score, -vec_id) is total, so results d
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; nor do rows
 without a vec_id. A query is never its own candidate: rows of its own vec_id are left out, and equal vectors
-of other ids are candidates as any; of rows with one vec_id the first of their (equal or ordered) vectors
-counts. Vectors of another length than the query's are not comparable and are left out. A query without
+of other ids are candidates as any. Rows with one vec_id are all queries and candidates, equal ones too; the k best of
+all their pairs are the vec_id's list. Vectors of another length than the query's are not comparable and are left out. A query without
 candidates has no rows; a score that doesn't fit in a long is an error; an empty table gives an empty table.
 """
 
@@ -29,12 +29,12 @@ SCALE, TILE, QUERIES_A_TASK, ROWS_A_TASK, MERGE = 256, 4096, 2048, 16384, 16
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array of long), of usable rows, one for each vec_id."""
+    """vec_id, v (array of long) and a row number, of usable rows."""
     wide = F.transform("embedding", lambda x: x.cast("double"))
     sound = ~F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(F.coalesce(sound, F.lit(False)))
-    whole = usable.select(F.col("vec_id").cast("long"), F.transform(wide, lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
-    return whole.groupBy("vec_id").agg(F.min("v").alias("v"))
+    v = F.transform(wide, lambda x: F.floor(x * SCALE).cast("long")).alias("v")
+    return usable.select(F.col("vec_id").cast("long"), v, F.monotonically_increasing_id().alias("row_id"))
 
 
 def best_of_tile(scores: np.ndarray, k: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def _cell(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[np.ndarray,
             for j in range(0, len(qids), 512):
                 scores = products(q[j : j + 512], c[i : i + TILE])
                 own = qids[j : j + 512, None] == ids
-                keep = min(k + 1, len(ids))  # the query itself may be among them
+                keep = min(k + int(own.sum(1).max(initial=0)), len(ids))  # rows of the query's own vec_id may be among them
                 pick = best_of_tile(scores, keep)
                 good = ~np.take_along_axis(own, pick, 1)
                 good &= np.cumsum(good, 1) <= k
@@ -102,9 +102,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     asked = whole.filter(F.col("vec_id") % every == 0)
     down = max(1, -(-asked.count() // QUERIES_A_TASK))
     across = max(1, -(-whole.count() // ROWS_A_TASK))
-    spread = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+    spread = lambda salt, n: F.pmod(F.xxhash64("row_id", F.lit(salt)), n).cast("int")
     left = asked.withColumns({"qc": spread(1, down), "sc": F.explode(F.sequence(F.lit(0), F.lit(across - 1)))})
-    right = whole.withColumns({"sc": spread(2, across), "qc": F.explode(F.sequence(F.lit(0), F.lit(down - 1)))}).toDF("c_id", "c_v", "c_sc", "c_qc")
+    right = whole.withColumns({"sc": spread(2, across), "qc": F.explode(F.sequence(F.lit(0), F.lit(down - 1)))}).toDF("c_id", "c_v", "c_row", "c_sc", "c_qc")
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         found = list(_cell(a, b, k)) if a.num_rows and b.num_rows else []

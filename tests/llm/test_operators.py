@@ -455,6 +455,24 @@ def test_top_k_over_many_cells(spark, monkeypatch):
         assert [got[(q, n + 1)] for n in range(4)] == [(i, -s) for s, i in best]
 
 
+def test_top_k_with_repeated_ids(spark, monkeypatch):
+    """Rows of one vec_id are all queries and candidates, as in the SQL; in one cell and in many."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 40), [float(x) for x in rng.integers(-3, 3, 4)]) for i in range(120)]
+    rows += [*rows[:3], (10, rows[10][1]), (11, rows[11][1])] + [(20, [3.0, -3.0, 3.0, -3.0])] * 12
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    known = [(i, np.array(v) * 256) for i, v in rows]
+    want = []
+    for q in range(0, 40, 10):
+        best = sorted((-int(u @ v), c) for i, u in known if i == q for c, v in known if c != q)[:4]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    for tile in (4096, 7):
+        if tile == 7:
+            for name, value in (("TILE", 7), ("QUERIES_A_TASK", 3), ("ROWS_A_TASK", 9), ("MERGE", 2)):
+                monkeypatch.setattr(top_k, name, value)
+        assert sorted(tuple(r) for r in top_k.top_k(frame, 4, 10).select("query_id", "rank", "vec_id", "score").collect()) == want
+
+
 # ---- mixing
 
 
