@@ -15,6 +15,8 @@ DIFF_FIELDS = ("size", "formats", "isbn", "metadata", "cover", "added", "rating"
 KINDS = {"size": "bytes", "metadata": "score", "rating": "rating", "cover": "bool", "sole": "bool", "book_type": "enum"}
 BEST_FIELDS = ("size", "metadata", "formats", "rating", "tags", "cover")
 NONE_SHOWN = "—"
+# what a report tells of a member besides id, title, author, authors, size, formats, meta_score and missing
+MORE_FIELDS = ("added", "isbn", "isbn13", "isbn10", "comments_present", "tags", "series", "series_index", "publisher", "pubdate", "languages", "rating", "has_cover", "collector_id", "collector_name", "sole", "book_type", "translators")
 
 
 def rank_of(reasons: Column) -> Column:
@@ -202,14 +204,14 @@ def diff_summary(members: DataFrame) -> DataFrame:
 def build_report(members: DataFrame, pairs: DataFrame, rule: str = "metadata") -> DataFrame:
     """Groups by index with keeper, byte counts and member structs: what list views read."""
     keep = keepers(members, rule)
-    member = F.struct("id", "title", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("author"), "authors", "size", F.array_sort("formats").alias("formats"), "meta_score", "missing")
+    member = F.struct("id", "title", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("author"), "authors", "size", F.array_sort("formats").alias("formats"), "meta_score", "missing", *MORE_FIELDS)
     listed = members.groupBy("group_id").agg(F.array_sort(F.collect_list(member)).alias("entries"))
     return group_summary(members, pairs).join(group_bytes(members, keep), "group_id").join(listed, "group_id")
 
 
-def report_summary(report: DataFrame) -> DataFrame:
-    """One row of totals."""
-    return report.agg(
+def report_summary(report: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """One row of totals; with the stats of its scan, also how many pairs were left out and why."""
+    totals = report.agg(
         F.count("*").alias("group_count"),
         F.coalesce(F.sum(F.col("member_count") - 1), F.lit(0)).alias("extra_copies"),
         F.coalesce(F.sum("reclaimable_bytes"), F.lit(0)).alias("reclaimable_bytes"),
@@ -217,6 +219,10 @@ def report_summary(report: DataFrame) -> DataFrame:
         F.count_if(F.col("confidence") == "strong").alias("strong_groups"),
         F.count_if(F.col("confidence") == "weak").alias("weak_groups"),
     )
+    if stats is None:
+        return totals
+    left_out = stats.select(F.col("skipped_serial").alias("serial_excluded"), F.col("skipped_cross_type").alias("cross_type_excluded"), "ignored_excluded", "ignored_stale")
+    return totals.crossJoin(left_out)
 
 
 def index_preview(report: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from colophon.functions.metadata import DEFAULT_THRESHOLD, normalize_threshold
 from colophon.operators import candidates, groups, ignore
@@ -18,6 +19,16 @@ class Scan:
     pairs: DataFrame
     members: DataFrame
     report: DataFrame
+    threshold: float
+    max_bucket: int | None
+    excluded: DataFrame
+    stale: DataFrame
+
+    def stats(self) -> DataFrame:
+        """One row: what the scan compared and left out, dismissed pairs and stale dismissals included."""
+        counted = lambda f, name: f.agg(F.count("*").alias(name))
+        stats = candidates.scan_stats(self.records, self.threshold, self.max_bucket)
+        return stats.crossJoin(counted(self.excluded, "ignored_excluded")).crossJoin(counted(self.stale, "ignored_stale")).withColumn("threshold", F.lit(self.threshold))
 
 
 def run_scan(
@@ -25,9 +36,16 @@ def run_scan(
 ) -> Scan:
     """Scans catalog records for duplicates; dismissed pairs are removed before grouping."""
     prepared = stage(prepare(records), "records")  # read by several joins: keys are computed once
-    pairs = candidates.candidate_pairs(prepared, normalize_threshold(threshold), max_bucket)
-    if ignored is not None:
-        pairs = ignore.filter_pairs(pairs, ignore.live_entries(ignored, prepared))
-    pairs = stage(pairs, "pairs")
+    threshold = normalize_threshold(threshold)
+    found = candidates.candidate_pairs(prepared, threshold, max_bucket)
+    if ignored is None:
+        pairs = stage(found, "pairs")
+        excluded = stale = pairs.select("a", "b").limit(0)
+    else:
+        found = stage(found, "found")
+        live = ignore.live_entries(ignored, prepared)
+        pairs = stage(ignore.filter_pairs(found, live), "pairs")
+        excluded = ignore.dismissed_pairs(found, live).select("a", "b")
+        stale = ignore.canonical(ignored).select("a", "b").exceptAll(ignore.canonical(live).select("a", "b"))
     members = stage(groups.group_members(prepared, pairs), "members")
-    return Scan(prepared, pairs, members, groups.build_report(members, pairs, rule))
+    return Scan(prepared, pairs, members, groups.build_report(members, pairs, rule), threshold, max_bucket, excluded, stale)

@@ -50,6 +50,12 @@ def test_base_library(base):
     assert rows[(1, 2)]["reclaimable_bytes"] == 100
 
 
+def test_report_members_are_whole(base):
+    members = {e["id"]: e for r in base.report.collect() for e in r["entries"]}
+    assert (members[1]["isbn"], members[4]["added"], members[2]["languages"]) == ("9787536692930", "2026-03-01", [])
+    assert {"tags", "series", "publisher", "rating", "has_cover", "collector_name", "book_type", "translators"} <= set(members[1].asDict())
+
+
 def test_dismissed_pair_keeps_others(spark):
     more = [*BASE, row(6, "活着", "余华")]
     prepared = catalog.prepare(records(spark, more))
@@ -102,6 +108,21 @@ def test_large_blocks_are_compared(spark, tmp_path):
     assert (stats["comparisons"], stats["skipped_buckets"], stats["skipped_books"]) == (3001 * 3000 // 2, 0, 0)
 
 
+def test_left_out_pairs_are_counted(spark):
+    rows = [*BASE, row(6, "活着", "余华"), row(7, "苗疆蛊事1", "南无"), row(8, "苗疆蛊事2", "南无"), row(9, "甲书", "丙"), row(10, "甲书", "丙", kind="实体书")]
+    all_records = records(spark, rows)
+    prepared = catalog.prepare(all_records)
+    entries = ignore.add_ignored(spark.createDataFrame([], ignore.ENTRY), spark.createDataFrame([(4, 3), (1, 2), (1, 99)], "a long, b long"), prepared, "now")
+    entries = entries.withColumn("a_sig", F.when(F.col("a") == 1, "other").otherwise(F.col("a_sig")))
+    scan = run_scan(all_records, ignored=entries)
+    stats = scan.stats().first()
+    assert (stats["ignored_excluded"], stats["ignored_stale"], stats["threshold"]) == (1, 2, 0.85)
+    total = G.report_summary(scan.report, scan.stats()).first()
+    assert (total["serial_excluded"], total["cross_type_excluded"], total["ignored_excluded"], total["ignored_stale"]) == (1, 1, 1, 2)
+    total = G.report_summary(scan.report, run_scan(all_records).stats()).first()
+    assert (total["ignored_excluded"], total["ignored_stale"]) == (0, 0)
+
+
 def test_no_author_is_one_block(spark):
     prepared = catalog.prepare(records(spark, [row(1, "same", None), row(2, "same", None)]))
     assert C.scan_stats(prepared).first()["comparisons"] == 1
