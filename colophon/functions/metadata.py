@@ -26,6 +26,7 @@ WEIGHTS = {
     "rating": 1.0,
 }
 UNKNOWN_AUTHORS = "未知作者|佚名|unknown|n/a"
+CONFIDENCE_LABELS = {"strong": "确定", "likely": "很可能", "weak": "存疑", "certain": "完全相同"}
 RANKS = {"file_hash": 4, "isbn": 3, "exact_metadata": 2, "fuzzy_metadata": 1, "weak_title_only": 0}
 LIKELY_FROM = 0.95
 DEFAULT_THRESHOLD, LEAST_THRESHOLD = 0.85, 0.5
@@ -86,8 +87,23 @@ def missing_fields(c) -> Column:
     return F.filter(names, lambda x: x.isNotNull())
 
 
+def rounded4(x: Column) -> Column:
+    """A share rounded to four decimals by its exact binary value, halves to even.
+
+    x * 20000 as a double and what it lost (Dekker's product) tell exactly on which side of a half x lies.
+    """
+    top = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * 20000.0
+    lost = (top * 20000.0 - product) + (x - top) * 20000.0
+    halves = F.floor(product)
+    at_half = (product == halves) & (halves % 2 == 1)
+    low = F.floor(halves / 2)
+    half = F.when(lost > 0, low + 1).when(lost < 0, low).otherwise(low + low % 2)
+    return F.when(at_half, half).otherwise(F.floor((halves + 1) / 2)).cast("double") / 10000.0
+
+
 def confidence(rank: Column, similarity: Column) -> Column:
-    likely = F.round(F.coalesce(similarity, F.lit(1.0)), 4) >= LIKELY_FROM
+    likely = rounded4(F.coalesce(similarity, F.lit(1.0))) >= LIKELY_FROM
     return F.when(rank >= 3, "strong").when(rank == 2, "likely").when((rank == 1) & likely, "likely").otherwise("weak")
 
 

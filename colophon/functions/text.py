@@ -32,8 +32,8 @@ def _compatible(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition. Spark has no built-in for it; ASCII texts need none."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), _compatible(text)).otherwise(text)
+    """Compatibility composition. Spark has no built-in for it; ASCII texts need none and don't reach Python."""
+    return F.coalesce(_compatible(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
 def key_of(normal: Column) -> Column:
@@ -81,11 +81,17 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def differs_by_serial(a: Column, b: Column) -> Column:
-    """True if two keys share two characters or more and differ in volume marks only."""
-    head = common_prefix(a, b)
-    rest = lambda k: F.substring(k, head + 1, F.length(k))
+    """True if two keys share two characters or more and differ in volume marks only.
+
+    A mark is short, so all but the last characters are compared at once, and only those one by one.
+    """
+    start = F.greatest(F.length(a), F.length(b), F.lit(SERIAL_LONGEST)) - SERIAL_LONGEST
+    last = lambda k: F.substring(k, start + 1, F.lit(2 * SERIAL_LONGEST))
+    head = common_prefix(last(a), last(b))
+    rest = lambda k: F.substring(last(k), head + 1, F.lit(2 * SERIAL_LONGEST))
     fits = lambda r: (r == "") | is_serial(r)
-    return (a != b) & (F.length(a) >= 2) & (F.length(b) >= 2) & (head >= 2) & fits(rest(a)) & fits(rest(b))
+    near = (a != b) & (F.abs(F.length(a) - F.length(b)) <= SERIAL_LONGEST) & (F.length(a) >= 2) & (F.length(b) >= 2)
+    return near & (F.left(a, start) == F.left(b, start)) & (start + head >= 2) & fits(rest(a)) & fits(rest(b))
 
 
 def has_cjk(text: Column) -> Column:
@@ -105,9 +111,9 @@ def gram_size(key: Column) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    """All character n-grams; a shorter text is its own only gram; '' has none."""
-    spread = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).otherwise(spread)
+    """All character n-grams, in one pass; a shorter text is its own only gram; '' has none."""
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).otherwise(every)
 
 
 def dice(a: Column, b: Column, n: int) -> Column:

@@ -1,45 +1,85 @@
-"""Candidate pairs: blocked equi-joins and an inverted-index similarity join.
+"""Candidate pairs, as links between classes of records.
 
-Titles are compared once for each pair of distinct keys of a block, not for each pair of records. Key
-pairs come from joins on the rarest n-grams of each key, with lossless prefix and length filters; only they
-are scored.
+Records that no rule tells apart form a class, represented by the smallest id: for titles those with equal
+authors, title and core keys and book type, for ISBNs those with equal ISBN, format families and book type. A
+link stands for all pairs between two classes (or inside one) and has their number, so that copies are
+never expanded. `record_pairs` lists the pairs where they are wanted.
+
+Titles are compared once for each pair of distinct keys of a block (author). Key pairs come from joins on the rarest
+n-grams of each key, with lossless prefix, length and parity filters; only they are scored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions import text as T
 from colophon.functions.metadata import DEFAULT_THRESHOLD
 from colophon.operators.components import stage
 
-PAIR = ["a", "b", "reasons", "similarity", "same_type"]
+#: 64-bit words of a gram set's parity sketch.
+SKETCH_WORDS = 8
+
+
+def _pinned(records: DataFrame, pinned: DataFrame | None) -> DataFrame:
+    """Adds pin: the id as text of records that must stay alone in their class, else ''."""
+    if pinned is None:
+        return records.withColumn("pin", F.lit(""))
+    ids = pinned.select("id").distinct().withColumn("__pinned", F.lit(True))
+    return records.join(ids, "id", "left").withColumn("pin", F.when(F.col("__pinned"), F.col("id").cast("string")).otherwise("")).drop("__pinned")
+
 
+def _type(c: str = "book_type") -> Column:
+    return F.col(c) > 0
+
+
+def title_classes(records: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """id, rep (the class), author_keys, title_key, title_core_key, physical, isbn_key and families of every record."""
+    rows = _pinned(records, pinned).select(
+        "id", F.array_sort("author_keys").alias("author_keys"), "title_key", "title_core_key", _type().alias("physical"), "pin", "isbn_key", F.array_sort("families").alias("families")
+    )
+    by = ["author_keys", "title_key", "title_core_key", "physical", "pin"]
+    return stage(rows.join(rows.groupBy(*by).agg(F.min("id").alias("rep")), by).drop("pin"), "title-classes")
 
-def isbn_matches(records: DataFrame) -> DataFrame:
-    """a, b, same_type of records that share a valid ISBN and a format family."""
-    side = lambda s: records.filter("isbn_key IS NOT NULL").select("isbn_key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "families", "book_type")])
-    joined = side("a").join(side("b"), "isbn_key").filter("id_a < id_b AND arrays_overlap(families_a, families_b)")
-    return joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), ((F.col("book_type_a") > 0) == (F.col("book_type_b") > 0)).alias("same_type"))
 
+def isbn_classes(records: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """id, rep, isbn_key, families and physical of every record with a valid ISBN."""
+    rows = _pinned(records, pinned).filter("isbn_key IS NOT NULL").select("id", "isbn_key", F.array_sort("families").alias("families"), _type().alias("physical"), "pin")
+    by = ["isbn_key", "families", "physical", "pin"]
+    return stage(rows.join(rows.groupBy(*by).agg(F.min("id").alias("rep")), by).drop("pin"), "isbn-classes")
 
-def blocks(records: DataFrame) -> DataFrame:
-    """A row for each record and author key; records without one share the block ''."""
-    keys = F.when(F.size("author_keys") > 0, F.col("author_keys")).otherwise(F.array(F.lit("")))
-    return records.select("id", "title_key", "title_core_key", "isbn_key", "book_type", F.explode(keys).alias("block"))
+
+def isbn_links(classes: DataFrame) -> DataFrame:
+    """a <= b (classes), same_type, n_pairs: records that share a valid ISBN and a format family."""
+    each = classes.groupBy("rep", "isbn_key", "families", "physical").agg(F.count("*").alias("n"))
+    side = lambda s: each.select("isbn_key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "families", "physical", "n")])
+    joined = side("a").join(side("b"), "isbn_key").filter("rep_a <= rep_b AND arrays_overlap(families_a, families_b)")
+    return _links(joined, "rep_a", "rep_b", "n_a", "n_b", "physical_a", "physical_b").filter("n_pairs > 0")
+
+
+def _links(rows: DataFrame, a: str, b: str, n_a: str, n_b: str, type_a: str, type_b: str, *more: Column) -> DataFrame:
+    inside = (F.col(n_a) * (F.col(n_a) - 1) / 2).cast("long")
+    pairs = F.when(F.col(a) == F.col(b), inside).otherwise(F.col(n_a) * F.col(n_b))
+    return rows.select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(type_a) == F.col(type_b)).alias("same_type"), pairs.alias("n_pairs"), *more)
+
+
+def _with_blocks(rows: DataFrame) -> DataFrame:
+    """A row for each author key; rows without one share the block ''."""
+    return rows.withColumn("block", F.explode(F.when(F.size("author_keys") > 0, F.col("author_keys")).otherwise(F.array(F.lit("")))))
 
 
 def bucket_sizes(records: DataFrame, max_bucket: int | None = None) -> DataFrame:
     """block, size and skipped of every block; none is skipped without a max_bucket."""
     skipped = F.lit(False) if max_bucket is None else F.col("size") > max_bucket
-    return blocks(records).groupBy("block").agg(F.count("*").alias("size")).withColumn("skipped", skipped)
+    return _with_blocks(records.select("author_keys")).groupBy("block").agg(F.count("*").alias("size")).withColumn("skipped", skipped)
 
 
-def open_blocks(records: DataFrame, max_bucket: int | None = None) -> DataFrame:
-    """The rows of blocks that are not skipped. The sizes are one pre-aggregated row a block."""
-    usable = bucket_sizes(records, max_bucket).filter("size > 1 AND NOT skipped").select("block")
-    return blocks(records).join(usable, "block")
+def open_blocks(classes: DataFrame, max_bucket: int | None = None) -> DataFrame:
+    """block, rep, n, title_key, title_core_key, physical: the titled classes of blocks that are compared."""
+    each = classes.groupBy("rep", "author_keys", "title_key", "title_core_key", "physical").agg(F.count("*").alias("n"))
+    usable = bucket_sizes(classes, max_bucket).filter("size > 1 AND NOT skipped").select("block")
+    return _with_blocks(each).filter("title_key <> ''").join(usable, "block").drop("author_keys")
 
 
 def serial_key_pairs(keys: DataFrame) -> DataFrame:
@@ -59,124 +99,173 @@ def serial_key_pairs(keys: DataFrame) -> DataFrame:
     return cut.join(right, ["block", "prefix"]).filter("title_key < key_b AND next <> next_b").select("block", F.col("title_key").alias("key_a"), "key_b")
 
 
-def _near_by_grams(keys: DataFrame, column: str, n: int, threshold: float) -> DataFrame:
-    """Pairs of keys of a block whose n-gram Dice of `column` reaches the threshold, with the Dice.
+def _texts(keys: DataFrame) -> DataFrame:
+    """block, text, is_key, is_core and n (gram size) of every text to compare, numbered by tid.
 
-    Repeated grams are numbered, so multisets become sets. Each set is ordered by how rare its grams are
-    in the block; two sets that are similar enough share one of their first few (Chaudhuri et al., 2006),
-    so only those are joined, and only pairs found that way are intersected in full.
+    Two texts are compared by 2-grams if either of them is mostly CJK, else by 3-grams.
     """
-    name = ["block", "title_key", "title_core_key"]
-    counted = keys.select(*name, F.explode(T.grams(F.col(column), n)).alias("gram")).groupBy(*name, "gram").count()
-    each = counted.select(*name, F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda i: F.concat_ws("\x00", "gram", i.cast("string")))).alias("gram"))
-    rare = each.groupBy("block", "gram").count()
-    ordered = each.join(rare, ["block", "gram"]).groupBy(*name).agg(F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("s"))
-    sets = stage(ordered.select(*name, F.col("s.gram").alias("grams"), F.size("s").alias("n")), "grams")
-    # the least overlap that a partner of any possible size asks for
-    least = F.ceil(F.col("n") * threshold / (2 - threshold) - 1e-9)
-    first_few = sets.select(*name, "n", F.explode(F.slice("grams", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("gram"))
-    other = first_few.toDF("block", "key_b", "core_b", "n_b", "gram")
-    possible = F.least("n", "n_b") * 2.0 >= (F.col("n") + F.col("n_b")) * threshold - 1e-9
-    ahead = (F.col("title_key") < F.col("key_b")) | ((F.col("title_key") == F.col("key_b")) & (F.col("title_core_key") < F.col("core_b")))
-    found = first_few.join(other, ["block", "gram"]).filter(ahead & possible).select(*name, "key_b", "core_b").distinct()
-    right = sets.toDF("block", "key_b", "core_b", "grams_b", "n_b")
-    view = F.lit("full" if column == "title_key" else "core")
-    dice = F.size(F.array_intersect("grams", "grams_b")) * 2.0 / (F.col("n") + F.col("n_b"))
-    scored = found.join(sets, name).join(right, ["block", "key_b", "core_b"]).select(
-        "block", F.col("title_key").alias("key_a"), F.col("title_core_key").alias("core_a"), "key_b", "core_b", view.alias("view"), F.lit(n).alias("n"), dice.alias("dice")
+    flags = lambda c, key: keys.filter(F.col(c) != "").select("block", F.col(c).alias("text"), F.lit(key).alias("is_key"), F.lit(not key).alias("is_core"))
+    noted = keys.filter("title_core_key <> title_key").select("block").distinct()
+    cores = flags("title_core_key", False).join(noted, "block", "left_semi")
+    each = flags("title_key", True).union(cores).groupBy("block", "text").agg(F.max("is_key").alias("is_key"), F.max("is_core").alias("is_core"))
+    each = stage(each.withColumn("own", T.gram_size(F.col("text"))), "texts")
+    han = each.groupBy("block").agg(F.min("own").alias("least")).filter("least = 2").select("block", F.lit(True).alias("han"))
+    sizes = F.when(F.col("own") == 2, F.array(F.lit(2))).when(F.col("han"), F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
+    rows = each.join(han, "block", "left").withColumn("n", F.explode(sizes)).drop("han")
+    return stage(rows.withColumn("tid", F.monotonically_increasing_id()), "texts")
+
+
+def near_texts(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts of a block whose n-gram Dice reaches the threshold: tid_a < tid_b and dice.
+
+    texts: tid, block, n, text. Repeated grams are numbered, so multisets become sets. Each set is ordered by how rare its grams
+    are in the block; two sets that are similar enough share one of their first few (Chaudhuri et al., 2006). Of the pairs
+    found that way, those whose sizes or parity sketches rule the threshold out are dropped in the join: a sketch
+    has a bit for the parity of the grams of each hash value, so differing bits are at most differing grams.
+    """
+    listed = F.when(F.col("n") == 2, T.grams(F.col("text"), 2)).otherwise(T.grams(F.col("text"), 3))
+    counted = texts.select("tid", "block", "n", F.explode(listed).alias("gram")).groupBy("tid", "block", "n", "gram").count()
+    numbered = F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda i: F.concat_ws("\x00", "gram", i.cast("string")))
+    each = counted.select("tid", "block", "n", F.explode(numbered).alias("gram"))
+    rare = each.groupBy("block", "n", "gram").count()
+    h = F.xxhash64("gram")
+    bit = lambda w: F.when(F.pmod(h, F.lit(SKETCH_WORDS)) == w, F.expr("shiftleft(1L, cast(pmod(xxhash64(gram) div 8, 64) as int))")).otherwise(F.lit(0).cast("long"))
+    words = [f"w{i}" for i in range(SKETCH_WORDS)]
+    ordered = each.join(rare, ["block", "n", "gram"]).groupBy("tid", "block", "n").agg(
+        F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("s"), *[F.bit_xor(bit(i)).alias(w) for i, w in enumerate(words)]
     )
-    return scored.filter(F.col("dice") >= threshold - 1e-9)
-
-
-def scored_keys(members: DataFrame, threshold: float) -> DataFrame:
-    """block, key_a, core_a, key_b, core_b, score of different title keys that reach the threshold."""
-    keys = stage(members.filter("title_key <> ''").select("block", "title_key", "title_core_key").distinct(), "keys")
-    noted = keys.filter("title_core_key <> '' AND title_core_key <> title_key").select("block").distinct()
-    han = keys.filter((T.gram_size(F.col("title_key")) == 2) | (T.gram_size(F.col("title_core_key")) == 2)).select("block").distinct()
-    with_notes = keys.join(noted, "block", "left_semi").filter("title_core_key <> ''")
-    has_notes, has_han = not noted.isEmpty(), not han.isEmpty()
-    found = _near_by_grams(keys, "title_key", 3, threshold)
-    if has_han:
-        found = found.union(_near_by_grams(keys.join(han, "block", "left_semi"), "title_key", 2, threshold))
-    if has_notes:
-        twins = with_notes.toDF("block", "key_b", "title_core_key")
-        same_core = with_notes.join(twins, ["block", "title_core_key"]).filter("title_key < key_b").withColumn("core_b", F.col("title_core_key"))
-        found = found.union(same_core.select("block", F.col("title_key").alias("key_a"), F.col("title_core_key").alias("core_a"), "key_b", "core_b", F.lit("core"), F.lit(0), F.lit(1.0)))
-        found = found.union(_near_by_grams(with_notes, "title_core_key", 3, threshold))
-    if has_notes and has_han:
-        found = found.union(_near_by_grams(with_notes.join(han, "block", "left_semi"), "title_core_key", 2, threshold))
-    found = found.filter("key_a <> key_b")
+    sets = stage(ordered.select("tid", "block", "n", F.col("s.gram").alias("grams"), F.size("s").alias("m"), *words), "grams")
+    # the least overlap that a partner of any possible size asks for
+    least = F.ceil(F.col("m") * threshold / (2 - threshold) - 1e-9)
+    few = sets.select("tid", "block", "n", "m", *words, F.explode(F.slice("grams", F.lit(1), (F.col("m") - least + 1).cast("int"))).alias("gram"))
+    other = few.toDF("tid_b", "block", "n", "m_b", *[f"{w}_b" for w in words], "gram")
+    total = F.col("m") + F.col("m_b")
+    differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    possible = (F.least("m", "m_b") * 2.0 >= total * threshold - 1e-9) & (differing <= total * (1 - threshold) + 1e-9)
+    found = few.join(other, ["block", "n", "gram"]).filter((F.col("tid") < F.col("tid_b")) & possible).select(F.col("tid").alias("tid_a"), "tid_b").distinct()
+    side = lambda s: sets.select(F.col("tid").alias(f"tid_{s}"), F.col("grams").alias(f"grams_{s}"), F.col("m").alias(f"m_{s}"))
+    dice = F.size(F.array_intersect("grams_a", "grams_b")) * 2.0 / (F.col("m_a") + F.col("m_b"))
+    return found.join(side("a"), "tid_a").join(side("b"), "tid_b").select("tid_a", "tid_b", dice.alias("dice")).filter(F.col("dice") >= threshold - 1e-9)
+
+
+def scored_keys(keys: DataFrame, threshold: float) -> DataFrame:
+    """block, key_a, core_a, key_b, core_b, score of different title keys that reach the threshold.
+
+    keys: block, title_key, title_core_key (distinct). Where the keys themselves decide, the cores are null: any will do.
+    """
+    texts = _texts(keys)
+    side = lambda s: texts.select(F.col("tid").alias(f"tid_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("text", "own", "is_key", "is_core")])
+    found = near_texts(texts, threshold).join(side("a"), "tid_a").join(texts.select(F.col("tid").alias("tid_b"), "block", "n", *[F.col(c).alias(f"{c}_b") for c in ("text", "own", "is_key", "is_core")]), "tid_b")
+    a, b = F.col("text_a"), F.col("text_b")
+    # between texts one of which is mostly CJK containment limits the score
+    value = F.when(F.col("n") == 2, F.least("dice", T.containment(a, b))).otherwise(F.col("dice"))
+    near = found.filter("n = 3 OR own_a = 2 OR own_b = 2").select("block", "text_a", "text_b", "is_key_a", "is_key_b", "is_core_a", "is_core_b", value.alias("score"))
+    near = stage(near.filter(F.col("score") >= threshold), "near-texts")
+    none = F.lit(None).cast("string")
     ka, kb, ca, cb = (F.col(c) for c in ("key_a", "key_b", "core_a", "core_b"))
-    full = F.col("view") == "full"
-    a, b = F.when(full, ka).otherwise(ca), F.when(full, kb).otherwise(cb)
-    size = F.least(T.gram_size(a), T.gram_size(b))
-    # a join tells the score of its own gram size; between CJK keys containment limits it
-    value = F.when(F.col("n") == 0, 1.0).when(F.col("n") == 2, F.least("dice", T.containment(a, b))).otherwise(F.col("dice"))
+    full = near.filter("is_key_a AND is_key_b").select("block", F.col("text_a").alias("key_a"), none.alias("core_a"), F.col("text_b").alias("key_b"), none.alias("core_b"), "score")
+    cored = keys.filter("title_core_key <> ''")
+    named = lambda s: cored.select("block", F.col("title_key").alias(f"key_{s}"), F.col("title_core_key").alias(f"core_{s}"))
+    cores = near.filter("is_core_a AND is_core_b").select("block", F.col("text_a").alias("core_a"), F.col("text_b").alias("core_b"), "score")
+    noted = cored.filter("title_core_key <> title_key").select("block", "title_core_key").distinct()
+    equal = noted.select("block", F.col("title_core_key").alias("core_a"), F.col("title_core_key").alias("core_b"), F.lit(1.0).alias("score"))
     counted = T.is_serial_note(T.note_of(ka, ca)) | T.is_serial_note(T.note_of(kb, cb)) | T.differs_by_serial(ca, cb)
-    speaks = full | (((ca != ka) | (cb != kb)) & ~F.coalesce(counted, F.lit(False)))
-    fits = (F.col("n") == 0) | (F.col("n") == size)
-    scored = found.filter(fits & speaks & ~T.differs_by_serial(ka, kb)).select("block", "key_a", "core_a", "key_b", "core_b", value.alias("score"))
-    return scored.filter(F.col("score") >= threshold).groupBy("block", "key_a", "core_a", "key_b", "core_b").agg(F.max("score").alias("score"))
+    by_core = cores.union(equal).join(named("a"), ["block", "core_a"]).join(named("b"), ["block", "core_b"])
+    by_core = by_core.filter((ka != kb) & ((ca != cb) | (ka < kb)) & ((ca != ka) | (cb != kb)) & ~counted).select("block", "key_a", "core_a", "key_b", "core_b", "score")
+    return full.union(by_core).filter(~T.differs_by_serial(ka, kb))
 
 
-def title_matches(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None) -> DataFrame:
-    """a, b, similarity, same_type, isbn_differs of records of one author with similar titles."""
-    members = open_blocks(records, max_bucket).filter("title_key <> ''")
-    named = lambda s: members.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "title_key", "title_core_key", "isbn_key", "book_type")])
-    equal = named("l").join(named("r"), "block").filter("title_key_l = title_key_r AND id_l < id_r").select(*_ids(), F.lit(1.0).alias("similarity"))
-    near = _near_records(members, threshold)
-    every = equal.union(near)
-    lone = F.when(F.col("id_l") < F.col("id_r"), F.struct(F.col("id_l").alias("a"), F.col("id_r").alias("b"))).otherwise(F.struct(F.col("id_r").alias("a"), F.col("id_l").alias("b")))
-    differs = F.col("isbn_key_l").isNotNull() & F.col("isbn_key_r").isNotNull() & (F.col("isbn_key_l") != F.col("isbn_key_r"))
-    rows = every.select(lone.alias("p"), "similarity", ((F.col("book_type_l") > 0) == (F.col("book_type_r") > 0)).alias("same_type"), differs.alias("isbn_differs"))
-    return rows.groupBy("p", "same_type", "isbn_differs").agg(F.max("similarity").alias("similarity")).select("p.a", "p.b", "similarity", "same_type", "isbn_differs")
+def title_links(classes: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None) -> DataFrame:
+    """a <= b (classes of one author with similar titles), similarity, same_type, n_pairs, n_isbn and n_differ.
 
+    n_isbn: pairs that share an ISBN and a format family; n_differ: pairs with two ISBNs that differ. Both are
+    counted from how many records of a class have each ISBN.
+    """
+    members = stage(open_blocks(classes, max_bucket), "open-blocks")
+    side = lambda s: members.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "title_key", "title_core_key")])
+    same = members.select("block", F.col("rep").alias("rep_a"), "title_key").join(members.select("block", F.col("rep").alias("rep_b"), "title_key"), ["block", "title_key"])
+    same = same.filter("rep_a <= rep_b").select("rep_a", "rep_b", F.lit(1.0).alias("similarity"))
+    scored = scored_keys(members.select("block", "title_key", "title_core_key").distinct(), threshold)
+    for s in ("a", "b"):
+        fits = F.col(f"core_{s}").isNull() | (F.col(f"core_{s}") == F.col(f"title_core_key_{s}"))
+        scored = scored.join(side(s).withColumnRenamed(f"title_key_{s}", f"key_{s}"), ["block", f"key_{s}"]).filter(fits).drop(f"title_core_key_{s}")
+    near = scored.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), F.col("score").alias("similarity"))
+    best = same.union(near).groupBy("rep_a", "rep_b").agg(F.max("similarity").alias("similarity"))
+    sizes = classes.groupBy("rep", "physical").agg(F.count("*").alias("n"), F.count("isbn_key").alias("coded"))
+    named = lambda s: sizes.toDF(f"rep_{s}", f"physical_{s}", f"n_{s}", f"coded_{s}")
+    rows = best.join(named("a"), "rep_a").join(named("b"), "rep_b")
+    coded = F.when(F.col("rep_a") == F.col("rep_b"), (F.col("coded_a") * (F.col("coded_a") - 1) / 2).cast("long")).otherwise(F.col("coded_a") * F.col("coded_b"))
+    links = stage(_links(rows, "rep_a", "rep_b", "n_a", "n_b", "physical_a", "physical_b", "similarity", coded.alias("coded")).filter("n_pairs > 0"), "title-links")
+    hist = classes.filter("isbn_key IS NOT NULL").groupBy("rep", "isbn_key", "families").agg(F.count("*").alias("c"))
+    held = lambda s: hist.toDF(s, "isbn_key", f"families_{s}", f"c_{s}")
+    alike = links.filter("coded > 0").select("a", "b").join(held("a"), "a").join(held("b"), ["b", "isbn_key"])
+    both, overlap = F.col("c_a") * F.col("c_b"), F.arrays_overlap("families_a", "families_b")
+    # inside a class each pair comes twice, and each record meets itself, whose families are the same array
+    alone = (F.col("a") == F.col("b")) & (F.col("families_a") == F.col("families_b"))
+    both = F.when(alone, both - F.col("c_a")).otherwise(both)
+    half = lambda x: F.when(F.col("a") == F.col("b"), (x / 2).cast("long")).otherwise(x)
+    counts = alike.groupBy("a", "b").agg(F.sum(both).alias("same"), F.sum(F.when(overlap, both).otherwise(0)).alias("n_isbn"))
+    counts = counts.select("a", "b", half(F.col("same")).alias("same"), half(F.col("n_isbn")).alias("n_isbn"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return links.join(counts, ["a", "b"], "left").select(
+        "a", "b", "similarity", "same_type", "n_pairs", none("n_isbn").alias("n_isbn"), (F.col("coded") - none("same")).alias("n_differ")
+    )
 
-def _ids() -> list[str]:
-    return ["id_l", "id_r", "isbn_key_l", "isbn_key_r", "book_type_l", "book_type_r"]
 
+def candidate_links(by_isbn: DataFrame, by_title: DataFrame) -> DataFrame:
+    """kind, a <= b, reasons, similarity, n_pairs: what may be the same item; never across book types.
 
-def _near_records(members: DataFrame, threshold: float) -> DataFrame:
-    side = lambda s: members.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "id", "title_key", "title_core_key", "isbn_key", "book_type")])
-    on = lambda s, k, c: (F.col("block") == F.col(f"block_{s}")) & (F.col(k) == F.col(f"title_key_{s}")) & (F.col(c) == F.col(f"title_core_key_{s}"))
-    joined = scored_keys(members, threshold).join(side("l"), on("l", "key_a", "core_a")).join(side("r"), on("r", "key_b", "core_b"))
-    return joined.select(*_ids(), F.col("score").alias("similarity"))
+    Pairs that share an ISBN count as that alone, as the strongest reason; a title link has the others.
+    """
+    left = F.col("n_pairs") - F.col("n_isbn")
+    weak = F.when(left > F.col("n_differ"), F.array(F.lit("fuzzy_metadata"), F.lit("weak_title_only"))).otherwise(F.array(F.lit("fuzzy_metadata")))
+    isbn = by_isbn.filter("same_type").select(F.lit("isbn").alias("kind"), "a", "b", F.array(F.lit("isbn")).alias("reasons"), F.lit(1.0).alias("similarity"), "n_pairs")
+    return isbn.union(by_title.filter("same_type AND n_pairs > n_isbn").select(F.lit("title"), "a", "b", weak, "similarity", left))
 
 
-def _all_matches(records: DataFrame, threshold: float, max_bucket: int | None) -> DataFrame:
-    by_isbn = isbn_matches(records).select("a", "b", F.array(F.lit("isbn")).alias("reasons"), F.lit(1.0).alias("similarity"), "same_type")
-    weak = F.when(F.col("isbn_differs"), F.array(F.lit("fuzzy_metadata"))).otherwise(F.array(F.lit("fuzzy_metadata"), F.lit("weak_title_only")))
-    by_title = title_matches(records, threshold, max_bucket).select("a", "b", weak.alias("reasons"), "similarity", "same_type")
-    return by_isbn.union(by_title)
+def memberships(titles: DataFrame, isbns: DataFrame) -> DataFrame:
+    """kind, rep, id: the records of every class."""
+    return isbns.select(F.lit("isbn").alias("kind"), "rep", "id").union(titles.select(F.lit("title"), "rep", "id"))
 
 
-def merge_pairs(matches: DataFrame) -> DataFrame:
-    """One row for each pair: the strongest reasons, the highest similarity."""
-    best = matches.groupBy("a", "b").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("r"), F.max("similarity").alias("similarity")
-    )
-    return best.select("a", "b", F.when(F.array_contains("r", "isbn"), F.array(F.lit("isbn"))).otherwise(F.col("r")).alias("reasons"), "similarity")
+def candidates(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None, pinned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, memberships) of prepared records; pinned(id) stay alone in their classes, so that their links are pairs."""
+    titles, isbns = title_classes(records, pinned), isbn_classes(records, pinned)
+    return candidate_links(isbn_links(isbns), title_links(titles, threshold, max_bucket)), memberships(titles, isbns)
 
 
 def candidate_pairs(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None) -> DataFrame:
-    """a < b, reasons, similarity of prepared records that may be the same item; never across book types."""
-    return merge_pairs(_all_matches(records, threshold, max_bucket).filter("same_type"))
+    """The candidate links of prepared records."""
+    return candidates(records, threshold, max_bucket)[0]
+
+
+def record_pairs(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None) -> DataFrame:
+    """a < b, reasons, similarity: every pair of records listed, for catalogs without large groups of copies."""
+    every = records.select("id")
+    return candidates(records, threshold, max_bucket, every)[0].select("a", "b", "reasons", "similarity")
 
 
 def scan_stats(records: DataFrame, threshold: float = DEFAULT_THRESHOLD, max_bucket: int | None = None) -> DataFrame:
-    """One row: comparisons, skipped_buckets, skipped_books, skipped_serial, skipped_cross_type.
+    """One row: comparisons, skipped_buckets, skipped_books, max_bucket, skipped_serial, skipped_cross_type.
 
     Comparisons are counted without listing pairs: all pairs of keyed members of a block, less serial ones.
     """
-    sizes = bucket_sizes(records, max_bucket).filter("size > 1 AND skipped").agg(
-        F.count("*").alias("skipped_buckets"), F.coalesce(F.sum("size"), F.lit(0)).alias("skipped_books")
-    )
-    members = open_blocks(records, max_bucket).filter("title_key <> ''").groupBy("block", "title_key").agg(F.count("*").alias("m"))
+    titles, isbns = title_classes(records), isbn_classes(records)
+    return _stats(titles, isbn_links(isbns), title_links(titles, threshold, max_bucket), max_bucket)
+
+
+def _stats(titles: DataFrame, by_isbn: DataFrame, by_title: DataFrame, max_bucket: int | None) -> DataFrame:
+    sizes = bucket_sizes(titles, max_bucket).filter("size > 1").agg(
+        F.count_if("skipped").alias("skipped_buckets"), F.coalesce(F.sum(F.when(F.col("skipped"), F.col("size"))), F.lit(0)).alias("skipped_books"),
+        F.lit(max_bucket).cast("long").alias("max_bucket"),
+    )
+    members = open_blocks(titles, max_bucket).groupBy("block", "title_key").agg(F.sum("n").alias("m"))
     pairs = members.groupBy("block").agg(F.sum("m").alias("m")).agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0)).cast("long").alias("pairs"))
     serial = serial_key_pairs(members.select("block", "title_key"))
     counts = serial.join(members.toDF("block", "key_a", "ma"), ["block", "key_a"]).join(members.toDF("block", "key_b", "mb"), ["block", "key_b"])
     skipped = counts.agg(F.coalesce(F.sum(F.col("ma") * F.col("mb")), F.lit(0)).alias("skipped_serial"))
-    cross = _all_matches(records, threshold, max_bucket).filter("NOT same_type").select("a", "b").distinct().agg(F.count("*").alias("skipped_cross_type"))
+    crossing = by_isbn.filter("NOT same_type").select("n_pairs").union(by_title.filter("NOT same_type").select(F.col("n_pairs") - F.col("n_isbn")))
+    cross = crossing.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("skipped_cross_type"))
     one = lambda f: f.withColumn("k", F.lit(1))
     joined = one(sizes).join(one(pairs), "k").join(one(skipped), "k").join(one(cross), "k")
-    return joined.select((F.col("pairs") - F.col("skipped_serial")).alias("comparisons"), "skipped_buckets", "skipped_books", "skipped_serial", "skipped_cross_type")
+    return joined.select((F.col("pairs") - F.col("skipped_serial")).alias("comparisons"), "skipped_buckets", "skipped_books", "max_bucket", "skipped_serial", "skipped_cross_type")

@@ -11,15 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
-    """Writes an intermediate table to the shared folder (spark.checkpoint.dir) and reads it: lineage ends here."""
-    spark: SparkSession = frame.sparkSession
+def shared_home(spark: SparkSession) -> str:
+    """The folder that every executor sees: spark.checkpoint.dir. Unset, one of our own, on one machine (tests) only."""
     home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not home:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         home = tempfile.mkdtemp(prefix="colophon-")
         atexit.register(shutil.rmtree, home, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{home}")
-    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return home.rstrip("/")
+
+
+def stage(frame: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it: lineage ends here."""
+    spark: SparkSession = frame.sparkSession
+    path = f"{shared_home(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -28,14 +35,16 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every id in pairs(a, b).
 
     Every id takes the smallest label around it, then that label's own label (pointer jumping), until
-    nothing changes: about log2 of the longest path in rounds.
+    nothing changes: about log2 of the longest path in rounds. An id with very many neighbours, or a label with very many
+    ids, is a skewed key of a plain join: the join's result is written, or summed before it is dealt anew, so nothing
+    asks for the rows of one key together and adaptive execution splits them over tasks.
     """
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = stage(both, "edges")
     labels = stage(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
     while True:
-        seen = edges.join(labels, edges["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        own = labels.join(seen, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("was"))
+        near = edges.join(labels, edges["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        own = labels.join(near, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("was"))
         of = own.select(F.col("id").alias("c"), F.col("c").alias("jump"))
         moved = stage(own.join(of, "c").select("id", F.least("c", "jump").alias("component"), "was"), "labels")
         if moved.filter("component <> was").isEmpty():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.functions import metadata as M
-from colophon.operators.components import connected_components
+from colophon.operators.components import connected_components, stage
 
 RULES = ("metadata", "formats", "size", "oldest", "newest")
 PREVIEW = 2
@@ -27,16 +27,22 @@ def rank_of(reasons: Column) -> Column:
     return out
 
 
-def group_members(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """group_id (smallest id) with the record of every member of a component of pairs."""
-    return connected_components(pairs).withColumnRenamed("component", "group_id").join(records, "id")
+def group_members(records: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """group_id (smallest id) with the record of every member of a component of candidate links.
+
+    links: kind, a, b; classes: kind, rep, id. All records of a linked class belong together.
+    """
+    linked = links.select("kind", F.col("a").alias("rep")).union(links.select("kind", "b")).distinct()
+    inside = classes.join(linked, ["kind", "rep"]).filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    edges = links.filter("a <> b").select("a", "b").union(inside)
+    return connected_components(edges).withColumnRenamed("component", "group_id").join(records, "id")
 
 
-def group_summary(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def group_summary(members: DataFrame, links: DataFrame) -> DataFrame:
     """One row for each group, with its place in the report (index)."""
     of = members.select(F.col("id").alias("a"), "group_id")
-    found = pairs.join(of, "a").groupBy("group_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("r"), F.max("similarity").alias("max_similarity")
+    found = links.join(of, "a").groupBy("group_id").agg(
+        F.array_distinct(F.flatten(F.collect_set("reasons"))).alias("r"), M.rounded4(F.max("similarity")).alias("max_similarity")
     )
     order = F.transform(F.reverse(F.array_sort(F.transform("r", lambda x: F.struct(rank_of(F.array(x)).alias("k"), x.alias("x"))))), lambda s: s["x"])
     totals = members.groupBy("group_id").agg(
@@ -45,6 +51,7 @@ def group_summary(members: DataFrame, pairs: DataFrame) -> DataFrame:
         F.sum("size").alias("bytes_total"),
         F.max("size").alias("bytes_max"),
     )
+    tier = M.confidence(rank_of(F.col("r")), F.col("max_similarity"))
     rows = totals.join(found, "group_id").select(
         "group_id",
         "members",
@@ -55,23 +62,24 @@ def group_summary(members: DataFrame, pairs: DataFrame) -> DataFrame:
         "bytes_total",
         "bytes_max",
         (F.col("bytes_total") - F.col("bytes_max")).alias("bytes_over_max"),
-        M.confidence(rank_of(F.col("r")), F.col("max_similarity")).alias("confidence"),
+        tier.alias("confidence"),
     )
     return with_index(rows)
 
 
 def with_index(groups: DataFrame) -> DataFrame:
-    """Adds index: the place by rank, size, similarity, then smallest id, without one window over all groups.
+    """Adds index: the place by rank, size, similarity, then smallest id.
 
-    Groups are few against records, yet unbounded: places come from counts of each (rank, member_count)
-    and a window inside of it.
+    The groups are range-partitioned by that order and written; a group's place is its partition's start (a sum
+    over a row for each partition) and its place inside, which its row number has.
     """
-    n = groups.groupBy("rank", "member_count").count()
-    before = Window.orderBy(F.desc("rank"), F.desc("member_count")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = n.select(F.col("rank").alias("k"), F.col("member_count").alias("m"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("rank", "member_count").orderBy(F.desc("max_similarity"), "group_id")
-    joined = groups.join(starts, (F.col("rank") == F.col("k")) & (F.col("member_count") == F.col("m")))
-    return joined.withColumn("index", (F.col("start") + F.row_number().over(inside) - 1).cast("long")).drop("k", "m", "start")
+    order = [F.desc("rank"), F.desc("member_count"), F.desc("max_similarity"), F.asc("group_id")]
+    ordered = groups.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    placed = stage(ordered.withColumns({"__part": F.shiftright("__row", 33), "__at": F.col("__row").bitwiseAND((1 << 33) - 1)}), "ordered-groups")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    # a row for each partition of the range
+    return placed.join(F.broadcast(starts), "__part").withColumn("index", (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__row", "__start")
 
 
 def rule_order(rule: str) -> list[Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colophon.functions import isbn as I
@@ -50,6 +50,24 @@ def scan(spark: SparkSession, sf_dir: str) -> Scan:
     return run_scan(catalog.document_catalog(spark, sf_dir))
 
 
+def mixed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog and some odd books: beyond ASCII, of several authors, with notes and volume marks."""
+    names = ["id", "title", "authors", "isbn", "formats", "book_type"]
+    kinds = ["long", "string", "array<string>", "string", "array<string>", "int"]
+    cell = lambda v, k: (F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).cast(k)
+    rows = [F.struct(*[cell(v, k).alias(n) for v, n, k in zip(r, names, kinds, strict=True)]) for r in O.ODD_BOOKS]
+    odd = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*").withColumns({"size": 1000 - F.col("id"), "added": F.lit("2026-01-01T00:00:00")})
+    return catalog.document_catalog(spark, sf_dir).unionByName(catalog.load_records(odd))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(catalog.prepare(mixed_catalog(spark, sf_dir)), "records")
+
+
+MIXED_PAIRS = O.pairs_over(O.MIXED)
+MIXED_GROUPS = O.groups_over(MIXED_PAIRS)
+
+
 # ---- records and scalar functions
 
 
@@ -65,27 +83,25 @@ def title_key(spark, sf_dir):
     return prepared(spark, sf_dir).select("id", "title_key").union(pages)
 
 
-CORES = [("孙子兵法(全本)",), ("罪与罚（上）",), ("全集（一）[修订版]",), ("Plain title",), ("(only)",), ("",)]
-
-
-@query(O.over(O.values(CORES, ["title"]), f"SELECT title, trim({O.core('title')}) AS core FROM v"))
+@query(O.over(O.MIXED, f"SELECT id, trim({O.core('title')}) AS core FROM catalog"))
 def title_core(spark, sf_dir):
-    return fixture(spark, CORES, ["title"]).select("title", T.title_core(F.col("title")).alias("core"))
+    return mixed_catalog(spark, sf_dir).select("id", T.title_core(F.col("title")).alias("core"))
 
 
-@query(O.over(O.CATALOG, "SELECT id, array_to_string(author_keys, ',') AS author_keys FROM prepared"))
+@query(O.over(O.MIXED, "SELECT id, array_to_string(list_sort(author_keys), ',') AS author_keys FROM prepared"))
 def author_keys(spark, sf_dir):
-    return prepared(spark, sf_dir).select("id", joined("author_keys").alias("author_keys"))
+    return mixed(spark, sf_dir).select("id", joined(F.array_sort("author_keys")).alias("author_keys"))
 
 
 ISBNS = [("978-7-02-000220-9",), ("0-306-40615-2",), ("097522980x",), ("0306406153",), ("030640615",), ("9787020002207",), ("9780306406157",), ("9787020002208",), ("1234567890128",), ("",), ("none",)]
 V = O.plain_isbn("s")
 
 
-@query(O.over(O.values(ISBNS, ["s"]), f"SELECT s, {V} AS plain, {O.valid10(V)} AS is_isbn10, {O.valid13(V)} AS is_isbn13, CASE WHEN {O.valid10(V)} THEN {O.to13(V)} END AS as_isbn13, {O.isbn_key('s')} AS isbn_key FROM v"))
+@query(O.over(f"{O.CATALOG.strip()}, {O.values(ISBNS, ['l'])}, w AS (SELECT l AS s FROM v UNION ALL SELECT isbn FROM catalog)", f"SELECT s, {V} AS plain, {O.valid10(V)} AS is_isbn10, {O.valid13(V)} AS is_isbn13, CASE WHEN {O.valid10(V)} THEN {O.to13(V)} END AS as_isbn13, {O.isbn_key('s')} AS isbn_key FROM w"))
 def isbn_functions(spark, sf_dir):
     v = I.normalize_isbn(F.col("s"))
-    return fixture(spark, ISBNS, ["s"]).select(
+    rows = fixture(spark, ISBNS, ["s"]).union(catalog.document_catalog(spark, sf_dir).select("isbn"))
+    return rows.select(
         "s", v.alias("plain"), I.is_isbn10(v).alias("is_isbn10"), I.is_isbn13(v).alias("is_isbn13"), F.when(I.is_isbn10(v), I.to_isbn13(v)).alias("as_isbn13"), I.isbn_key(F.col("s")).alias("isbn_key")
     )
 
@@ -98,9 +114,10 @@ def isbn_key(spark, sf_dir):
 FORMS = [("epub",), (".AZW3",), (" mp3 ",), ("cbz",), ("xyz",), (None,), ("PDF",), ("..flac",)]
 
 
-@query(O.over(O.values(FORMS, ["f"]), f"SELECT f, {O.family('ltrim(trim(coalesce(f, chr(0))), chr(46))')} AS family FROM v"))
+@query(O.over(f"{O.CATALOG.strip()}, {O.values(FORMS, ['l'])}, w AS (SELECT l AS f FROM v UNION ALL SELECT unnest(formats) FROM catalog)", f"SELECT f, {O.family('ltrim(trim(coalesce(f, chr(0))), chr(46))')} AS family FROM w"))
 def media_family(spark, sf_dir):
-    return fixture(spark, FORMS, ["f"]).select("f", M.media_family(F.col("f")).alias("family"))
+    rows = fixture(spark, FORMS, ["f"]).union(catalog.document_catalog(spark, sf_dir).select(F.explode("formats")))
+    return rows.select("f", M.media_family(F.col("f")).alias("family"))
 
 
 @query(O.over(O.CATALOG, "SELECT id, array_to_string(list_sort(families), ',') AS families FROM prepared"))
@@ -112,23 +129,34 @@ MARKS = [(x,) for x in ("1", "12", "第一部", "第十二部", "全13册", "上
 NOTES = [(x,) for x in ("三", "上", "中册", "第一部发配", "至24卷26章", "19", "全20卷", "套装上下册", "全本", "修订版", "别册", "企鹅经典丛书第二辑上海文艺精装版", "")]
 
 
-@query(O.over(O.values(MARKS, ["s"]), f"SELECT s, {O.serial('s')} AS serial FROM v"))
+def _with_keys(literal: list[tuple], column: str, select: str) -> str:
+    return O.over(f"{O.MIXED.strip()}, {O.values(literal, ['l'])}, w({column}) AS (SELECT l FROM v UNION ALL {select})", "")
+
+
+@query(_with_keys(MARKS, "s", "SELECT title_key FROM prepared") + f"SELECT s, {O.serial('s')} AS serial FROM w")
 def serial_marker(spark, sf_dir):
-    return fixture(spark, MARKS, ["s"]).select("s", T.is_serial(F.col("s")).alias("serial"))
+    return fixture(spark, MARKS, ["s"]).union(mixed(spark, sf_dir).select("title_key")).select("s", T.is_serial(F.col("s")).alias("serial"))
 
 
-@query(O.over(O.values(NOTES, ["s"]), f"SELECT s, {O.serial_note('s')} AS serial FROM v"))
+@query(_with_keys(NOTES, "s", f"SELECT {O.note('title_key', 'title_core_key')} FROM prepared UNION ALL SELECT title_key FROM prepared") + f"SELECT s, {O.serial_note('s')} AS serial FROM w")
 def annotation_serial(spark, sf_dir):
-    return fixture(spark, NOTES, ["s"]).select("s", T.is_serial_note(F.col("s")).alias("serial"))
+    r = mixed(spark, sf_dir)
+    notes = r.select(T.note_of(F.col("title_key"), F.col("title_core_key"))).union(r.select("title_key"))
+    return fixture(spark, NOTES, ["s"]).union(notes).select("s", T.is_serial_note(F.col("s")).alias("serial"))
 
 
 SERIES = [("德川家康第一部",), ("德川家康第十二部",), ("苗疆蛊事",), ("苗疆蛊事1",), ("苗疆蛊事全集",), ("theeconomistthu16jun",), ("theeconomistthu23jun",), ("三体",), ("三体2",), ("孙子兵法",), ("孙子兵法全本",), ("12",), ("13",), ("全金属狂潮10",), ("全金属狂潮19",)]
 
 
-@query(O.over(O.values(SERIES, ["k"]), f"SELECT x.k AS key_a, y.k AS key_b FROM v x JOIN v y ON x.k < y.k WHERE {O.by_serial('x.k', 'y.k')}"))
+@query(
+    O.over(
+        f"{O.MIXED.strip()}, {O.values(SERIES, ['l'])}, w AS (SELECT '' AS block, l AS k FROM v UNION SELECT unnest(author_keys), title_key FROM prepared)",
+        f"SELECT x.block, x.k AS key_a, y.k AS key_b FROM w x JOIN w y ON x.block = y.block AND x.k < y.k WHERE {O.by_serial('x.k', 'y.k')}",
+    )
+)
 def serial_pairs(spark, sf_dir):
-    keys = fixture(spark, SERIES, ["title_key"]).withColumn("block", F.lit(""))
-    return C.serial_key_pairs(keys).select("key_a", "key_b")
+    keys = fixture(spark, SERIES, ["title_key"]).select(F.lit("").alias("block"), "title_key").union(mixed(spark, sf_dir).select(F.explode("author_keys"), "title_key"))
+    return C.serial_key_pairs(keys.distinct())
 
 
 TITLES = [
@@ -137,12 +165,27 @@ TITLES = [
     ("活着", "活着的意义", "活着", "活着的意义"), ("鳄鱼怕怕牙医怕怕", "鳄鱼怕牙医怕", "鳄鱼怕怕牙医怕怕", "鳄鱼怕牙医怕"), ("thehobbit", "thehobbitillustrated", "thehobbit", "thehobbit"), ("", "三体", "", "三体"),
 ]
 _L = ["a", "b", "ac", "bc"]
+HOST = r"regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
+
+
+PAGE_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+NEIGHBOURS = f"""{O.values(TITLES, _L)}, p AS (SELECT *, lead(a) OVER (PARTITION BY host ORDER BY page_id) AS b, lead(ac) OVER (PARTITION BY host ORDER BY page_id) AS bc
+  FROM (SELECT page_id, url AS host, {O.key(PAGE_TITLE)} AS a, {O.key(O.core(PAGE_TITLE))} AS ac FROM (SELECT page_id, html, {HOST} AS url FROM pages))),
+w AS (SELECT * FROM v UNION ALL SELECT a, b, ac, bc FROM p WHERE b IS NOT NULL)"""
+
 
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b, ac, bc: keys and cores of literal title pairs, and of every page and the next one of its host."""
+    pages = catalog.prepare(catalog.page_catalog(spark, sf_dir)).select("id", F.get("author_keys", F.lit(0)).alias("host"), F.col("title_key").alias("a"), F.col("title_core_key").alias("ac"))
+    order = Window.partitionBy("host").orderBy("id")
+    both = pages.withColumns({"b": F.lead("a").over(order), "bc": F.lead("ac").over(order)}).filter("b IS NOT NULL")
+    return fixture(spark, TITLES, _L).union(both.select(*_L))
 
-@query(O.over(O.values(TITLES, _L), f"SELECT a, b, ({O.gram_size('a')})::INT AS size_a, ({O.gram_size('b')})::INT AS size_b, {O.dice('a', 'b', 2)} AS dice2, {O.dice('a', 'b', 3)} AS dice3, {O.containment('a', 'b')} AS containment FROM v"))
+
+@query(O.over(NEIGHBOURS, f"SELECT a, b, ({O.gram_size('a')})::INT AS size_a, ({O.gram_size('b')})::INT AS size_b, {O.dice('a', 'b', 2)} AS dice2, {O.dice('a', 'b', 3)} AS dice3, {O.containment('a', 'b')} AS containment FROM w"))
 def gram_scores(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
-    return fixture(spark, TITLES, _L).select(
+    return neighbours(spark, sf_dir).select(
         "a", "b", T.gram_size(a).alias("size_a"), T.gram_size(b).alias("size_b"), T.dice(a, b, 2).alias("dice2"), T.dice(a, b, 3).alias("dice3"), T.containment(a, b).alias("containment")
     )
 
@@ -151,26 +194,22 @@ def _likeness(a: str, b: str) -> str:
     return f"(CASE WHEN {O.gram_size(a)} = 2 OR {O.gram_size(b)} = 2 THEN least({O.dice(a, b, 2)}, {O.containment(a, b)}) ELSE {O.dice(a, b, 3)} END)"
 
 
-def _note(k: str, c: str) -> str:
-    return f"(CASE WHEN {c} <> '' AND starts_with({k}, {c}) THEN substr({k}, len({c}) + 1) ELSE '' END)"
-
-
 @query(
     O.over(
-        O.values(TITLES, _L),
+        NEIGHBOURS,
         f"""SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE WHEN a = b THEN 1.0::DOUBLE WHEN {O.by_serial('a', 'b')} THEN 0.0::DOUBLE
-        WHEN ac <> '' AND bc <> '' AND (ac <> a OR bc <> b) AND NOT ({O.serial_note(_note('a', 'ac'))} OR {O.serial_note(_note('b', 'bc'))} OR {O.by_serial('ac', 'bc')})
-        THEN greatest({_likeness('a', 'b')}, CASE WHEN ac = bc THEN 1.0::DOUBLE ELSE {_likeness('ac', 'bc')} END) ELSE {_likeness('a', 'b')} END AS score FROM v""",
+        WHEN ac <> '' AND bc <> '' AND (ac <> a OR bc <> b) AND NOT ({O.serial_note(O.note('a', 'ac'))} OR {O.serial_note(O.note('b', 'bc'))} OR {O.by_serial('ac', 'bc')})
+        THEN greatest({_likeness('a', 'b')}, CASE WHEN ac = bc THEN 1.0::DOUBLE ELSE {_likeness('ac', 'bc')} END) ELSE {_likeness('a', 'b')} END AS score FROM w""",
     )
 )
 def variant_scores(spark, sf_dir):
     c = F.col
-    return fixture(spark, TITLES, _L).select("a", "b", T.variant_score(c("a"), c("b"), c("ac"), c("bc")).alias("score"))
+    return neighbours(spark, sf_dir).select("a", "b", T.variant_score(c("a"), c("b"), c("ac"), c("bc")).alias("score"))
 
 
-@query(O.over(O.CATALOG, "SELECT id, meta_score, array_to_string(missing, ',') AS missing FROM prepared"))
+@query(O.over(O.MIXED, "SELECT id, meta_score, array_to_string(missing, ',') AS missing FROM prepared"))
 def meta_score(spark, sf_dir):
-    return prepared(spark, sf_dir).select("id", "meta_score", joined("missing").alias("missing"))
+    return mixed(spark, sf_dir).select("id", "meta_score", joined("missing").alias("missing"))
 
 
 @query(O.over(O.CATALOG, "SELECT id, title || '|' || authors[1] || '|' || floor(size / 65536)::BIGINT AS sig FROM catalog"))
@@ -181,12 +220,15 @@ def record_signature(spark, sf_dir):
 # ---- candidate pairs
 
 
-@query(O.over(O.PAIRS, "SELECT a, b, same_type FROM by_isbn"))
-def isbn_pairs(spark, sf_dir):
-    return C.isbn_matches(prepared(spark, sf_dir))
+ISBN_LINKS = "SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, same_type, count(*) AS n_pairs FROM by_isbn JOIN isbn_class x ON x.id = by_isbn.a JOIN isbn_class y ON y.id = by_isbn.b GROUP BY 1, 2, 3"
+TITLE_LINKS = """SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, max(t.similarity) AS similarity, t.same_type, count(*) AS n_pairs, count(i.a) AS n_isbn, count(*) FILTER (t.differs) AS n_differ
+FROM by_title t JOIN title_class x ON x.id = t.a JOIN title_class y ON y.id = t.b LEFT JOIN by_isbn i ON i.a = t.a AND i.b = t.b GROUP BY 1, 2, 4"""
+LINKS = "SELECT kind, a, b, array_to_string(reasons, ',') AS reasons, similarity, n_pairs FROM links"
 
 
-HOST = r"regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
+@query(O.over(O.PAIRS, ISBN_LINKS))
+def isbn_pairs(spark, sf_dir):
+    return C.isbn_links(C.isbn_classes(prepared(spark, sf_dir)))
 
 
 @query(f"SELECT {O.key(HOST)} AS block, count(*) AS size, count(*) > 12 AS skipped FROM pages GROUP BY 1")
@@ -200,20 +242,46 @@ def skipped_buckets(spark, sf_dir):
     return rows.agg(F.count("*").alias("skipped_buckets"), F.coalesce(F.sum("size"), F.lit(0)).alias("skipped_books"))
 
 
-@query(O.over(O.PAIRS, "SELECT a, b, max(score) AS similarity, same_type, differs AS isbn_differs FROM tried WHERE score >= 0.85 GROUP BY a, b, same_type, differs"))
+@query(O.over(O.PAIRS, TITLE_LINKS))
 def title_pairs(spark, sf_dir):
-    return C.title_matches(prepared(spark, sf_dir))
+    return C.title_links(C.title_classes(prepared(spark, sf_dir)))
 
 
-@query(O.over(O.PAIRS, "SELECT a, b, array_to_string(reasons, ',') AS reasons, similarity FROM pairs"))
+@query(O.over(O.PAIRS, LINKS))
 def candidate_pairs(spark, sf_dir):
     return C.candidate_pairs(prepared(spark, sf_dir)).withColumn("reasons", joined("reasons"))
 
 
+@query(O.over(O.PAIRS, "SELECT 'isbn' AS kind, rep, id FROM isbn_class UNION ALL SELECT 'title', rep, id FROM title_class"))
+def pair_classes(spark, sf_dir):
+    r = prepared(spark, sf_dir)
+    return C.memberships(C.title_classes(r), C.isbn_classes(r))
+
+
+@query(O.over(MIXED_PAIRS, LINKS))
+def mixed_pairs(spark, sf_dir):
+    return C.candidate_pairs(mixed(spark, sf_dir)).withColumn("reasons", joined("reasons"))
+
+
+PAGE_PAIRS = O.pairs_over(
+    f"prepared AS (SELECT page_id AS id, {O.key(PAGE_TITLE)} AS title_key, {O.key(O.core(PAGE_TITLE))} AS title_core_key, [{O.key(HOST)}] AS author_keys, NULL::VARCHAR AS isbn_key, 0 AS book_type, ['ebook'] AS families FROM pages)"
+)
+
+
+@query(O.over(PAGE_PAIRS, LINKS))
+def page_pairs(spark, sf_dir):
+    return C.candidate_pairs(catalog.prepare(catalog.page_catalog(spark, sf_dir))).withColumn("reasons", joined("reasons"))
+
+
+@query(O.over(PAGE_PAIRS.replace("), m AS (SELECT", "), m AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY block) AS size FROM (SELECT", 1).replace(" FROM prepared),\nkk", " FROM prepared)) WHERE size <= 12),\nkk", 1), LINKS))
+def page_pairs_capped(spark, sf_dir):
+    return C.candidate_pairs(catalog.prepare(catalog.page_catalog(spark, sf_dir)), max_bucket=12).withColumn("reasons", joined("reasons"))
+
+
 @query(
     O.over(
         O.PAIRS,
-        """SELECT (SELECT count(*) FROM tried WHERE NOT serial) AS comparisons, 0::BIGINT AS skipped_buckets, 0::BIGINT AS skipped_books,
+        """SELECT (SELECT count(*) FROM tried WHERE NOT serial) AS comparisons, 0::BIGINT AS skipped_buckets, 0::BIGINT AS skipped_books, NULL::BIGINT AS max_bucket,
         (SELECT count(*) FROM tried WHERE serial) AS skipped_serial, (SELECT count(*) FROM (SELECT DISTINCT a, b FROM matches WHERE NOT same_type)) AS skipped_cross_type""",
     )
 )
@@ -326,13 +394,19 @@ def diff_summary(spark, sf_dir):
     return G.diff_summary(scan(spark, sf_dir).members).select("group_id", F.size("shared").cast("long").alias("n_shared"))
 
 
-TIERS = [(str(r), s) for r in (0, 1, 2, 3) for s in ("0.9", "0.94996", "0.95", "1.0")]
+TIERS = [(str(r), s) for r in (0, 1, 2, 3) for s in ("0.9", "0.94995", "0.94996", "0.95", "1.0")]
 
 
-@query(O.over(O.values([(int(r), s) for r, s in TIERS], ["rank", "sim"]), "SELECT rank, sim, CASE WHEN rank >= 3 THEN 'strong' WHEN rank = 2 OR (rank = 1 AND round(sim::DOUBLE, 4) >= 0.95) THEN 'likely' ELSE 'weak' END AS tier FROM v"))
+@query(
+    O.over(
+        f"{MIXED_PAIRS.strip()}, {O.values([(int(r), s) for r, s in TIERS], ['rank', 'sim'])}, w AS (SELECT rank, sim::DOUBLE AS sim FROM v UNION ALL SELECT CASE kind WHEN 'isbn' THEN 3 ELSE 1 END, similarity FROM links)",
+        f"SELECT rank, sim, {O.rounded4('sim')} AS shown, CASE WHEN rank >= 3 THEN 'strong' WHEN rank = 2 OR (rank = 1 AND {O.rounded4('sim')} >= 0.95) THEN 'likely' ELSE 'weak' END AS tier FROM w",
+    )
+)
 def confidence_tiers(spark, sf_dir):
-    rows = fixture(spark, TIERS, ["rank", "sim"]).select(F.col("rank").cast("int").alias("rank"), "sim")
-    return rows.select("rank", "sim", M.confidence(F.col("rank"), F.col("sim").cast("double")).alias("tier"))
+    rows = fixture(spark, TIERS, ["rank", "sim"]).select(F.col("rank").cast("int").alias("rank"), F.col("sim").cast("double").alias("sim"))
+    links = C.candidate_pairs(mixed(spark, sf_dir)).select(F.when(F.col("kind") == "isbn", 3).otherwise(1), "similarity")
+    return rows.union(links).select("rank", "sim", M.rounded4(F.col("sim")).alias("shown"), M.confidence(F.col("rank"), F.col("sim")).alias("tier"))
 
 
 # ---- reports and views
@@ -402,10 +476,16 @@ def ignore_live(spark, sf_dir):
     return ignore.live_entries(dismissed(records), records).select("a", "b")
 
 
-@query(O.over(O.PAIRS, "SELECT a, b FROM pairs WHERE NOT (a % 10 = 0 AND b = a + 20)"))
+#: Records of some dismissed pair (id, id + 20) whose ids 10 divides.
+PINNED = "(id % 10 = 0 AND (id + 20 IN (SELECT doc_id FROM documents) OR id - 20 IN (SELECT doc_id FROM documents)))"
+
+
+@query(O.over(O.pairs_over(O.CATALOG, PINNED), LINKS + " WHERE NOT (a % 10 = 0 AND b = a + 20)"))
 def ignore_filter(spark, sf_dir):
     records = prepared(spark, sf_dir)
-    return ignore.filter_pairs(C.candidate_pairs(records), dismissed(records)).select("a", "b")
+    entries = dismissed(records)
+    links, _ = C.candidates(records, pinned=entries.select(F.col("a").alias("id")).union(entries.select("b")))
+    return ignore.filter_pairs(links, entries).select("kind", "a", "b", joined("reasons").alias("reasons"), "similarity", "n_pairs")
 
 
 @query(O.over(O.GROUPS, "SELECT x.group_id, count(*) AS pairs, count(*) FILTER (x.id % 10 = 0 AND y.id = x.id + 20) AS ignored FROM members x JOIN members y ON x.group_id = y.group_id AND x.id < y.id GROUP BY x.group_id"))
@@ -499,10 +579,10 @@ def ignored_page(spark, sf_dir):
     return ignore.ignored_rows(dismissed(catalog.document_catalog(spark, sf_dir)), 1, 10).select("a", "b", "at")
 
 
-@query(O.over(O.values([(t[0],) for t in TITLES[:-1]], ["s"]), f"SELECT s, regexp_matches(s, '[{T.CJK}]') AS has_cjk, len(regexp_replace(s, '[^{T.CJK}]', '', 'g'))::DOUBLE / len(s) AS cjk_ratio, {O.squeezed('s')} AS squeezed FROM v"))
+@query(O.over(O.MIXED, f"SELECT s, regexp_matches(s, '[{T.CJK}]') AS has_cjk, CASE WHEN len(s) = 0 THEN 0.0::DOUBLE ELSE len(regexp_replace(s, '[^{T.CJK}]', '', 'g'))::DOUBLE / len(s) END AS cjk_ratio, coalesce({O.squeezed('s')}, '') AS squeezed FROM (SELECT title_key AS s FROM prepared)"))
 def script_functions(spark, sf_dir):
     s = F.col("s")
-    return fixture(spark, [(t[0],) for t in TITLES[:-1]], ["s"]).select("s", T.has_cjk(s).alias("has_cjk"), T.cjk_ratio(s).alias("cjk_ratio"), T.squeezed(s).alias("squeezed"))
+    return mixed(spark, sf_dir).select(F.col("title_key").alias("s")).select("s", T.has_cjk(s).alias("has_cjk"), T.cjk_ratio(s).alias("cjk_ratio"), T.squeezed(s).alias("squeezed"))
 
 
 @query(O.over(O.GROUPS, "SELECT id, title, index FROM members JOIN groups USING (group_id) WHERE id % 7 = 0"))
@@ -524,8 +604,19 @@ def ledger_gone(spark, sf_dir):
     return ledger.gone_ids(merged, s.records.filter(GONE).select("id"))
 
 
-@query("SELECT 'r' || i AS path, 100 - i AS mtime, i = 7 AS protected, i >= 5 AND i <> 7 AS pruned FROM range(0, 9) t(i)")
+@query(f"""SELECT path, mtime, protected, NOT protected AND row_number() OVER (PARTITION BY protected ORDER BY mtime DESC, path DESC) > 5 AS pruned
+FROM (SELECT {HOST} AS path, max(page_id) AS mtime, starts_with({HOST}, 'm.') AS protected FROM pages GROUP BY ALL)""")
 def retention(spark, sf_dir):
-    i = F.col("id")
-    reports = spark.range(9).select(F.concat(F.lit("r"), i.cast("string")).alias("path"), (100 - i).alias("mtime"), (i == 7).alias("protected"))
+    """Hosts as report folders, their last page as the time; mobile hosts are protected."""
+    pages = catalog.page_catalog(spark, sf_dir).select(F.col("authors")[0].alias("path"), "id")
+    reports = pages.groupBy("path").agg(F.max("id").alias("mtime")).withColumn("protected", F.startswith("path", F.lit("m.")))
     return catalog.kept_reports(reports, 5)
+
+
+# ---- the catalog with odd books
+
+
+@query(O.over(MIXED_GROUPS, "SELECT index, group_id, array_to_string(ids, ',') AS members, array_to_string(reasons, ',') AS reasons, rank, max_similarity, confidence FROM groups"))
+def mixed_groups(spark, sf_dir):
+    s = run_scan(mixed_catalog(spark, sf_dir))
+    return s.report.select("index", "group_id", joined("members").alias("members"), joined("reasons").alias("reasons"), "rank", "max_similarity", "confidence")

@@ -16,7 +16,9 @@ from colophon.sources.catalog import prepare
 @dataclass
 class Scan:
     records: DataFrame
+    #: Candidate links between classes of records, and the classes' records.
     pairs: DataFrame
+    classes: DataFrame
     members: DataFrame
     report: DataFrame
     threshold: float
@@ -28,24 +30,30 @@ class Scan:
         """One row: what the scan compared and left out, dismissed pairs and stale dismissals included."""
         counted = lambda f, name: f.agg(F.count("*").alias(name))
         stats = candidates.scan_stats(self.records, self.threshold, self.max_bucket)
-        return stats.crossJoin(counted(self.excluded, "ignored_excluded")).crossJoin(counted(self.stale, "ignored_stale")).withColumn("threshold", F.lit(self.threshold))
+        counts = stats.crossJoin(counted(self.records, "scanned_books")).crossJoin(counted(self.excluded, "ignored_excluded"))
+        return counts.crossJoin(counted(self.stale, "ignored_stale")).withColumn("threshold", F.lit(self.threshold))
 
 
 def run_scan(
     records: DataFrame, threshold: object = DEFAULT_THRESHOLD, ignored: DataFrame | None = None, rule: str = "metadata", max_bucket: int | None = None
 ) -> Scan:
-    """Scans catalog records for duplicates; dismissed pairs are removed before grouping."""
+    """Scans catalog records for duplicates; dismissed pairs are removed before grouping.
+
+    Records of a live dismissal are classes of their own, so that a dismissed pair is a link.
+    """
     prepared = stage(prepare(records), "records")  # read by several joins: keys are computed once
     threshold = normalize_threshold(threshold)
-    found = candidates.candidate_pairs(prepared, threshold, max_bucket)
     if ignored is None:
+        found, classes = candidates.candidates(prepared, threshold, max_bucket)
         pairs = stage(found, "pairs")
         excluded = stale = pairs.select("a", "b").limit(0)
     else:
+        live = stage(ignore.live_entries(ignored, prepared), "live")
+        pinned = live.select(F.col("a").alias("id")).union(live.select("b"))
+        found, classes = candidates.candidates(prepared, threshold, max_bucket, pinned)
         found = stage(found, "found")
-        live = ignore.live_entries(ignored, prepared)
         pairs = stage(ignore.filter_pairs(found, live), "pairs")
         excluded = ignore.dismissed_pairs(found, live).select("a", "b")
         stale = ignore.canonical(ignored).select("a", "b").exceptAll(ignore.canonical(live).select("a", "b"))
-    members = stage(groups.group_members(prepared, pairs), "members")
-    return Scan(prepared, pairs, members, groups.build_report(members, pairs, rule), threshold, max_bucket, excluded, stale)
+    members = stage(groups.group_members(prepared, pairs, classes), "members")
+    return Scan(prepared, pairs, classes, members, groups.build_report(members, pairs, rule), threshold, max_bucket, excluded, stale)

@@ -19,46 +19,49 @@ COLUMNS = {
 }
 
 
+#: Hosts' other names for a column; the first with something in it counts.
+ALIASES = {"formats": ("formats", "available_formats"), "authors": ("authors", "author"), "tags": ("tags", "tag"), "added": ("added", "timestamp"), "has_cover": ("has_cover", "cover"), "collector_name": ("collector_name", "collector"), "book_type": ("#book_type", "book_type")}
+
+
 def _list(value: Column, kind: str) -> Column:
-    as_list = value if kind.startswith("array") else F.array(value)
+    as_list = value.cast("array<string>") if kind.startswith("array") else F.array(value.cast("string"))
     return F.filter(F.coalesce(as_list, F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False)))
 
 
+def _physical(value: Column, kind: str) -> Column:
+    """1, 0 or null: texts are physical if they say so, numbers and truth values unless they are zero."""
+    if kind == "string":
+        return F.when(value.isNotNull(), F.trim(value).isin("1", "true", "True", "实体书").cast("int"))
+    return F.when(value.isNotNull(), (value.cast("double") != 0).cast("int"))
+
+
 def load_records(raw: DataFrame, ids: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Catalog records with every default filled in, so that null logic reaches no predicate.
 
-    raw needs an id; other columns are optional (`author`, `available_formats`, `timestamp`, `#book_type`
-    come under the names that hosts use). Rows without an id are left out. ids restricts by a semi-join; most keeps
-    the first so many by id (a scan limit).
+    raw needs an id; other columns are optional and may come under the names that hosts use (ALIASES), as lists or
+    single texts. Rows without an id are left out. ids restricts by a semi-join; most keeps the first so many by id (a
+    scan limit).
     """
     have = dict(raw.dtypes)
-
-    def first(*names: str) -> Column | None:
-        there = [F.col(f"`{n}`") for n in names if n in have]
-        return F.coalesce(*there) if len(there) > 1 else there[0] if there else None
-
-    alias = {"formats": ("formats", "available_formats"), "authors": ("authors", "author"), "added": ("added", "timestamp"), "has_cover": ("has_cover", "cover")}
     out: list[Column] = []
     for name, kind in COLUMNS.items():
-        source = first(*alias.get(name, (name,))) if name != "book_type" else first("#book_type", "book_type")
-        nothing = F.lit(None).cast(kind)
-        if name in TEXT:
-            if source is not None and name == "added" and have.get("timestamp") == "timestamp":
-                source = F.date_format(source, "yyyy-MM-dd'T'HH:mm:ss")
-            value = F.coalesce(source.cast("string") if source is not None else nothing, F.lit(""))
-        elif name in LISTS:
-            kind_now = next((have[n] for n in alias.get(name, (name,)) if n in have), "array<string>")
-            value = _list(source if source is not None else nothing, kind_now)
+        there = [(F.col(f"`{n}`"), have[n], n) for n in ALIASES.get(name, (name,)) if n in have]
+        if name in LISTS:
+            lists = [_list(c, k) for c, k, _ in there]
+            filled = [F.when(F.size(x) > 0, x) for x in lists]
+            value = F.coalesce(*filled, F.array().cast("array<string>"))
             value = F.transform(value, F.upper) if name == "formats" else value
+        elif name in TEXT:
+            timed = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if k.startswith("timestamp") else c.cast("string") for c, k, _ in there]
+            value = F.coalesce(*[F.nullif(c, F.lit("")) for c in timed], F.lit(""))
         elif name == "book_type":
-            text = source.cast("string") if source is not None else F.lit(None).cast("string")
-            value = F.when(F.trim(text).isin("1", "true", "True", "实体书"), 1).otherwise(0)
+            value = F.coalesce(*[_physical(c, k) for c, k, _ in there], F.lit(0))
         elif name in ("has_cover", "sole"):
-            value = F.coalesce(source.cast("boolean") if source is not None else nothing, F.lit(False))
+            value = F.coalesce(*[(c != "") if k == "string" else c.cast("boolean") for c, k, _ in there], F.lit(False))
         elif name in ("size", "rating"):
-            value = F.coalesce(source.cast(kind) if source is not None else nothing, F.lit(0).cast(kind))
+            value = F.coalesce(*[c.try_cast(kind) for c, _, _ in there], F.lit(0).cast(kind))
         else:
-            value = source.cast(kind) if source is not None else nothing
+            value = F.coalesce(*[c.try_cast(kind) for c, _, _ in there], F.lit(None).cast(kind))
         out.append(value.alias(name))
     rows = raw.filter("id IS NOT NULL").select(*out).withColumn("comments_present", M.has_text(F.col("comments")))
     rows = rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")
@@ -108,7 +111,7 @@ def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     raw = docs.join(labels, "doc_id", "left").select(
         d.alias("id"),
-        F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 60).alias("title"),
+        F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"),
         F.when(F.col("source").isNotNull(), F.array("source")).alias("authors"),
         F.col("n_chars").alias("size"),
         F.when(F.col("lang").isNotNull(), F.array("lang")).alias("languages"),

@@ -102,7 +102,7 @@ def test_large_blocks_are_compared(spark, tmp_path):
     docs = spark.range(3001).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src").alias("source"), F.length(text).cast("long").alias("n_chars"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
-    assert {(r["a"], r["b"]) for r in QUERIES["candidate_pairs"](spark, str(tmp_path)).collect()} == {(1, 3000), (2, 2999)}
+    assert {(r["a"], r["b"]) for r in QUERIES["candidate_pairs"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 2999)}
     assert {(r["id"], r["group_id"]) for r in QUERIES["components"](spark, str(tmp_path)).collect()} == {(1, 1), (3000, 1), (2, 2), (2999, 2)}
     stats = QUERIES["scan_stats"](spark, str(tmp_path)).first()
     assert (stats["comparisons"], stats["skipped_buckets"], stats["skipped_books"]) == (3001 * 3000 // 2, 0, 0)
@@ -126,7 +126,8 @@ def test_left_out_pairs_are_counted(spark):
 def test_no_author_is_one_block(spark):
     prepared = catalog.prepare(records(spark, [row(1, "same", None), row(2, "same", None)]))
     assert C.scan_stats(prepared).first()["comparisons"] == 1
-    assert [r["similarity"] for r in C.candidate_pairs(prepared).collect()] == [1.0]
+    assert [(r["similarity"], r["n_pairs"]) for r in C.candidate_pairs(prepared).collect()] == [(1.0, 1)]
+    assert [(r["a"], r["b"]) for r in C.record_pairs(prepared).collect()] == [(1, 2)]
 
 
 def test_joins_equal_brute_force(spark):
@@ -138,11 +139,94 @@ def test_joins_equal_brute_force(spark):
     ends = ["", "1", "2", "（全本）", "（上）", "（修订版）", " vol.2", "（第一部 开端）", "(illustrated)"]
     rows = [row(i, rng.choice(stems) + rng.choice(ends), rng.choice("ab")) for i in range(60)]
     prepared = catalog.prepare(records(spark, rows)).cache()
-    found = {(r["a"], r["b"]): round(r["similarity"], 9) for r in C.candidate_pairs(prepared, 0.6).collect()}
+    found = {(r["a"], r["b"]): round(r["similarity"], 9) for r in C.record_pairs(prepared, 0.6).collect()}
     l, r = (prepared.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "title_key", "title_core_key", "author_keys")]) for s in "lr")
     score = T.variant_score(F.col("title_key_l"), F.col("title_key_r"), F.col("title_core_key_l"), F.col("title_core_key_r"))
     every = l.join(r, F.col("id_l") < F.col("id_r")).filter(F.arrays_overlap("author_keys_l", "author_keys_r")).select("id_l", "id_r", score.alias("s"))
-    assert found == {(x["id_l"], x["id_r"]): round(x["s"], 9) for x in every.collect() if x["s"] >= 0.6}
+    every = {(x["id_l"], x["id_r"]): round(x["s"], 9) for x in every.collect() if x["s"] >= 0.6}
+    assert found == every
+    # links between classes stand for the same pairs
+    links, classes = C.candidates(prepared, 0.6)
+    of = {}
+    for x in classes.filter("kind = 'title'").collect():
+        of.setdefault(x["rep"], []).append(x["id"])
+    stood = {}
+    for x in links.collect():
+        pairs = itertools.combinations(sorted(of[x["a"]]), 2) if x["a"] == x["b"] else ((min(p), max(p)) for p in itertools.product(of[x["a"]], of[x["b"]]))
+        pairs = list(pairs)
+        assert len(pairs) == x["n_pairs"]
+        stood |= dict.fromkeys(pairs, round(x["similarity"], 9))
+    assert stood == every
+
+
+def test_links_count_isbns(spark):
+    """How many pairs of a link share an ISBN, and how many have two that differ, from counts alone."""
+    rng = random.Random(4)
+    codes = ["", "9787506365437", "9787536692930", "0306406152"]
+    rows = [row(i, rng.choice(["the long road", "the long roads"]), "a", rng.choice([["epub"], ["mp3"], ["epub", "mp3"], []]), rng.choice(codes), kind=rng.choice("001")) for i in range(60)]
+    prepared = catalog.prepare(records(spark, rows)).cache()
+    titles = C.title_classes(prepared)
+    of = {r["id"]: r for r in titles.collect()}
+    want = {}
+    for x, y in itertools.combinations(sorted(of), 2):
+        a, b = of[x], of[y]
+        key = (min(a["rep"], b["rep"]), max(a["rep"], b["rep"]))
+        coded = bool(a["isbn_key"] and b["isbn_key"])
+        same = coded and a["isbn_key"] == b["isbn_key"]
+        n, i, d = want.get(key, (0, 0, 0))
+        want[key] = (n + 1, i + (same and bool(set(a["families"]) & set(b["families"]))), d + (coded and not same))
+    links = C.title_links(titles, 0.8)
+    assert {(r["a"], r["b"]): (r["n_pairs"], r["n_isbn"], r["n_differ"]) for r in links.collect()} == want
+    shared = sum(len(set(p["families"]) & set(q["families"])) > 0 for p, q in itertools.combinations([r for r in of.values() if r["isbn_key"]], 2) if p["isbn_key"] == q["isbn_key"])
+    assert C.isbn_links(C.isbn_classes(prepared)).agg(F.sum("n_pairs")).first()[0] == shared
+    # every record alone: the same pairs, one by one
+    listed = C.record_pairs(prepared, 0.8)
+    total, classes = C.candidate_pairs(prepared, 0.8), listed.groupBy("reasons").count()
+    assert listed.count() == total.agg(F.sum("n_pairs")).first()[0] and classes.count() >= 2
+
+
+def test_a_large_group_of_copies(spark):
+    """Ten thousand records of one ISBN and title, and a chain of near titles: linear work, one component each."""
+    copies = spark.range(10_000).select(F.col("id"), F.lit("the same long title").alias("title"), F.array(F.lit("a")).alias("authors"), F.array(F.lit("EPUB")).alias("formats"), F.lit("9787506365437").alias("isbn"))
+    scan = run_scan(catalog.load_records(copies))
+    assert scan.pairs.count() == 1 and scan.pairs.first()["n_pairs"] == 10_000 * 9_999 // 2
+    only = scan.report.first()
+    assert (only["member_count"], only["index"], only["group_id"]) == (10_000, 0, 0)
+    star = spark.range(1, 10_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(20_000, 20_300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = connected_components(star.union(chain)).groupBy("component").count().collect()
+    assert sorted(tuple(r) for r in found) == [(0, 10_000), (20_000, 301)]
+
+
+def test_places_of_many_groups(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([1, 3]), rng.choice([2, 2, 2, 3]), rng.choice([0.9123, 0.95, 1.0])) for i in range(500)]
+    got = {r["group_id"]: r["index"] for r in G.with_index(spark.createDataFrame(rows, "group_id long, rank int, member_count long, max_similarity double")).collect()}
+    order = sorted(rows, key=lambda r: (-r[1], -r[2], -r[3], r[0]))
+    assert got == {r[0]: i for i, r in enumerate(order)}
+
+
+def test_rounding_as_the_language_does(spark):
+    from colophon.functions.metadata import rounded4
+
+    rng = random.Random(7)
+    values = [2 * k / m for m in (32, 160, 800, 4000, 20_000, 7, 13) for k in range(1, m // 2)][::3] + [rng.random() for _ in range(2000)] + [0.0, 1.0, 0.94995]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", rounded4(F.col("x")).alias("y")).collect()
+    assert all(r["y"] == round(r["x"], 4) for r in got)
+
+
+@pytest.mark.parametrize(("value", "kind", "want"), [(1.0, "double", 1), (2, "int", 1), (0, "int", 0), (True, "boolean", 1), (" 1 ", "string", 1), ("2", "string", 0), (None, "int", 0)])
+def test_book_types(spark, value, kind, want):
+    raw = spark.createDataFrame([(1, value)], f"id long, `#book_type` {kind}")
+    assert catalog.load_records(raw).first()["book_type"] == want
+    both = spark.createDataFrame([(1, value, 1)], f"id long, `#book_type` {kind}, book_type int")
+    assert catalog.load_records(both).first()["book_type"] == (1 if value is None else want)
+
+
+def test_host_names_fall_back(spark):
+    raw = spark.createDataFrame([(1, [], "b", None, "t"), (2, ["a"], "b", ["x"], "t"), (3, None, None, [], None)], "id long, authors array<string>, author string, tags array<string>, tag string")
+    got = {r["id"]: (r["authors"], r["tags"]) for r in catalog.load_records(raw).collect()}
+    assert got == {1: (["b"], ["t"]), 2: (["a"], ["x"]), 3: ([], [])}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
