@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colophon.operators.components import shared_home
+
 #: ASCII white space, the separators of the word pattern [^\x20\x09-\x0D]+, as a Java regular expression.
 SPACES = r"[ \t\n\x0B\f\r]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -21,23 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or (tests on one machine only) one of our own."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = tempfile.mkdtemp(prefix="colophon-")
-        atexit.register(shutil.rmtree, there, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{there}")
-    return there.rstrip("/")
-
-
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: the lineage ends there, so that a lost
     executor costs no earlier work, and values such as row numbers are fixed."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_home(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Deletes a table that `written` returned and nothing reads any more."""
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(frame._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts: few texts, signatures or sets are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star (Kiveris et al., 2014), on DataFrames.
 
-Each step is a partial-aggregated minimum for every node and a join back, so a node with very many
-neighbours is never gathered; every round is written to shared storage.
+Each step is a partial-aggregated minimum for every node and a join back. A node with very many neighbours is a
+skewed key of that join; what follows the join is dealt anew by other keys, so adaptive execution splits its rows over
+tasks and no task has to hold them. Every round is written to shared storage, and the round before it is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import written
+from colophon.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,8 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("u", "v").filter("u <> v").distinct(), "star")
     mark = _mark(now)
     while True:
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "star")
+        before, now = now, written(_small_star(_large_star(now).distinct()).distinct(), "star")
         new = _mark(now)
+        discard(before)
         if new == mark:
             break
         mark = new

@@ -3,7 +3,8 @@
 Every line is judged by punctuation, navigation and boilerplate rules, failing lines are removed, and a
 document is rejected when the removed lines held too much of its text. DataFrame functions only: one
 pass over the documents, no shuffle, no Python on executors. Windows of three words are compared by
-64-bit hashes (two different ones in a text of 20,000 words agree with a chance of one in 10^11).
+64-bit hashes first; a text in which none come twice has no repeats, and of others the windows themselves are compared.
+Phrases of navigation and boilerplate are those of English, French, German and Spanish pages.
 
 Defined results: a null or empty text has no words and fails the base rules; a line without a word is
 neither judged nor removed; repeated documents get equal rows; an empty table gives an empty table; other
@@ -28,17 +29,26 @@ UNPUNCTUATED = 80
 #: Percent of a document's word characters that its removed lines may hold.
 MAX_LOST = 40
 SENTENCE_MARKS = "[.!?…:;。！？]"
-NAVIGATION = (
-    r"^\W*(home|menu|log ?in|sign ?(in|up)|search|next|previous|back|top|contact( us)?|about( us)?|sitemap|share|skip to content)"
-    r"(\W+(home|menu|log ?in|sign ?(in|up)|search|next|previous|back|top|contact( us)?|about( us)?|sitemap|share|skip to content))*\W*$"
+#: What navigation bars and boilerplate lines say.
+NAVIGATION_WORDS = (
+    "home|menu|log ?in|sign ?(in|up)|search|next|previous|back|top|contact( us)?|about( us)?|sitemap|share|skip to content"
+    "|accueil|connexion|rechercher|suivant|précédent|retour|plan du site|partager"
+    "|startseite|anmelden|suche|weiter|zurück|impressum|kontakt|teilen"
+    "|inicio|iniciar sesión|buscar|siguiente|anterior|volver|contacto|mapa del sitio|compartir"
 )
+NAVIGATION = rf"^\W*({NAVIGATION_WORDS})(\W+({NAVIGATION_WORDS}))*\W*$"
 BOILERPLATE = (
     r"all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|(uses?|accept) cookies"
     r"|enable javascript|click here|subscribe to our|lorem ipsum|^\W*(copyright|\(c\)|©)|^\W*licensed under the "
+    r"|tous droits réservés|politique de confidentialité|conditions d'utilisation|mentions légales|cliquez ici"
+    r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|hier klicken"
+    r"|todos los derechos reservados|política de privacidad|términos de uso|aviso legal|haga clic aquí"
 )
 #: A text without any of these has no line of boilerplate; looking for them is much cheaper than the pattern.
 BOILERPLATE_HINTS = (
     "rights reserved", "terms of ", "privacy policy", "cookie", "javascript", "click here", "subscribe to our", "lorem ipsum", "copyright", "(c)", "©", "licensed under ",
+    "tous droits r", "confidentialit", "conditions d'", "mentions l", "cliquez ici", "rechte vorbehalten", "datenschutz", "nutzungsbed", "hier klicken",
+    "derechos reservados", "de privacidad", "rminos de uso", "aviso legal", "haga clic",
 )
 BASE = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -90,6 +100,7 @@ def _measured(rows: DataFrame) -> DataFrame:
         n.cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         "n_symbols",
+        "__words",
         "__lines",
         hinted.alias("__hinted"),
         ((F.col("n_symbols") > 0) | text.contains("!") | text.contains("»")).alias("__signs"),
@@ -97,7 +108,8 @@ def _measured(rows: DataFrame) -> DataFrame:
         F.transform(F.filter("__lines", lambda x: x["solid"] > 0), lambda x: x["l"]).alias("__full"),
     )
     repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    placed = F.sort_array(F.transform("__windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    words = lambda i: F.array_join(F.slice("__words", i + 1, F.lit(3)), " ")
+    placed = F.sort_array(F.transform("__windows", lambda w, i: F.struct(words(i).alias("w"), i.alias("i"))))
     bad = lambda x: line_fails(x["l"], x["solid"], F.col("__signs"), F.col("__hinted"))
     c = b.select(
         *rest,
@@ -126,7 +138,7 @@ def _measured(rows: DataFrame) -> DataFrame:
 
 
 def placed_none() -> Column:
-    return F.array().cast("array<struct<w:bigint,i:int>>")
+    return F.array().cast("array<struct<w:string,i:int>>")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -160,35 +172,35 @@ def clean_documents(documents: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
   FROM documents
 ), g AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+  SELECT row, i, count(*) OVER (PARTITION BY row, ws[i], ws[i + 1], ws[i + 2]) AS n
+  FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
 ), r AS (
-  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
-  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id
+  SELECT row, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT row, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY row
 ), l AS (
-  SELECT doc_id, len(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS solid, l, lower(l) AS low,
+  SELECT row, len(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS solid, l, lower(l) AS low,
          len(regexp_replace(l, '[^#*$%&<>]', '', 'g')) AS symbols,
          len(regexp_replace(l, '[^!]', '', 'g')) AS exclaims,
          len(regexp_replace(l, '[^|»>]', '', 'g')) AS bars
-  FROM (SELECT doc_id, unnest(ls) AS l FROM w)
+  FROM (SELECT row, unnest(ls) AS l FROM w)
 ), f AS (
-  SELECT doc_id, sum(solid) AS lost_chars, count(*) AS n_lines_removed FROM l
+  SELECT row, sum(solid) AS lost_chars, count(*) AS n_lines_removed FROM l
   WHERE symbols * 100 > solid * 15 OR exclaims * 100 > solid * 12
      OR (solid >= 80 AND NOT regexp_matches(l, '[.!?…:;。！？]'))
      OR (bars >= 2 AND bars * 100 >= solid * 5) OR (solid <= 200 AND regexp_matches(low, '@NAV@')) OR regexp_matches(low, '@BOIL@')
-  GROUP BY doc_id
+  GROUP BY row
 ), m AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          coalesce(lost_chars, 0)::BIGINT AS lost_chars, coalesce(n_lines_removed, 0)::BIGINT AS n_lines_removed
-  FROM w LEFT JOIN r ON w.doc_id = r.doc_id LEFT JOIN f ON w.doc_id = f.doc_id
+  FROM w LEFT JOIN r ON w.row = r.row LEFT JOIN f ON w.row = f.row
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND lost_chars * 100 <= word_chars * 40 AS kept, lost_chars, n_lines_removed
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-""".replace("@NAV@", NAVIGATION).replace("@BOIL@", BOILERPLATE)
+""".replace("@NAV@", NAVIGATION.replace("'", "''")).replace("@BOIL@", BOILERPLATE.replace("'", "''"))

@@ -4,10 +4,13 @@ Slot i of the mix takes the van der Corput point of i through the sources' cumul
 stretch of the schedule holds the sources in proportion. A slot's rank among its source's slots is a
 closed form (points of an aligned block of 2^k slots form a lattice, so those in an interval are counted,
 not listed): the schedule needs no shuffle, sort or window. Slot of rank r takes the r-th of its source's
-equal-token blocks, which are cut from the source's shuffled documents, laid end to end and repeated.
+equal-token blocks, which are cut from the source's documents, shuffled by a digest, laid end to end and repeated.
+`mixed_documents` returns its rows in the order of the slots in which they begin, so that a table written of them
+holds the sources in proportion in every stretch of it.
 
-The driver holds one row for each source (weights need their order); everything else is distributed.
-Running totals of words come from sums over BUCKETS buckets of each source, not from one window of it.
+The driver holds one row for each source (weights need their order), MOST_SOURCES at most: more are refused.
+Everything else is distributed. Running totals of words come from sums over buckets of each source, whose number
+grows with the square root of the rows, so that neither the buckets nor the list of them become large.
 
 Defined results: a null text has size 0; a document without words takes 0; a null source is a source of
 its own, the last; equal rows are separate documents, in an order that makes them interchangeable; a
@@ -16,6 +19,7 @@ source without words has target 0; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +29,23 @@ from pyspark.sql import functions as F
 
 from colophon.llm.common import buckets_of, words_of, written
 
-BLOCK_WORDS, MOST_EPOCHS, BUCKETS, SEED = 1024, 3, 1024, 17
+BLOCK_WORDS, MOST_EPOCHS, MOST_SOURCES = 1024, 3, 100_000
 #: Points are integers of so many bits, and so are the borders of the sources' intervals.
 BITS = 46
 
 
 def target_sizes(sizes: list[int], weights: list[float], most: float = MOST_EPOCHS) -> list[float]:
     """Targets that share sum(sizes) by weight; none is above `most` times its size, the excess is shared again by weight."""
-    targets, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
+    # a source is at its limit before any other whose size is larger for its weight
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i] / weights[i])
+    targets, left, weight = [0.0] * len(sizes), sum(sizes), sum(weights)
+    for k, i in enumerate(order):
+        if left * weights[i] / weight <= most * sizes[i]:
+            for j in order[k:]:
+                targets[j] = left * weights[j] / weight
             break
-        for i in over:
-            targets[i] = float(most * sizes[i])
-            open_.discard(i)
-        left = float(sum(sizes)) - sum(targets[i] for i in range(len(sizes)) if i not in open_)
+        targets[i] = float(most * sizes[i])
+        left, weight = left - most * sizes[i], weight - weights[i]
     return targets
 
 
@@ -75,11 +77,13 @@ def points_below(n: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _sources(sized: DataFrame) -> list[dict]:
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"a mix of more than {MOST_SOURCES} sources: group them first")
     rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [int(r["size"]) for r in rows]
     targets = target_sizes(sizes, [1 + i % 3 for i in range(len(rows))])
-    whole = [min(round(t), MOST_EPOCHS * s) for t, s in zip(targets, sizes, strict=True)]
+    whole = [min(int(t + 0.5), MOST_EPOCHS * s) for t, s in zip(targets, sizes, strict=True)]
     total = sum(whole)
     slots = max(1, -(-total // BLOCK_WORDS))
     edges = [0]
@@ -123,11 +127,11 @@ def mixed_pieces(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
     documents: doc_id, source, size, source_size, target, sid, at (first word in its source's order).
-    pieces: sid, at, doc_id, size, epoch, slot, start and length in words: what each slot takes.
+    pieces: sid, at, doc_id, size, epoch, slot, rank, start and length in words: what each slot takes.
     """
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     sized = written(
-        documents.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("text_hash")),
-        "mix-sizes",
+        documents.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.md5(name.cast("binary")).alias("digest")), "mix-sizes"
     )
     spark = documents.sparkSession
     sources = _sources(sized)
@@ -138,10 +142,11 @@ def mixed_pieces(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # one row a source, already held by the driver: the size is checked, a larger set of sources is joined by shuffle
     known = F.broadcast(known) if len(sources) <= 100_000 else known
-    order = F.xxhash64("doc_id", "text_hash", F.lit(SEED))
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("__order", F.struct(order.alias("h"), "doc_id", "size", "text_hash"))
-    laid = buckets_of(rows, F.pmod(order, F.lit(BUCKETS)), ["sid"], {"at": F.col("size")}).drop("__order", "text_hash")
+    # buckets are ranges of the digest, so their number does not change the order
+    digits = max(1, min(6, round(math.log(max(sized.count(), 1), 16) / 2)))
+    rows = rows.withColumn("__order", F.struct("digest", "doc_id", "size"))
+    laid = buckets_of(rows, F.substring("digest", 1, digits), ["sid"], {"at": F.col("size")}).drop("__order", "digest")
     laid = written(laid, "mix-order")
     # the take of a source is cut into its number of blocks; the first `odd` of them hold a word more
     each, odd = _div(F.col("take"), F.col("slots")), F.col("take") % F.col("slots")
@@ -160,7 +165,7 @@ def mixed_pieces(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = shown.withColumn("from", F.greatest("begin", edge(F.col("rank")))).withColumn("to", F.least("end", edge(F.col("rank") + 1))).filter("from < to")
     slots = schedule(sized, sources).toDF("slot", "slot_sid", "slot_rank")
     pieces = cut.join(slots, (F.col("sid") == F.col("slot_sid")) & (F.col("rank") == F.col("slot_rank"))).select(
-        "sid", "at", "doc_id", "size", "epoch", "slot", (F.col("from") - F.col("begin")).alias("start"), (F.col("to") - F.col("from")).alias("length")
+        "sid", "at", "doc_id", "size", "epoch", "slot", "rank", (F.col("from") - F.col("begin")).alias("start"), (F.col("to") - F.col("from")).alias("length")
     )
     return laid, pieces
 
@@ -181,20 +186,44 @@ def mix_report(documents: DataFrame) -> DataFrame:
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The documents as the mix takes them, all columns: a row for each time, the last of a source cut at the target.
 
-    A document taken 2.4 times is there twice whole and once with its first words; n_chars follows the text.
+    A document taken 2.4 times is there twice whole and once with its first words; n_chars follows the text. Rows come
+    in the order of the slots in which they begin.
     """
     columns = documents.columns
     # rows are told apart by number, as a doc_id may be repeated; the numbers are fixed by writing them
-    numbered = written(documents.select("*", F.monotonically_increasing_id().alias("__row_id")), "mix-documents")
-    laid = numbered.select(F.col("__row_id").alias("doc_id"), "source", "text")
-    report = mix_report(laid).filter("taken > 0").select(F.col("doc_id").alias("__row_id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    joined = numbered.join(report, "__row_id")
-    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    rows = joined.withColumn("__left", F.explode(F.transform(F.sequence(F.lit(1), times), lambda i: F.least(F.col("__size"), F.col("__taken") - (i - 1) * F.col("__size")))))
-    spaced = F.regexp_extract_all("text", F.lit(r"[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+"), F.lit(0))
-    first = F.array_join(F.slice(spaced, F.lit(1), F.col("__left").cast("int")), "")
-    text = F.when(F.col("__left") == F.col("__size"), F.col("text")).otherwise(first)
-    cut = rows.withColumn("__text", text)
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return cut.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
-
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    numbered = written(documents.select(whole.alias("row"), F.monotonically_increasing_id().alias("number")), "mix-documents")
+    _, pieces = mixed_pieces(numbered.select(F.col("number").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text")))
+    times = pieces.groupBy(F.col("doc_id").alias("number"), "epoch", "size").agg(F.sum("length").alias("left"), F.min(F.struct("slot", "rank", "at")).alias("place"))
+    rows = numbered.join(times, "number")
+    spaced = F.regexp_extract_all(F.col("row.text"), F.lit(r"[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+"), F.lit(0))
+    first = F.array_join(F.slice(spaced, F.lit(1), F.col("left").cast("int")), "")
+    ordered = rows.withColumn("cut", F.when(F.col("left") == F.col("size"), F.col("row.text")).otherwise(first)).repartitionByRange("place").sortWithinPartitions("place")
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return ordered.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source
+), o AS (SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST) AS k FROM s),
+f AS (
+  SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains,
+         sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM o
+), g AS (SELECT *, min(k) FILTER (remains * weight / weights::DOUBLE <= 3 * source_size) OVER () AS open_from FROM f),
+h AS (SELECT * FROM g WHERE k = open_from),
+t AS (
+  SELECT g.source, g.source_size, CASE WHEN g.k < g.open_from THEN 3 * g.source_size ELSE h.remains * g.weight / h.weights::DOUBLE END::DOUBLE AS target FROM g, h
+), u AS (SELECT *, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS take FROM t),
+p AS (
+  SELECT d.*, source_size, target, take,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+)
+SELECT doc_id, size, source_size, target,
+  (greatest(least(take - pos, size), 0) + greatest(least(take - pos - source_size, size), 0) + greatest(least(take - pos - 2 * source_size, size), 0))::BIGINT AS taken
+FROM p
+"""

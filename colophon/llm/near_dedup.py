@@ -7,12 +7,16 @@ HASHES minima of multiply-add hashes make a signature, BANDS bands of it the buc
 
 No bucket is expanded into all pairs. First every member of a bucket is compared with the bucket's smallest;
 signatures that agree in SIGNATURE_LEAST of HASHES (over five standard deviations below 0.75) make a sketch link.
-Buckets whose members are not all connected yet are then compared in blocks: a cell holds two blocks of
-bounded size, compares what is not connected, and passes on only links that connect something, so its
-output is no larger than its input. The components of sketch links are families, outside of which no two texts
-can be similar. The sketch links are confirmed on full sets; families that fall apart are compared in
-blocks once more, this time on full sets. A group of thousands of near copies thus costs about its size,
-and every candidate pair that could connect two components is checked.
+In large buckets whose members are not all connected yet, some more pivots, of components of their own, meet all others,
+for a few rounds. What is still apart is compared in blocks: a cell holds two blocks of bounded size, compares what
+is not connected, and passes on only links that connect something, so its output is no larger than its input. The
+components of sketch links are families, outside of which no two texts can be similar. The sketch links are
+confirmed on full sets; families that fall apart are compared once more in the same way, this time on full sets.
+A group of thousands of near copies thus costs about its size; only members of a bucket that no pivot connects meet in
+blocks, each block of them with each. Every candidate pair that could connect two components is checked.
+
+Joins on a bucket, family or node may have skewed keys. Both sides are plain shuffles of written tables and nothing
+above the join asks for the rows of a key together, so adaptive execution splits what is skewed.
 
 Defined results: null or empty texts, and texts without words, have 0 shingles and link with nothing; fewer
 than SHINGLE words are one shingle; rows with equal doc_id count as one document; rows without a doc_id
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import written
+from colophon.llm.common import slices, written
 from colophon.llm.components import connected_components
 from colophon.llm.word_cache import WordCache, worker_cache
 
@@ -37,9 +41,14 @@ SHINGLE, HASHES, BANDS, SEED = 5, 128, 32, 20240229
 PERCENT = 75
 SIGNATURE_LEAST = 70
 #: Size of a block: so many signatures, or shingles of full sets.
-BLOCK_NODES, BLOCK_SHINGLES = 256, 50_000
-#: Up to so many ids (8 bytes each, counted before) are broadcast to pick texts; more are joined by a shuffle.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 100_000
+#: Groups of more blocks than this get PIVOTS pivots in each of up to PIVOT_ROUNDS rounds before blocks meet.
+LARGE_BLOCKS, PIVOTS, PIVOT_ROUNDS = 2, 8, 3
+#: Up to so many rows of id and key (about 100 bytes each, counted before: 20 MB at most) are broadcast to pick
+#: texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Words whose hashes a worker keeps, in each of two generations.
+CACHED_WORDS = 60_000
 _MIX, _FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -47,7 +56,7 @@ def _cache() -> WordCache:
     def make() -> WordCache:
         import xxhash
 
-        return WordCache(xxhash.xxh3_64_intdigest, limit=150_000)
+        return WordCache(xxhash.xxh3_64_intdigest, limit=CACHED_WORDS)
 
     return worker_cache("shingles", make)
 
@@ -86,14 +95,6 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
     return (least >> np.uint64(32)).astype("<u4")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in small parts: few texts, signatures or sets are Python objects at a time."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-    pa.default_memory_pool().release_unused()
-
-
 def _sketched(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the whole set) and sig of every document."""
 
@@ -101,7 +102,7 @@ def _sketched(documents: DataFrame) -> DataFrame:
         import xxhash
 
         family = _family()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             counts, keys, sigs = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 counts.append(len(s))
@@ -121,7 +122,7 @@ def _bands(classes: DataFrame) -> DataFrame:
     rows = HASHES // BANDS
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 1024):
+        for batch in slices(batches, 1024):
             m = batch.num_rows
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(m, BANDS, rows).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (m, BANDS)).copy()
@@ -151,7 +152,7 @@ def _sketch_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs(a, b) whose signatures agree enough."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 1024):
+        for batch in slices(batches, 1024):
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((a == b).sum(1) >= SIGNATURE_LEAST))
 
@@ -162,7 +163,7 @@ def _set_links(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs(a, b) whose sets are similar enough."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -178,7 +179,7 @@ def _full_sets(nodes: DataFrame, classes: DataFrame, documents: DataFrame) -> Da
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
             right = [xxhash.xxh3_128_digest(s) == k for s, k in zip(found, batch.column(2).to_pylist(), strict=True)]
             sizes = pa.array([len(s) // 8 for s in found], pa.int64())
@@ -247,16 +248,50 @@ def _connecting(components_l: np.ndarray, components_r: np.ndarray, similar: np.
     return out
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """of, main, all_w and rest_w of each group that isn't connected: its largest component, its size, and the others' size."""
+    sizes = rows.groupBy("g", "component").agg(F.sum("w").alias("cw")).groupBy("g")
+    groups = sizes.agg(F.sum("cw").alias("all_w"), F.max(F.struct("cw", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    return written(groups.select(F.col("g").alias("of"), F.col("top.component").alias("main"), "all_w", (F.col("all_w") - F.col("top.cw")).alias("rest_w")), "near-groups")
+
+
+def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the components that the links between nodes give."""
+    found = _components_of(links).toDF("node", "label")
+    return written(rows.drop("component").join(found, "node", "left").select("g", "node", F.coalesce("label", "node").alias("component"), "w"), "near-labels")
+
+
+def _pivot_links(rows: DataFrame, links: DataFrame, per_block: int, confirmed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(links, rows) after rounds in which pivots of large groups meet all nodes of other components.
+
+    A round makes PIVOTS pairs a node at most. It ends when no group is large, or when a round connects nothing.
+    """
+    for turn in range(PIVOT_ROUNDS):
+        groups = _groups(rows)
+        large = groups.filter(F.col("rest_w") > LARGE_BLOCKS * per_block).select(F.col("of").alias("g"), "main")
+        if large.isEmpty():
+            break
+        apart = written(rows.join(large, "g").filter("component <> main OR node = component").select("g", "node", "component"), "near-apart")
+        some = [F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("component", F.lit(PIVOTS * turn + k)), F.col("node"))).alias(f"p{k}") for k in range(PIVOTS)]
+        pivots = written(apart.groupBy("g").agg(*some).select("g", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p")), "near-pivots")
+        met = rows.select("g", "node", "component").join(pivots.select("g", F.col("p.node").alias("a"), F.col("p.component").alias("of")), "g")
+        pairs = written(met.filter("component <> of").select("a", F.col("node").alias("b")).distinct(), "near-pairs")
+        more = written(confirmed(pairs), "near-pivot-links")
+        if more.isEmpty():
+            break
+        links = written(links.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "near-links")
+        rows = _relabelled(rows, links)
+    return links, rows
+
+
 def _block_links(rows: DataFrame, payload: DataFrame, per_block: int, similar: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
     """Links(a, b) that connect the components inside each group, by comparing blocks of its nodes.
 
     rows: g, node, component, w (what a node adds to a block's size). payload: node, data. All nodes of a group
     but those of its largest component meet all others; a cell is one block of each side.
     """
-    sizes = rows.groupBy("g", "component").agg(F.sum("w").alias("cw")).groupBy("g")
-    groups = sizes.agg(F.sum("cw").alias("all_w"), F.max(F.struct("cw", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = lambda w: F.ceil(w / per_block).cast("int")
-    shaped = groups.select(F.col("g").alias("of"), F.col("top.component").alias("main"), blocks(F.col("all_w")).alias("nb"), blocks(F.col("all_w") - F.col("top.cw")).alias("mb"))
+    shaped = written(_groups(rows).select("of", "main", blocks(F.col("all_w")).alias("nb"), blocks(F.col("rest_w")).alias("mb")), "near-shapes")
     dealt = rows.join(shaped, F.col("g") == F.col("of"))
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -280,7 +315,7 @@ def _block_links(rows: DataFrame, payload: DataFrame, per_block: int, similar: C
         def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             out: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
@@ -306,8 +341,9 @@ def near_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     alike = (F.col("n") * 100 >= F.col("pivot_n") * PERCENT) & (F.col("pivot_n") * 100 >= F.col("n") * PERCENT)
     first = rows.filter(alike & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     sketch = written(_sketch_links(first, classes), "near-sketch-links")
-    labelled = rows.join(_components_of(sketch), "node", "left").select(F.col("bucket").alias("g"), "node", F.coalesce("component", "node").alias("component"), F.lit(1).alias("w"))
+    labelled = rows.join(_components_of(sketch), "node", "left").select(F.col("bucket").alias("g"), "node", F.coalesce("component", "node").alias("component"), F.lit(1).cast("long").alias("w"))
     labelled = written(labelled, "near-buckets")
+    sketch, labelled = _pivot_links(labelled, sketch, BLOCK_NODES, lambda pairs: _sketch_links(pairs, classes))
     more = _block_links(labelled, classes.select("node", F.col("sig").alias("data")), BLOCK_NODES, _similar_signatures)
     sketch = written(sketch.union(more), "near-sketch-links")
     families = written(_components_of(sketch).toDF("node", "g"), "near-families")
@@ -315,6 +351,7 @@ def near_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     links = written(_set_links(sketch, full), "near-links")
     parts = full.join(families, "node").join(_components_of(links), "node", "left")
     parts = written(parts.select("g", "node", F.coalesce("component", "node").alias("component"), F.col("n").alias("w")), "near-parts")
+    links, parts = _pivot_links(parts, links, BLOCK_SHINGLES, lambda pairs: _set_links(pairs, full))
     rest = _block_links(parts, full.select("node", F.col("shingles").alias("data")), BLOCK_SHINGLES, _similar_sets)
     return written(links.union(rest), "near-links")
 
@@ -343,12 +380,33 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
     Rows are told apart by number, so missing and repeated ids hide neither copies nor different texts. Texts
     without words link with nothing; of such rows with one doc_id one stays.
     """
-    numbered = written(documents.select("*", F.monotonically_increasing_id().alias("__row_id")), "near-documents")
-    near = near_components(numbered.select(F.col("__row_id").alias("doc_id"), "text"))
-    groups = near.select(F.col("doc_id").alias("__row_id"), "component_id", (F.col("n_shingles") == 0).alias("wordless"))
-    ids = numbered.select("__row_id", F.col("doc_id").alias("id"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    numbered = written(documents.select(whole.alias("row"), F.monotonically_increasing_id().alias("number")), "near-documents")
+    near = near_components(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    groups = near.select(F.col("doc_id").alias("number"), "component_id", (F.col("n_shingles") == 0).alias("wordless"))
+    ids = numbered.select("number", F.col("row.doc_id").alias("id"))
     own = F.when(F.col("wordless") & F.col("id").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("id").cast("long").alias("key")))
     group = F.coalesce(own, F.struct(F.lit(0).alias("kind"), F.col("component_id").alias("key")))
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__row_id")).alias("first")
-    kept = groups.join(ids, "__row_id").groupBy(group.alias("group")).agg(first).select(F.col("first.__row_id").alias("__row_id"))
-    return numbered.join(kept, "__row_id", "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "number")).alias("first")
+    kept = groups.join(ids, "number").groupBy(group.alias("group")).agg(first).select(F.col("first.number").alias("number"))
+    return numbered.join(kept, "number", "left_semi").select(*[F.col("row")[c].alias(c) for c in documents.columns])
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT row, doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT row, count(*) AS n FROM g GROUP BY row),
+-- rows of one set are linked to the least of them; pairs are counted between those only
+k AS (SELECT g.row, any_value(doc_id) AS doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM g GROUP BY g.row),
+c AS (SELECT k, min(doc_id) AS doc_id, min(row) AS row FROM k WHERE doc_id IS NOT NULL GROUP BY k),
+h AS (SELECT c.row, c.doc_id, g.s, n.n FROM c JOIN g ON g.row = c.row JOIN n ON n.row = c.row),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM h x JOIN h y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY x.row, y.row, x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), r AS (SELECT doc_id AS a, doc_id AS z FROM c UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.z),
+m AS (SELECT a, min(z) AS z FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.z, d.doc_id) AS component_id, coalesce(m.z, d.doc_id) IS NOT DISTINCT FROM d.doc_id AS kept
+FROM d LEFT JOIN n ON n.row = d.row LEFT JOIN k ON k.row = d.row LEFT JOIN c ON c.k = k.k LEFT JOIN m ON m.a = c.doc_id
+"""

@@ -4,12 +4,13 @@ A document's tokens are cut into whole sequences of LENGTH tokens, a main part o
 tokens) and a crumb of less than a unit. The histogram of main parts over their 31 lengths is the demand
 of a cutting-stock problem: a linear program over patterns (how many parts of each length fill one
 sequence), whose columns are generated by a knapsack dynamic program on the dual prices. Patterns are
-rounded down and assigned to the documents of each length by rank. Crumbs, and main parts that no whole
+rounded down and assigned to the documents of each length by rank, which follows the order of the table's files and
+rows, so that documents that come mixed are packed mixed. Crumbs, and main parts that no whole
 pattern takes, are laid end to end and cut every LENGTH tokens; the last of these sequences is cut into
 powers of two. So no sequence needs padding, whatever the lengths are.
 
-The driver sees the histogram (at most 31 rows) only. Ranks and running totals come from bucket sums, a
-document's place is a closed form of them, and token ids are written once and joined once by row number.
+The driver sees the histogram (at most LENGTH / UNIT rows) only. Ranks and running totals come from sums over chunks of
+CHUNK rows, a document's place is a closed form of them, and token ids are written once and joined once by row number.
 
 Defined results: a null text is empty and has the closing id alone; equal rows (equal doc_id, too) are
 packed each; very long texts give many whole sequences; an empty table gives an empty table.
@@ -17,21 +18,25 @@ packed each; very long texts give many whole sequences; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import buckets_of, written
+from colophon.llm.common import buckets_of, slices, written
 from colophon.llm.word_cache import WordCache, worker_cache
 
-LENGTH, UNIT, CLOSING_ID = 4096, 128, 2
+LENGTH, UNIT, CLOSING_ID = 4096, 64, 2
 UNITS = LENGTH // UNIT
-BUCKETS = 2048
+CHUNK = 65536
+#: Words whose ids a worker keeps, in each of two generations.
+CACHED_WORDS = 150_000
 #: What a unit costs outside of patterns, against 1 / UNITS inside a full one.
 LOOSE_COST = 1.02
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part string"
@@ -96,45 +101,67 @@ def cutting_patterns(demand: list[int], units: int = UNITS) -> list[tuple[list[i
     return found
 
 
+def _placed_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, text, file and row: where a document stands in its table's files; of other frames, in its partition."""
+    columns = ["doc_id", F.col("text").cast("binary").alias("text")]
+    try:
+        return documents.select(*columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # not read from files
+        number = F.monotonically_increasing_id()
+        return documents.select(*columns, F.lpad(F.shiftright(number, 33).cast("string"), 10, "0").alias("file"), number.bitwiseAND((1 << 33) - 1).alias("row"))
+
+
 def token_table(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """row_id, doc_id, n and ids (16 or 32-bit little-endian) of every document, written to shared storage."""
+    """row_id, doc_id, n, ids (16 or 32-bit little-endian), file and row of every document, written to shared storage."""
     wide = _wide(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(vocabulary, wide)
-        end = np.array([CLOSING_ID], "<u4" if wide else "<u2").tobytes()
-        for batch in batches:
-            ids = []
-            for t in batch.column(1).to_pylist():
-                text = t or b""
-                plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
-                ids.append(b"".join(map(cache.__getitem__, (text.lower() if plain else text).split())) + end)
-                cache.turn()
-            counts = pa.array([len(x) // len(end) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+        encoder = _encoder(vocabulary, wide)
+        for batch in slices(batches):
+            ids = [encoder(t or b"") for t in batch.column(1).to_pylist()]
+            counts = pa.array([len(x) // (4 if wide else 2) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "n", "ids", "file", "row"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    encoded = rows.mapInArrow(encode, f"doc_id {kind}, n long, ids binary")
+    encoded = _placed_rows(documents).mapInArrow(encode, f"doc_id {kind}, n long, ids binary, file string, row long")
     return written(encoded.withColumn("row_id", F.monotonically_increasing_id()), "pack-tokens")
 
 
+def _description(vocabulary: str) -> dict:
+    with open(vocabulary, encoding="utf-8") as f:
+        return json.load(f)
+
+
 def _wide(vocabulary: str) -> bool:
-    from tokenizers import Tokenizer
+    d = _description(vocabulary)
+    return max([*d["model"]["vocab"].values(), *(t["id"] for t in d.get("added_tokens", []))], default=0) >= 65536
+
+
+#: How the vocabulary treats text, as its file states it: fixed values, by which `_bare` knows it.
+DROPS_SPACE = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
-    return Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) > 65536
 
+def _bare(d: dict) -> bool:
+    """True if the vocabulary composes, joins spaces and lower-cases, keeps runs of letters, single digits and runs of other marks, and
+    works on their UTF-8 bytes written as letters: then words can be encoded one by one, as `_encoder` does."""
+    steps = (d.get("normalizer") or {}).get("normalizers") or []
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    parts = (d.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    normal = [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1] == spaces
+    split = len(parts) == 2 and parts[0] == DROPS_SPACE and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex", True)
+    plain = all(t["content"].startswith("<|") and t["content"].endswith("|>") and t["special"] for t in d.get("added_tokens", []))
+    return normal and split and plain and d["model"].get("type") == "BPE" and not d["model"].get("ignore_merges")
 
-def _cache(vocabulary: str, wide: bool) -> WordCache:
-    """A cache that encodes words one by one.
 
-    The vocabulary's normalisation drops white space and lower-cases, its pre-tokenization parts letters
-    from marks, and it works on UTF-8 bytes written as letters. So a word of lower-case Latin letters goes
-    to the merges as it is, one of letters and a last full stop or comma is the two together, and any other goes through
-    the whole tokenizer. Texts are lower-cased (ASCII) before, unless they hold what may be a special token or
-    a combining mark, with which the order of the steps could matter.
+def _encoder(vocabulary: str, wide: bool) -> Callable[[bytes], bytes]:
+    """Encodes a text, the closing id included.
+
+    Of a vocabulary as `_bare` describes it, words are encoded one by one and kept. A word of lower-case Latin letters
+    goes to the merges as it is, one of letters and a last full stop or comma is the two together, and any other goes
+    through the whole tokenizer. Texts are lower-cased (ASCII) before, unless they hold what may be a special token or
+    a combining mark, with which the order of the steps could matter. Of another vocabulary whole texts are encoded.
     """
-    def make() -> WordCache:
+    def make() -> Callable[[bytes], bytes]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -142,42 +169,45 @@ def _cache(vocabulary: str, wide: bool) -> WordCache:
 
         tokenizer, kind = Tokenizer.from_file(vocabulary), "<u4" if wide else "<u2"
         merges, size, letters = tokenizer.model, 4 if wide else 2, re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+        end = CLOSING_ID.to_bytes(size, "little")
+
+        def whole(text: bytes) -> bytes:
+            return np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, kind).tobytes()
+
+        if not _bare(_description(vocabulary)):
+            return lambda text: whole(text) + end
         # byte-level vocabularies write the bytes of non-ASCII letters as the characters of the same number, or from 256 on
         shown = {b: 256 + b - 127 + 33 for b in range(127, 161)} | {173: 256 + 67}
-        bare = _bare_merges(tokenizer)
-
-        written_ids = [i.to_bytes(size, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
         def encode(word: bytes) -> bytes:
-            if bare and word.isalpha() and word.islower():
-                return b"".join([written_ids[t.id] for t in merges.tokenize(word.decode())])
+            if word.isalpha() and word.islower():
+                return b"".join([t.id.to_bytes(size, "little") for t in merges.tokenize(word.decode())])
             w = word.decode("utf-8", "replace")
-            if bare and letters.fullmatch(w):
-                return b"".join([written_ids[t.id] for t in merges.tokenize(word.decode("latin-1").translate(shown))])
-            if bare and w[-1] in ".," and letters.fullmatch(w, 0, len(w) - 1):
+            if letters.fullmatch(w):
+                return b"".join([t.id.to_bytes(size, "little") for t in merges.tokenize(word.decode("latin-1").translate(shown))])
+            if w[-1] in ".," and letters.fullmatch(w, 0, len(w) - 1):
                 return cache[word[:-1]] + cache[word[-1:]]
-            return np.array(tokenizer.encode(w, add_special_tokens=False).ids, kind).tobytes()
+            return whole(word)
 
-        cache = WordCache(encode)
-        return cache
+        cache = WordCache(encode, limit=CACHED_WORDS)
+        known = cache.__getitem__
 
-    return worker_cache(vocabulary, make)
+        def by_words(text: bytes) -> bytes:
+            plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+            ids = b"".join(map(known, (text.lower() if plain else text).split())) + end
+            cache.turn()
+            return ids
 
+        return by_words
 
-def _bare_merges(tokenizer) -> bool:
-    """True if a few words show that this vocabulary treats words as `_cache` says."""
-    shown = {b: 256 + b - 127 + 33 for b in range(127, 161)} | {173: 256 + 67}
-    words = ["the", "lettres", "\u00e9t\u00e9", "stra\u00dfe", "ma\u00f1ana", "\u00fcber", "\u00e0", "\u00edo", "\u00f8\u00ff", "qzx"]
-    whole = lambda w: tokenizer.encode(w, add_special_tokens=False).ids
-    alone = lambda w: [t.id for t in tokenizer.model.tokenize(w.encode().decode("latin-1").translate(shown))]
-    return all(alone(w) == whole(w) and whole(w.upper() + ".") == whole(w) + whole(".") for w in words if w.upper().lower() == w)
+    return worker_cache(vocabulary, make)
 
 
 def place_parts(tokens: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """For each row_id: full_at, stream_at, seq and unit (null if its main part is loose); and the totals."""
     spark = tokens.sparkSession
     tail = F.col("n") % LENGTH
-    parts = tokens.select("row_id", "n", F.floor(tail / UNIT).cast("int").alias("q"))
+    parts = tokens.select("row_id", "n", F.struct("file", "row", "row_id").alias("at"), F.floor(tail / UNIT).cast("int").alias("q"))
     hist = {r["q"]: r for r in parts.groupBy("q").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / LENGTH)).alias("f"), F.sum(tail).alias("t")).collect()}
     patterns = cutting_patterns([hist[q]["c"] if q in hist else 0 for q in range(1, UNITS)])
     rows, given, seq = [], [0] * UNITS, 0
@@ -191,21 +221,23 @@ def place_parts(tokens: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         seq += times
     totals = {"full": int(sum(r["f"] for r in hist.values())), "patterns": seq, "stream": int(sum(r["t"] for r in hist.values())) - seq * LENGTH}
     plan = spark.createDataFrame(rows, "pq int, low long, high long, k long, seq0 long, unit0 long")
-    bucket = F.pmod(F.xxhash64("row_id"), BUCKETS)
-    ranked = buckets_of(parts.withColumn("__order", F.col("row_id")), bucket, ["q"], {"rank": F.lit(1).cast("long")})
+    chunk = F.struct(F.col("at.file").alias("file"), F.shiftright("at.row", CHUNK.bit_length() - 1).alias("chunk"))
+    ranked = buckets_of(parts.withColumn("__order", F.col("at")), chunk, ["q"], {"rank": F.lit(1).cast("long")}).drop("__order")
     mine = (F.col("q") == F.col("pq")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    at = F.col("rank") - F.col("low")
+    nth = F.col("rank") - F.col("low")
+    # the plan has a row for each pattern and length: UNITS squared at most
     main = ranked.join(F.broadcast(plan), mine, "left").select(
         "row_id",
         "n",
-        (F.col("seq0") + F.floor(at / F.col("k"))).cast("long").alias("seq"),
-        (F.col("unit0") + (at % F.col("k")) * F.col("q")).cast("long").alias("unit"),
+        "at",
+        (F.col("seq0") + F.floor(nth / F.col("k"))).cast("long").alias("seq"),
+        (F.col("unit0") + (nth % F.col("k")) * F.col("q")).cast("long").alias("unit"),
     )
     loose = F.when(F.col("seq").isNull(), tail).otherwise(tail % UNIT)
     placed = buckets_of(
-        main.withColumn("__order", F.col("row_id")), bucket, [], {"full_at": F.floor(F.col("n") / LENGTH).cast("long"), "stream_at": loose.cast("long")}
+        main.withColumn("__order", F.col("at")), chunk, [], {"full_at": F.floor(F.col("n") / LENGTH).cast("long"), "stream_at": loose.cast("long")}
     )
-    return placed.drop("__order", "n"), totals
+    return placed.drop("__order", "at", "n"), totals
 
 
 def stream_cuts(at: int, length: int, total: int) -> Iterator[tuple[int, int, int]]:
@@ -247,7 +279,7 @@ def pack_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "row_id"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for row_id, doc_id, n, ids, full_at, stream_at, seq, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pieces, whole = [], n // LENGTH

@@ -71,7 +71,10 @@ QUERIES = {
 }
 ORACLES = {
     "op2_resolve_revisits": warc_revisits.ORACLE,
+    "op4_assign_shards": sharding.ORACLE,
     "op5_line_quality": line_rules.ORACLE,
+    "op7_near_duplicates": near_dedup.ORACLE,
     "op8_top_k": top_k.ORACLE,
+    "op9_mix_sources": mixing.ORACLE,
     "op10_format_conversations": reply_trees.ORACLE,
 }

@@ -155,15 +155,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def with_control_case(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """The turns and conversation -1, whose texts hold the template's own control strings."""
+    """The turns and the control case, conversation -1, whose texts hold the template's own control strings.
+
+    conv_id becomes (conv_id, control): a conversation -1 of the table stays one of its own.
+    """
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
-        F.lit(-1).cast("long").alias("conv_id"),
+        F.lit(-1).cast(turns.schema["conv_id"].dataType).alias("conv_id"),
         F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    return turns.select("conv_id", "turn", "role", "text").unionByName(extra)
+    named = lambda rows, control: rows.withColumn("conv_id", F.struct("conv_id", F.lit(control).alias("control")))
+    return named(turns.select("conv_id", "turn", "role", "text"), False).unionByName(named(extra, True))
 
 
 def conversation_digests(spark: SparkSession, turns: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def conversation_digests(spark: SparkSession, turns: DataFrame) -> DataFrame:
     read = read_back(format_trees(linear_messages(with_control_case(spark, turns))))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
-        "conv_id",
+        "conv_id.conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(every, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
@@ -182,9 +186,9 @@ def conversation_digests(spark: SparkSession, turns: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS control FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok', true
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', true
 ), e AS (
   SELECT *, len(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS long_text,
          len(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) AS long_role
@@ -195,5 +199,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(12 + long_role + 1 + long_text + 11)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, control
 """

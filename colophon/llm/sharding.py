@@ -7,8 +7,10 @@ checked greedily (fill a shard as long as the next group fits), and the order is
 The order is far too long for the driver, so the search sees it through blocks: ranges of the MD5, with
 their total sizes. Greedy cuts at block borders bound every true cut from both sides, and only blocks
 between the bounds are split further (PREFIX_STEP hex digits a pass) until they hold single groups. What
-reaches the driver is at most BLOCKS block sums, then those of the few blocks around 15 cuts. A document's
-shard follows from comparing its MD5 with the cuts: an expression, no join and no shuffle of texts.
+reaches the driver is the sums of 16 ** FIRST_PREFIX blocks (65,536) at most, then those of 16 ** PREFIX_STEP parts of each
+of the few blocks around the cuts. A document's shard follows from comparing its MD5 with the cuts: an expression, no join
+and no shuffle of texts. Slots follow the MD5 of the doc_id, whose leading digits part a shard into ranges of about
+SLOT_ROWS rows.
 
 Defined results: a null text has size 1 and CRC 0; repeated rows share a shard and get slots of their
 own; an empty table gives an empty table; a group larger than an even share gets a shard of its own and
@@ -18,6 +20,7 @@ sets the capacity.
 from __future__ import annotations
 
 import bisect
+import math
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from colophon.llm.common import written
 
 FIRST_PREFIX, PREFIX_STEP, DIGITS = 4, 2, 32
-SLOT_BUCKETS = 1024
+SLOT_ROWS = 50_000
 
 
 def greedy_cuts(ends: list[int], shards: int, capacity: int) -> list[int] | None:
@@ -117,8 +120,7 @@ def partition_cuts(groups: DataFrame, shards: int) -> list[str]:
 def assign_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null) of every document.
 
-    Slots count from 0 without gaps in each shard: documents are dealt into SLOT_BUCKETS buckets of their
-    doc_id's hash, bucket counts (at most shards * SLOT_BUCKETS rows, broadcast) give the starts.
+    Slots count from 0 without gaps in each shard, by the MD5 of the doc_id's text (null as empty), doc_id and text.
     """
     text = F.coalesce("text", F.lit(""))
     digests = written(
@@ -127,20 +129,21 @@ def assign_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.md5(text.cast("binary")).alias("key"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"),
         ),
         "shard-digests",
     )
     groups = written(digests.groupBy("key").agg(F.sum("size").alias("size")), "shard-groups")
     cuts = partition_cuts(groups, shards)
     shard = sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    placed = digests.select(
-        "doc_id", "size", "text_crc32", "key", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "key"), SLOT_BUCKETS).alias("bucket")
-    )
+    # 16 ** digits ranges of places: a shard may hold nearly all rows, if most are copies
+    digits = max(1, math.ceil(math.log(max(digests.count() / SLOT_ROWS, 1), 16)))
+    placed = digests.select("doc_id", "size", "text_crc32", "key", "place", shard.cast("int").alias("shard"), F.substring("place", 1, digits).alias("bucket"))
     counts = placed.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "key")
-    return placed.join(F.broadcast(starts), ["shard", "bucket"]).select(
+    inside = Window.partitionBy("shard", "bucket").orderBy("place", "doc_id", "key")
+    return placed.join(starts, ["shard", "bucket"]).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -149,3 +152,33 @@ def assign_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
         (F.col("start") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# DuckDB has no CRC-32: its table is made by the rule of the polynomial, and a text's bytes are read from its hexadecimal form.
+ORACLE = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS b, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+x AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, md5(coalesce(text, '')) AS key, md5(coalesce(doc_id::VARCHAR, '')) AS place, hex(encode(coalesce(text, ''))) AS h FROM documents
+), d AS (
+  SELECT doc_id, size, key, place, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32 FROM x, crc
+), g AS (SELECT key, sum(sum(size)) OVER (ORDER BY key)::BIGINT AS e FROM d GROUP BY key),
+n AS (SELECT max(e) AS total, greatest((max(e) + 15) // 16, (SELECT max(s) FROM (SELECT sum(size)::BIGINT AS s FROM d GROUP BY key))) AS least FROM g),
+-- binary search of the capacity: each step fills one more shard with the middle one, and a walk that ends halves the range
+w AS (
+  SELECT least AS lo, total AS hi, 0::BIGINT AS pos, 0 AS used, total FROM n
+  UNION ALL
+  SELECT CASE WHEN step < total AND used = 15 THEN (lo + hi) // 2 + 1 ELSE lo END, CASE WHEN step = total THEN (lo + hi) // 2 ELSE hi END,
+    CASE WHEN step = total OR used = 15 THEN 0 ELSE step END, CASE WHEN step = total OR used = 15 THEN 0 ELSE used + 1 END, total
+  FROM (SELECT w.*, (SELECT max(e) FROM g WHERE e <= w.pos + (w.lo + w.hi) // 2) AS step FROM w WHERE lo < hi)
+), c AS (SELECT max(lo) AS capacity FROM w WHERE lo = hi),
+cuts AS (
+  SELECT 0::BIGINT AS pos, 0 AS shard FROM n
+  UNION ALL SELECT (SELECT max(e) FROM g WHERE e <= cuts.pos + (SELECT capacity FROM c)), shard + 1 FROM cuts WHERE shard < 15 AND pos < (SELECT total FROM n)
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, d.key) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM d JOIN (SELECT key, (SELECT max(shard) FROM cuts WHERE pos < e) AS shard FROM g) s ON s.key = d.key
+"""

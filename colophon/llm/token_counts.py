@@ -9,9 +9,10 @@ whose pieces hold a space mark only at their start, and no newline, nothing merg
 (`splits_exactly` checks the model), so the counts add up to the library's own. A model that fails the
 check is applied to whole texts.
 
-The table comes from all documents: every task tallies its texts in a bounded summary and passes on its
-FREQUENT_PER_TASK most frequent pre-tokens, and the sums of those give the TABLE_SIZE entries. It affects
-speed only, never a count.
+The table is an index that affects speed only, never a count, and it is fitted on a bounded sample: SAMPLE_DOCUMENTS
+documents, chosen by a hash of their text from SAMPLE_FILES files spread evenly over the table (from all rows where the
+documents don't come from files). SAMPLE_TASKS tasks tally them; each passes on its TABLE_SIZE most frequent
+pre-tokens at most, which the driver adds up to the TABLE_SIZE entries.
 
 Defined results: a null text counts as empty and has 0 tokens; equal rows get equal counts; no
 truncation: very long texts are counted whole; an empty table gives an empty table.
@@ -23,14 +24,18 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colophon.llm.common import slices
 from colophon.llm.word_cache import WordCache, worker_cache
 
-FREQUENT_PER_TASK, TABLE_SIZE, TALLY_LIMIT = 4096, 32768, 200_000
+TABLE_SIZE, TALLY_LIMIT = 32768, 200_000
+SAMPLE_DOCUMENTS, SAMPLE_FILES, SAMPLE_TASKS = 20_000, 16, 16
 SPACE_MARK = "▁".encode()
 PRE_TOKEN = re.compile(rb"[ \n]+[^ \n]*")
 
@@ -51,27 +56,41 @@ def length_of(model) -> Callable[[bytes], int]:
     return lambda word: len(encode("a" + word.decode("utf-8", "replace"))) - lead
 
 
+def _sample(documents: DataFrame) -> DataFrame:
+    """About SAMPLE_DOCUMENTS texts. Only the chosen files are read: the filter on their names prunes the others."""
+    files = sorted(documents.inputFiles())
+    if len(files) > SAMPLE_FILES:
+        names = [files[i * len(files) // SAMPLE_FILES].rpartition("/")[2] for i in range(SAMPLE_FILES)]
+        try:
+            documents = documents.filter(F.col("_metadata.file_name").isin([unquote(n) for n in names]))
+        except AnalysisException:  # derived from files by more than a projection: all rows are sampled
+            pass
+    share = min(1.0, SAMPLE_DOCUMENTS / max(1, documents.count()))
+    texts = documents.select(F.col("text").cast("binary").alias("text"))
+    return texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).coalesce(SAMPLE_TASKS)
+
+
 def frequent_lengths(documents: DataFrame, model_path: str) -> dict[bytes, int]:
-    """The most frequent pre-tokens of the whole corpus and their numbers of tokens; at most TABLE_SIZE."""
+    """Frequent pre-tokens of the corpus and their numbers of tokens; at most TABLE_SIZE."""
     import sentencepiece
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(pre_tokens(text))
-                if len(seen) > TALLY_LIMIT:
-                    seen = Counter(dict(seen.most_common(TALLY_LIMIT // 2)))
-        best = [(w, n) for w, n in seen.most_common(FREQUENT_PER_TASK) if len(w) <= 64]
+            if len(seen) > TALLY_LIMIT:
+                seen = Counter(dict(seen.most_common(TALLY_LIMIT // 2)))
+        best = [(w, n) for w, n in seen.most_common(TABLE_SIZE) if n > 1 and len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
 
-    texts = documents.select(F.col("text").cast("binary").alias("text"))
-    top = texts.mapInArrow(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TABLE_SIZE)
-    words = [bytes(r["word"]) for r in top.collect()]
-    model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    length = length_of(model)
-    return {w: length(w) for w in words}
+    total: Counter = Counter()
+    for batch in _sample(documents).mapInArrow(tally, "word binary, n long").toArrow().to_batches():
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[word] += n
+    length = length_of(sentencepiece.SentencePieceProcessor(model_file=model_path))
+    return {w: length(w) for w, _ in total.most_common(TABLE_SIZE)}
 
 
 def count_tokens(documents: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
@@ -87,7 +106,7 @@ def count_tokens(documents: DataFrame, model_path: str, limit: int = 4096) -> Da
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         cache = worker_cache(key, lambda: WordCache(length_of(model), table.value))
         known = cache.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             counts: list[int] = []
             texts = batch.column(1).to_pylist()
             for t in texts:

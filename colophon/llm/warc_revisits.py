@@ -10,8 +10,9 @@ response of each span is a small table, a window over that gives what a span sta
 inside the span does the rest. So a URL with a third of all captures is dealt over many tasks.
 
 Defined results: a null url has no canonical form and is resolved to nothing ('no_response'); equal
-times order by record_id, and a response counts as earlier only if its (ts, record_id) is smaller; null times
-come first; null headers are empty; repeated records are resolved each; an empty table gives an empty table.
+times order by record_id, and a response counts as earlier only if its (ts, record_id) is smaller; null times and
+ids come first; null headers are empty; repeated records are resolved each, and of responses with one time and id the one
+whose headers sort last counts; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -66,11 +67,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     # rows without a URL have no earlier response; their record_id keeps them out of one large group
     key = F.coalesce("canonical", F.concat(F.lit("\x00"), F.col("record_id").cast("string")))
     spans = rows.withColumns({"response": response, "key": key, "span": F.floor(F.coalesce("ts", F.lit(reach["low"] or 0)) / width)})
-    order = F.struct("ts", "record_id")
+    order = F.struct("ts", "record_id", F.array_sort(F.map_entries("fields")).alias("entries"))
     last = spans.groupBy("key", "span").agg(F.max_by("response", F.when(F.col("response").isNotNull(), order)).alias("last"))
     before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     starts = last.select(F.col("key").alias("k"), F.col("span").alias("s"), F.last("last", ignorenulls=True).over(before).alias("carried"))
-    inside = Window.partitionBy("key", "span").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    # revisits come before responses of their own time and id, which are not earlier
+    inside = Window.partitionBy("key", "span").orderBy("ts", "record_id", F.desc("status"), F.array_sort(F.map_entries("fields"))).rowsBetween(Window.unboundedPreceding, -1)
     found = (
         spans.withColumn("inner", F.last("response", ignorenulls=True).over(inside))
         .filter("status = 304")
@@ -93,22 +95,21 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """A capture history of the pages: each is fetched at time page_id and revisited later.
+    """A capture history of the pages: each is fetched at time page_id and revisited at another.
 
     The response's ETag is the digest of the html. The revisit at page_id + 100 carries the same tag, or a
-    weak form of it, or none but a date, or a tag of another version, by page_id mod 4; pages whose id 7
-    divides have no full response of their own, so that theirs are found elsewhere or nowhere.
+    weak form of it, or none but a date, or a tag of another version, by page_id mod 4. Where 7 divides page_id the revisit
+    is at page_id - 1, before the page's own response: its response is that of an earlier page, or there is none.
     """
     tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
     date = F.concat(F.lit("day "), F.floor(F.col("page_id") / 10).cast("string"))
-    full = pages.filter("page_id % 7 <> 0 OR page_id IS NULL").select(
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    full = pages.select(
         (F.col("page_id") * 2).alias("record_id"),
         "url",
         F.col("page_id").alias("ts"),
         F.lit(200).alias("status"),
-        F.create_map(
-            F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Content-Length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60")
-        ).alias("headers"),
+        F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Content-Length"), size, F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
     )
     kind = F.pmod("page_id", F.lit(4))
     sent = F.when(kind == 0, tag).when(kind == 1, F.concat(F.lit("W/"), tag)).when(kind == 3, F.lit('"other"'))
@@ -116,7 +117,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     back = pages.select(
         (F.col("page_id") * 2 + 1).alias("record_id"),
         "url",
-        (F.col("page_id") + 100).alias("ts"),
+        (F.col("page_id") + F.when(F.col("page_id") % 7 == 0, -1).otherwise(100)).alias("ts"),
         F.lit(304).alias("status"),
         F.when(kind == 2, F.create_map(F.lit("last-modified"), date, *common)).otherwise(F.create_map(F.lit("etag"), sent, *common)).alias("headers"),
     )
@@ -141,18 +142,18 @@ WITH b AS (
     list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
       lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))) AS query FROM b
 ), c AS (SELECT *, place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical FROM u),
+v AS (SELECT *, row_number() OVER () AS row, CASE WHEN page_id % 7 = 0 THEN page_id - 1 ELSE page_id + 100 END AS back FROM c),
 j AS (
-  SELECT r.page_id * 2 + 1 AS revisit_id, r.canonical, f.page_id AS f_id, f.tag AS f_tag, r.tag AS r_tag, f.day AS f_day, r.day AS r_day, f.size, r.page_id,
-         row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC) AS n
-  FROM c r LEFT JOIN (SELECT * FROM c WHERE page_id % 7 <> 0) f
-    ON f.canonical = r.canonical AND (f.page_id < r.page_id + 100)
+  SELECT r.page_id * 2 + 1 AS revisit_id, r.canonical, f.row AS f_row, f.page_id AS f_id, f.tag AS f_tag, r.tag AS r_tag, f.day AS f_day, r.day AS r_day, f.size, r.page_id,
+         row_number() OVER (PARTITION BY r.row ORDER BY f.page_id DESC NULLS LAST, f.size::VARCHAR DESC, f.tag DESC) AS n
+  FROM v r LEFT JOIN v f ON f.canonical = r.canonical AND r.page_id IS NOT NULL AND (f.page_id IS NULL OR f.page_id < r.back OR (f.page_id = r.back AND f.page_id * 2 < r.page_id * 2 + 1))
 ), o AS (
-  SELECT *, CASE WHEN f_id IS NULL THEN 'no_response'
+  SELECT *, CASE WHEN f_row IS NULL THEN 'no_response'
     WHEN page_id % 4 IN (0, 1) AND f_tag = r_tag OR page_id % 4 = 2 AND f_day = r_day THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
   FROM j WHERE n = 1
 )
 SELECT revisit_id, canonical AS canonical_url, coalesce(f_id * 2, -1) AS response_id, outcome,
   CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=' || page_id || chr(10) || 'content-length=' || size || chr(10) || 'etag='
-    || CASE WHEN page_id % 4 = 1 THEN 'W/' ELSE '' END || '"' || f_tag || '"' || chr(10) || 'last-modified=day ' || f_day END AS merged
+    || CASE WHEN page_id % 4 = 1 THEN 'W/' ELSE '' END || '"' || f_tag || '"' || coalesce(chr(10) || 'last-modified=day ' || f_day, '') END AS merged
 FROM o
 """

@@ -91,14 +91,23 @@ def test_word_by_word_ids_equal_whole_texts():
     from tokenizers import Tokenizer
 
     path = Q.tokenizer_path("word_bpe_49k.json")
-    t, cache, rng = Tokenizer.from_file(path), packing._cache(path, False), random.Random(4)
+    assert packing._bare(packing._description(path))
+    t, encoder, rng = Tokenizer.from_file(path), packing._encoder(path, False), random.Random(4)
     letters = "abcdefgxyzABCÉéßüñØøÿÀŒœİıſǅΣς.,,'’!?-_0123456789#$ \n\t ́̌̇あ中🙂½ﬁ"
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 24)))
-        raw = text.encode()
-        plain = b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw
-        got = np.frombuffer(b"".join(map(cache.__getitem__, (raw.lower() if plain else raw).split())), "<u2").tolist()
-        assert got == t.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(encoder(text.encode()), "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, packing.CLOSING_ID], text
+
+
+def test_another_vocabulary_is_encoded_whole(spark, tmp_path):
+    """A vocabulary that keeps white space can't be encoded word by word: its file says so, and whole texts are encoded."""
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    assert not packing._bare(packing._description(path))
+    t, encoder = Tokenizer.from_file(path), packing._encoder(path, False)
+    text = "Two  words,\n and a\ttab."
+    assert np.frombuffer(encoder(text.encode()), "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, packing.CLOSING_ID]
 
 
 @pytest.mark.parametrize("seed", range(5))
