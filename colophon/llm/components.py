@@ -26,9 +26,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return across.union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _is_stars(edges: DataFrame) -> bool:
+    """True if no node has two edges to smaller nodes, or one to a smaller and one to a larger: neither step changes that."""
+    leaves = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    centres = edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    ends = leaves.union(centres).groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.filter("down + up > 1 AND down > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -36,15 +39,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Edges may be repeated or reversed; loops add nothing; no edges give an empty table.
     """
-    now = written(edges.select("u", "v").filter("u <> v").distinct(), "star")
-    mark = _mark(now)
-    while True:
-        before, now = now, written(_small_star(_large_star(now).distinct()).distinct(), "star")
-        new = _mark(now)
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "star")
+    while not _is_stars(now):
+        before, now = now, written(_small_star(_large_star(now)).distinct(), "star")
         discard(before)
-        if new == mark:
-            break
-        mark = new
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(centres)

@@ -255,33 +255,29 @@ def _groups(rows: DataFrame) -> DataFrame:
     return written(groups.select(F.col("g").alias("of"), F.col("top.component").alias("main"), "all_w", (F.col("all_w") - F.col("top.cw")).alias("rest_w")), "near-groups")
 
 
-def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with the components that the links between nodes give."""
-    found = _components_of(links).toDF("node", "label")
-    return written(rows.drop("component").join(found, "node", "left").select("g", "node", F.coalesce("label", "node").alias("component"), "w"), "near-labels")
+def _pivot_links(rows: DataFrame, found: DataFrame, links: DataFrame, per_block: int, confirmed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(components, links, rows) after rounds in which pivots of large groups meet all nodes of other components.
 
-
-def _pivot_links(rows: DataFrame, links: DataFrame, per_block: int, confirmed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(links, rows) after rounds in which pivots of large groups meet all nodes of other components.
-
-    A round makes PIVOTS pairs a node at most. It ends when no group is large, or when a round connects nothing.
+    found: the components of links. A round makes PIVOTS pairs a node at most. It ends when no group is large, or when a
+    round connects nothing.
     """
     for turn in range(PIVOT_ROUNDS):
-        groups = _groups(rows)
-        large = groups.filter(F.col("rest_w") > LARGE_BLOCKS * per_block).select(F.col("of").alias("g"), "main")
+        large = _groups(rows).filter(F.col("rest_w") > LARGE_BLOCKS * per_block).select(F.col("of").alias("g"), "main")
         if large.isEmpty():
             break
-        apart = written(rows.join(large, "g").filter("component <> main OR node = component").select("g", "node", "component"), "near-apart")
+        apart = rows.join(large, "g").filter("component <> main OR node = component").select("g", "node", "component")
         some = [F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("component", F.lit(PIVOTS * turn + k)), F.col("node"))).alias(f"p{k}") for k in range(PIVOTS)]
         pivots = written(apart.groupBy("g").agg(*some).select("g", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p")), "near-pivots")
         met = rows.select("g", "node", "component").join(pivots.select("g", F.col("p.node").alias("a"), F.col("p.component").alias("of")), "g")
         pairs = written(met.filter("component <> of").select("a", F.col("node").alias("b")).distinct(), "near-pairs")
-        more = written(confirmed(pairs), "near-pivot-links")
-        if more.isEmpty():
+        more = confirmed(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        now, links = _joined(found, links, more, "near-pivot-links")
+        if now is found:
             break
-        links = written(links.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "near-links")
-        rows = _relabelled(rows, links)
-    return links, rows
+        found = now
+        labels = found.toDF("node", "label")
+        rows = written(rows.drop("component").join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("component"), "w"), "near-labels")
+    return found, links, rows
 
 
 def _block_links(rows: DataFrame, payload: DataFrame, per_block: int, similar: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
@@ -333,27 +329,38 @@ def _components_of(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def near_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Confirmed links(a, b) between classes that connect whatever candidate pairs can connect."""
+def _joined(found: DataFrame, links: DataFrame, more: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(components, links) with some more links; found: the components of links."""
+    more = written(more, name)
+    if more.isEmpty():
+        return found, links
+    links = written(links.union(more), name)
+    return written(_components_of(links), "near-components"), links
+
+
+def linked_classes(classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """node and component of the classes that confirmed links connect to others."""
     rows = _bands(classes)
     least = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("y")).filter("p.node < y")
     rows = written(rows.join(least.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket"), "near-rows")
     alike = (F.col("n") * 100 >= F.col("pivot_n") * PERCENT) & (F.col("pivot_n") * 100 >= F.col("n") * PERCENT)
     first = rows.filter(alike & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     sketch = written(_sketch_links(first, classes), "near-sketch-links")
-    labelled = rows.join(_components_of(sketch), "node", "left").select(F.col("bucket").alias("g"), "node", F.coalesce("component", "node").alias("component"), F.lit(1).cast("long").alias("w"))
+    found = written(_components_of(sketch), "near-components")
+    labelled = rows.join(found, "node", "left").select(F.col("bucket").alias("g"), "node", F.coalesce("component", "node").alias("component"), F.lit(1).cast("long").alias("w"))
     labelled = written(labelled, "near-buckets")
-    sketch, labelled = _pivot_links(labelled, sketch, BLOCK_NODES, lambda pairs: _sketch_links(pairs, classes))
+    found, sketch, labelled = _pivot_links(labelled, found, sketch, BLOCK_NODES, lambda pairs: _sketch_links(pairs, classes))
     more = _block_links(labelled, classes.select("node", F.col("sig").alias("data")), BLOCK_NODES, _similar_signatures)
-    sketch = written(sketch.union(more), "near-sketch-links")
-    families = written(_components_of(sketch).toDF("node", "g"), "near-families")
+    families, sketch = _joined(found, sketch, more, "near-sketch-links")
+    families = families.toDF("node", "g")
     full = _full_sets(families.select("node"), classes, documents)
     links = written(_set_links(sketch, full), "near-links")
-    parts = full.join(families, "node").join(_components_of(links), "node", "left")
+    found = written(_components_of(links), "near-components")
+    parts = full.join(families, "node").join(found, "node", "left")
     parts = written(parts.select("g", "node", F.coalesce("component", "node").alias("component"), F.col("n").alias("w")), "near-parts")
-    links, parts = _pivot_links(parts, links, BLOCK_SHINGLES, lambda pairs: _set_links(pairs, full))
+    found, links, parts = _pivot_links(parts, found, links, BLOCK_SHINGLES, lambda pairs: _set_links(pairs, full))
     rest = _block_links(parts, full.select("node", F.col("shingles").alias("data")), BLOCK_SHINGLES, _similar_sets)
-    return written(links.union(rest), "near-links")
+    return _joined(found, links, rest, "near-links")[0]
 
 
 def near_components(documents: DataFrame) -> DataFrame:
@@ -363,8 +370,7 @@ def near_components(documents: DataFrame) -> DataFrame:
     some = docs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(some.groupBy("set_key").agg(least).select("set_key", F.col("c.doc_id").alias("node"), F.col("c.n_shingles").alias("n"), "c.sig"), "near-classes")
     # rows with one doc_id and different texts are classes that share a representative: one document
-    found = connected_components(near_links(classes, documents).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    of = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    of = classes.join(linked_classes(classes, documents), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     own = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     return (
         docs.select("doc_id", "n_shingles", "set_key")

@@ -368,7 +368,11 @@ def test_near_duplicates(spark, docs, texts):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_families_near_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("large", [2, 0])
+def test_families_near_the_threshold(spark, monkeypatch, large):
+    """Blocks of few members; without large groups, and with pivots for every group."""
+    monkeypatch.setattr(near_dedup, "LARGE_BLOCKS", large)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
     rng, rows = random.Random(5), []
     for _ in range(4):
         base = [f"w{rng.randrange(5000)}" for _ in range(120)]
