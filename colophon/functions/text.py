@@ -167,8 +167,9 @@ def variant_score(a: Column, b: Column, a_core: Column, b_core: Column) -> Colum
 
 
 def bytes_text(size: Column) -> Column:
-    """1536 as '1.5 KB': powers of 1024, one decimal beyond bytes."""
+    """1536 as '1.5 KB': powers of 1024, one decimal beyond bytes, halves up."""
     out = F.concat(size.cast("long").cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(size >= 1024**power, F.concat(F.format_number(size / 1024**power, 1), F.lit(f" {unit}"))).otherwise(out)
+        tenths = F.floor(size / 1024**power * 10 + 0.5) / 10
+        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", tenths)).otherwise(out)
     return out

@@ -14,6 +14,7 @@ PREVIEW = 2
 DIFF_FIELDS = ("size", "formats", "isbn", "metadata", "cover", "added", "rating", "tags", "series", "publisher", "languages", "translators", "collector", "sole", "book_type")
 KINDS = {"size": "bytes", "metadata": "score", "rating": "rating", "cover": "bool", "sole": "bool", "book_type": "enum"}
 BEST_FIELDS = ("size", "metadata", "formats", "rating", "tags", "cover")
+DIFF_LABELS = dict(zip(DIFF_FIELDS, ("体积", "格式", "ISBN", "元数据", "封面", "入库时间", "评分", "标签", "系列", "出版社", "语言", "译者", "收藏者", "私有", "书目类型"), strict=True))
 NONE_SHOWN = "—"
 # what a report tells of a member besides id, title, author, authors, size, formats, meta_score and missing
 MORE_FIELDS = ("added", "isbn", "isbn13", "isbn10", "comments_present", "tags", "series", "series_index", "publisher", "pubdate", "languages", "rating", "has_cover", "collector_id", "collector_name", "sole", "book_type", "translators")
@@ -197,7 +198,8 @@ def diff_fields(members: DataFrame) -> DataFrame:
 def diff_rows(members: DataFrame) -> DataFrame:
     """group_id, field, best_id and cells (by id) of the fields that differ."""
     cells = diff_cells(members).groupBy("group_id", "field").agg(F.array_sort(F.collect_list(F.struct("id", "kind", "shown"))).alias("cells"))
-    return diff_fields(members).filter("NOT shared").join(cells, ["group_id", "field"]).select("group_id", "field", "place", "best_id", "cells")
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in DIFF_LABELS.items() for x in pair]), F.col("field"))
+    return diff_fields(members).filter("NOT shared").join(cells, ["group_id", "field"]).select("group_id", "field", label.alias("label"), "place", "best_id", "cells")
 
 
 def diff_summary(members: DataFrame) -> DataFrame:
@@ -214,7 +216,10 @@ def build_report(members: DataFrame, pairs: DataFrame, rule: str = "metadata") -
     keep = keepers(members, rule)
     member = F.struct("id", "title", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("author"), "authors", "size", F.array_sort("formats").alias("formats"), "meta_score", "missing", *MORE_FIELDS)
     listed = members.groupBy("group_id").agg(F.array_sort(F.collect_list(member)).alias("entries"))
-    return group_summary(members, pairs).join(group_bytes(members, keep), "group_id").join(listed, "group_id")
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in M.CONFIDENCE_LABELS.items() for x in pair]), F.col("confidence"))
+    # no source tells of readers' data yet, so nothing is protected
+    more = {"confidence_label": label, "protected": F.array().cast("array<bigint>")}
+    return group_summary(members, pairs).join(group_bytes(members, keep), "group_id").join(listed, "group_id").withColumns(more)
 
 
 def report_summary(report: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -229,8 +234,14 @@ def report_summary(report: DataFrame, stats: DataFrame | None = None) -> DataFra
     )
     if stats is None:
         return totals
-    left_out = stats.select(F.col("skipped_serial").alias("serial_excluded"), F.col("skipped_cross_type").alias("cross_type_excluded"), "ignored_excluded", "ignored_stale")
-    return totals.crossJoin(left_out)
+    names = {"skipped_serial": "serial_excluded", "skipped_cross_type": "cross_type_excluded"}
+    left_out = stats.select(*[F.col(c).alias(names.get(c, c)) for c in stats.columns], F.lit(1).alias("one"))
+    return totals.withColumn("one", F.lit(1)).join(left_out, "one").drop("one")
+
+
+def report_header(summary: DataFrame, generated_at: str, scope_note: str = "") -> DataFrame:
+    """The summary with when and of what the report is."""
+    return summary.withColumns({"generated_at": F.lit(generated_at), "scope_note": F.lit(scope_note)})
 
 
 def index_preview(report: DataFrame) -> DataFrame:

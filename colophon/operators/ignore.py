@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions.metadata import signature
 
+MOST_GROUPS = 10_000
 ENTRY = "a bigint, b bigint, at string, a_title string, b_title string, a_sig string, b_sig string"
 
 
@@ -65,6 +66,24 @@ def add_ignored(entries: DataFrame, pairs: DataFrame, records: DataFrame, at: st
     return entries.unionByName(rows.select(*entries.columns))
 
 
+def ignore_groups(entries: DataFrame, report: DataFrame, gone: DataFrame, indexes: DataFrame, records: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(the list with all pairs of the groups at the indexes, one row of counts: added, groups, skipped).
+
+    Groups that are not in the report, or have fewer than two members left, are skipped; pairs never cross groups. More
+    than MOST_GROUPS indexes are refused.
+    """
+    asked = indexes.select("index").distinct()
+    if asked.count() > MOST_GROUPS:
+        raise ValueError("limit.exceeded")
+    each = report.join(asked, "index").select("group_id", F.explode("members").alias("id"))
+    live = each.join(gone.select("id").distinct(), "id", "left_anti")
+    enough = live.groupBy("group_id").agg(F.count("*").alias("n")).filter("n > 1")
+    new = add_ignored(entries, pairs_in(live.join(enough.select("group_id"), "group_id", "left_semi")), records, at)
+    one = lambda f, name: f.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
+    counts = one(new, "total").join(one(entries, "before"), "one").join(one(enough, "groups"), "one").join(one(asked, "asked"), "one")
+    return new, counts.select((F.col("total") - F.col("before")).alias("added"), "groups", (F.col("asked") - F.col("groups")).alias("skipped"))
+
+
 def remove_ignored(entries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """The list without the pairs; without any if none are named."""
     return entries.limit(0) if pairs is None else entries.join(canonical(pairs.select("a", "b")), ["a", "b"], "left_anti").select(*entries.columns)

@@ -46,6 +46,37 @@ def plan_errors(members: DataFrame, keeper_id: int, source_ids: list[int] | None
     return None
 
 
+def request_errors(requests: DataFrame, members: DataFrame, live: DataFrame) -> DataFrame:
+    """request and error: the first rule that each merge request breaks, null if none; what `plan_errors` says of one.
+
+    requests: request, group_id, keeper_id, source_ids (null: all others). members, live: group_id and id of the report's
+    members and of those that are left.
+    """
+    was = members.groupBy("group_id").agg(F.collect_set("id").alias("was"))
+    now = live.groupBy("group_id").agg(F.collect_set("id").alias("now"))
+    rows = requests.join(was, "group_id", "left").join(now, "group_id", "left")
+    inside = lambda c: F.coalesce(F.array_contains(c, F.col("keeper_id")), F.lit(False))
+    sources = F.col("source_ids")
+    error = (
+        F.when(F.coalesce(F.size("now"), F.lit(0)) < 2, "group.already_merged")
+        .when(~inside("was"), "keeper.not_in_group")
+        .when(~inside("now"), "keeper.missing")
+        .when(sources.isNotNull() & (F.size(sources) == 0), "merge.nothing")
+        .when(inside(sources), "source.is_keeper")
+        .when(sources.isNotNull() & (F.size(F.array_except(sources, "now")) > 0), "source.not_in_group")
+    )
+    return rows.select("request", error.alias("error"))
+
+
+def existence(ids: DataFrame, records: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """id and there: true, false, or null for an id that could not be read, which is not the same as gone."""
+    rows = ids.select("id").distinct().join(records.select("id", F.lit(True).alias("found")), "id", "left")
+    if unreadable is None:
+        return rows.select("id", F.coalesce("found", F.lit(False)).alias("there"))
+    unread = unreadable.select("id", F.lit(True).alias("unread")).distinct()
+    return rows.join(unread, "id", "left").select("id", F.when(F.col("unread").isNull(), F.coalesce("found", F.lit(False))).alias("there"))
+
+
 def merge_plan(members: DataFrame, keep: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """group_id, keeper_id, source_id, source_title, moved_formats, dropped_formats, size: a step for each source.
 
@@ -87,10 +118,10 @@ def step_status(steps: DataFrame, records: DataFrame, copied: DataFrame | None =
     return rows.select("source_id", "target_id", error.alias("error"), F.when(error.isNull() & (new == 0), "no_new_formats").alias("note"))
 
 
-def merge_outcome(status: DataFrame) -> DataFrame:
-    """One code for all steps: ok, or group.already_merged / merge.failed where every step failed."""
+def merge_outcome(status: DataFrame, *by: str) -> DataFrame:
+    """One code for all steps, or for each value of `by`: ok, or group.already_merged / merge.failed where every step failed."""
     missing, failed, n = F.count_if(F.col("error") == "merge.source_missing"), F.count("error"), F.count("*")
-    return status.agg(F.when(n == missing, "group.already_merged").when(n == failed, "merge.failed").otherwise("ok").alias("err"))
+    return status.groupBy(*by).agg(F.when(n == missing, "group.already_merged").when(n == failed, "merge.failed").otherwise("ok").alias("err"))
 
 
 def plan_totals(plan: DataFrame) -> DataFrame:
@@ -117,12 +148,17 @@ def apply_merge(records: DataFrame, plan: DataFrame, failed: DataFrame | None =
     return left.withColumn("formats", formats).select(*records.columns)
 
 
-def merge_ledger(plan: DataFrame, index: DataFrame, at: str) -> DataFrame:
-    """A ledger row for each merged group: index, keeper_id, removed_ids, removed and steps."""
-    step = F.struct("source_id", "source_title", "moved_formats", F.lit(True).alias("deleted"), F.lit(None).cast("string").alias("error"))
-    rows = plan.groupBy("group_id", "keeper_id").agg(
-        F.array_sort(F.collect_list("source_id")).alias("removed_ids"),
-        F.array_sort(F.collect_list(F.struct(F.col("source_id").alias("id"), F.col("source_title").alias("title")))).alias("removed"),
+def merge_ledger(plan: DataFrame, index: DataFrame, at: str, status: DataFrame | None = None) -> DataFrame:
+    """A ledger row for each merged group: index, keeper_id, removed_ids, removed and steps.
+
+    status(source_id, error): how the steps went; one with an error removes nothing.
+    """
+    told = plan.withColumn("error", F.lit(None).cast("string")) if status is None else plan.join(status.select("source_id", "error"), "source_id", "left")
+    done = F.col("error").isNull()
+    step = F.struct("source_id", "source_title", "moved_formats", done.alias("deleted"), "error")
+    rows = told.groupBy("group_id", "keeper_id").agg(
+        F.array_sort(F.collect_list(F.when(done, F.col("source_id")))).alias("removed_ids"),
+        F.array_sort(F.collect_list(F.when(done, F.struct(F.col("source_id").alias("id"), F.col("source_title").alias("title"))))).alias("removed"),
         F.array_sort(F.collect_list(step)).alias("steps"),
     )
     return rows.join(index.select("group_id", "index"), "group_id").withColumn("at", F.lit(at)).select("at", "index", "keeper_id", "removed_ids", "removed", "steps")

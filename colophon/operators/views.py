@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.operators.groups import PREVIEW
+from colophon.operators.groups import PREVIEW, diff_rows, diff_summary, keeper_reasons, keepers
 from colophon.operators.ignore import group_counts
 
 MOST_PAGE = 10_000
@@ -44,6 +44,23 @@ def visible_groups(report: DataFrame, gone: DataFrame, entries: DataFrame) -> Da
     return rows.withColumns(new).drop("live", "n", "k", "reclaim", "waste", "pairs", "ignored")
 
 
+def group_detail(report: DataFrame, gone: DataFrame, entries: DataFrame, rule: str | None = None, index: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups, rows): each group, or the one at an index, by the members that are left, and its difference table.
+
+    groups: group_id, index, members, member_count, ignored_pairs, keeper_id, rule, reasons, shared (fields that agree). With a rule,
+    or where members are gone, keeper and differences are those of the members that are left.
+    """
+    chosen = report if index is None else report.filter(F.col("index") == index)
+    each = chosen.select("group_id", "index", F.explode("entries").alias("e")).select("group_id", "index", "e.*")
+    live = each.join(gone.select("id").distinct(), "id", "left_anti")
+    keep, why = keepers(live, rule or "metadata"), keeper_reasons(live, rule or "metadata")
+    counts = group_counts(live.select("group_id", "id"), entries).select("group_id", F.col("ignored").alias("ignored_pairs"))
+    now = live.groupBy("group_id", "index").agg(F.array_sort(F.collect_list("id")).alias("members"), F.count("*").alias("member_count"))
+    shared = diff_summary(live).select("group_id", "shared")
+    groups = now.join(counts, "group_id").join(keep, "group_id").join(why.select("group_id", "reasons"), "group_id", "left").join(shared, "group_id", "left")
+    return groups, diff_rows(live)
+
+
 def by_confidence(report: DataFrame, wanted: str | None) -> DataFrame:
     """Groups of the tiers in a comma-separated list; all without one."""
     return report.filter(F.col("confidence").isin(*wanted.split(","))) if wanted else report

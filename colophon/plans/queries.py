@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from colophon.functions import text as T
 from colophon.operators import candidates as C
 from colophon.operators import groups as G
 from colophon.operators import ignore, ledger, views
-from colophon.operators.components import stage
+from colophon.operators.components import shared_home, stage
 from colophon.plans import oracle as O
 from colophon.plans.scan import Scan, run_scan
 from colophon.sources import catalog
@@ -42,12 +43,36 @@ def fixture(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFra
     return spark.range(1).select(F.explode(F.array(*[cells(r) for r in rows])).alias("r")).select("r.*")
 
 
+#: Results that several queries read, by what they were made of. A scan writes its report once and views read it; a
+#: table that changes (its size or time) is scanned anew.
+_KEPT: dict[tuple, object] = {}
+MOST_KEPT = 6
+
+
+def forget() -> None:
+    """The next query makes anew what others have made."""
+    _KEPT.clear()
+
+
+def _once(name: str, spark: SparkSession, sf_dir: str, make: Callable):
+    key: tuple = (name, spark.sparkContext.applicationId)
+    for t in ("documents", "labels"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        key += (str(path), files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime())
+    if key not in _KEPT:
+        while len(_KEPT) >= MOST_KEPT:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = make(spark, sf_dir)
+    return _KEPT[key]
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(catalog.prepare(catalog.document_catalog(spark, sf_dir)), "records")
+    return _once("prepared", spark, sf_dir, lambda spark, sf_dir: stage(catalog.prepare(catalog.document_catalog(spark, sf_dir)), "records"))
 
 
 def scan(spark: SparkSession, sf_dir: str) -> Scan:
-    return run_scan(catalog.document_catalog(spark, sf_dir))
+    return _once("scan", spark, sf_dir, lambda spark, sf_dir: run_scan(catalog.document_catalog(spark, sf_dir)))
 
 
 def mixed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +86,7 @@ def mixed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(catalog.prepare(mixed_catalog(spark, sf_dir)), "records")
+    return _once("mixed", spark, sf_dir, lambda spark, sf_dir: stage(catalog.prepare(mixed_catalog(spark, sf_dir)), "records"))
 
 
 MIXED_PAIRS = O.pairs_over(O.MIXED)
@@ -620,3 +645,168 @@ def retention(spark, sf_dir):
 def mixed_groups(spark, sf_dir):
     s = run_scan(mixed_catalog(spark, sf_dir))
     return s.report.select("index", "group_id", joined("members").alias("members"), joined("reasons").alias("reasons"), "rank", "max_similarity", "confidence")
+
+
+# ---- details, guards and lists
+
+
+@query(
+    O.over(
+        O.GROUPS.strip() + ", live AS (SELECT * FROM members WHERE id % 7 <> 0), " + CELLS.replace("FROM members", "FROM live"),
+        """, chosen AS (SELECT group_id, id AS keeper_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size DESC, meta_score DESC, len(formats) DESC, id) AS n FROM live) WHERE n = 1),
+        i AS (SELECT x.group_id, count(*) AS n FROM live x JOIN live y ON x.group_id = y.group_id AND x.id % 10 = 0 AND y.id = x.id + 20 GROUP BY x.group_id)
+        SELECT index, l.group_id, string_agg(id, ',' ORDER BY id) AS members, count(*) AS member_count, coalesce(any_value(i.n), 0) AS ignored_pairs, any_value(keeper_id) AS keeper_id, 'size' AS rule,
+          (SELECT coalesce(string_agg(field, ',' ORDER BY field), '') FROM fields f WHERE f.group_id = l.group_id AND f.shared) AS shared
+        FROM live l JOIN groups USING (group_id) JOIN chosen USING (group_id) LEFT JOIN i USING (group_id) GROUP BY index, l.group_id""",
+    )
+)
+def group_detail(spark, sf_dir):
+    s = scan(spark, sf_dir)
+    groups, _ = views.group_detail(s.report, s.records.filter(GONE).select("id"), dismissed(s.records), "size")
+    columns = ["index", "group_id", joined("members").alias("members"), "member_count", "ignored_pairs", "keeper_id", "rule"]
+    return groups.select(*columns, F.coalesce(joined(F.array_sort("shared")), F.lit("")).alias("shared"))
+
+
+@query(
+    O.over(
+        O.GROUPS.strip() + ", live AS (SELECT * FROM members WHERE id % 7 <> 0), " + CELLS.replace("FROM members", "FROM live"),
+        "SELECT group_id, field, coalesce(best_id, -1) AS best_id, (SELECT count(*) FROM live l WHERE l.group_id = f.group_id) AS n_cells FROM fields f WHERE NOT shared",
+    )
+)
+def group_detail_rows(spark, sf_dir):
+    s = scan(spark, sf_dir)
+    _, rows = views.group_detail(s.report, s.records.filter(GONE).select("id"), dismissed(s.records), "size")
+    return rows.select("group_id", "field", F.coalesce("best_id", F.lit(-1)).alias("best_id"), F.size("cells").cast("long").alias("n_cells"))
+
+
+@query(
+    O.over(
+        O.GROUPS,
+        """SELECT count(*) AS group_count, sum(member_count - 1)::BIGINT AS extra_copies, sum(reclaimable_bytes)::BIGINT AS reclaimable_bytes, sum(disk_waste_bytes)::BIGINT AS disk_waste_bytes,
+        count(*) FILTER (confidence = 'strong') AS strong_groups, count(*) FILTER (confidence = 'weak') AS weak_groups, (SELECT count(*) FROM tried WHERE NOT serial) AS comparisons, 0::BIGINT AS skipped_buckets,
+        0::BIGINT AS skipped_books, NULL::BIGINT AS max_bucket, (SELECT count(*) FROM tried WHERE serial) AS serial_excluded,
+        (SELECT count(*) FROM (SELECT DISTINCT a, b FROM matches WHERE NOT same_type)) AS cross_type_excluded, (SELECT count(*) FROM documents) AS scanned_books,
+        0::BIGINT AS ignored_excluded, 0::BIGINT AS ignored_stale, 0.85::DOUBLE AS threshold, 'now' AS generated_at, 'all' AS scope_note FROM report""",
+    )
+)
+def report_totals(spark, sf_dir):
+    s = scan(spark, sf_dir)
+    return G.report_header(G.report_summary(s.report, s.stats()), "now", "all")
+
+
+@query("SELECT 2::BIGINT AS missing, count(*) FILTER (doc_id % 5 = 3) + count(*) FILTER (doc_id % 5 = 1) AS no_format_path FROM documents")
+def load_notes(spark, sf_dir):
+    """Two ids that no record has; no files of MP3, nor of a second format."""
+    raw = catalog.document_catalog(spark, sf_dir)
+    wanted = raw.select("id").union(spark.range(-2, 0))
+    files = raw.select(F.col("id").alias("book"), F.get("formats", F.lit(0)).alias("format")).filter("format <> 'MP3'")
+    return catalog.load_notes(raw, wanted, files)
+
+
+BATCH = "x.group_id = y.group_id AND x.id < y.id AND NOT (x.id % 10 = 0 AND y.id = x.id + 20)"
+
+
+@query(
+    O.over(
+        O.GROUPS,
+        f""", live AS (SELECT m.* FROM members m JOIN groups USING (group_id) WHERE m.id % 7 <> 0 AND index IN (0, 1, 2, 5))
+        SELECT x.id AS a, y.id AS b, x.title AS a_title, y.title AS b_title FROM live x JOIN live y ON {BATCH}""",
+    )
+)
+def ignore_batch(spark, sf_dir):
+    """The pairs that dismissing the groups at 0, 1, 2, 5 and one that is not there adds to the list."""
+    s, indexes = scan(spark, sf_dir), spark.range(6).filter("id < 3 OR id = 5").union(spark.range(10**9, 10**9 + 1)).toDF("index")
+    entries = dismissed(s.records)
+    new, _ = ignore.ignore_groups(entries, s.report, s.records.filter(GONE).select("id"), indexes, s.records, "later")
+    return new.filter("at = 'later'").select("a", "b", "a_title", "b_title")
+
+
+@query(
+    O.over(
+        O.GROUPS,
+        f""", live AS (SELECT m.* FROM members m JOIN groups USING (group_id) WHERE m.id % 7 <> 0 AND index IN (0, 1, 2, 5)), n AS (SELECT group_id FROM live GROUP BY group_id HAVING count(*) > 1)
+        SELECT (SELECT count(*) FROM live x JOIN live y ON {BATCH}) AS added, (SELECT count(*) FROM n) AS groups, 5 - (SELECT count(*) FROM n) AS skipped""",
+    )
+)
+def ignore_batch_counts(spark, sf_dir):
+    s, indexes = scan(spark, sf_dir), spark.range(6).filter("id < 3 OR id = 5").union(spark.range(10**9, 10**9 + 1)).toDF("index")
+    return ignore.ignore_groups(dismissed(s.records), s.report, s.records.filter(GONE).select("id"), indexes, s.records, "later")[1]
+
+
+@query("SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20 WHERE x.doc_id % 10 = 0 AND x.doc_id % 30 <> 0")
+def unignore(spark, sf_dir):
+    entries = dismissed(catalog.document_catalog(spark, sf_dir))
+    undone = entries.filter("a % 30 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return ignore.remove_ignored(entries, undone).select("a", "b")
+
+
+@query(
+    O.over(
+        O.GROUPS,
+        """, live AS (SELECT group_id, id FROM members WHERE id % 7 <> 0),
+        n AS (SELECT g.group_id, (SELECT count(*) FROM live l WHERE l.group_id = g.group_id) AS n, keeper_id % 7 <> 0 AS k FROM kept g)
+        SELECT group_id * 8 + c AS request, CASE WHEN n < 2 THEN 'group.already_merged' WHEN c = 1 THEN 'keeper.not_in_group' WHEN NOT k THEN 'keeper.missing'
+          WHEN c = 2 THEN 'merge.nothing' WHEN c = 3 THEN 'source.is_keeper' WHEN c = 4 THEN 'source.not_in_group' END AS error FROM n, range(5) t(c)""",
+    )
+)
+def plan_guards(spark, sf_dir):
+    """Five requests for each group: as recommended; a keeper from elsewhere; no source; the keeper as source; a source from elsewhere."""
+    s = scan(spark, sf_dir)
+    none, far = F.lit(None).cast("array<bigint>"), F.lit(-7).cast("long")
+    sources = F.array(none, none, F.array().cast("array<bigint>"), F.array("keeper_id"), F.array(far))
+    keep = G.keepers(s.members)
+    requests = keep.select("group_id", "keeper_id", F.posexplode(sources).alias("c", "source_ids")).select(
+        (F.col("group_id") * 8 + F.col("c")).alias("request"), "group_id", F.when(F.col("c") == 1, far).otherwise(F.col("keeper_id")).alias("keeper_id"), "source_ids"
+    )
+    return ledger.request_errors(requests, s.members, s.members.filter("id % 7 <> 0"))
+
+
+STEPS = "steps AS (SELECT group_id, m.id AS source_id, keeper_id, title, CASE WHEN m.id % 7 = 0 THEN 'merge.source_missing' WHEN keeper_id % 7 = 0 THEN 'merge.target_missing' END AS error FROM members m JOIN kept USING (group_id) WHERE m.id <> keeper_id)"
+
+
+def _steps(s: Scan) -> tuple[DataFrame, DataFrame]:
+    plan = ledger.merge_plan(s.members, G.keepers(s.members))
+    steps = plan.select("source_id", F.col("keeper_id").alias("target_id"))
+    return plan, ledger.step_status(steps, s.records.filter("id % 7 <> 0")).join(plan.select("source_id", "group_id"), "source_id")
+
+
+@query(O.over(O.GROUPS.strip() + ", " + STEPS, "SELECT group_id, CASE WHEN count(*) = count(*) FILTER (error = 'merge.source_missing') THEN 'group.already_merged' WHEN count(*) = count(error) THEN 'merge.failed' ELSE 'ok' END AS err FROM steps GROUP BY group_id"))
+def merge_outcome(spark, sf_dir):
+    return ledger.merge_outcome(_steps(scan(spark, sf_dir))[1], "group_id")
+
+
+@query(O.over(O.GROUPS.strip() + ", " + STEPS, "SELECT index, source_id AS id, title, error FROM steps JOIN groups USING (group_id) WHERE error IS NOT NULL"))
+def failed_titles(spark, sf_dir):
+    s = scan(spark, sf_dir)
+    plan, status = _steps(s)
+    return ledger.failed_titles(ledger.merge_ledger(plan, s.report, "now", status))
+
+
+@query(O.over(O.GROUPS, "SELECT 'now|' || count(*) AS signature FROM report"))
+def report_signature(spark, sf_dir):
+    return views.report_signature(scan(spark, sf_dir).report, "now")
+
+
+@query(O.over(O.GROUPS, "SELECT 't1' AS task_id, 'now' AS generated_at, 'reports/1' AS path, count(*) AS group_count FROM report"))
+def latest_marker(spark, sf_dir):
+    """The pointer to the newest report, written and read back."""
+    home = f"{shared_home(spark)}/latest-{uuid.uuid4().hex}"
+    catalog.write_latest(spark, home, "t1", "now", "reports/1", scan(spark, sf_dir).report.count())
+    return catalog.latest_report(spark, home, "t1", "now")
+
+
+@query(
+    "SELECT doc_id AS id, CASE WHEN s >= 1024 ** 4 THEN printf('%.1f TB', floor(s / 1024 ** 4 * 10 + 0.5) / 10) WHEN s >= 1024 ** 3 THEN printf('%.1f GB', floor(s / 1024 ** 3 * 10 + 0.5) / 10) "
+    "WHEN s >= 1024 ** 2 THEN printf('%.1f MB', floor(s / 1024 ** 2 * 10 + 0.5) / 10) WHEN s >= 1024 THEN printf('%.1f KB', floor(s / 1024 * 10 + 0.5) / 10) ELSE s || ' B' END AS shown "
+    "FROM (SELECT doc_id, n_chars * n_chars * (doc_id % 3 + 1) AS s FROM documents)"
+)
+def size_labels(spark, sf_dir):
+    r = catalog.document_catalog(spark, sf_dir)
+    return r.select("id", T.bytes_text(F.col("size") * F.col("size") * (F.col("id") % 3 + 1)).alias("shown"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 7 <> 0 END AS there FROM documents")
+def record_existence(spark, sf_dir):
+    """Ids that 7 divides are gone, and those that 11 divides can't be read."""
+    r = catalog.document_catalog(spark, sf_dir)
+    return ledger.existence(r.select("id"), r.filter("id % 7 <> 0"), r.filter("id % 11 = 0").select("id"))

@@ -28,10 +28,11 @@ class Scan:
 
     def stats(self) -> DataFrame:
         """One row: what the scan compared and left out, dismissed pairs and stale dismissals included."""
-        counted = lambda f, name: f.agg(F.count("*").alias(name))
-        stats = candidates.scan_stats(self.records, self.threshold, self.max_bucket)
-        counts = stats.crossJoin(counted(self.records, "scanned_books")).crossJoin(counted(self.excluded, "ignored_excluded"))
-        return counts.crossJoin(counted(self.stale, "ignored_stale")).withColumn("threshold", F.lit(self.threshold))
+        counted = lambda f, name: f.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
+        stats = candidates.scan_stats(self.records, self.threshold, self.max_bucket).withColumn("one", F.lit(1))
+        for rows, name in ((self.records, "scanned_books"), (self.excluded, "ignored_excluded"), (self.stale, "ignored_stale")):
+            stats = stats.join(counted(rows, name), "one")
+        return stats.drop("one").withColumn("threshold", F.lit(self.threshold))
 
 
 def run_scan(

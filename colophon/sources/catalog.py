@@ -68,6 +68,20 @@ def load_records(raw: DataFrame, ids: DataFrame | None = None, most: int | None
     return rows if most is None else rows.orderBy("id").limit(most)
 
 
+def load_notes(raw: DataFrame, wanted: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """One row: missing (wanted ids without a record) and no_format_path (formats of records without a file).
+
+    wanted: id; files: book, format. Without them nothing is known to be missing.
+    """
+    loaded = load_records(raw, wanted)
+    none = lambda f: f.limit(0)
+    lost = none(loaded) if wanted is None else wanted.select("id").distinct().join(loaded, "id", "left_anti")
+    each = loaded.select(F.col("id").alias("book"), F.explode("formats").alias("format"))
+    bare = none(each) if files is None else each.join(files.select("book", F.upper("format").alias("format")).distinct(), ["book", "format"], "left_anti")
+    count = lambda f, name: f.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
+    return count(lost, "missing").join(count(bare, "no_format_path"), "one").drop("one")
+
+
 def prepare(records: DataFrame) -> DataFrame:
     """Adds title_key, title_core_key, author_keys, isbn_key, families, meta_score and missing."""
     # what the expressions below read many times is a column first

@@ -347,3 +347,61 @@ def test_scan_limit_and_subset(spark):
     assert [r["id"] for r in catalog.load_records(raw, most=2).collect()] == [1, 2]
     ids = spark.createDataFrame([(5,), (5,), (77,)], "id long")
     assert [r["id"] for r in catalog.load_records(raw, ids).collect()] == [5]
+
+
+def test_tasks(spark, tmp_path):
+    """One scan at a time, its progress, its pointer after a restart, and what is refused."""
+    from colophon.plans.tasks import Refused, Tasks, scope
+
+    raw = spark.createDataFrame(BASE, SCHEMA)
+    assert scope(records(spark, BASE))["total_books"] == 5
+    tasks = Tasks(spark, str(tmp_path))
+    for call in (tasks.progress, tasks.cancel, lambda: tasks.start(raw, [True])):
+        with pytest.raises(Refused):
+            call()
+    task = tasks.start(raw, [1, 2, 5], threshold=85)
+    with pytest.raises(Refused, match="task.running"):
+        tasks.start(raw)
+    task.thread.join()
+    assert tasks.progress()["status"] == "completed" and task.summary["group_count"] == 1 and task.threshold == 0.85
+    again = Tasks(spark, str(tmp_path)).progress()
+    assert again["restored"] and again["task_id"] == task.task_id and again["summary"]["group_count"] == 1
+    none = tasks.start(raw, [77])
+    none.thread.join()
+    assert (none.status, none.error) == ("failed", "scope.empty")
+    other = tasks.start(raw)
+    tasks.cancel()
+    other.thread.join()
+    assert other.status in ("cancelled", "completed")
+
+
+def test_group_detail(base, spark):
+    entries = spark.createDataFrame([], ignore.ENTRY)
+    gone = spark.createDataFrame([(4,)], "id long")
+    groups, rows = views.group_detail(base.report, gone, entries, "newest")
+    got = {r["group_id"]: r for r in groups.collect()}
+    assert (got[1]["keeper_id"], got[1]["rule"], got[1]["members"]) == (2, "newest", [1, 2])
+    assert (got[3]["keeper_id"], got[3]["members"], got[3]["member_count"]) == (3, [3], 1)
+    cells = {(r["group_id"], r["field"]): r for r in rows.collect()}
+    assert not any(g == 3 for g, _ in cells) and cells[(1, "size")]["label"] == "体积" and len(cells[(1, "size")]["cells"]) == 2
+    one, _ = views.group_detail(base.report, gone, entries, index=0)
+    assert [r["group_id"] for r in one.collect()] == [3]
+    assert base.report.first()["protected"] == [] and {r["confidence_label"] for r in base.report.collect()} <= {"确定", "很可能", "存疑"}
+
+
+def test_request_errors_agree_with_one_by_one(base, spark):
+    cases = [(1, None), (9, None), (1, []), (1, [1]), (1, [7]), (1, [2]), (2, None)]
+    live = base.members.filter("id <> 2")
+    for now in (base.members, live):
+        requests = spark.createDataFrame([(n, 1, k, s) for n, (k, s) in enumerate(cases)], "request long, group_id long, keeper_id long, source_ids array<long>")
+        got = {r["request"]: r["error"] for r in ledger.request_errors(requests, base.members, now).collect()}
+        group = lambda f: f.filter("group_id = 1")
+        assert got == {n: ledger.plan_errors(group(now), k, s, group(base.members)) for n, (k, s) in enumerate(cases)}
+
+
+def test_ignore_whole_groups(base, spark):
+    entries, gone = spark.createDataFrame([], ignore.ENTRY), spark.createDataFrame([], "id long")
+    indexes = spark.createDataFrame([(0,), (0,), (9,)], "index long")
+    new, counts = ignore.ignore_groups(entries, base.report, gone, indexes, base.records, "now")
+    assert [(r["a"], r["b"]) for r in new.collect()] == [(3, 4)]
+    assert tuple(counts.first()) == (1, 1, 1)
