@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star (Kiveris et al., 2014), on DataFrames.
 
-Each step is a partial-aggregated minimum for every node and a join back. A node with very many neighbours is a
-skewed key of that join; what follows the join is dealt anew by other keys, so adaptive execution splits its rows over
-tasks and no task has to hold them. Every round is written to shared storage, and the round before it is deleted.
+Each step is a partial-aggregated minimum for every node, which is written, and a join of the two tables. A node with very
+many neighbours is a skewed key of that join; as both sides are plain shuffles and what follows is written or dealt anew by
+other keys, adaptive execution splits its rows over tasks and no task has to hold them. Every step is written to shared
+storage, and the step before it is deleted.
 """
 
 from __future__ import annotations
@@ -15,15 +16,19 @@ from colophon.llm.common import discard, written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
+    moved = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), "star")
+    discard(least)
+    return moved
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "star-least")
     across = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return across.union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
+    moved = written(across.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "star")
+    discard(least)
+    return moved
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -41,8 +46,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "star")
     while not _is_stars(now):
-        before, now = now, written(_small_star(_large_star(now)).distinct(), "star")
-        discard(before)
+        large = _large_star(now)
+        discard(now)
+        now = _small_star(large)
+        discard(large)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(centres)
