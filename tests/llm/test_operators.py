@@ -589,18 +589,136 @@ def test_long_chain_and_odd_turns(spark):
     assert [r["conv_id"] for r in reply_trees.conversation_digests(spark, none(frame)).collect()] == [-1]
 
 
+# ---- clashing names
+
+
+def test_names_that_clash(spark, docs):
+    """Columns named as the operators' own come through as they are."""
+    names = ["__row_id", "__size", "__taken", "__left", "__text", "__row", "row", "number", "size", "left", "place", "cut", "epoch", "slot", "component_id", "file", "at"]
+    frame = docs.withColumns({n: F.lit(n) for n in names})
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    for out in (mixing.mixed_documents(frame), near_dedup.keep_one_of_each(frame), line_rules.clean_documents(frame), quality_mil.good_documents(frame, labels)):
+        assert out.columns == frame.columns
+        row = out.first()
+        assert all(row[n] == n for n in names)
+    assert packing.pack_documents(frame, Q.tokenizer_path("word_bpe_49k.json")).agg(F.sum("length")).first() == packing.pack_documents(docs, Q.tokenizer_path("word_bpe_49k.json")).agg(F.sum("length")).first()
+
+
+# ---- the order of the mix
+
+
+def test_mix_order_reaches_the_sequences(spark, tmp_path):
+    """Rows of a mix come in slot order, and every stretch of rows or packed sequences holds the sources in proportion."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(99)}" for _ in range(rng.randrange(100, 300))), "abc"[i % 3]) for i in range(900)]
+    mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    source = {i: s for i, _, s in rows}
+    ordered = mixed.select("doc_id", "text", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()
+    sequences = packing.pack_documents(mixed, Q.tokenizer_path("word_bpe_49k.json")).filter("part = 'main'").orderBy("sequence_id", "offset").collect()
+    for listed, amount in ((ordered, lambda r: len(r["text"].split())), (sequences, lambda r: r["length"])):
+        whole, parts = Counter(), [Counter() for _ in range(6)]
+        for k, r in enumerate(listed):
+            whole[source[r["doc_id"]]] += amount(r)
+            parts[k * 6 // len(listed)][source[r["doc_id"]]] += amount(r)
+        total = sum(whole.values())
+        for part in parts:
+            for s in "abc":
+                assert abs(part[s] / sum(part.values()) - whole[s] / total) < 0.12
+
+
 # ---- pipeline
 
 
-def test_pipeline(spark):
+def brute_clean(text):
+    """The line rules, plainly: (kept, cleaned text)."""
+    import re
+
+    text = text or ""
+    words = [w.decode() for w in text.encode().split()]
+    lines, lost, left = text.split("\n"), 0, []
+    for line in lines:
+        solid = len(re.sub(r"[ \t\n\x0b\f\r]", "", line))
+        count = lambda cs, line=line: sum(line.count(c) for c in cs)
+        low = line.lower()
+        bad = solid > 0 and (
+            count("#*$%&<>") * 100 > solid * 15
+            or count("!") * 100 > solid * 12
+            or (solid >= 80 and not re.search(line_rules.SENTENCE_MARKS, line))
+            or (count("|\u00bb>") >= 2 and count("|\u00bb>") * 100 >= solid * 5)
+            or (solid <= 200 and re.search(line_rules.NAVIGATION, low, re.ASCII))
+            or re.search(line_rules.BOILERPLATE, low, re.ASCII)
+        )
+        lost += solid if bad else 0
+        left += [] if bad else [line]
+    kept = len(words) >= 50 and brute_repeats(words) * 100 <= len(words) * 50 and lost * 100 <= sum(map(len, words)) * 40
+    return kept, "\n".join(left)
+
+
+def brute_scores(model, texts):
+    """The forward pass, one passage after the other."""
+    from math import exp, tanh
+
+    out = []
+    if "constant" in model:  # labels of one class only
+        return [model["constant"]] * len(texts)
+    for bag in quality_mil.passage_features([t.encode() for t in texts]):
+        hidden, energy = [], []
+        for x in bag:
+            x = (x - model["mean"]) / model["scale"]
+            h = [tanh(float(x @ model["w"][:, k] + model["b"][k])) for k in range(model["w"].shape[1])]
+            v, u = np.array(h) @ model["v"], np.array(h) @ model["u"]
+            hidden.append(h)
+            energy.append(sum(float(a) * tanh(p) / (1 + exp(-q)) for a, p, q in zip(model["a"], v, u, strict=True)))
+        weight = [exp(e - max(energy)) for e in energy]
+        z = sum(w / sum(weight) * np.array(h) for w, h in zip(weight, hidden, strict=True))
+        out.append(1 / (1 + exp(-float(z @ model["c"] + model["d"][0]))))
+    return out
+
+
+def test_scores_equal_a_plain_forward_pass(spark, docs, texts):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    model = quality_mil.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_mil.score_documents(docs, labels).collect()}
+    ids = sorted(texts)
+    assert [got[i] for i in ids] == pytest.approx(brute_scores(model, [texts[i] for i in ids]), abs=1e-6)
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage against brute force on all that the stage before has kept."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    names = docs.columns
-    first = corpus_pipeline.quality_rules(spark, docs, DATA)
-    kept = {r["doc_id"] for r in line_rules.line_quality(docs).collect() if r["kept"]}
-    assert {r["doc_id"] for r in first.collect()} == kept
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, DATA).cache()
-        assert docs.columns == names and docs.count()
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+    names, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "quality_classifier", "near_duplicates", "mixing_sources", "packing_sequences"]
+
+    def after(name):
+        nonlocal docs
+        before = {r["doc_id"]: r for r in docs.collect()}
+        stages[name](spark, docs, DATA).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == names
+        return before, docs.collect()
+
+    before, rows = after("quality_rules")
+    want = {i: brute_clean(r["text"]) for i, r in before.items()}
+    assert {r["doc_id"]: r["text"] for r in rows} == {i: text for i, (kept, text) in want.items() if kept}
+    model = quality_mil.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality"))
+    before, rows = after("quality_classifier")
+    ids = sorted(before)
+    good = [i for i, p in zip(ids, brute_scores(model, [before[i]["text"] for i in ids]), strict=True) if p >= 0.3]
+    assert sorted(r["doc_id"] for r in rows) == good and all(r["text"] == before[r["doc_id"]]["text"] for r in rows)
+    before, rows = after("near_duplicates")
+    groups = brute_components((i, r["text"]) for i, r in before.items())
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, (_, c) in groups.items() if i == c)
+    before, rows = after("mixing_sources")
+    taken = Counter({r["doc_id"]: r["taken"] for r in mixing.mix_report(spark.createDataFrame(list(before.values()))).collect()})
+    got, times = Counter(), Counter()
+    for r in rows:
+        assert before[r["doc_id"]]["text"].startswith(r["text"])
+        got[r["doc_id"]] += len(r["text"].encode().split())
+        times[r["doc_id"]] += 1
+    assert +got == +taken and max(times.values()) <= 3
+    pieces = stages["packing_sequences"](spark, docs, DATA).collect()
+    check_packing(pieces, whole_ids((r["doc_id"], r["text"]) for r in rows))
+    assert corpus_pipeline.run(spark, DATA).count() == len(pieces)
