@@ -40,6 +40,15 @@ def discard(frame: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_scan(frame: DataFrame) -> bool:
+    """True for rows read from Parquet files, at most filtered and projected: each stands at a place of its own there, which `_metadata` tells."""
+    plan = frame._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    known = plan.nodeName() == "LogicalRelation" and "_metadata" not in frame.columns
+    return known and next(iter(frame.inputFiles()), "").endswith(".parquet")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in small parts: few texts, signatures or sets are Python objects at a time."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import buckets_of, words_of, written
+from colophon.llm.common import buckets_of, is_scan, words_of, written
 
 BLOCK_WORDS, MOST_EPOCHS, MOST_SOURCES = 1024, 3, 100_000
 #: Points are integers of so many bits, and so are the borders of the sources' intervals.
@@ -123,16 +123,14 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def mixed_pieces(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces) of the mix.
+def mixed_pieces(documents: DataFrame, name: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(documents, pieces) of the mix; `name` is the column that tells rows apart, doc_id and text decide their order.
 
-    documents: doc_id, source, size, source_size, target, sid, at (first word in its source's order).
-    pieces: sid, at, doc_id, size, epoch, slot, rank, start and length in words: what each slot takes.
+    documents: name, source, size, source_size, target, sid, at (first word in its source's order).
+    pieces: sid, at, name, size, epoch, slot, rank, start and length in words: what each slot takes.
     """
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    sized = written(
-        documents.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.md5(name.cast("binary")).alias("digest")), "mix-sizes"
-    )
+    said = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    sized = written(documents.select(name, "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.md5(said.cast("binary")).alias("digest")), "mix-sizes")
     spark = documents.sparkSession
     sources = _sources(sized)
     kind = documents.schema["source"].dataType.simpleString()
@@ -145,7 +143,7 @@ def mixed_pieces(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # buckets are ranges of the digest, so their number does not change the order
     digits = max(1, min(6, round(math.log(max(sized.count(), 1), 16) / 2)))
-    rows = rows.withColumn("__order", F.struct("digest", "doc_id", "size"))
+    rows = rows.withColumn("__order", F.struct("digest", name, "size"))
     laid = buckets_of(rows, F.substring("digest", 1, digits), ["sid"], {"at": F.col("size")}).drop("__order", "digest")
     laid = written(laid, "mix-order")
     # the take of a source is cut into its number of blocks; the first `odd` of them hold a word more
@@ -165,7 +163,7 @@ def mixed_pieces(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = shown.withColumn("from", F.greatest("begin", edge(F.col("rank")))).withColumn("to", F.least("end", edge(F.col("rank") + 1))).filter("from < to")
     slots = schedule(sized, sources).toDF("slot", "slot_sid", "slot_rank")
     pieces = cut.join(slots, (F.col("sid") == F.col("slot_sid")) & (F.col("rank") == F.col("slot_rank"))).select(
-        "sid", "at", "doc_id", "size", "epoch", "slot", "rank", (F.col("from") - F.col("begin")).alias("start"), (F.col("to") - F.col("from")).alias("length")
+        "sid", "at", name, "size", "epoch", "slot", "rank", (F.col("from") - F.col("begin")).alias("start"), (F.col("to") - F.col("from")).alias("length")
     )
     return laid, pieces
 
@@ -190,11 +188,14 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     in the order of the slots in which they begin.
     """
     columns = documents.columns
-    # rows are told apart by number, as a doc_id may be repeated; the numbers are fixed by writing them
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
-    numbered = written(documents.select(whole.alias("row"), F.monotonically_increasing_id().alias("number")), "mix-documents")
-    _, pieces = mixed_pieces(numbered.select(F.col("number").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text")))
-    times = pieces.groupBy(F.col("doc_id").alias("number"), "epoch", "size").agg(F.sum("length").alias("left"), F.min(F.struct("slot", "rank", "at")).alias("place"))
+    # rows are told apart by their place in the table's files, or by a number that is fixed by writing it
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    if is_scan(documents):
+        numbered = documents.select(whole, F.struct("_metadata.file_path", "_metadata.row_index").alias("number"))
+    else:
+        numbered = written(documents.select(whole, F.monotonically_increasing_id().alias("number")), "mix-documents")
+    _, pieces = mixed_pieces(numbered.select("number", *[F.col("row")[c].alias(c) for c in ("doc_id", "source", "text")]), "number")
+    times = pieces.groupBy("number", "epoch", "size").agg(F.sum("length").alias("left"), F.min(F.struct("slot", "rank", "at")).alias("place"))
     rows = numbered.join(times, "number")
     spaced = F.regexp_extract_all(F.col("row.text"), F.lit(r"[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+"), F.lit(0))
     first = F.array_join(F.slice(spaced, F.lit(1), F.col("left").cast("int")), "")

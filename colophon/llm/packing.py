@@ -25,11 +25,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import buckets_of, slices, written
+from colophon.llm.common import buckets_of, is_scan, slices, written
 from colophon.llm.word_cache import WordCache, worker_cache
 
 LENGTH, UNIT, CLOSING_ID = 4096, 64, 2
@@ -104,11 +103,10 @@ def cutting_patterns(demand: list[int], units: int = UNITS) -> list[tuple[list[i
 def _placed_rows(documents: DataFrame) -> DataFrame:
     """doc_id, text, file and row: where a document stands in its table's files; of other frames, in its partition."""
     columns = ["doc_id", F.col("text").cast("binary").alias("text")]
-    try:
+    if is_scan(documents):
         return documents.select(*columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:  # not read from files
-        number = F.monotonically_increasing_id()
-        return documents.select(*columns, F.lpad(F.shiftright(number, 33).cast("string"), 10, "0").alias("file"), number.bitwiseAND((1 << 33) - 1).alias("row"))
+    number = F.monotonically_increasing_id()
+    return documents.select(*columns, F.lpad(F.shiftright(number, 33).cast("string"), 10, "0").alias("file"), number.bitwiseAND((1 << 33) - 1).alias("row"))
 
 
 def token_table(documents: DataFrame, vocabulary: str) -> DataFrame:

@@ -27,11 +27,10 @@ from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import slices
+from colophon.llm.common import is_scan, slices
 from colophon.llm.word_cache import WordCache, worker_cache
 
 TABLE_SIZE, TALLY_LIMIT = 32768, 200_000
@@ -58,13 +57,10 @@ def length_of(model) -> Callable[[bytes], int]:
 
 def _sample(documents: DataFrame) -> DataFrame:
     """About SAMPLE_DOCUMENTS texts. Only the chosen files are read: the filter on their names prunes the others."""
-    files = sorted(documents.inputFiles())
+    files = sorted(documents.inputFiles()) if is_scan(documents) else []
     if len(files) > SAMPLE_FILES:
         names = [files[i * len(files) // SAMPLE_FILES].rpartition("/")[2] for i in range(SAMPLE_FILES)]
-        try:
-            documents = documents.filter(F.col("_metadata.file_name").isin([unquote(n) for n in names]))
-        except AnalysisException:  # derived from files by more than a projection: all rows are sampled
-            pass
+        documents = documents.filter(F.col("_metadata.file_name").isin([unquote(n) for n in names]))
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, documents.count()))
     texts = documents.select(F.col("text").cast("binary").alias("text"))
     return texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).coalesce(SAMPLE_TASKS)
