@@ -17,10 +17,12 @@ whose headers sort last counts; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPANS = 512
+LEAST_SPANS = 512
 #: Header fields of a 304 that never replace stored ones: fixed values from RFC 9111 3.2 and RFC 9110 7.6.1.
 KEPT_FIELDS = (
     "connection", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer",
@@ -62,8 +64,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("canonical"), "ts", "status", _lower_keys(F.col("headers")).alias("fields")
     )
     response = F.when((F.col("status") == 200) & F.col("canonical").isNotNull(), F.struct("record_id", "fields"))
-    reach = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    width = max(1, -(-((reach["high"] or 0) - (reach["low"] or 0) + 1) // SPANS))
+    reach = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("*").alias("n")).first()
+    # spans grow with the square root of the captures, and so do the rows of a URL in one of them, and its list of spans
+    width = max(1, -(-((reach["high"] or 0) - (reach["low"] or 0) + 1) // max(LEAST_SPANS, math.isqrt(reach["n"]))))
     # rows without a URL have no earlier response; their record_id keeps them out of one large group
     key = F.coalesce("canonical", F.concat(F.lit("\x00"), F.col("record_id").cast("string")))
     spans = rows.withColumns({"response": response, "key": key, "span": F.floor(F.coalesce("ts", F.lit(reach["low"] or 0)) / width)})
