@@ -35,7 +35,7 @@ LENGTH, UNIT, CLOSING_ID = 4096, 64, 2
 UNITS = LENGTH // UNIT
 CHUNK = 65536
 #: Words whose ids a worker keeps, in each of two generations.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000
 #: What a unit costs outside of patterns, against 1 / UNITS inside a full one.
 LOOSE_COST = 1.02
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part string"
@@ -154,9 +154,9 @@ def _bare(d: dict) -> bool:
 def _encoder(vocabulary: str, wide: bool) -> Callable[[bytes], bytes]:
     """Encodes a text, the closing id included.
 
-    Of a vocabulary as `_bare` describes it, words are encoded one by one and kept. A word of lower-case Latin letters
-    goes to the merges as it is, one of letters and a last full stop or comma is the two together, and any other goes
-    through the whole tokenizer. Texts are lower-cased (ASCII) before, unless they hold what may be a special token or
+    Of a vocabulary as `_bare` describes it, words are encoded one by one and kept. A word of Latin-1 letters goes to the
+    merges in lower case, one of letters and a last mark is the two together, one of digits is its digits, and any other
+    goes through the whole tokenizer. Texts are lower-cased (ASCII) before, unless they hold what may be a special token or
     a combining mark, with which the order of the steps could matter. Of another vocabulary whole texts are encoded.
     """
     def make() -> Callable[[bytes], bytes]:
@@ -166,7 +166,7 @@ def _encoder(vocabulary: str, wide: bool) -> Callable[[bytes], bytes]:
         from tokenizers import Tokenizer
 
         tokenizer, kind = Tokenizer.from_file(vocabulary), "<u4" if wide else "<u2"
-        merges, size, letters = tokenizer.model, 4 if wide else 2, re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+        merges, size, letters = tokenizer.model, 4 if wide else 2, re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
         end = CLOSING_ID.to_bytes(size, "little")
 
         def whole(text: bytes) -> bytes:
@@ -176,14 +176,17 @@ def _encoder(vocabulary: str, wide: bool) -> Callable[[bytes], bytes]:
             return lambda text: whole(text) + end
         # byte-level vocabularies write the bytes of non-ASCII letters as the characters of the same number, or from 256 on
         shown = {b: 256 + b - 127 + 33 for b in range(127, 161)} | {173: 256 + 67}
+        shape = [i.to_bytes(size, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
         def encode(word: bytes) -> bytes:
             if word.isalpha() and word.islower():
-                return b"".join([t.id.to_bytes(size, "little") for t in merges.tokenize(word.decode())])
+                return b"".join([shape[t.id] for t in merges.tokenize(word.decode())])
+            if word.isdigit():
+                return b"".join([cache[word[i : i + 1]] for i in range(len(word))]) if len(word) > 1 else whole(word)
             w = word.decode("utf-8", "replace")
             if letters.fullmatch(w):
-                return b"".join([t.id.to_bytes(size, "little") for t in merges.tokenize(word.decode("latin-1").translate(shown))])
-            if w[-1] in ".," and letters.fullmatch(w, 0, len(w) - 1):
+                return b"".join([shape[t.id] for t in merges.tokenize(w.lower().encode().decode("latin-1").translate(shown))])
+            if w[-1] in ".,;:!?" and letters.fullmatch(w, 0, len(w) - 1):
                 return cache[word[:-1]] + cache[word[-1:]]
             return whole(word)
 
