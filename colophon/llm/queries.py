@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import line_rules, mixing, near_dedup, packing, quality_mil, reply_trees, sharding, token_counts, top_k, warc_revisits
+from colophon.llm import collocations, fill_middle, license_scan, line_rules, mixing, near_dedup, packing, quality_mil, reply_trees, sharding, token_counts, top_k, warc_revisits
 from colophon.llm.common import table
 
 
@@ -54,6 +54,18 @@ def op10_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.conversation_digests(spark, table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_mine_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +79,9 @@ QUERIES = {
         op8_top_k,
         op9_mix_sources,
         op10_format_conversations,
+        op11_fill_in_middle,
+        op12_scan_licenses,
+        op13_mine_collocations,
     )
 }
 ORACLES = {
@@ -77,4 +92,7 @@ ORACLES = {
     "op8_top_k": top_k.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
     "op10_format_conversations": reply_trees.ORACLE,
+    "op11_fill_in_middle": fill_middle.ORACLE,
+    "op12_scan_licenses": license_scan.ORACLE,
+    "op13_mine_collocations": collocations.ORACLE,
 }
