@@ -56,7 +56,7 @@ class Units:
         return F.aggregate(first, F.lit(0), lambda s, x: s + F.length(x))
 
 
-CODE_POINTS, WORDS, LINES = Units("(?s:.)", 1), Units(r"\s*\S+"), Units(r"[^\n]*\n")
+CODE_POINTS, WORDS, LINES = Units("(?s:.)", 1), Units(r"\s*\S+"), Units(r"[^\n]+\n?|\n")
 
 
 def drawn(doc_id: Column, i: int) -> Column:

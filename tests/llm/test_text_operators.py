@@ -38,7 +38,7 @@ def plain_cut(text, units, a, b):
     return ends[a], ends[b], len(ends) - 1
 
 
-@pytest.mark.parametrize(("units", "pattern"), [(fill_middle.CODE_POINTS, "(?s:.)"), (fill_middle.WORDS, r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+"), (fill_middle.LINES, r"[^\n]*\n")])
+@pytest.mark.parametrize(("units", "pattern"), [(fill_middle.CODE_POINTS, "(?s:.)"), (fill_middle.WORDS, r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+"), (fill_middle.LINES, r"[^\n]+\n?|\n")])
 @pytest.mark.parametrize("run", [1, 3, 256])
 def test_units_are_cut_right(spark, odd, monkeypatch, units, pattern, run):
     monkeypatch.setattr(fill_middle, "RUN", run)
