@@ -62,6 +62,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def numbered(frame: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """Adds `name`, the place of every row in an order, from 0. Rows are dealt by range, sorted and written under `label`; a row's place is
+    the number of rows in the ranges before (a row for each range) and its own in its range."""
+    row = F.monotonically_increasing_id()
+    ordered = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", row)
+    placed = written(ordered.withColumns({"__part": F.shiftright("__row", 33), "__at": F.col("__row").bitwiseAND((1 << 33) - 1)}).drop("__row"), label)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+
+
 def buckets_of(frame: DataFrame, bucket: Column, groups: list[str], sums: dict[str, Column]) -> DataFrame:
     """Adds exclusive running totals over a whole table without one large window.
 

@@ -36,10 +36,13 @@ NAVIGATION_WORDS = (
     "|startseite|anmelden|suche|weiter|zurück|impressum|kontakt|teilen"
     "|inicio|iniciar sesión|buscar|siguiente|anterior|volver|contacto|mapa del sitio|compartir"
 )
-NAVIGATION = rf"^\W*({NAVIGATION_WORDS})(\W+({NAVIGATION_WORDS}))*\W*$"
+#: What stands between words: no letter, digit or mark of any script.
+BETWEEN = r"[^\p{L}\p{N}\p{M}_]"
+NAVIGATION = rf"^{BETWEEN}*({NAVIGATION_WORDS})({BETWEEN}+({NAVIGATION_WORDS}))*{BETWEEN}*$"
 BOILERPLATE = (
     r"all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|(uses?|accept) cookies"
-    r"|enable javascript|click here|subscribe to our|lorem ipsum|^\W*(copyright|\(c\)|©)|^\W*licensed under the "
+    r"|enable javascript|click here|subscribe to our|lorem ipsum"
+    rf"|^{BETWEEN}*copyright *(©|\(c\)|[0-9]{{4}})|^{BETWEEN}*©|^{BETWEEN}*\(c\) *[0-9]{{4}}|^{BETWEEN}*licensed under the "
     r"|tous droits réservés|politique de confidentialité|conditions d'utilisation|mentions légales|cliquez ici"
     r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|hier klicken"
     r"|todos los derechos reservados|política de privacidad|términos de uso|aviso legal|haga clic aquí"

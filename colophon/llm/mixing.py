@@ -8,9 +8,9 @@ equal-token blocks, which are cut from the source's documents, shuffled by a dig
 `mixed_documents` returns its rows in the order of the slots in which they begin, so that a table written of them
 holds the sources in proportion in every stretch of it.
 
-The driver holds one row for each source (weights need their order), MOST_SOURCES at most: more are refused.
-Everything else is distributed. Running totals of words come from sums over buckets of each source, whose number
-grows with the square root of the rows, so that neither the buckets nor the list of them become large.
+Sources are rows of a table, however many: only sums over them reach the driver. Running totals of words come from sums over
+buckets of each source, whose number grows with the square root of the rows, so that neither the buckets nor the list
+of them become large.
 
 Defined results: a null text has size 0; a document without words takes 0; a null source is a source of
 its own, the last; equal rows are separate documents, in an order that makes them interchangeable; a
@@ -27,28 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import buckets_of, is_scan, words_of, written
+from colophon.llm.common import buckets_of, is_scan, numbered, slices, words_of, written
 
-BLOCK_WORDS, MOST_EPOCHS, MOST_SOURCES = 1024, 3, 100_000
+BLOCK_WORDS, MOST_EPOCHS = 1024, 3
+#: Sources that are broadcast at most, those of a bucket of running totals, and multiples of a part of the schedule.
+MOST_BROADCAST, SOURCES_A_BUCKET, PART = 100_000, 4096, 1024
 #: Points are integers of so many bits, and so are the borders of the sources' intervals.
 BITS = 46
 
 
-def target_sizes(sizes: list[int], weights: list[float], most: float = MOST_EPOCHS) -> list[float]:
-    """Targets that share sum(sizes) by weight; none is above `most` times its size, the excess is shared again by weight."""
-    # a source is at its limit before any other whose size is larger for its weight
-    order = sorted(range(len(sizes)), key=lambda i: sizes[i] / weights[i])
-    targets, left, weight = [0.0] * len(sizes), sum(sizes), sum(weights)
-    for k, i in enumerate(order):
-        if left * weights[i] / weight <= most * sizes[i]:
-            for j in order[k:]:
-                targets[j] = left * weights[j] / weight
-            break
-        targets[i] = float(most * sizes[i])
-        left, weight = left - most * sizes[i], weight - weights[i]
-    return targets
-
-
 def reversed_bits(i: np.ndarray) -> np.ndarray:
     """The van der Corput point of each i, times 2**BITS."""
     out, i = np.zeros_like(i), i.copy()
@@ -76,46 +63,82 @@ def points_below(n: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def _sources(sized: DataFrame) -> list[dict]:
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"a mix of more than {MOST_SOURCES} sources: group them first")
-    rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    sizes = [int(r["size"]) for r in rows]
-    targets = target_sizes(sizes, [1 + i % 3 for i in range(len(rows))])
-    whole = [min(int(t + 0.5), MOST_EPOCHS * s) for t, s in zip(targets, sizes, strict=True)]
-    total = sum(whole)
-    slots = max(1, -(-total // BLOCK_WORDS))
-    edges = [0]
-    for w in whole:
-        edges.append(edges[-1] + w)
-    borders = [(e << BITS) // max(1, total) for e in edges]
-    out, extra = [], slots
-    for i, r in enumerate(rows):
-        n = int(points_below(np.array([slots]), np.array([borders[i + 1]]))[0] - points_below(np.array([slots]), np.array([borders[i]]))[0])
-        late = -1
-        if whole[i] and not n:  # too small a share for a point of its own: a last slot takes it
-            n, late, extra = 1, extra, extra + 1
-        out.append({"source": r["source"], "sid": i, "source_size": sizes[i], "target": targets[i], "take": whole[i], "slots": n, "low": borders[i], "high": borders[i + 1], "late": late})
-    return out
+def _shares(sizes: DataFrame, most: float = MOST_EPOCHS) -> tuple[int, int]:
+    """(left, weights): a source below its limit has the target left * weight / weights; any other has `most` times its size.
+
+    All begin as sharing by weight; those that come above their limit leave with it, until none is above. Sharing what is
+    left only raises the others, so none comes back, and each round is one sum over the sources.
+    """
+    total, weights = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1))).first()
+    left, beyond = total, 0
+    while True:
+        over = F.lit(left) * F.col("weight") / F.lit(float(weights)) > F.col("source_size") * most
+        kept = sizes.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(1))).first()
+        if kept[0] == beyond:
+            return left, weights
+        beyond, left, weights = kept[0], total - most * kept[1], kept[2]
 
 
-def schedule(sized: DataFrame, sources: list[dict]) -> DataFrame:
-    """slot, sid and rank: which source each slot of the mix takes, and its how-manieth block."""
-    spark = sized.sparkSession
-    slots = max(1, -(-sum(s["take"] for s in sources) // BLOCK_WORDS)) if any(s["take"] for s in sources) else 0
-    highs, lows = np.array([s["high"] for s in sources], np.int64), np.array([s["low"] for s in sources], np.int64)
+def _sources(sized: DataFrame) -> tuple[DataFrame, int]:
+    """(sources, slots of the schedule): source, sid, source_size, target, take, slots, low, high and late, a written row for each source.
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sid: its place by code point, null last. low, high: its interval of points. late: a slot after the others, for a take that
+    is too small for a point of its own; else -1. However many sources there are, only sums reach the driver.
+    """
+    sums = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sums")
+    placed = numbered(sums, [F.asc_nulls_last("source")], "sid", "mix-places").withColumn("weight", (F.col("sid") % 3 + 1).cast("long"))
+    left, weights = _shares(placed)
+    most = F.col("source_size") * MOST_EPOCHS
+    share = F.lit(left) * F.col("weight") / F.lit(float(weights))
+    taken = placed.withColumn("target", F.when(share > most, most.cast("double")).otherwise(share))
+    taken = taken.withColumn("take", F.least(F.floor(F.col("target") + 0.5), most))
+    total = taken.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
+    slots = -(-total // BLOCK_WORDS)
+    bucket = _div(F.col("sid"), F.lit(SOURCES_A_BUCKET))
+    edged = buckets_of(taken.withColumn("__order", F.col("sid")), bucket, [], {"edge": F.col("take")}).drop("__order")
+    point = lambda edge: _div(edge.cast("decimal(18,0)") * F.lit(1 << BITS).cast("decimal(15,0)"), F.lit(max(1, total)).cast("decimal(18,0)"))
+    edged = edged.select("source", "sid", "source_size", "target", "take", point(F.col("edge")).alias("low"), point(F.col("edge") + F.col("take")).alias("high"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.column(0).to_numpy(zero_copy_only=False)
-            sid = np.searchsorted(highs, reversed_bits(i), side="right")
-            rank = points_below(i, highs[sid]) - points_below(i, lows[sid])
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(sid.astype(np.int32)), pa.array(rank)], ["slot", "sid", "rank"])
+            low, high = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("low", "high"))
+            whole = np.full(len(low), slots, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(points_below(whole, high) - points_below(whole, low))], [*batch.schema.names, "slots"])
+
+    kind = sized.schema["source"].dataType.simpleString()
+    counted = edged.mapInArrow(count, f"source {kind}, sid long, source_size long, target double, take long, low long, high long, slots long")
+    lacks = (F.col("take") > 0) & (F.col("slots") == 0)
+    counted = buckets_of(counted.withColumn("__order", F.col("sid")), bucket, [], {"late": lacks.cast("long")}).drop("__order")
+    late = F.when(lacks, F.col("late") + slots).otherwise(-1)
+    return written(counted.withColumn("late", late).withColumn("slots", F.when(lacks, 1).otherwise(F.col("slots"))), "mix-sources"), slots
 
-    regular = spark.range(slots).mapInArrow(place, "slot long, sid int, rank long")
-    late = [(s["late"], s["sid"], 0) for s in sources if s["late"] >= 0]
-    return regular.union(spark.createDataFrame(late, "slot long, sid int, rank long")) if late else regular
+
+def schedule(sources: DataFrame, slots: int) -> DataFrame:
+    """slot, sid and rank: which source each slot of the mix takes, and its how-manieth block.
+
+    The points of 2^k slots are the multiples of 2^-k, each of one slot, so a source's slots are a stretch of such
+    multiples. Stretches are dealt in parts of PART multiples: a source with most of the slots is many parts.
+    """
+    bits = max(0, (slots - 1).bit_length())
+    step = BITS - bits
+    first = lambda border: F.shiftright(F.col(border) + ((1 << step) - 1), step)
+    stretches = sources.filter("take > 0").select("sid", "low", "high", first("low").alias("begin"), first("high").alias("end")).filter("begin < end")
+    part = F.explode(F.sequence(_div(F.col("begin"), F.lit(PART)), _div(F.col("end") - 1, F.lit(PART))))
+    dealt = stretches.withColumn("part", part).repartition("sid", "part")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sid, low, high, begin, end, part = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            begin = np.maximum(begin, part * PART)
+            n = np.minimum(end, (part + 1) * PART) - begin
+            row = np.repeat(np.arange(len(n)), n)
+            slot = reversed_bits(np.arange(len(row)) + np.repeat(begin - np.cumsum(n) + n, n)) >> step
+            row, slot = row[slot < slots], slot[slot < slots]
+            rank = points_below(slot, high[row]) - points_below(slot, low[row])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sid[row]), pa.array(rank)], ["slot", "sid", "rank"])
+
+    regular = dealt.mapInArrow(place, "slot long, sid long, rank long")
+    return regular.union(sources.filter("late >= 0").select(F.col("late").alias("slot"), "sid", F.lit(0).cast("long").alias("rank")))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -131,15 +154,10 @@ def mixed_pieces(documents: DataFrame, name: str = "doc_id") -> tuple[DataFrame,
     """
     said = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     sized = written(documents.select(name, "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.md5(said.cast("binary")).alias("digest")), "mix-sizes")
-    spark = documents.sparkSession
-    sources = _sources(sized)
-    kind = documents.schema["source"].dataType.simpleString()
-    known = spark.createDataFrame(
-        [(s["source"], s["sid"], s["source_size"], s["target"], s["take"], s["slots"]) for s in sources],
-        f"s {kind}, sid int, source_size long, target double, take long, slots long",
-    )
-    # one row a source, already held by the driver: the size is checked, a larger set of sources is joined by shuffle
-    known = F.broadcast(known) if len(sources) <= 100_000 else known
+    sources, n_slots = _sources(sized)
+    known = sources.select(F.col("source").alias("s"), "sid", "source_size", "target", "take", "slots")
+    # a row a source: few are broadcast, by their counted number; more are joined by shuffle
+    known = F.broadcast(known) if sources.count() <= MOST_BROADCAST else known
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # buckets are ranges of the digest, so their number does not change the order
     digits = max(1, min(6, round(math.log(max(sized.count(), 1), 16) / 2)))
@@ -161,7 +179,7 @@ def mixed_pieces(documents: DataFrame, name: str = "doc_id") -> tuple[DataFrame,
         .withColumn("rank", F.explode(F.sequence(block_of(F.col("begin")), block_of(F.col("end") - 1))))
     )
     cut = shown.withColumn("from", F.greatest("begin", edge(F.col("rank")))).withColumn("to", F.least("end", edge(F.col("rank") + 1))).filter("from < to")
-    slots = schedule(sized, sources).toDF("slot", "slot_sid", "slot_rank")
+    slots = schedule(sources, n_slots).toDF("slot", "slot_sid", "slot_rank")
     pieces = cut.join(slots, (F.col("sid") == F.col("slot_sid")) & (F.col("rank") == F.col("slot_rank"))).select(
         "sid", "at", name, "size", "epoch", "slot", "rank", (F.col("from") - F.col("begin")).alias("start"), (F.col("to") - F.col("from")).alias("length")
     )
