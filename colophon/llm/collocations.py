@@ -38,7 +38,7 @@ LEAST, MOST_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 #: A bit for each of two hashes of a frequent phrase; a power of two.
 FILTER_BITS = 1 << 26
 #: Places of all shards that a task holds, bytes of a part of a text, and bitmap blocks of a class of prefixes.
-SHARD_PLACES, STEP, CLASS_BLOCKS = 1 << 22, 1 << 20, 1 << 16
+SHARD_PLACES, STEP, CLASS_BLOCKS = 1 << 21, 1 << 20, 1 << 16
 BLOCK = 16
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 SPLIT = re.compile(b"[" + PIECE_ENDS + b"]")
@@ -105,10 +105,13 @@ class Bitmaps:
         at = np.flatnonzero(kept[places])
         key = at // BLOCK * len(kept) + places[at]
         order = np.argsort(key)
-        key, bit = key[order], np.left_shift(1, at[order] % BLOCK).astype(np.uint32)
+        bit = np.left_shift(1, at % BLOCK).astype(np.uint32)[order]
+        key = key[order]
+        del at, order
         begin = np.flatnonzero(np.diff(key, prepend=-1))
         self.bits = np.bitwise_or.reduceat(bit, begin) if len(begin) else bit
-        self.block, self.word = np.divmod(key[begin], len(kept))
+        key = key[begin]
+        self.block, self.word = (key // len(kept)).astype(np.int32), (key % len(kept)).astype(np.int32)
         self.first = np.searchsorted(self.block, np.arange(len(places) // BLOCK + 3))
 
     def extended(self, node: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -136,7 +139,7 @@ def extend(maps: Bitmaps, n_words: int, phrases: np.ndarray, node: np.ndarray, b
     for i in range(0, len(node), CLASS_BLOCKS):
         part = slice(i, i + CLASS_BLOCKS)
         above, word, at, left = maps.extended(node[part], block[part], bits[part])
-        key, which = np.unique(above * n_words + word, return_inverse=True)
+        key, which = np.unique(above.astype(np.int64) * n_words + word, return_inverse=True)
         longer = np.column_stack([phrases[key // n_words], key % n_words])
         ok = frequent[words - 1](longer[:, 1:])
         if words == length:
@@ -173,11 +176,11 @@ def popcounts(shard: Shard, lang: str, length: int, tables: dict[int, np.ndarray
         return frequent
 
     frequent = {n: filtered(t) for n, t in tables.items()}
-    numbers = np.arange(len(listed) + 1)
+    numbers = np.arange(len(listed) + 1, dtype=np.int32)
     kept = frequent[1](numbers[:, None])
     kept[0] = False
     maps = Bitmaps(places, kept)
-    order = np.argsort(maps.word, kind="stable")
+    order = np.argsort(maps.word, kind="stable").astype(np.int32)
     for phrases, counts in extend(maps, len(kept), numbers[:, None], maps.word[order], maps.block[order], maps.bits[order], length, frequent):
         if len(counts):
             yield batch(phrases, counts)
