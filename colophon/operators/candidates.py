@@ -82,23 +82,42 @@ def open_blocks(classes: DataFrame, max_bucket: int | None = None) -> DataFrame:
     return _with_blocks(each).filter("title_key <> ''").join(usable, "block").drop("author_keys")
 
 
-def serial_key_pairs(keys: DataFrame) -> DataFrame:
-    """block, key_a < key_b of keys that differ by a volume mark only; an equi-join on shared prefixes.
+def _serial_cuts(keys: DataFrame) -> DataFrame:
+    """A row for each prefix of a key after which at most a volume mark follows: the columns of keys, prefix and next (the character after it).
 
-    keys: block, title_key (distinct). A key gives a row for each prefix after which at most a mark
-    follows; two keys whose next characters differ there have exactly that prefix in common.
+    Two keys of a block differ by a mark only if they have such a prefix in common and next differs there; that is
+    exactly one prefix.
     """
     n = F.length("title_key")
-    at = F.sequence(F.greatest(F.lit(2), n - T.SERIAL_LONGEST), n)
-    cut = keys.filter(n >= 2).withColumn("p", F.explode(at))
+    cut = keys.filter(n >= 2).withColumn("p", F.explode(F.sequence(F.greatest(F.lit(2), n - T.SERIAL_LONGEST), n)))
     rest = F.substring(F.col("title_key"), F.col("p") + 1, n)
-    cut = cut.filter((rest == "") | T.is_serial(rest)).select(
-        "block", "title_key", F.substring(F.col("title_key"), F.lit(1), F.col("p")).alias("prefix"), F.substring(rest, 1, 1).alias("next")
-    )
+    cut = cut.filter((rest == "") | T.is_serial(rest))
+    return cut.withColumns({"prefix": F.substring(F.col("title_key"), F.lit(1), F.col("p")), "next": F.substring(rest, 1, 1)}).drop("p")
+
+
+def serial_key_pairs(keys: DataFrame) -> DataFrame:
+    """block, key_a < key_b of keys that differ by a volume mark only; an equi-join on shared prefixes, for series of few volumes.
+
+    keys: block, title_key (distinct).
+    """
+    cut = _serial_cuts(keys.select("block", "title_key")).select("block", "title_key", "prefix", "next")
     right = cut.toDF("block", "key_b", "prefix", "next_b")
     return cut.join(right, ["block", "prefix"]).filter("title_key < key_b AND next <> next_b").select("block", F.col("title_key").alias("key_a"), "key_b")
 
 
+def serial_pair_count(keys: DataFrame) -> DataFrame:
+    """skipped_serial: how many pairs of records differ by a volume mark only, without listing them.
+
+    keys: block, title_key (distinct), m (its records). Of the records under a prefix, those with the same next character
+    make no pair: the pairs are half of the square of all less the squares of each next's.
+    """
+    square = lambda c: F.col(c).cast("decimal(19,0)") * F.col(c).cast("decimal(19,0)")
+    alike = _serial_cuts(keys).groupBy("block", "prefix", "next").agg(F.sum("m").alias("m"))
+    under = alike.groupBy("block", "prefix").agg(F.sum("m").alias("m"), F.sum(square("m")).alias("same"))
+    pairs = F.sum(((square("m") - F.col("same")) / 2).cast("decimal(38,0)"))
+    return under.agg(F.coalesce(pairs, F.lit(0)).cast("long").alias("skipped_serial"))
+
+
 def _texts(keys: DataFrame) -> DataFrame:
     """block, text, is_key, is_core and n (gram size) of every text to compare, numbered by tid.
 
@@ -261,9 +280,7 @@ def _stats(titles: DataFrame, by_isbn: DataFrame, by_title: DataFrame, max_bucke
     )
     members = open_blocks(titles, max_bucket).groupBy("block", "title_key").agg(F.sum("n").alias("m"))
     pairs = members.groupBy("block").agg(F.sum("m").alias("m")).agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0)).cast("long").alias("pairs"))
-    serial = serial_key_pairs(members.select("block", "title_key"))
-    counts = serial.join(members.toDF("block", "key_a", "ma"), ["block", "key_a"]).join(members.toDF("block", "key_b", "mb"), ["block", "key_b"])
-    skipped = counts.agg(F.coalesce(F.sum(F.col("ma") * F.col("mb")), F.lit(0)).alias("skipped_serial"))
+    skipped = serial_pair_count(members)
     crossing = by_isbn.filter("NOT same_type").select("n_pairs").union(by_title.filter("NOT same_type").select(F.col("n_pairs") - F.col("n_isbn")))
     cross = crossing.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("skipped_cross_type"))
     one = lambda f: f.withColumn("k", F.lit(1))

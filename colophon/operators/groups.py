@@ -84,30 +84,32 @@ def with_index(groups: DataFrame) -> DataFrame:
 
 
 def rule_order(rule: str) -> list[Column]:
-    """Sort order of a keep rule, best first; the smallest id decides ties."""
+    """The measures of a keep rule, the larger the better; the smallest id decides ties."""
     score, count, size = F.coalesce("meta_score", F.lit(0)), F.size("formats"), F.coalesce("size", F.lit(0))
     added = M.added_micros(F.col("added"))
     by = {
-        "metadata": [F.desc(score), F.desc(count), F.desc(size), F.asc(added)],
-        "formats": [F.desc(count), F.desc(score), F.desc(size)],
-        "size": [F.desc(size), F.desc(score), F.desc(count)],
-        "oldest": [F.asc(added), F.desc(score)],
-        "newest": [F.desc(added), F.desc(score)],
+        "metadata": [score, count, size, -added],
+        "formats": [count, score, size],
+        "size": [size, score, count],
+        "oldest": [-added, score],
+        "newest": [added, score],
     }
-    return [*by.get(rule, by["metadata"]), F.asc("id")]
+    return [*by.get(rule, by["metadata"]), -F.col("id")]
 
 
 def keepers(members: DataFrame, rule: str = "metadata", manual: DataFrame | None = None) -> DataFrame:
-    """group_id, keeper_id, rule; manual(group_id, manual_id) comes first where that id is a member."""
+    """group_id, keeper_id, rule; manual(group_id, manual_id) comes first where that id is a member.
+
+    The best member is an aggregate, so a group of any size is summed where its members are read.
+    """
+    chosen = F.lit(False)
     if manual is not None:
         members = members.join(manual, "group_id", "left")
         chosen = F.coalesce(F.col("id") == F.col("manual_id"), F.lit(False))
-        order = [F.desc(chosen), *rule_order(rule)]
-    else:
-        chosen, order = F.lit(False), rule_order(rule)
-    ranked = members.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).withColumn("chosen", chosen)
+    place = F.struct(chosen.alias("chosen"), *[c.alias(f"by{i}") for i, c in enumerate(rule_order(rule))])
+    best = members.groupBy("group_id").agg(F.max(F.struct(place.alias("place"), "id")).alias("best"))
     used = rule if rule in RULES else "metadata"
-    return ranked.filter("place = 1").select("group_id", F.col("id").alias("keeper_id"), F.when(F.col("chosen"), "manual").otherwise(used).alias("rule"))
+    return best.select("group_id", F.col("best.id").alias("keeper_id"), F.when(F.col("best.place.chosen"), "manual").otherwise(used).alias("rule"))
 
 
 def keeper_reasons(members: DataFrame, rule: str = "metadata") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colophon.sources.files import on_disk
+
 
 def gone_ids(merged: DataFrame, deleted: DataFrame) -> DataFrame:
     """Ids that the ledgers merged(removed_ids) and deleted(id) have taken out; id 0 is never read as deleted."""
@@ -97,10 +99,12 @@ def merge_plan(members: DataFrame, keep: DataFrame, sources: DataFrame | None =
     )
 
 
-def step_status(steps: DataFrame, records: DataFrame, copied: DataFrame | None = None) -> DataFrame:
+def step_status(steps: DataFrame, records: DataFrame, copied: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
     """steps(source_id, target_id) with error (null if the step may run) and note, against the records as they are now.
 
-    copied(source_id, ok) tells how copying files went; a source is deleted only after its files were copied.
+    copied(source_id, ok) tells how copying files went; a source is deleted only after its files were copied. states(book,
+    format, state): those of files; a source none of whose new formats may be there has nothing to copy and may go, one with any
+    that was not copied may not.
     """
     side = lambda s: records.select(F.col("id").alias(f"{s}_id"), F.col("formats").alias(f"{s}_formats"))
     rows = steps.join(side("source"), "source_id", "left").join(side("target"), "target_id", "left")
@@ -114,8 +118,15 @@ def step_status(steps: DataFrame, records: DataFrame, copied: DataFrame | None =
         .when(F.col("target_formats").isNull(), "merge.target_missing")
         .when(~F.coalesce("ok", F.lit(True)), "merge.copy_failed")
     )
-    new = F.size(F.array_except("source_formats", "target_formats"))
-    return rows.select("source_id", "target_id", error.alias("error"), F.when(error.isNull() & (new == 0), "no_new_formats").alias("note"))
+    fresh = F.array_except("source_formats", "target_formats")
+    note = F.when(F.size(fresh) == 0, "no_new_formats")
+    if states is not None:
+        there = on_disk(states).groupBy(F.col("book").alias("source_id")).agg(F.collect_set("format").alias("there"))
+        rows = rows.join(there, "source_id", "left")
+        none = ~F.coalesce(F.arrays_overlap(fresh, F.col("there")), F.lit(False)) & (F.size(fresh) > 0)
+        error = F.when(~none | (error != "merge.copy_failed"), error)
+        note = note.when(none, "format_files_missing")
+    return rows.select("source_id", "target_id", error.alias("error"), F.when(error.isNull(), note).alias("note"))
 
 
 def merge_outcome(status: DataFrame, *by: str) -> DataFrame:

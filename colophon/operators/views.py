@@ -75,6 +75,19 @@ def by_keyword(report: DataFrame, keyword: str | None) -> DataFrame:
     return report.filter(F.lower(F.array_join(text, " ")).contains(sought))
 
 
+def groups_view(
+    report: DataFrame, gone: DataFrame, entries: DataFrame, generated_at: str, confidence: str | None = None, keyword: str | None = None, page: object = 0, size: object = 50
+) -> DataFrame:
+    """A page of the list of groups: those still visible, of the tiers and with the keyword that are asked for, as they are now.
+
+    Each row has total (groups that were found) and signature (of the whole report). A page beyond the end has no rows. The keyword is looked
+    for in all members of the report, those that are gone included.
+    """
+    found = page_of(by_keyword(by_confidence(visible_groups(report, gone, entries), confidence), keyword), page, size)
+    # one row for the whole report
+    return found.withColumn("one", F.lit(1)).join(F.broadcast(report_signature(report, generated_at).withColumn("one", F.lit(1))), "one").drop("one")
+
+
 def page_of(report: DataFrame, page: object = 0, size: object = 50) -> DataFrame:
     """One page by index, with the number of rows before paging as `total`; bad numbers give the defaults."""
 

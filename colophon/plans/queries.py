@@ -18,6 +18,8 @@ from colophon.operators.components import shared_home, stage
 from colophon.plans import oracle as O
 from colophon.plans.scan import Scan, run_scan
 from colophon.sources import catalog
+from colophon.sources import files as library
+from colophon.sources import library as sqlite
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -522,23 +524,55 @@ def ignore_counts(spark, sf_dir):
 GONE = "id % 7 = 0"
 
 
-@query(
-    O.over(
-        O.GROUPS,
-        """, live AS (SELECT * FROM members WHERE id % 7 <> 0), n AS (SELECT group_id, count(*) AS n FROM live GROUP BY group_id HAVING count(*) >= 2),
+VISIBLE = (
+    O.GROUPS.strip()
+    + """, live AS (SELECT * FROM members WHERE id % 7 <> 0), n AS (SELECT group_id, count(*) AS n FROM live GROUP BY group_id HAVING count(*) >= 2),
         c AS (SELECT x.group_id, count(*) AS pairs, count(*) FILTER (x.id % 10 = 0 AND y.id = x.id + 20) AS ignored FROM live x JOIN live y ON x.group_id = y.group_id AND x.id < y.id GROUP BY x.group_id),
         w AS (SELECT group_id, bool_or(id = keeper_id) AS k, sum(CASE WHEN id <> keeper_id THEN size ELSE 0 END)::BIGINT AS reclaim,
-          sum(CASE WHEN id <> keeper_id AND len(formats) > 0 AND list_has_all(kept_formats, formats) THEN size ELSE 0 END)::BIGINT AS waste FROM live JOIN kept USING (group_id) GROUP BY group_id)
-        SELECT r.index, r.group_id, r.member_count - n AS stale_count, ignored AS ignored_pairs, n AS live_count, CASE WHEN k THEN reclaim ELSE reclaimable_bytes END AS reclaimable_bytes,
-          CASE WHEN k THEN waste ELSE disk_waste_bytes END AS disk_waste_bytes FROM report r JOIN n USING (group_id) JOIN c USING (group_id) JOIN w USING (group_id) WHERE ignored < pairs""",
-    )
+          sum(CASE WHEN id <> keeper_id AND len(formats) > 0 AND list_has_all(kept_formats, formats) THEN size ELSE 0 END)::BIGINT AS waste FROM live JOIN kept USING (group_id) GROUP BY group_id),
+        visible AS (SELECT r.index, r.group_id, r.confidence, r.member_count - n AS stale_count, ignored AS ignored_pairs, n AS live_count, CASE WHEN k THEN reclaim ELSE reclaimable_bytes END AS reclaimable_bytes,
+          CASE WHEN k THEN waste ELSE disk_waste_bytes END AS disk_waste_bytes FROM report r JOIN n USING (group_id) JOIN c USING (group_id) JOIN w USING (group_id) WHERE ignored < pairs)"""
 )
+
+
+@query(O.over(VISIBLE, "SELECT * EXCLUDE (confidence) FROM visible"))
 def visible_groups(spark, sf_dir):
     s = scan(spark, sf_dir)
     rows = views.visible_groups(s.report, s.records.filter(GONE).select("id"), dismissed(s.records))
     return rows.select("index", "group_id", "stale_count", "ignored_pairs", "live_count", "reclaimable_bytes", "disk_waste_bytes")
 
 
+@query(
+    O.over(
+        VISIBLE,
+        """, hits AS (SELECT * FROM visible WHERE confidence IN ('strong', 'likely') AND group_id IN (SELECT group_id FROM members WHERE contains(lower(title || ' ' || array_to_string(authors, ' ')), 'the')))
+        SELECT * EXCLUDE (confidence), (SELECT count(*) FROM hits) AS total, (SELECT 'now|' || count(*) FROM report) AS signature FROM hits ORDER BY index LIMIT 25 OFFSET 25""",
+    )
+)
+def groups_view(spark, sf_dir):
+    """The second page of the list: visible groups of two tiers with a keyword."""
+    s = scan(spark, sf_dir)
+    rows = views.groups_view(s.report, s.records.filter(GONE).select("id"), dismissed(s.records), "now", "strong,likely", " The ", "1", 25)
+    return rows.select("index", "group_id", "stale_count", "ignored_pairs", "live_count", "reclaimable_bytes", "disk_waste_bytes", "total", "signature")
+
+
+def written_report(spark: SparkSession, sf_dir: str) -> str:
+    home = f"{shared_home(spark)}/report-{uuid.uuid4().hex}"
+    catalog.write_report(scan(spark, sf_dir).report, home)
+    return home
+
+
+@query(O.over(O.GROUPS, f"SELECT {_REPORT} FROM report WHERE index IN (0, 3, 11, 1000000)"))
+def report_lookup(spark, sf_dir):
+    """Groups by their places in a written report, one of which is not there."""
+    return _flat(catalog.read_report(spark, written_report(spark, sf_dir), index=[0, 3, 11, 1_000_000]))
+
+
+@query(O.over(O.GROUPS, f"SELECT {_REPORT} FROM report ORDER BY index LIMIT 20 OFFSET 20"))
+def report_page(spark, sf_dir):
+    return _flat(catalog.read_page(spark, written_report(spark, sf_dir), 1, 20))
+
+
 # ---- commands
 
 
@@ -810,3 +844,59 @@ def record_existence(spark, sf_dir):
     """Ids that 7 divides are gone, and those that 11 divides can't be read."""
     r = catalog.document_catalog(spark, sf_dir)
     return ledger.existence(r.select("id"), r.filter("id % 7 <> 0"), r.filter("id % 11 = 0").select("id"))
+
+
+# ---- libraries and files
+
+
+FORMS = "CASE doc_id % 5 WHEN 0 THEN ['EPUB'] WHEN 1 THEN ['EPUB', 'PDF'] WHEN 2 THEN ['PDF'] WHEN 3 THEN ['MP3'] ELSE []::VARCHAR[] END"
+STATES = f"""states AS (
+  SELECT doc_id AS id, format, CASE WHEN state = 'readable' THEN strlen(coalesce(text, '')) END AS size, state
+  FROM (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 19 = 0 THEN 'unreadable' ELSE 'readable' END AS state FROM (SELECT doc_id, text, unnest({FORMS}) AS format FROM documents))
+)"""
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, format, size and state of the catalog's files, which are written from `documents`: ids that 13 divides have none, and those that 19 divides a folder instead."""
+    root = f"{shared_home(spark)}/library-{uuid.uuid4().hex}"
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    wanted = catalog.document_catalog(spark, sf_dir).select("id", F.coalesce(F.get("authors", F.lit(0)), F.lit("unknown")).alias("author"), F.explode("formats").alias("format"))
+    path = F.format_string("%s/book (%d)/book.%s", "author", "id", F.lower("format"))
+    content = F.when(F.col("id") % 19 != 0, F.coalesce("text", F.lit("")))
+    library.write_files(wanted.join(texts, "id").filter("id % 13 <> 0").select(path.alias("path"), content.alias("content")), root)
+    return stage(library.file_states(wanted.select(F.col("id").alias("book"), "format"), library.library_files(spark, root)), "file-states")
+
+
+@query(f"WITH {STATES} SELECT * FROM states")
+def file_states(spark, sf_dir):
+    return document_files(spark, sf_dir).withColumnRenamed("book", "id")
+
+
+@query(
+    f"""WITH {STATES} SELECT 2::BIGINT AS missing, count(*) FILTER (state <> 'readable') AS no_format_path, sum(size)::BIGINT AS bytes,
+    (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT id FROM states WHERE state = 'unreadable')) AS known FROM states"""
+)
+def file_notes(spark, sf_dir):
+    """What a scan notes of the files: wanted records and files that are missing, the records' bytes, and records that are there for sure."""
+    states = document_files(spark, sf_dir)
+    raw = catalog.document_catalog(spark, sf_dir)
+    notes = catalog.load_notes(raw, raw.select("id").union(spark.range(-2, 0)), states.filter("state = 'readable'").select("book", "format"))
+    known = ledger.existence(raw.select("id"), raw, library.unreadable_books(states)).agg(F.count_if("there").alias("known"))
+    sums = library.sized(raw, states).agg(F.sum("size").alias("bytes"))
+    one = lambda f: f.withColumn("one", F.lit(1))
+    return one(notes).join(one(sums), "one").join(one(known), "one").drop("one")
+
+
+@query(
+    O.over(
+        O.CATALOG,
+        """SELECT id, title, array_to_string(authors, ',') AS authors, array_to_string(formats, ',') AS formats, CASE WHEN len(formats) = 0 THEN 0 ELSE size END AS size, array_to_string(languages, ',') AS languages,
+        rating, has_cover, added, isbn FROM catalog""",
+    )
+)
+def library_reader(spark, sf_dir):
+    """The catalog, written as a library of databases and read back in ranges of ids."""
+    home = f"{shared_home(spark)}/databases-{uuid.uuid4().hex}"
+    sqlite.write_library(catalog.document_catalog(spark, sf_dir), home)
+    rows = catalog.load_records(sqlite.read_library(spark, home, rows=200))
+    return rows.select("id", "title", joined("authors").alias("authors"), joined("formats").alias("formats"), "size", joined("languages").alias("languages"), "rating", "has_cover", "added", "isbn")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,13 +37,16 @@ class Scan:
 
 
 def run_scan(
-    records: DataFrame, threshold: object = DEFAULT_THRESHOLD, ignored: DataFrame | None = None, rule: str = "metadata", max_bucket: int | None = None
+    records: DataFrame, threshold: object = DEFAULT_THRESHOLD, ignored: DataFrame | None = None, rule: str = "metadata", max_bucket: int | None = None,
+    step: Callable[..., None] = lambda name, rows=None: None,
 ) -> Scan:
     """Scans catalog records for duplicates; dismissed pairs are removed before grouping.
 
-    Records of a live dismissal are classes of their own, so that a dismissed pair is a link.
+    Records of a live dismissal are classes of their own, so that a dismissed pair is a link. step is told when a part of
+    the scan has ended, and how many rows it gave; what it raises ends the scan.
     """
     prepared = stage(prepare(records), "records")  # read by several joins: keys are computed once
+    step("records", prepared.count())
     threshold = normalize_threshold(threshold)
     if ignored is None:
         found, classes = candidates.candidates(prepared, threshold, max_bucket)
@@ -56,5 +60,7 @@ def run_scan(
         pairs = stage(ignore.filter_pairs(found, live), "pairs")
         excluded = ignore.dismissed_pairs(found, live).select("a", "b")
         stale = ignore.canonical(ignored).select("a", "b").exceptAll(ignore.canonical(live).select("a", "b"))
+    step("pairs", pairs.count())
     members = stage(groups.group_members(prepared, pairs, classes), "members")
+    step("members", members.count())
     return Scan(prepared, pairs, classes, members, groups.build_report(members, pairs, rule), threshold, max_bucket, excluded, stale)

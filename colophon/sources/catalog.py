@@ -165,14 +165,37 @@ def library_records(books: DataFrame, links: dict[str, DataFrame], files: DataFr
     return out.join(sums, out["id"] == sums["book"], "left").drop("book")
 
 
+#: Groups of a report's part: a lookup reads one part, a page few.
+PART = 10_000
+
+
 def write_report(frame: DataFrame, path: str, form: str = "parquet") -> None:
-    """Writes one version of a report; readers see it only when the writer has committed."""
-    frame.write.mode("overwrite").format(form).save(path)
+    """Writes one version of a report; readers see it only when the writer has committed.
+
+    Rows with an index are written in parts of PART places, sorted, so that a place or a page is found by its part.
+    """
+    if "index" in frame.columns:
+        dealt = frame.withColumn("part", F.call_function("div", F.col("index"), F.lit(PART)))
+        dealt.repartition("part").sortWithinPartitions("part", "index").write.mode("overwrite").partitionBy("part").format(form).save(path)
+    else:
+        frame.write.mode("overwrite").format(form).save(path)
 
 
-def read_report(spark: SparkSession, path: str, form: str = "parquet", index: int | None = None) -> DataFrame:
+def read_report(spark: SparkSession, path: str, form: str = "parquet", index: int | list[int] | None = None) -> DataFrame:
+    """A report, or its groups at a place or some places: only their parts are opened."""
     frame = spark.read.format(form).load(path)
-    return frame if index is None else frame.filter(F.col("index") == index)
+    if index is not None:
+        wanted = index if isinstance(index, list) else [index]
+        frame = frame.filter(F.col("index").isin(wanted))
+        frame = frame.filter(F.col("part").isin(sorted({i // PART for i in wanted}))) if "part" in frame.columns else frame
+    return frame.drop("part")
+
+
+def read_page(spark: SparkSession, path: str, page: int, size: int, form: str = "parquet") -> DataFrame:
+    """A page of a whole report in order: the parts that hold it are read, nothing else is sorted."""
+    first = max(0, page) * size
+    frame = spark.read.format(form).load(path).filter((F.col("index") >= first) & (F.col("index") < first + size))
+    return frame.filter(F.col("part").between(first // PART, (first + size - 1) // PART)).drop("part").orderBy("index")
 
 
 MARKER = "task_id string, generated_at string, path string, group_count bigint"
