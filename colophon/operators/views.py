@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colophon.functions.text import grams
 from colophon.operators.groups import PREVIEW, diff_rows, diff_summary, keeper_reasons, keepers
 from colophon.operators.ignore import group_counts
 
 MOST_PAGE = 10_000
+#: Characters of a gram, and buckets of the grams, in a search index.
+GRAM, BUCKETS = 3, 64
 
 
 def visible_groups(report: DataFrame, gone: DataFrame, entries: DataFrame) -> DataFrame:
@@ -66,24 +69,56 @@ def by_confidence(report: DataFrame, wanted: str | None) -> DataFrame:
     return report.filter(F.col("confidence").isin(*wanted.split(","))) if wanted else report
 
 
-def by_keyword(report: DataFrame, keyword: str | None) -> DataFrame:
-    """Groups with the keyword in the titles or authors of any member of the report, in any case."""
-    sought = (keyword or "").strip().lower()
+def _sought(keyword: str | None) -> str:
+    return (keyword or "").strip().lower()
+
+
+def _said(entries: str = "entries") -> Column:
+    """The titles and authors of all members of a group, in lower case: what is searched."""
+    text = F.transform(entries, lambda e: F.concat_ws(" ", e["title"], F.array_join(e["authors"], " ")))
+    return F.lower(F.array_join(text, " "))
+
+
+def by_keyword(report: DataFrame, keyword: str | None, postings: DataFrame | None = None) -> DataFrame:
+    """Groups with the keyword in the titles or authors of any member of the report, in any case.
+
+    With postings only groups that have all of the keyword's grams are looked at; a keyword shorter than a gram
+    is looked for in all groups.
+    """
+    sought = _sought(keyword)
     if not sought:
         return report
-    text = F.transform("entries", lambda e: F.concat_ws(" ", e["title"], F.array_join(e["authors"], " ")))
-    return report.filter(F.lower(F.array_join(text, " ")).contains(sought))
+    if postings is not None and len(sought) >= GRAM:
+        listed = sorted({sought[i : i + GRAM] for i in range(len(sought) - GRAM + 1)})
+        buckets = F.array_distinct(F.transform(F.array(*map(F.lit, listed)), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS))))
+        wanted = report.sparkSession.range(1).select(buckets.alias("b")).first()["b"]  # one number for each gram of the keyword
+        found = postings.filter(F.col("bucket").isin(wanted) & F.col("gram").isin(listed)).groupBy("group_id").agg(F.count_distinct("gram").alias("n"))
+        report = report.join(found.filter(F.col("n") == len(listed)).select("group_id"), "group_id", "left_semi")
+    return report.filter(_said().contains(sought))
+
+
+def keyword_postings(report: DataFrame) -> DataFrame:
+    """bucket, gram and group_id: in which groups each gram of titles and authors stands."""
+    each = report.select("group_id", F.explode(F.array_distinct(grams(_said(), GRAM))).alias("gram"))
+    return each.select(F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).alias("bucket"), "gram", "group_id")
+
+
+def write_postings(report: DataFrame, path: str) -> None:
+    """Writes the postings by bucket, sorted by gram: a keyword's are found in the buckets of its grams."""
+    rows = keyword_postings(report)
+    rows.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def groups_view(
-    report: DataFrame, gone: DataFrame, entries: DataFrame, generated_at: str, confidence: str | None = None, keyword: str | None = None, page: object = 0, size: object = 50
+    report: DataFrame, gone: DataFrame, entries: DataFrame, generated_at: str, confidence: str | None = None, keyword: str | None = None, page: object = 0, size: object = 50,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """A page of the list of groups: those still visible, of the tiers and with the keyword that are asked for, as they are now.
 
     Each row has total (groups that were found) and signature (of the whole report). A page beyond the end has no rows. The keyword is looked
     for in all members of the report, those that are gone included.
     """
-    found = page_of(by_keyword(by_confidence(visible_groups(report, gone, entries), confidence), keyword), page, size)
+    found = page_of(by_keyword(by_confidence(visible_groups(report, gone, entries), confidence), keyword, postings), page, size)
     # one row for the whole report
     return found.withColumn("one", F.lit(1)).join(F.broadcast(report_signature(report, generated_at).withColumn("one", F.lit(1))), "one").drop("one")
 

@@ -17,7 +17,7 @@ from colophon.operators import ignore, ledger, views
 from colophon.operators.components import shared_home, stage
 from colophon.plans import oracle as O
 from colophon.plans.scan import Scan, run_scan
-from colophon.sources import catalog
+from colophon.sources import catalog, dismissals
 from colophon.sources import files as library
 from colophon.sources import library as sqlite
 
@@ -481,7 +481,10 @@ def list_filter_confidence(spark, sf_dir):
 
 @query(O.over(O.GROUPS, f"SELECT {_REPORT} FROM report WHERE group_id IN (SELECT group_id FROM members WHERE contains(lower(title || ' ' || array_to_string(authors, ' ')), 'the'))"))
 def list_keyword(spark, sf_dir):
-    return _flat(views.by_keyword(scan(spark, sf_dir).report, " The "))
+    """The groups with a keyword, found by a written index of grams."""
+    report, home = scan(spark, sf_dir).report, f"{shared_home(spark)}/postings-{uuid.uuid4().hex}"
+    views.write_postings(report, home)
+    return _flat(views.by_keyword(report, " The ", spark.read.parquet(home)))
 
 
 @query(O.over(O.GROUPS, "SELECT index, group_id, (SELECT count(*) FROM report) AS total FROM report ORDER BY index LIMIT 20 OFFSET 20"))
@@ -767,6 +770,17 @@ def ignore_batch_counts(spark, sf_dir):
     return ignore.ignore_groups(dismissed(s.records), s.report, s.records.filter(GONE).select("id"), indexes, s.records, "later")[1]
 
 
+@query("SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20 WHERE x.doc_id % 20 = 0 UNION ALL SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 10 = 1")
+def ignore_pruned(spark, sf_dir):
+    """The dismissed neighbours, written and pruned in place, and what was added after that."""
+    home = f"{shared_home(spark)}/dismissals-{uuid.uuid4().hex}"
+    records = catalog.document_catalog(spark, sf_dir)
+    dismissals.append_ignored(dismissed(records), home)
+    dismissals.prune_ignored(spark, home, records)
+    dismissals.append_ignored(records.filter("id % 10 = 1").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), home)
+    return dismissals.read_ignored(spark, home).select("a", "b")
+
+
 @query("SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20 WHERE x.doc_id % 10 = 0 AND x.doc_id % 30 <> 0")
 def unignore(spark, sf_dir):
     entries = dismissed(catalog.document_catalog(spark, sf_dir))

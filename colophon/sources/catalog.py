@@ -221,3 +221,24 @@ def kept_reports(reports: DataFrame, keep: int = 5) -> DataFrame:
     return reports.join(ranked, "path", "left").select(
         "path", "mtime", "protected", F.coalesce(F.col("place") > max(1, keep), F.lit(False)).alias("pruned")
     )
+
+
+def report_folders(spark: SparkSession, home: str) -> DataFrame:
+    """path, mtime and protected of the reports below `home`; the one that the pointer tells of is protected."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(home)
+    disk = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    below = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x, "report")
+    found = [(x.getPath().toString(), x.getModificationTime()) for x in (disk.listStatus(place) if disk.exists(place) else []) if x.isDirectory() and disk.exists(below(x.getPath()))]
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(place, "latest")
+    marked = latest_report(spark, pointer.toString()).select("path").collect() if disk.exists(pointer) else []  # one row
+    kept = {disk.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(r["path"])).toString() for r in marked}
+    return spark.createDataFrame([(p, t, p in kept) for p, t in found], "path string, mtime bigint, protected boolean")
+
+
+def prune_reports(spark: SparkSession, home: str, keep: int = 5) -> list[str]:
+    """Deletes all reports below `home` but the newest `keep` and the one that the pointer tells of; the paths of those deleted."""
+    pruned = sorted(r["path"] for r in kept_reports(report_folders(spark, home), keep).filter("pruned").collect())  # a row for each report folder
+    for path in pruned:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return pruned

@@ -1,5 +1,6 @@
 """Files and libraries as sources, reports by place, scans as tasks, and series counted without their pairs."""
 
+import os
 import random
 import sqlite3
 import time
@@ -10,9 +11,9 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, In
 from test_engine import BASE, SCHEMA, records, row
 
 from colophon.operators import candidates as C
-from colophon.operators import ledger
+from colophon.operators import ledger, views
 from colophon.plans import tasks as K
-from colophon.sources import catalog, files, library
+from colophon.sources import catalog, dismissals, files, library
 
 # ---- series
 
@@ -152,6 +153,71 @@ def test_lookup_opens_one_part(spark, tmp_path, monkeypatch):
         assert catalog.read_report(spark, path, form).count() == 95
 
 
+def test_old_reports_are_deleted(spark, tmp_path):
+    """All but the newest and the one that the pointer tells of; other folders stay."""
+    home = f"{tmp_path}/reports"
+    assert catalog.prune_reports(spark, home) == []
+    for i in range(5):
+        catalog.write_report(spark.range(2).withColumnRenamed("id", "index"), f"{home}/t{i}/report")
+        os.utime(f"{home}/t{i}", (1000 + i, 1000 + i))
+    os.makedirs(f"{home}/other")
+    catalog.write_latest(spark, f"{home}/latest", "t1", "now", f"{home}/t1", 2)
+    pruned = catalog.prune_reports(spark, home, 2)
+    assert [p.rpartition("/")[2] for p in pruned] == ["t0", "t2"]
+    assert sorted(os.listdir(home)) == ["latest", "other", "t1", "t3", "t4"]
+    assert catalog.prune_reports(spark, home, 2) == []
+
+
+# ---- search and dismissals
+
+
+def test_search_by_postings(spark, tmp_path):
+    """The index and the scan of all groups find the same, keywords across members' borders and short ones included."""
+    rng = random.Random(3)
+    rows = [(i, i, [{"title": "".join(rng.choice("abcé 三体B") for _ in range(rng.randrange(9))), "authors": [rng.choice(["Ann B", "c", ""])]} for _ in range(rng.randrange(1, 4))]) for i in range(300)]
+    report = spark.createDataFrame(rows, "index long, group_id long, entries array<struct<title string, authors array<string>>>").cache()
+    views.write_postings(report, str(tmp_path / "postings"))
+    postings = spark.read.parquet(str(tmp_path / "postings"))
+    for keyword in (None, " ", "a", "三体", "ann", "ANN B", "b c", "三体b", "abab", "nn b", "zzz", "aaaa"):
+        want = sorted(r["index"] for r in views.by_keyword(report, keyword).collect())
+        assert sorted(r["index"] for r in views.by_keyword(report, keyword, postings).collect()) == want
+    plan = views.by_keyword(report, "ann b", postings)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.partition("PartitionFilters: ")[2].partition("]")[0] and "gram" in plan.partition("PushedFilters: ")[2].partition("]")[0]
+
+
+def test_dismissals_are_pruned_in_place(spark, tmp_path, monkeypatch):
+    home = str(tmp_path / "dismissed")
+    now = records(spark, [row(i, f"t{i}") for i in range(1, 9)])
+    assert dismissals.read_ignored(spark, home).count() == 0 and dismissals.prune_ignored(spark, home, now).count() == 0
+    pairs = lambda *ab: spark.createDataFrame(ab, "a long, b long").withColumns({"a_sig": F.lit(None).cast("string")})
+    got = lambda: sorted((r["a"], r["b"]) for r in dismissals.read_ignored(spark, home).collect())
+    dismissals.append_ignored(pairs((1, 2), (3, 99), (3, 4)), home)
+    assert got() == [(1, 2), (3, 4), (3, 99)]
+    whole = dismissals.live_entries
+
+    def meanwhile(entries, known):
+        """Others add entries while the pruning runs."""
+        dismissals.append_ignored(pairs((5, 6), (7, 99)), home)
+        return whole(entries, known)
+
+    monkeypatch.setattr(dismissals, "live_entries", meanwhile)
+    dismissals.prune_ignored(spark, home, now)
+    assert got() == [(1, 2), (3, 4), (5, 6), (7, 99)]
+
+    def fails(entries, known):
+        raise RuntimeError
+
+    monkeypatch.setattr(dismissals, "live_entries", fails)
+    with pytest.raises(RuntimeError):
+        dismissals.prune_ignored(spark, home, now)
+    assert got() == [(1, 2), (3, 4), (5, 6), (7, 99)]
+    monkeypatch.setattr(dismissals, "live_entries", whole)
+    dismissals.prune_ignored(spark, home, now)
+    assert got() == [(1, 2), (3, 4), (5, 6)]
+    dismissals.append_ignored(pairs((1, 2)), home)
+    assert got() == [(1, 2), (1, 2), (3, 4), (5, 6)]
+
+
 # ---- scans as tasks
 
 
