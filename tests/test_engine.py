@@ -243,6 +243,23 @@ def test_components(spark, seed):
     assert {r["id"]: r["component"] for r in rows} == {x: find(x) for x in parent}
 
 
+def test_contraction_shrinks(spark):
+    """A million ids around a hub that isn't the smallest, chains in order, and loops: rounds have fewer and fewer edges; their tables go."""
+    import os
+
+    home = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    hub = spark.range(1_000_000).filter("id <> 777").select(F.lit(777).cast("long").alias("a"), F.col("id").alias("b"))
+    chains = spark.range(2_000_000, 2_004_000).filter("id % 500 <> 499").select("id", F.col("id") + 1)
+    loops = spark.range(3_000_000, 3_000_010).select("id", F.col("id"))
+    left, before = [], set(os.listdir(home))
+    found = connected_components(hub.union(chains).union(loops), left)
+    got = {r["component"]: r["count"] for r in found.groupBy("component").count().collect()}
+    assert got == {0: 1_000_000} | {2_000_000 + 500 * i: 500 for i in range(8)} | {3_000_000 + i: 1 for i in range(10)}
+    assert left[1] <= 4000 and left == sorted(left, reverse=True) and left[-1] == 0 and len(left) < 24
+    assert {name.partition("-")[0] for name in set(os.listdir(home)) - before} == {"components"}
+    assert connected_components(hub.limit(0)).count() == 0
+
+
 def test_rules_and_manual(base, spark):
     keep = lambda rule: {r["group_id"]: r["keeper_id"] for r in G.keepers(base.members, rule).collect()}
     assert keep("oldest")[1] == 1 and keep("newest")[1] == 2 and keep("size")[3] == 4
