@@ -9,8 +9,8 @@ their total sizes. Greedy cuts at block borders bound every true cut from both s
 between the bounds are split further (PREFIX_STEP hex digits a pass) until they hold single groups. What
 reaches the driver is the sums of 16 ** FIRST_PREFIX blocks (65,536) at most, then those of 16 ** PREFIX_STEP parts of each
 of the few blocks around the cuts. A document's shard follows from comparing its MD5 with the cuts: an expression, no join
-and no shuffle of texts. Slots follow the MD5 of the doc_id, whose leading digits part a shard into ranges of about
-SLOT_ROWS rows.
+and no shuffle of texts. Slots follow the MD5 of the doc_id, then the MD5 of the text; rows are dealt by ranges of that order, so
+a doc_id that many rows have, or lack, is dealt over many tasks.
 
 Defined results: a null text has size 1 and CRC 0; repeated rows share a shard and get slots of their
 own; an empty table gives an empty table; a group larger than an even share gets a shard of its own and
@@ -20,16 +20,14 @@ sets the capacity.
 from __future__ import annotations
 
 import bisect
-import math
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import written
+from colophon.llm.common import numbered, written
 
 FIRST_PREFIX, PREFIX_STEP, DIGITS = 4, 2, 32
-SLOT_ROWS = 50_000
 
 
 def greedy_cuts(ends: list[int], shards: int, capacity: int) -> list[int] | None:
@@ -130,26 +128,24 @@ def assign_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.md5(text.cast("binary")).alias("key"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-digests",
     )
     groups = written(digests.groupBy("key").agg(F.sum("size").alias("size")), "shard-groups")
     cuts = partition_cuts(groups, shards)
     shard = sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    # 16 ** digits ranges of places: a shard may hold nearly all rows, if most are copies
-    digits = max(1, math.ceil(math.log(max(digests.count() / SLOT_ROWS, 1), 16)))
-    placed = digests.select("doc_id", "size", "text_crc32", "key", "place", shard.cast("int").alias("shard"), F.substring("place", 1, digits).alias("bucket"))
-    counts = placed.groupBy("shard", "bucket").count()
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("place", "doc_id", "key")
-    return placed.join(starts, ["shard", "bucket"]).select(
+    dealt = digests.withColumn("shard", shard.cast("int"))
+    # the row number parts equal rows, which may have each other's slots
+    placed = numbered(dealt, [F.col(c) for c in ("shard", "place", "doc_id", "key", "row")], "at", "shard-slots")
+    first = placed.groupBy("shard").agg(F.min("at").alias("first"))  # a row for each shard
+    return placed.join(F.broadcast(first), "shard").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("start") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
+        (F.col("at") - F.col("first")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

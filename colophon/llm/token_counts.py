@@ -10,8 +10,8 @@ whose pieces hold a space mark only at their start, and no newline, nothing merg
 check is applied to whole texts.
 
 The table is an index that affects speed only, never a count, and it is fitted on a bounded sample: SAMPLE_DOCUMENTS
-documents, chosen by a hash of their text from SAMPLE_FILES files spread evenly over the table (from all rows where the
-documents don't come from files). SAMPLE_TASKS tasks tally them; each passes on its TABLE_SIZE most frequent
+documents, drawn at random from SAMPLE_FILES files spread evenly over the table (from all rows where the
+documents don't come from files), and written, so that all tasks read the texts. SAMPLE_TASKS tasks tally them; each passes on its TABLE_SIZE most frequent
 pre-tokens at most, which the driver adds up to the TABLE_SIZE entries.
 
 Defined results: a null text counts as empty and has 0 tokens; equal rows get equal counts; no
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import is_scan, slices
+from colophon.llm.common import is_scan, slices, written
 from colophon.llm.word_cache import WordCache, worker_cache
 
 TABLE_SIZE, TALLY_LIMIT = 32768, 200_000
-SAMPLE_DOCUMENTS, SAMPLE_FILES, SAMPLE_TASKS = 20_000, 16, 16
+SAMPLE_DOCUMENTS, SAMPLE_FILES, SAMPLE_TASKS, SAMPLE_SEED = 20_000, 16, 16, 11
 SPACE_MARK = "▁".encode()
 PRE_TOKEN = re.compile(rb"[ \n]+[^ \n]*")
 
@@ -63,7 +63,7 @@ def _sample(documents: DataFrame) -> DataFrame:
         documents = documents.filter(F.col("_metadata.file_name").isin([unquote(n) for n in names]))
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, documents.count()))
     texts = documents.select(F.col("text").cast("binary").alias("text"))
-    return texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).coalesce(SAMPLE_TASKS)
+    return written(texts.filter(F.rand(SAMPLE_SEED) < share), "token-sample").coalesce(SAMPLE_TASKS)
 
 
 def frequent_lengths(documents: DataFrame, model_path: str) -> dict[bytes, int]:

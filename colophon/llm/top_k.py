@@ -3,7 +3,8 @@
 Components become integers floor(256 * x), so products are exact. Queries and candidates are dealt into a
 grid of cells by hash, every cell multiplies its queries with its candidates tile by tile, keeps the best
 k of each tile by partial selection, and the lists of a query are merged as a tree, MERGE lists at a time.
-A cell holds at most about ROWS_A_TASK candidates and QUERIES_A_TASK queries, whatever the table's size.
+A cell holds about ROWS_A_TASK candidates and QUERIES_A_TASK queries at most, fewer where vectors are long: VALUES_A_TASK
+components of either, whatever the table's size.
 
 Ties go to the smaller vec_id. The order (score, -vec_id) is total, so results don't depend on tiling.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from colophon.llm.common import written
 
 SCALE, TILE, QUERIES_A_TASK, ROWS_A_TASK, MERGE = 256, 4096, 2048, 16384, 16
+VALUES_A_TASK = 4 << 20
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -96,12 +98,17 @@ def _cell(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[np.ndarray,
                 yield qids[j : j + 512][row], ids[pick[row, col]], scores[row, pick[row, col]]
 
 
+def _cells(rows: DataFrame, most: int) -> int:
+    """Into how many parts the rows are dealt: so that one has `most` rows and VALUES_A_TASK components at most, about."""
+    n, values = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    return max(1, -(-n // most), -(-values // VALUES_A_TASK))
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of each vector whose vec_id `every` divides."""
     whole = written(integer_vectors(vectors), "search-vectors")
     asked = whole.filter(F.col("vec_id") % every == 0)
-    down = max(1, -(-asked.count() // QUERIES_A_TASK))
-    across = max(1, -(-whole.count() // ROWS_A_TASK))
+    down, across = _cells(asked, QUERIES_A_TASK), _cells(whole, ROWS_A_TASK)
     spread = lambda salt, n: F.pmod(F.xxhash64("row_id", F.lit(salt)), n).cast("int")
     left = asked.withColumns({"qc": spread(1, down), "sc": F.explode(F.sequence(F.lit(0), F.lit(across - 1)))})
     right = whole.withColumns({"sc": spread(2, across), "qc": F.explode(F.sequence(F.lit(0), F.lit(down - 1)))}).toDF("c_id", "c_v", "c_row", "c_sc", "c_qc")

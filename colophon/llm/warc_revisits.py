@@ -5,9 +5,10 @@ same canonical URL; its validators are checked against that response (strong or
 Last-Modified), and the headers that a 304 may update are merged over the stored ones (RFC 9110 15.4.5,
 RFC 9111 3.2).
 
-The as-of join is a window, but not one of a whole URL: captures of a URL fall into time spans, the last
-response of each span is a small table, a window over that gives what a span starts with, and a window
-inside the span does the rest. So a URL with a third of all captures is dealt over many tasks.
+The as-of join is a window, but not one of a whole URL: captures are dealt by ranges of URL and time, the last
+response of a URL in each range is a small table, a window over that gives what a range starts with, and a window
+inside the range does the rest. Ranges follow the captures, not the clock: a URL with a third of all captures is dealt over
+a third of the ranges, however its times lie.
 
 Defined results: a null url has no canonical form and is resolved to nothing ('no_response'); equal
 times order by record_id, and a response counts as earlier only if its (ts, record_id) is smaller; null times and
@@ -17,12 +18,11 @@ whose headers sort last counts; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST_SPANS = 512
+from colophon.llm.common import written
+
 #: Header fields of a 304 that never replace stored ones: fixed values from RFC 9111 3.2 and RFC 9110 7.6.1.
 KEPT_FIELDS = (
     "connection", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer",
@@ -64,12 +64,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("canonical"), "ts", "status", _lower_keys(F.col("headers")).alias("fields")
     )
     response = F.when((F.col("status") == 200) & F.col("canonical").isNotNull(), F.struct("record_id", "fields"))
-    reach = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("*").alias("n")).first()
-    # spans grow with the square root of the captures, and so do the rows of a URL in one of them, and its list of spans
-    width = max(1, -(-((reach["high"] or 0) - (reach["low"] or 0) + 1) // max(LEAST_SPANS, math.isqrt(reach["n"]))))
     # rows without a URL have no earlier response; their record_id keeps them out of one large group
     key = F.coalesce("canonical", F.concat(F.lit("\x00"), F.col("record_id").cast("string")))
-    spans = rows.withColumns({"response": response, "key": key, "span": F.floor(F.coalesce("ts", F.lit(reach["low"] or 0)) / width)})
+    dealt = rows.withColumns({"response": response, "key": key}).repartitionByRange("key", "ts", "record_id", F.desc("status"))
+    spans = written(dealt.withColumn("span", F.spark_partition_id()), "revisit-spans")
     order = F.struct("ts", "record_id", F.array_sort(F.map_entries("fields")).alias("entries"))
     last = spans.groupBy("key", "span").agg(F.max_by("response", F.when(F.col("response").isNotNull(), order)).alias("last"))
     before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)

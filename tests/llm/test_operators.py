@@ -172,6 +172,21 @@ def test_revisits(spark):
     assert warc_revisits.resolve_revisits(none(frame)).count() == 0
 
 
+def test_revisits_with_wrong_times(spark):
+    """A URL with all captures, and some with times far off: ranges follow the captures, each holds a small part of them."""
+    far = {0: -(10**15), 1: 10**17, 2: None}
+    rows = [(i, "http://a.org/x", far.get(i, 10**9 + i // 2), 200 if i % 5 == 0 else 304, {"ETag": '"1"'}) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>").repartition(8)
+    got = {r["revisit_id"]: r["response_id"] for r in warc_revisits.resolve_revisits(frame).collect()}
+    low, last, want = -(2**63), None, {}
+    for i, _, ts, status, _ in sorted(rows, key=lambda r: (low if r[2] is None else r[2], r[0])):
+        if status == 200:
+            last = i
+        else:
+            want[i] = last
+    assert got == want
+
+
 def test_revisits_as_of_equal_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a.com", "b.com"]), rng.randrange(2000), rng.choice([200, 304]), {"etag": '"e"'}) for i in range(400)]
@@ -250,6 +265,16 @@ def test_shards_odd_and_empty(spark, odd):
     assert sharding.assign_shards(none(odd), 16).count() == 0
 
 
+def test_slots_of_rows_without_an_id(spark):
+    """No doc_id, or one, over many rows of few texts: slots without gaps, in the order of the texts' digests where ids are equal."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 5).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 40).alias("text"))
+    got = sharding.assign_shards(rows, 3).collect()
+    for shard in range(3):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+    plan = sharding.assign_shards(rows, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(shard" not in plan  # no window holds the rows of a shard
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_cuts_are_minimax(spark, seed):
     rng = random.Random(seed)
@@ -481,6 +506,15 @@ def test_top_k_over_many_cells(spark, monkeypatch):
         assert [got[(q, n + 1)] for n in range(4)] == [(i, -s) for s, i in best]
 
 
+def test_cells_of_long_vectors(spark, monkeypatch):
+    """Long vectors make cells of fewer rows; the result stays."""
+    rows = spark.range(60).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: F.sin(x * F.col("id")).cast("float")).alias("embedding"))
+    whole = sorted(top_k.top_k(rows, 4, 10).collect())
+    monkeypatch.setattr(top_k, "VALUES_A_TASK", 640)
+    assert top_k._cells(top_k.integer_vectors(rows), 1000) == 6
+    assert sorted(top_k.top_k(rows, 4, 10).collect()) == whole
+
+
 def test_top_k_with_repeated_ids(spark, monkeypatch):
     """Rows of one vec_id are all queries and candidates, as in the SQL; in one cell and in many."""
     rng = np.random.default_rng(5)
