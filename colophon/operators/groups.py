@@ -213,15 +213,37 @@ def diff_summary(members: DataFrame) -> DataFrame:
     return shared.select("group_id", "shared", F.when(F.size("shared") > 4, short).otherwise(every).alias("summary"))
 
 
-def build_report(members: DataFrame, pairs: DataFrame, rule: str = "metadata") -> DataFrame:
-    """Groups by index with keeper, byte counts and member structs: what list views read."""
-    keep = keepers(members, rule)
-    member = F.struct("id", "title", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("author"), "authors", "size", F.array_sort("formats").alias("formats"), "meta_score", "missing", *MORE_FIELDS)
-    listed = members.groupBy("group_id").agg(F.array_sort(F.collect_list(member)).alias("entries"))
+def _member() -> Column:
+    author = F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("author")
+    return F.struct("id", "title", author, "authors", "size", F.array_sort("formats").alias("formats"), "meta_score", "missing", *MORE_FIELDS)
+
+
+def slim_report(members: DataFrame, pairs: DataFrame, rule: str = "metadata") -> DataFrame:
+    """Groups by index with keeper and byte counts, and of the members their ids only: `member_rows` has the rest."""
     label = F.element_at(F.create_map(*[F.lit(x) for pair in M.CONFIDENCE_LABELS.items() for x in pair]), F.col("confidence"))
     # no source tells of readers' data yet, so nothing is protected
     more = {"confidence_label": label, "protected": F.array().cast("array<bigint>")}
-    return group_summary(members, pairs).join(group_bytes(members, keep), "group_id").join(listed, "group_id").withColumns(more)
+    return group_summary(members, pairs).join(group_bytes(members, keepers(members, rule)), "group_id").withColumns(more)
+
+
+def member_rows(members: DataFrame, report: DataFrame) -> DataFrame:
+    """index, group_id, keeper_id and e (what a report tells of a member): a row for each member, so that a group of any size is many rows."""
+    return members.select("group_id", _member().alias("e")).join(report.select("index", "group_id", "keeper_id"), "group_id")
+
+
+def first_members(rows: DataFrame) -> DataFrame:
+    """group_id and first, the PREVIEW members with the smallest ids: minima, one after the other, so no group is listed."""
+    found = rows.groupBy("group_id").agg(F.min("e").alias("e0"))
+    for k in range(1, PREVIEW):
+        rest = rows.select("group_id", "e").join(found.select("group_id", F.col(f"e{k - 1}.id").alias("last")), "group_id").filter("e.id > last")
+        found = found.join(rest.groupBy("group_id").agg(F.min("e").alias(f"e{k}")), "group_id", "left")
+    return found.select("group_id", F.array_compact(F.array(*[f"e{k}" for k in range(PREVIEW)])).alias("first"))
+
+
+def build_report(members: DataFrame, pairs: DataFrame, rule: str = "metadata") -> DataFrame:
+    """The slim report with all members of a group in its row (entries), for catalogs whose groups are small."""
+    listed = members.groupBy("group_id").agg(F.array_sort(F.collect_list(_member())).alias("entries"))
+    return slim_report(members, pairs, rule).join(listed, "group_id")
 
 
 def report_summary(report: DataFrame, stats: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions.text import grams
-from colophon.operators.groups import PREVIEW, diff_rows, diff_summary, keeper_reasons, keepers
+from colophon.operators.groups import PREVIEW, diff_rows, diff_summary, first_members, keeper_reasons, keepers
 from colophon.operators.ignore import group_counts
 
 MOST_PAGE = 10_000
@@ -14,47 +14,52 @@ MOST_PAGE = 10_000
 GRAM, BUCKETS = 3, 64
 
 
-def visible_groups(report: DataFrame, gone: DataFrame, entries: DataFrame) -> DataFrame:
+def _each(report: DataFrame, members: DataFrame | None) -> DataFrame:
+    """group_id, index, keeper_id and e of the members of a report's groups: its entries, or the rows of a member table."""
+    if members is None:
+        return report.select("group_id", "index", "keeper_id", F.explode("entries").alias("e"))
+    return members.select("group_id", "e").join(report.select("group_id", "index", "keeper_id"), "group_id")
+
+
+def visible_groups(report: DataFrame, gone: DataFrame, entries: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Groups with two members left that are not dismissed altogether, recomputed from the members left.
 
-    Byte counts are recomputed while the keeper is left, else they stay.
+    Byte counts are recomputed while the keeper is left, else they stay. members: the member table of a slim report.
     """
-    each = report.select("group_id", "keeper_id", F.explode("entries").alias("e"))
+    each = _each(report, members).drop("index")
     live = each.join(gone.select(F.col("id").alias("gone_id")).distinct(), F.col("e.id") == F.col("gone_id"), "left_anti")
     kept = live.filter("e.id = keeper_id").select(F.col("group_id").alias("g"), F.col("e.formats").alias("kept_formats"))
     other = F.col("e.id") != F.col("keeper_id")
     contained = (F.size("e.formats") > 0) & (F.size(F.array_except("e.formats", "kept_formats")) == 0)
     now = live.join(kept, F.col("group_id") == F.col("g"), "left").groupBy("group_id").agg(
-        F.array_sort(F.collect_list("e")).alias("live"),
         F.count("*").alias("n"),
         F.count("g").alias("k"),
         F.sum(F.when(other, F.col("e.size")).otherwise(0)).alias("reclaim"),
         F.sum(F.when(other & contained, F.col("e.size")).otherwise(0)).alias("waste"),
     )
     counts = group_counts(live.select("group_id", F.col("e.id").alias("id")), entries)
-    rows = report.join(now, "group_id").join(counts, "group_id").filter("n >= 2 AND ignored < pairs")
-    first = F.slice("live", 1, PREVIEW)
+    rows = report.join(now, "group_id").join(counts, "group_id").filter("n >= 2 AND ignored < pairs").join(first_members(live), "group_id")
     new = {
         "stale_count": F.col("member_count") - F.col("n"),
         "ignored_pairs": F.col("ignored"),
-        "titles": F.transform(first, lambda e: e["title"]),
-        "authors": F.transform(first, lambda e: e["author"]),
+        "titles": F.transform("first", lambda e: e["title"]),
+        "authors": F.transform("first", lambda e: e["author"]),
         "preview_truncated": F.col("n") > PREVIEW,
         "live_count": F.col("n"),
         "reclaimable_bytes": F.when(F.col("k") > 0, F.col("reclaim")).otherwise(F.col("reclaimable_bytes")),
         "disk_waste_bytes": F.when(F.col("k") > 0, F.col("waste")).otherwise(F.col("disk_waste_bytes")),
     }
-    return rows.withColumns(new).drop("live", "n", "k", "reclaim", "waste", "pairs", "ignored")
+    return rows.withColumns(new).drop("first", "n", "k", "reclaim", "waste", "pairs", "ignored")
 
 
-def group_detail(report: DataFrame, gone: DataFrame, entries: DataFrame, rule: str | None = None, index: int | None = None) -> tuple[DataFrame, DataFrame]:
+def group_detail(report: DataFrame, gone: DataFrame, entries: DataFrame, rule: str | None = None, index: int | None = None, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, rows): each group, or the one at an index, by the members that are left, and its difference table.
 
     groups: group_id, index, members, member_count, ignored_pairs, keeper_id, rule, reasons, shared (fields that agree). With a rule,
     or where members are gone, keeper and differences are those of the members that are left.
     """
     chosen = report if index is None else report.filter(F.col("index") == index)
-    each = chosen.select("group_id", "index", F.explode("entries").alias("e")).select("group_id", "index", "e.*")
+    each = _each(chosen, members).select("group_id", "index", "e.*")
     live = each.join(gone.select("id").distinct(), "id", "left_anti")
     keep, why = keepers(live, rule or "metadata"), keeper_reasons(live, rule or "metadata")
     counts = group_counts(live.select("group_id", "id"), entries).select("group_id", F.col("ignored").alias("ignored_pairs"))

@@ -571,6 +571,20 @@ def report_lookup(spark, sf_dir):
     return _flat(catalog.read_report(spark, written_report(spark, sf_dir), index=[0, 3, 11, 1_000_000]))
 
 
+def written_members(spark: SparkSession, sf_dir: str) -> str:
+    home = f"{shared_home(spark)}/members-{uuid.uuid4().hex}"
+    s = scan(spark, sf_dir)
+    catalog.write_members(G.member_rows(s.members, s.report), home)
+    return home
+
+
+@query(O.over(O.GROUPS, "SELECT index, group_id, id, title, authors[1] AS author, size, id = keeper_id AS keeper FROM members JOIN report USING (group_id)"))
+def report_members(spark, sf_dir):
+    """Every member of every group, a row each, from the written member table."""
+    rows = catalog.read_members(spark, written_members(spark, sf_dir))
+    return rows.select("index", "group_id", "id", "e.title", "e.author", "e.size", (F.col("id") == F.col("keeper_id")).alias("keeper"))
+
+
 @query(O.over(O.GROUPS, f"SELECT {_REPORT} FROM report ORDER BY index LIMIT 20 OFFSET 20"))
 def report_page(spark, sf_dir):
     return _flat(catalog.read_page(spark, written_report(spark, sf_dir), 1, 20))

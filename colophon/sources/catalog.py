@@ -198,6 +198,27 @@ def read_page(spark: SparkSession, path: str, page: int, size: int, form: str =
     return frame.filter(F.col("part").between(first // PART, (first + size - 1) // PART)).drop("part").orderBy("index")
 
 
+def write_members(rows: DataFrame, path: str) -> None:
+    """Writes a report's member table in parts of PART places. Rows are dealt by ranges of place and id, so a large group fills many files, each in order."""
+    dealt = rows.withColumns({"part": F.call_function("div", F.col("index"), F.lit(PART)), "id": F.col("e.id")})
+    dealt.repartitionByRange("index", "id").sortWithinPartitions("part", "index", "id").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_members(spark: SparkSession, path: str, index: int | None = None, after: int | None = None, size: int | None = None) -> DataFrame:
+    """The member table; of the group at a place only; the first `size` of its members behind the id `after`.
+
+    A page goes on behind the last id of the page before it. Place and id are pushed into the scan, which skips files and row groups by their
+    ranges, so a page of a large group reads about what it returns.
+    """
+    rows = spark.read.parquet(path)
+    if index is not None:
+        rows = rows.filter((F.col("part") == index // PART) & (F.col("index") == index))
+    if after is not None:
+        rows = rows.filter(F.col("id") > after)
+    rows = rows.select("index", "group_id", "keeper_id", "id", "e")
+    return rows if size is None else rows.orderBy("index", "id").limit(size)
+
+
 MARKER = "task_id string, generated_at string, path string, group_count bigint"
 
 

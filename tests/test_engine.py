@@ -303,6 +303,36 @@ def test_pages_and_search(base):
     assert views.by_confidence(base.report, None).count() == 2
 
 
+def test_member_table(base, spark, tmp_path):
+    """Views over a member table are those over nested entries."""
+    slim = G.slim_report(base.members, base.pairs)
+    catalog.write_members(G.member_rows(base.members, slim), f"{tmp_path}/members")
+    rows = catalog.read_members(spark, f"{tmp_path}/members")
+    gone, none = spark.createDataFrame([(4,)], "id long"), spark.createDataFrame([], "a long, b long")
+    for left in (gone, gone.limit(0)):
+        nested = views.visible_groups(base.report, left, none).drop("entries")
+        assert sorted(map(str, views.visible_groups(slim, left, none, rows).select(*nested.columns).collect())) == sorted(map(str, nested.collect()))
+        for mine, its in zip(views.group_detail(slim, left, none, members=rows), views.group_detail(base.report, left, none), strict=True):
+            assert sorted(map(str, mine.collect())) == sorted(map(str, its.select(*mine.columns).collect()))
+
+
+def test_members_of_a_large_group(spark, tmp_path):
+    """One group of 300,000 members: no task holds it, and a page of it reads few of its rows."""
+    n = 300_000
+    raw = spark.range(n).select("id", F.lit("one title").alias("title"), F.array(F.lit("a")).alias("authors"), (F.col("id") % 100).alias("size"), F.array(F.lit("EPUB")).alias("formats"))
+    members = catalog.prepare(catalog.load_records(raw)).withColumn("group_id", F.lit(0).cast("long"))
+    report = spark.createDataFrame([(0, 0, 99)], "index long, group_id long, keeper_id long")
+    rows = G.member_rows(members, report)
+    catalog.write_members(rows, f"{tmp_path}/members")
+    page = catalog.read_members(spark, f"{tmp_path}/members", 0, after=150_000, size=50)
+    assert [r["id"] for r in page.collect()] == list(range(150_001, 150_051))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,150000)" in plan and "EqualTo(index,0)" in plan
+    first = G.first_members(catalog.read_members(spark, f"{tmp_path}/members"))
+    assert [e["id"] for e in first.first()["first"]] == [0, 1] and "collect_list" not in first._jdf.queryExecution().toString()
+    assert catalog.read_members(spark, f"{tmp_path}/members", 7).count() == 0
+
+
 def test_sink_and_source(base, spark, tmp_path):
     for form in ("parquet", "json"):
         catalog.write_report(base.report, f"{tmp_path}/{form}", form)
