@@ -4,13 +4,14 @@ A document's tokens are cut into whole sequences of LENGTH tokens, a main part o
 tokens) and a crumb of less than a unit. The histogram of main parts over their 31 lengths is the demand
 of a cutting-stock problem: a linear program over patterns (how many parts of each length fill one
 sequence), whose columns are generated by a knapsack dynamic program on the dual prices. Patterns are
-rounded down and assigned to the documents of each length by rank, which follows the order of the table's files and
-rows, so that documents that come mixed are packed mixed. Crumbs, and main parts that no whole
+rounded down and assigned to the documents of each length by rank, which follows the order in which tasks read the table's
+files and rows, so that documents that come mixed are packed mixed. Crumbs, and after them main parts that no whole
 pattern takes, are laid end to end and cut every LENGTH tokens; the last of these sequences is cut into
 powers of two. So no sequence needs padding, whatever the lengths are.
 
-The driver sees the histogram (at most LENGTH / UNIT rows) only. Ranks and running totals come from sums over chunks of
-CHUNK rows, a document's place is a closed form of them, and token ids are written once and joined once by row number.
+The driver sees the histogram (at most LENGTH / UNIT rows) only. The task that encodes a document notes what its part of the table
+holds before it; what the parts before hold are sums over a few rows for each part. With both a document's place is a
+closed form, and token ids are written once, read once and never shuffled, but where a table has more than BROADCAST_PARTS parts.
 
 Defined results: a null text is empty and has the closing id alone; equal rows (equal doc_id, too) are
 packed each; very long texts give many whole sequences; an empty table gives an empty table.
@@ -18,6 +19,7 @@ packed each; very long texts give many whole sequences; an empty table gives an
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import zlib
@@ -25,15 +27,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colophon.llm.common import buckets_of, is_scan, slices, written
+from colophon.llm.common import slices, written
 from colophon.llm.word_cache import WordCache, worker_cache
 
 LENGTH, UNIT, CLOSING_ID = 4096, 64, 2
 UNITS = LENGTH // UNIT
-CHUNK = 65536
+#: Starts of up to so many parts (a task's rows; some 1.2 kB each, counted before: 60 MB at most) are broadcast; more are joined by a shuffle.
+BROADCAST_PARTS = 50_000
+BEFORE = ["rank_before", "full_before", "crumbs_before"]
 #: Words whose ids a worker keeps, in each of two generations.
 CACHED_WORDS = 400_000
 #: What a unit costs outside of patterns, against 1 / UNITS inside a full one.
@@ -100,28 +104,32 @@ def cutting_patterns(demand: list[int], units: int = UNITS) -> list[tuple[list[i
     return found
 
 
-def _placed_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, text, file and row: where a document stands in its table's files; of other frames, in its partition."""
-    columns = ["doc_id", F.col("text").cast("binary").alias("text")]
-    if is_scan(documents):
-        return documents.select(*columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    number = F.monotonically_increasing_id()
-    return documents.select(*columns, F.lpad(F.shiftright(number, 33).cast("string"), 10, "0").alias("file"), number.bitwiseAND((1 << 33) - 1).alias("row"))
-
-
 def token_table(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """row_id, doc_id, n, ids (16 or 32-bit little-endian), file and row of every document, written to shared storage."""
+    """row_id, doc_id, n and ids (16 or 32-bit little-endian) of every document, written to shared storage, with what its
+    part (the rows that a task read, whose number is row_id's upper bits) has before it: rank_before (tails of as many units),
+    full_before (whole sequences) and crumbs_before (tokens)."""
     wide = _wide(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, wide)
+        ranks, full, crumbs = [0] * UNITS, 0, 0
         for batch in slices(batches):
             ids = [encoder(t or b"") for t in batch.column(1).to_pylist()]
-            counts = pa.array([len(x) // (4 if wide else 2) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "n", "ids", "file", "row"])
+            counts = [len(x) // (4 if wide else 2) for x in ids]
+            before = []
+            for n in counts:
+                whole, tail = divmod(n, LENGTH)
+                q, crumb = divmod(tail, UNIT)
+                before.append((ranks[q], full, crumbs))
+                ranks[q] += 1
+                full += whole
+                crumbs += crumb
+            sums = [pa.array([x[i] for x in before], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), *sums], ["doc_id", "n", "ids", *BEFORE])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    encoded = _placed_rows(documents).mapInArrow(encode, f"doc_id {kind}, n long, ids binary, file string, row long")
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    encoded = rows.mapInArrow(encode, f"doc_id {kind}, n long, ids binary, {', '.join(f'{c} long' for c in BEFORE)}")
     return written(encoded.withColumn("row_id", F.monotonically_increasing_id()), "pack-tokens")
 
 
@@ -204,41 +212,81 @@ def _encoder(vocabulary: str, wide: bool) -> Callable[[bytes], bytes]:
     return worker_cache(vocabulary, make)
 
 
-def place_parts(tokens: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """For each row_id: full_at, stream_at, seq and unit (null if its main part is loose); and the totals."""
-    spark = tokens.sparkSession
+def _part(row_id: str = "row_id") -> Column:
+    return F.shiftright(row_id, 33)
+
+
+def part_starts(tokens: DataFrame) -> tuple[DataFrame, list[int], int, int]:
+    """What all parts before a part hold: part, ranks (a map: tails of each number of units), full_start and crumbs_start. And over all
+    parts: the tails of each number of units, whole sequences and tokens in crumbs."""
     tail = F.col("n") % LENGTH
-    parts = tokens.select("row_id", "n", F.struct("file", "row", "row_id").alias("at"), F.floor(tail / UNIT).cast("int").alias("q"))
-    hist = {r["q"]: r for r in parts.groupBy("q").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / LENGTH)).alias("f"), F.sum(tail).alias("t")).collect()}
-    patterns = cutting_patterns([hist[q]["c"] if q in hist else 0 for q in range(1, UNITS)])
-    rows, given, seq = [], [0] * UNITS, 0
-    for a, times in patterns:
-        unit = 0
-        for q in range(UNITS - 1, 0, -1):
-            if k := a[q - 1]:
-                rows.append((q, given[q], given[q] + k * times, k, seq, unit))
-                given[q] += k * times
-                unit += k * q
-        seq += times
-    totals = {"full": int(sum(r["f"] for r in hist.values())), "patterns": seq, "stream": int(sum(r["t"] for r in hist.values())) - seq * LENGTH}
-    plan = spark.createDataFrame(rows, "pq int, low long, high long, k long, seq0 long, unit0 long")
-    chunk = F.struct(F.col("at.file").alias("file"), F.shiftright("at.row", CHUNK.bit_length() - 1).alias("chunk"))
-    ranked = buckets_of(parts.withColumn("__order", F.col("at")), chunk, ["q"], {"rank": F.lit(1).cast("long")}).drop("__order")
-    mine = (F.col("q") == F.col("pq")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    nth = F.col("rank") - F.col("low")
-    # the plan has a row for each pattern and length: UNITS squared at most
-    main = ranked.join(F.broadcast(plan), mine, "left").select(
-        "row_id",
-        "n",
-        "at",
-        (F.col("seq0") + F.floor(nth / F.col("k"))).cast("long").alias("seq"),
-        (F.col("unit0") + (nth % F.col("k")) * F.col("q")).cast("long").alias("unit"),
-    )
-    loose = F.when(F.col("seq").isNull(), tail).otherwise(tail % UNIT)
-    placed = buckets_of(
-        main.withColumn("__order", F.col("at")), chunk, [], {"full_at": F.floor(F.col("n") / LENGTH).cast("long"), "stream_at": loose.cast("long")}
-    )
-    return placed.drop("__order", "at", "n"), totals
+    of = tokens.select(_part().alias("part"), F.floor(tail / UNIT).cast("int").alias("q"), F.floor(F.col("n") / LENGTH).alias("full"), (tail % UNIT).alias("crumb"))
+    # UNITS rows a part at most
+    sums = written(of.groupBy("part", "q").agg(F.count("*").alias("rows"), F.sum("full").alias("full"), F.sum("crumb").alias("crumbs")), "pack-sums")
+    hist = {r["q"]: r for r in sums.groupBy("q").agg(F.sum("rows").alias("rows"), F.sum("full").alias("full"), F.sum("crumbs").alias("crumbs")).collect()}
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = sums.select("part", F.struct("q", before(Window.partitionBy("q"), "rows").alias("rank")).alias("at"))
+    ranks = ranks.groupBy("part").agg(F.map_from_entries(F.collect_list("at")).alias("ranks"))
+    # a row for each part
+    whole = sums.groupBy("part").agg(F.sum("full").alias("full"), F.sum("crumbs").alias("crumbs"))
+    whole = whole.select("part", before(Window.partitionBy(), "full").alias("full_start"), before(Window.partitionBy(), "crumbs").alias("crumbs_start"))
+    starts = written(ranks.join(whole, "part"), "pack-starts")
+    total = lambda c: int(sum(r[c] for r in hist.values()))
+    return starts, [int(hist[q]["rows"]) if q in hist else 0 for q in range(UNITS)], total("full"), total("crumbs")
+
+
+class Places:
+    """Where pieces go, in closed form: whole sequences first, then patterns, then the stream of crumbs and of main parts that no pattern takes."""
+
+    def __init__(self, tails: list[int], full: int, crumbs: int):
+        self.full, self.crumbs = full, crumbs
+        #: For each number of units the stretches of ranks that a pattern takes: first rank, parts in a sequence, first sequence, first unit.
+        self.plan: list[list[tuple[int, int, int, int]]] = [[] for _ in range(UNITS)]
+        self.given, self.patterns = [0] * UNITS, 0
+        for a, times in cutting_patterns(tails[1:]):
+            unit = 0
+            for q in range(UNITS - 1, 0, -1):
+                if k := a[q - 1]:
+                    self.plan[q].append((self.given[q], k, self.patterns, unit))
+                    self.given[q] += k * times
+                    unit += k * q
+            self.patterns += times
+        self.left_at, at = [0] * UNITS, crumbs
+        for q in range(1, UNITS):
+            self.left_at[q] = at
+            at += (tails[q] - self.given[q]) * q * UNIT
+        self.stream = at
+
+    def main(self, q: int, rank: int) -> tuple[int, int] | None:
+        """Sequence and offset of the rank-th main part of q units; None if no pattern takes it."""
+        if rank >= self.given[q]:
+            return None
+        low, k, seq, unit = self.plan[q][bisect.bisect_right(self.plan[q], rank, key=lambda p: p[0]) - 1]
+        nth = rank - low
+        return self.full + seq + nth // k, (unit + nth % k * q) * UNIT
+
+    def loose(self, at: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """(tokens, sequence, offset) of the pieces of a stretch of the stream."""
+        for n, seq, off in stream_cuts(at, length, self.stream):
+            yield n, self.full + self.patterns + seq, off
+
+    def pieces(self, n: int, rank: int, full_at: int, crumbs_at: int) -> Iterator[tuple[int, int, int, int, str]]:
+        """(start, length, sequence, offset, part) of a document of n tokens."""
+        whole, tail = divmod(n, LENGTH)
+        for k in range(whole):
+            yield k * LENGTH, LENGTH, full_at + k, 0, "whole"
+        start, q = whole * LENGTH, tail // UNIT
+        rest = [(crumbs_at, tail % UNIT)]
+        if q:
+            if at := self.main(q, rank):
+                yield start, q * UNIT, *at, "main"
+                start += q * UNIT
+            else:
+                rest.insert(0, (self.left_at[q] + (rank - self.given[q]) * q * UNIT, q * UNIT))
+        for at, length in rest:
+            for size, seq, off in self.loose(at, length):
+                yield start, size, seq, off, "loose"
+                start += size
 
 
 def stream_cuts(at: int, length: int, total: int) -> Iterator[tuple[int, int, int]]:
@@ -275,30 +323,24 @@ def pack_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
     """
     tokens = token_table(documents, vocabulary)
     wide = _wide(vocabulary)
-    placed, totals = place_parts(tokens)
+    starts, *totals = part_starts(tokens)
+    places = Places(*totals)
     kind, size = ("<u4", 4) if wide else ("<u2", 2)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "row_id"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple] = []
-            for row_id, doc_id, n, ids, full_at, stream_at, seq, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pieces, whole = [], n // LENGTH
-                pieces += [(k * LENGTH, LENGTH, full_at + k, 0, "whole") for k in range(whole)]
-                start = whole * LENGTH
-                if seq is not None:
-                    main = (n - start) // UNIT * UNIT
-                    pieces.append((start, main, totals["full"] + seq, unit * UNIT, "main"))
-                    start += main
-                for length, s, off in stream_cuts(stream_at, n - start, totals["stream"]):
-                    pieces.append((start, length, totals["full"] + totals["patterns"] + s, off, "loose"))
-                    start += length
-                for a, length, s, off, part in pieces:
+            for row_id, doc_id, n, ids, rank, full_at, crumbs_at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, length, s, off, part in places.pieces(n, rank, full_at, crumbs_at):
                     crc = zlib.crc32(np.frombuffer(ids, kind, length, a * size).astype("<u4").tobytes())
                     out.append((doc_id, a, length, crc, n, s, off, part, row_id))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field("doc_id").type if k == "doc_id" else pa.string() if k == "part" else pa.int64()) for k, c in zip(names, columns, strict=True)], names)
 
     doc_kind = documents.schema["doc_id"].dataType.simpleString()
-    joined = tokens.join(placed, "row_id").select("row_id", "doc_id", "n", "ids", "full_at", "stream_at", "seq", "unit")
-    return joined.mapInArrow(emit, f"doc_id {doc_kind}, {PIECES}, row_id long")
+    few = starts.count() <= BROADCAST_PARTS
+    met = tokens.withColumn("part", _part()).join(F.broadcast(starts) if few else starts, "part")
+    rank = F.col("rank_before") + F.col("ranks")[F.floor(F.col("n") % LENGTH / UNIT).cast("int")]
+    placed = met.select("row_id", "doc_id", "n", "ids", rank, F.col("full_before") + F.col("full_start"), F.col("crumbs_before") + F.col("crumbs_start"))
+    return placed.toDF("row_id", "doc_id", "n", "ids", "rank", "full_at", "crumbs_at").mapInArrow(emit, f"doc_id {doc_kind}, {PIECES}, row_id long")

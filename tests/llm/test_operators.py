@@ -87,6 +87,42 @@ def test_packing_odd_and_empty(spark, odd):
     assert packing.pack_documents(none(odd), path).count() == 0
 
 
+def test_packing_of_many_parts(spark, docs, texts, monkeypatch, tmp_path):
+    """Many tasks' rows, empty parts and starts too many to broadcast give the same pieces; token ids meet no shuffle."""
+    path, many = Q.tokenizer_path("word_bpe_49k.json"), docs.select("doc_id", "text").repartition(23, "doc_id")
+    many.write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    packed = packing.pack_documents(many, path)
+    assert "Exchange hash" not in packed._jdf.queryExecution().executedPlan().toString()
+    rows = packed.collect()
+    check_packing(rows, whole_ids(texts.items()))
+    assert len({r["row_id"] >> 33 for r in rows}) > 1
+    monkeypatch.setattr(packing, "BROADCAST_PARTS", 0)
+    assert sorted(map(tuple, packing.pack_documents(many, path).collect())) == sorted(map(tuple, rows))
+
+
+@pytest.mark.parametrize("lengths", [[40], [63], [1, 5, 17, 40, 63], list(range(1, 64))])
+def test_places_hold_every_part_once(lengths):
+    """Lengths that fill no pattern go to the stream; sequences have no gaps whatever the lengths are."""
+    rng = random.Random(len(lengths))
+    sizes = [rng.choice(lengths) * packing.UNIT + rng.randrange(packing.UNIT) + rng.choice([0, 0, 1, 3]) * packing.LENGTH for _ in range(700)]
+    tails = Counter(n % packing.LENGTH // packing.UNIT for n in sizes)
+    places = packing.Places([tails[q] for q in range(packing.UNITS)], sum(n // packing.LENGTH for n in sizes), sum(n % packing.UNIT for n in sizes))
+    ranks, full, crumbs, found = Counter(), 0, 0, []
+    for n in sizes:
+        q = n % packing.LENGTH // packing.UNIT
+        pieces = list(places.pieces(n, ranks[q], full, crumbs))
+        assert [p[0] for p in pieces] == [sum(x[1] for x in pieces[:i]) for i in range(len(pieces))] and sum(p[1] for p in pieces) == n
+        found += [(seq, off, length) for _, length, seq, off, _ in pieces]
+        ranks[q], full, crumbs = ranks[q] + 1, full + n // packing.LENGTH, crumbs + n % packing.UNIT
+    at: dict[int, int] = {}
+    for seq, off, length in sorted(found):
+        assert at.get(seq, 0) == off
+        at[seq] = off + length
+    assert sorted(at) == list(range(len(at))) and sum(v != packing.LENGTH for v in at.values()) <= 12
+    assert all(v & (v - 1) == 0 for v in at.values())
+
+
 def test_word_by_word_ids_equal_whole_texts():
     from tokenizers import Tokenizer
 
