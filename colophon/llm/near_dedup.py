@@ -9,11 +9,12 @@ No bucket is expanded into all pairs. First every member of a bucket is compared
 signatures that agree in SIGNATURE_LEAST of HASHES (over five standard deviations below 0.75) make a sketch link.
 In large buckets whose members are not all connected yet, some more pivots, of components of their own, meet all others,
 for a few rounds. What is still apart is compared in blocks: a cell holds two blocks of bounded size, compares what
-is not connected, and passes on only links that connect something, so its output is no larger than its input. The
+is not connected, and passes on only links that connect something, so its output is no larger than its input. Groups that
+are large even then (families of texts a little less alike than asked for) are parted by their sets' rare shingles first, without
+which no two of them can be similar. The
 components of sketch links are families, outside of which no two texts can be similar. The sketch links are
 confirmed on full sets; families that fall apart are compared once more in the same way, this time on full sets.
-A group of thousands of near copies thus costs about its size; only members of a bucket that no pivot connects meet in
-blocks, each block of them with each. Every candidate pair that could connect two components is checked.
+A group of thousands of near copies thus costs about its size, and so does one of texts that have no more than a template in common. Every candidate pair that could connect two components is checked.
 
 Joins on a bucket, family or node may have skewed keys. Both sides are plain shuffles of written tables and nothing
 above the join asks for the rows of a key together, so adaptive execution splits what is skewed.
@@ -280,19 +281,63 @@ def _pivot_links(rows: DataFrame, found: DataFrame, links: DataFrame, per_block:
     return found, links, rows
 
 
-def _block_links(rows: DataFrame, payload: DataFrame, per_block: int, similar: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
-    """Links(a, b) that connect the components inside each group, by comparing blocks of its nodes.
+def _postings(nodes: DataFrame, full: DataFrame) -> DataFrame:
+    """g, node, component, w, left and right: groups in which two similar sets of the nodes must meet, by rare shingles.
+
+    Shingles are ordered by how many of the sets hold them, rarest first. Of two similar sets the smaller has a shingle of the other's
+    first ones among its own first `index` ones, the larger among its first `probe` ones (prefix filter). A group is a shingle; its
+    index side meets its probe side, but members of its largest component don't meet each other. So what many texts share
+    brings nobody together as long as they differ enough elsewhere.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    rows: g, node, component, w (what a node adds to a block's size). payload: node, data. All nodes of a group
-    but those of its largest component meet all others; a cell is one block of each side.
+        for batch in slices(batches, 64):
+            data = batch.column(1).to_pylist()
+            at = pa.array(np.repeat(np.arange(len(data)), [len(x) // 8 for x in data]))
+            sets = pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in data], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), sets.take(at), pa.array(np.frombuffer(b"".join(data), np.int64))], ["node", "of_set", "s"])
+
+    held = full.join(nodes.select("node"), "node", "left_semi").select("node", "shingles").mapInArrow(each, "node long, of_set long, s long")
+    held = written(held, "near-shingles")
+    rare = held.join(held.groupBy("s").agg(F.count("*").alias("c")), "s").groupBy("node", "of_set").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
+    ceil = lambda a, b: F.call_function("div", F.size("o") * a + (b - 1), F.lit(b)).cast("int")
+    probe, index = F.size("o") - ceil(PERCENT, 100) + 1, F.size("o") - ceil(2 * PERCENT, 100 + PERCENT) + 1
+    first = rare.select("node", index.alias("to"), F.posexplode(F.slice("o", F.lit(1), probe)).alias("at", "x")).filter("x.c > 1")
+    rows = first.groupBy(F.col("x.s").alias("g"), "node").agg(F.max(F.col("at") < F.col("to")).alias("index"))
+    rows = written(rows.join(nodes, "node").select("g", "node", "component", "w", "index"), "near-postings")
+    met = rows.join(_groups(rows).select(F.col("of").alias("g"), "main"), "g")
+    main = F.col("component") == F.col("main")
+    sides = ((F.lit(True), F.col("index") & ~main), (F.col("index") & main, ~main))
+    one, two = (met.select(F.xxhash64("g", F.lit(k)).alias("g"), "node", "component", "w", x.alias("left"), y.alias("right")) for k, (x, y) in enumerate(sides))
+    return one.union(two).filter("left OR right")
+
+
+def _apart_links(rows: DataFrame, payload: DataFrame, per_block: int, similar: Callable[[list[bytes], list[bytes]], np.ndarray], full: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links(a, b) that connect the components inside each group.
+
+    rows: g, node, component, w (what a node adds to a block's size). payload: node, data. All nodes of a group but those of its
+    largest component meet all others; in groups that are still large, those that share a rare shingle only. full: the sets of nodes.
     """
-    blocks = lambda w: F.ceil(w / per_block).cast("int")
-    shaped = written(_groups(rows).select("of", "main", blocks(F.col("all_w")).alias("nb"), blocks(F.col("rest_w")).alias("mb")), "near-shapes")
-    dealt = rows.join(shaped, F.col("g") == F.col("of"))
+    met = rows.join(_groups(rows).select(F.col("of").alias("g"), "main", "rest_w"), "g")
+    met = written(met.select("g", "node", "component", "w", F.lit(True).alias("left"), (F.col("component") != F.col("main")).alias("right"), (F.col("rest_w") > LARGE_BLOCKS * per_block).alias("large")), "near-apart")
+    nodes = written(met.filter("large").select("node", "component", "w").distinct(), "near-apart-nodes")
+    sided = met.filter("NOT large").drop("large")
+    if not nodes.isEmpty():
+        sided = written(sided.unionByName(_postings(nodes, full(nodes.select("node")))), "near-sided")
+    return _block_links(sided, payload, per_block, similar)
+
+
+def _block_links(rows: DataFrame, payload: DataFrame, per_block: int, similar: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+    """Links(a, b) between components, by comparing blocks of each group's left and right nodes; a cell is one block of each side."""
+    blocks = lambda side: F.ceil(F.sum(F.when(F.col(side), F.col("w"))) / per_block).cast("int")
+    shaped = rows.groupBy(F.col("g").alias("of")).agg(blocks("left").alias("nb"), blocks("right").alias("mb")).filter("nb > 0 AND mb > 0")
+    dealt = rows.join(written(shaped, "near-shapes"), F.col("g") == F.col("of"))
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.withColumns({"i": deal("nb"), "j": every("mb"), "side": F.lit(0)})
-    right = dealt.filter("component <> main").withColumns({"j": deal("mb"), "i": every("nb"), "side": F.lit(1)})
+    left = dealt.filter("left").withColumns({"i": deal("nb"), "j": every("mb"), "side": F.lit(0)})
+    right = dealt.filter("right").withColumns({"j": deal("mb"), "i": every("nb"), "side": F.lit(1)})
     columns = ["g", "i", "j", "side", "node", "component"]
     cells = left.select(*columns).unionByName(right.select(*columns)).join(payload, "node").select(*columns, "data")
     by = ["g", "i", "j"]
@@ -330,12 +375,17 @@ def _components_of(links: DataFrame) -> DataFrame:
 
 
 def _joined(found: DataFrame, links: DataFrame, more: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(components, links) with some more links; found: the components of links."""
+    """(components, links) with some more links; found: the components of links. Only components that a new link meets are looked at."""
     more = written(more, name)
     if more.isEmpty():
         return found, links
-    links = written(links.union(more), name)
-    return written(_components_of(links), "near-components"), links
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    merged = connected_components(ends.select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v")))
+    merged = written(merged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "near-merged")
+    moved = found.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    new = merged.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(found.select("node"), "node", "left_anti")
+    return written(moved.union(new), "near-components"), links.union(more)
 
 
 def linked_classes(classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -350,16 +400,17 @@ def linked_classes(classes: DataFrame, documents: DataFrame) -> DataFrame:
     labelled = rows.join(found, "node", "left").select(F.col("bucket").alias("g"), "node", F.coalesce("component", "node").alias("component"), F.lit(1).cast("long").alias("w"))
     labelled = written(labelled, "near-buckets")
     found, sketch, labelled = _pivot_links(labelled, found, sketch, BLOCK_NODES, lambda pairs: _sketch_links(pairs, classes))
-    more = _block_links(labelled, classes.select("node", F.col("sig").alias("data")), BLOCK_NODES, _similar_signatures)
+    sets = lambda nodes: _full_sets(nodes, classes, documents)
+    more = _apart_links(labelled, classes.select("node", F.col("sig").alias("data")), BLOCK_NODES, _similar_signatures, sets)
     families, sketch = _joined(found, sketch, more, "near-sketch-links")
     families = families.toDF("node", "g")
-    full = _full_sets(families.select("node"), classes, documents)
+    full = sets(families.select("node"))
     links = written(_set_links(sketch, full), "near-links")
     found = written(_components_of(links), "near-components")
     parts = full.join(families, "node").join(found, "node", "left")
     parts = written(parts.select("g", "node", F.coalesce("component", "node").alias("component"), F.col("n").alias("w")), "near-parts")
     found, links, parts = _pivot_links(parts, found, links, BLOCK_SHINGLES, lambda pairs: _set_links(pairs, full))
-    rest = _block_links(parts, full.select("node", F.col("shingles").alias("data")), BLOCK_SHINGLES, _similar_sets)
+    rest = _apart_links(parts, full.select("node", F.col("shingles").alias("data")), BLOCK_SHINGLES, _similar_sets, lambda nodes: full)
     return _joined(found, links, rest, "near-links")[0]
 
 

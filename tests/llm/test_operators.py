@@ -462,6 +462,53 @@ def test_families_near_the_threshold(spark, monkeypatch, large):
     assert got == brute_components(rows)
 
 
+def template_family(seed, texts=90):
+    """Texts of one template with about a fifth of their own, some of them near copies of others."""
+    rng = random.Random(seed)
+    base, rows = [f"t{i}" for i in range(80)], []
+    for i in range(texts):
+        if i % 6 == 5:
+            words = rows[rng.randrange(len(rows))][1].split()
+            words[rng.randrange(len(words))] = f"c{i}"
+        else:
+            words = [*base, *(f"o{i}_{k}" for k in range(rng.randrange(16, 30)))]
+        rows.append((i, " ".join(words[rng.randrange(3) :])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rare_shingles_part_a_template_family(spark, monkeypatch, seed):
+    """Texts with a template in common, but below the threshold: near copies among them are found, and the template brings nobody together."""
+    rows, seen, inner = template_family(seed), [], near_dedup._postings
+    for name, value in (("BLOCK_NODES", 8), ("BLOCK_SHINGLES", 700), ("PIVOTS", 1), ("PIVOT_ROUNDS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup, "_postings", lambda *x: seen.append(inner(*x)) or seen[-1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert seen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_sets_meet_in_a_posting(spark, seed):
+    rng, rows = random.Random(seed), template_family(seed, 60)
+    sets = {i: x for (i, _), x in zip(rows, near_dedup.shingle_sets([t.encode() for _, t in rows]), strict=True)}
+    component = {i: i if rng.random() < 0.7 else 0 for i in sets}
+    nodes = spark.createDataFrame([(i, component[i], 1) for i in sets], "node long, component long, w long")
+    full = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in sets.items()], "node long, n long, shingles binary")
+    sides = {}
+    for r in near_dedup._postings(nodes, full).collect():
+        for k in ("left", "right"):
+            if r[k]:
+                sides.setdefault(r["g"], {"left": [], "right": []})[k].append(r["node"])
+    meet = {(min(a, b), max(a, b)) for g in sides.values() for a in g["left"] for b in g["right"] if a != b}
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    apart = [(a, b) for a in sets for b in sets if a < b and component[a] != component[b]]
+    alike = {(a, b) for a, b in apart if near_dedup._enough(both(a, b), len(sets[a]), len(sets[b]))}
+    assert alike and alike <= meet
+    assert len(meet) < len(apart) / 4
+    assert near_dedup._postings(nodes.filter("false"), full).count() == 0
+
+
 def test_near_duplicates_odd_and_empty(spark, odd):
     rows = near_dedup.near_components(odd).collect()
     assert len(rows) == len(ODD)
