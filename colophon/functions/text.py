@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The characters, words and marks below define which titles count as the same.
-NUMERALS = "0-9〇零一二三四五六七八九十百千两壹贰叁肆伍陆柒捌玖拾"
-UNITS = "部卷册辑篇集回期章"
 HAN_NUMERALS = "〇零一二三四五六七八九十百千两壹贰叁肆伍陆柒捌玖拾"
-CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
+NUMERALS = f"0-9{HAN_NUMERALS}"
+UNITS = "部卷册辑篇集回期章"
+CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
 AUTHOR_SEPARATORS = "[&,;、，；/]| and "
 SERIAL_LONGEST = 16
 

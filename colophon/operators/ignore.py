@@ -69,6 +69,8 @@ def add_ignored(entries: DataFrame, pairs: DataFrame, records: DataFrame, at: st
 def ignore_groups(entries: DataFrame, report: DataFrame, gone: DataFrame, indexes: DataFrame, records: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     """(the list with all pairs of the groups at the indexes, one row of counts: added, groups, skipped).
 
+    The counts come from group sizes and the entries inside the groups; pairs are listed only where the list is read.
+
     Groups that are not in the report, or have fewer than two members left, are skipped; pairs never cross groups. More
     than MOST_GROUPS indexes are refused.
     """
@@ -78,10 +80,12 @@ def ignore_groups(entries: DataFrame, report: DataFrame, gone: DataFrame, indexe
     each = report.join(asked, "index").select("group_id", F.explode("members").alias("id"))
     live = each.join(gone.select("id").distinct(), "id", "left_anti")
     enough = live.groupBy("group_id").agg(F.count("*").alias("n")).filter("n > 1")
-    new = add_ignored(entries, pairs_in(live.join(enough.select("group_id"), "group_id", "left_semi")), records, at)
-    one = lambda f, name: f.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
-    counts = one(new, "total").join(one(entries, "before"), "one").join(one(enough, "groups"), "one").join(one(asked, "asked"), "one")
-    return new, counts.select((F.col("total") - F.col("before")).alias("added"), "groups", (F.col("asked") - F.col("groups")).alias("skipped"))
+    whole = live.join(enough.select("group_id"), "group_id", "left_semi")
+    new = add_ignored(entries, pairs_in(whole), records, at)
+    one = lambda f, *values: f.agg(*values).withColumn("one", F.lit(1))
+    sums = one(group_counts(whole, entries), F.coalesce(F.sum(F.col("pairs") - F.col("ignored")), F.lit(0)).cast("long").alias("added"), F.count("*").alias("groups"))
+    counts = sums.join(one(asked, F.count("*").alias("asked")), "one")
+    return new, counts.select("added", "groups", (F.col("asked") - F.col("groups")).alias("skipped"))
 
 
 def remove_ignored(entries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

@@ -452,3 +452,14 @@ def test_ignore_whole_groups(base, spark):
     new, counts = ignore.ignore_groups(entries, base.report, gone, indexes, base.records, "now")
     assert [(r["a"], r["b"]) for r in new.collect()] == [(3, 4)]
     assert tuple(counts.first()) == (1, 1, 1)
+    assert tuple(ignore.ignore_groups(new, base.report, gone, indexes, base.records, "later")[1].first()) == (0, 1, 1)
+    assert tuple(ignore.ignore_groups(entries, base.report, gone, indexes.filter("index > 5"), base.records, "now")[1].first()) == (0, 0, 1)
+
+
+def test_dismissing_a_group_of_any_size_counts_without_pairs(base, spark):
+    """200,000 members are twenty billion pairs: their number comes from the group's size and the dismissed pairs in it."""
+    n = 200_000
+    report = spark.range(n).groupBy().agg(F.collect_list("id").alias("members")).selectExpr("0L AS index", "5L AS group_id", "members")
+    entries = spark.createDataFrame([(1, 2), (9, 3), (3, 9), (4, n + 1)], "a long, b long").selectExpr("a", "b", *[f"'' AS {c}" for c in ("at", "a_title", "b_title", "a_sig", "b_sig")])
+    counts = ignore.ignore_groups(entries, report, spark.range(1).toDF("id"), spark.range(1).toDF("index"), base.records, "now")[1]
+    assert tuple(counts.first()) == ((n - 1) * (n - 2) // 2 - 2, 1, 0)
