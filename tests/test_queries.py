@@ -16,3 +16,12 @@ def test_entry_point(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_names_are_bound_once():
+    """Queries read the module's names when they run: one that is bound again changes the queries above it."""
+    import ast
+    from pathlib import Path
+
+    bound = [t.id for n in ast.parse(Path(Q.__file__).read_text()).body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
+    assert len(bound) == len(set(bound))
