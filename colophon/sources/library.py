@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from colophon.operators.components import by_shuffle
 from colophon.sources.catalog import library_records
 
 FORMAT = "sqlite_library"
@@ -139,9 +140,9 @@ def read_library(spark: SparkSession, path: str, ids: list[int] | None = None, r
     books = read("books")
     for name, kept in (("publishers", "publisher"), ("series", "series"), ("ratings", "rating")):
         first = read(name).groupBy("book").agg(F.min(F.struct("link_id", "name"))["name"].alias(kept))
-        books = books.join(first, books["id"] == first["book"], "left").drop("book")
+        books = books.join(by_shuffle(first), books["id"] == first["book"], "left").drop("book")
     said = read("comments").groupBy("book").agg(F.min("text").alias("comments"))
-    books = books.join(said, books["id"] == said["book"], "left").drop("book")
+    books = books.join(by_shuffle(said), books["id"] == said["book"], "left").drop("book")
     return library_records(books, {n: read(n) for n in ("authors", "tags", "languages")}, read("data"))
 
 

@@ -463,3 +463,18 @@ def test_dismissing_a_group_of_any_size_counts_without_pairs(base, spark):
     entries = spark.createDataFrame([(1, 2), (9, 3), (3, 9), (4, n + 1)], "a long, b long").selectExpr("a", "b", *[f"'' AS {c}" for c in ("at", "a_title", "b_title", "a_sig", "b_sig")])
     counts = ignore.ignore_groups(entries, report, spark.range(1).toDF("id"), spark.range(1).toDF("index"), base.records, "now")[1]
     assert tuple(counts.first()) == ((n - 1) * (n - 2) // 2 - 2, 1, 0)
+
+
+def test_tables_that_grow_are_not_broadcast(base, spark):
+    """Spark broadcasts what has small files, as these have; only a row for each partition or block may be."""
+    import re
+
+    joins = lambda f: re.findall(r"(SortMerge|BroadcastHash|BroadcastNestedLoop)Join(?: \[(\w+)#)?", f._jdf.queryExecution().executedPlan().toString())
+    texts = spark.createDataFrame([(i, "b", 3, f"a title {i}") for i in range(9)], "tid long, block string, n int, text string")
+    frames = [
+        C.near_texts(texts, 0.85), C.title_links(C.title_classes(base.records)), C.isbn_links(C.isbn_classes(base.records)),
+        base.report, G.diff_rows(base.members), G.keeper_reasons(base.members), ignore.group_counts(base.members, spark.createDataFrame([], ignore.ENTRY)),
+        ledger.merge_plan(base.members, G.keepers(base.members)),
+    ]
+    for found in map(joins, frames):
+        assert ("SortMerge" in {kind for kind, _ in found}) and all(kind == "SortMerge" or key in ("__part", "block") for kind, key in found)
