@@ -23,6 +23,8 @@ from colophon.sources.catalog import library_records
 FORMAT = "sqlite_library"
 #: Book ids of a partition.
 RANGE = 50_000
+#: Ranges of a database, beyond which they are made longer than asked for, up to RANGE: tasks of few books cost more to start than to run.
+MOST_RANGES = 16
 #: The tables of a library. For each its columns, the book's column, and the SQL that yields them.
 LINKS = {"authors": ("authors", "author", "name"), "tags": ("tags", "tag", "name"), "languages": ("languages", "lang_code", "lang_code"), "publishers": ("publishers", "publisher", "name"), "series": ("series", "series", "name"), "ratings": ("ratings", "rating", "rating")}
 TABLES = {
@@ -85,14 +87,15 @@ class LibraryReader(DataSourceReader):
                 least, most = c.execute("SELECT min(id), max(id) FROM books").fetchone()
             if least is None:
                 continue
+            rows = max(self.rows, min(RANGE, -(-(most - least + 1) // MOST_RANGES)))
             if self.ids is None:
-                out += [Range(database, i, min(i + self.rows - 1, most)) for i in range(least, most + 1, self.rows)]
+                out += [Range(database, i, min(i + rows - 1, most)) for i in range(least, most + 1, rows)]
                 continue
             # only ranges that hold an id that is asked for
             held: dict[int, list[int]] = {}
             for i in sorted(self.ids):
                 if least <= i <= most:
-                    held.setdefault((i - least) // self.rows, []).append(i)
+                    held.setdefault((i - least) // rows, []).append(i)
             out += [Range(database, ids[0], ids[-1], ids) for ids in held.values()]
         return out
 

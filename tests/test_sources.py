@@ -122,6 +122,9 @@ def test_ids_are_pushed_down(tmp_path):
     parts = reader.partitions()
     assert [p.ids for p in parts] == [[5], [250, 251]]
     assert [v for p in parts for b in reader.read(p) for v in b.column(0).to_pylist()] == [5, 250, 251]
+    fine = library.LibraryReader({"path": f"file://{path}", "table": "books", "range": "2"})
+    assert len(fine.partitions()) == library.MOST_RANGES  # as many, however many books there are
+    assert [v for p in fine.partitions() for b in fine.read(p) for v in b.column(0).to_pylist()] == list(range(1, 1001))
     list(reader.pushFilters([EqualTo(("id",), 250)]))
     assert [p.ids for p in reader.partitions()] == [[250]]
     with sqlite3.connect(tmp_path / "none.db") as c:
