@@ -25,3 +25,12 @@ def test_names_are_bound_once():
 
     bound = [t.id for n in ast.parse(Path(Q.__file__).read_text()).body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
     assert len(bound) == len(set(bound))
+
+
+def test_views_read_the_written_report(spark):
+    """A report that is planned anew wherever a view reads it costs the driver a plan of the whole report each time."""
+    report = Q.whole_report(spark, DATA)
+    assert Q.whole_report(spark, DATA) is report
+    for name in ("report_groups", "index_preview", "visible_groups", "groups_view", "group_detail", "group_detail_rows", "ignore_batch_counts"):
+        read = Q.QUERIES[name](spark, DATA).inputFiles()
+        assert any("/report-" in f for f in read) and not any("/members-" in f or "/ordered-groups-" in f for f in read), name
