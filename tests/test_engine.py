@@ -478,3 +478,22 @@ def test_tables_that_grow_are_not_broadcast(base, spark):
     ]
     for found in map(joins, frames):
         assert ("SortMerge" in {kind for kind, _ in found}) and all(kind == "SortMerge" or key in ("__part", "block") for kind, key in found)
+
+
+def test_long_texts_that_are_unlike_are_ruled_out_by_their_sketches(spark):
+    """Sets of very many grams fill the small sketch; all pairs with a rare gram in common were sent whole sets."""
+    import random
+
+    r = random.Random(5)
+    base = [f"{i:05x}"[-3:] + "\x001" for i in range(4000)]
+    mixed = lambda share: [g if r.random() < share else f"{g}{r.random()}" for g in base]
+    rows = [(i, len(base), mixed(0.97 if i < 3 else 0.7)) for i in range(12)] + [(12, 9, base[:9]), (13, 9, base[9:18])]
+    sets = spark.createDataFrame(rows, "tid long, m int, grams array<string>")
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0]]
+    found = {tuple(x) for x in C._possible(spark.createDataFrame(pairs, "tid_a long, tid_b long"), sets, 0.85).collect()}
+    dice = lambda a, b: 2 * len({*rows[a][2]} & {*rows[b][2]}) / (rows[a][1] + rows[b][1])
+    near = {p for p in pairs if dice(*p) >= 0.85}
+    assert {(0, 1), (0, 2), (1, 2)} <= near <= found
+    assert len({p for p in found if max(p) < 12} - near) < 10
+    # sets of few grams are left to the small sketch
+    assert all(p in found for p in pairs if p[1] >= 12)
