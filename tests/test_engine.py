@@ -497,3 +497,16 @@ def test_long_texts_that_are_unlike_are_ruled_out_by_their_sketches(spark):
     assert len({p for p in found if max(p) < 12} - near) < 10
     # sets of few grams are left to the small sketch
     assert all(p in found for p in pairs if p[1] >= 12)
+
+
+def test_pairs_of_a_large_group_are_made_by_many_tasks(spark):
+    members = spark.range(3000).selectExpr("if(id < 2500, 0L, 1L) AS group_id", "id").union(spark.range(5000, 5003).selectExpr("2L", "id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = ignore.pairs_in(members).groupBy("group_id", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_if(F.col("a") < F.col("b")).alias("ordered"), F.count_distinct("a", "b").alias("different")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    found = {g: sum(r["n"] for r in made if r["group_id"] == g) for g in range(3)}
+    assert found == {0: 2500 * 2499 // 2, 1: 500 * 499 // 2, 2: 3}
+    assert all(r["n"] == r["ordered"] == r["different"] for r in made)
+    assert max(r["n"] for r in made if r["group_id"] == 0) < 0.8 * found[0]
