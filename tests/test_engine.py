@@ -510,3 +510,55 @@ def test_pairs_of_a_large_group_are_made_by_many_tasks(spark):
     assert found == {0: 2500 * 2499 // 2, 1: 500 * 499 // 2, 2: 3}
     assert all(r["n"] == r["ordered"] == r["different"] for r in made)
     assert max(r["n"] for r in made if r["group_id"] == 0) < 0.8 * found[0]
+
+
+def _dice(a, b, n):
+    from collections import Counter
+
+    ga, gb = (Counter([t] if len(t) < n else [t[i : i + n] for i in range(len(t) - n + 1)]) for t in (a, b))
+    return 2.0 * sum((ga & gb).values()) / (sum(ga.values()) + sum(gb.values()))
+
+
+def _texts_of_few_words(r, length, n):
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    return ["".join(r.choice(words) for _ in range(length)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85, 1.0])
+def test_near_texts_equal_brute_force(spark, threshold):
+    """Short texts, repeats, letters beyond the first plane, and long texts whose sets are dealt into parts, on both sides of a halving."""
+    r = random.Random(int(threshold * 100))
+    texts = ["a", "ab", "abc", "abcd", "aaaa", "aaaaaaaaaa", "aaaaaaaaaaa", "三体全集", "三体全", "𠀀𠀁𠀂𠀃", "𠀀𠀁𠀂𠀄", "\x00ab", "ab\x00ab", "aabaacaa", "aacaabaa"]
+    for length in (4, 12, 50, 90, 115, 230, 460):
+        for base in _texts_of_few_words(r, length, 4):
+            cut = max(1, len(base) // r.choice((5, 8, 20, 60)))
+            texts += [base, base[cut:], base[:-cut] + base[:cut], base + base[:cut]]
+    rows = [(i, block, n, t) for i, (block, n, t) in enumerate((b, n, t) for b, n, every in (("x", 3, texts), ("x", 2, texts[:60]), ("y", 3, texts[::7])) for t in every)]
+    near = {(a[0], b[0]): d for a, b in itertools.combinations(rows, 2) if a[1:3] == b[1:3] and (d := _dice(a[3], b[3], a[2])) >= threshold - 1e-9}
+    assert len(near) > (0 if threshold == 1 else 100)
+    found = C.near_texts(spark.createDataFrame(rows, "tid long, block string, n int, text string"), threshold).collect()
+    assert {(x["tid_a"], x["tid_b"]): x["dice"] for x in found} == near and len(found) == len(near)
+
+
+def test_long_texts_that_are_unlike_do_not_meet(spark):
+    """Long texts of one vocabulary have rare tokens in common and fill a small sketch: nearly all of their pairs were moved to be held against the wide one."""
+    r = random.Random(3)
+    texts = _texts_of_few_words(r, 700, 60)
+    texts += [t[100:] for t in texts[:5]]
+    sets = C.S.gram_sets(spark.createDataFrame([(i, "b", 3, t) for i, t in enumerate(texts)], "tid long, block string, n int, text string"), lambda m: C._at_least(m, 0.85))
+    found = {tuple(x) for x in C._found(sets, 0.85).collect()}
+    assert {(i, 60 + i) for i in range(5)} <= found and len(found) < 30  # of 2080
+    assert all(x["size"] < 4 * C.MANY_GRAMS for x in sets.select("size").collect())
+
+
+def test_the_pairing_deletes_its_tables(spark, base):
+    """Texts and their grams stayed in the shared folder until it was cleared."""
+    from pathlib import Path
+
+    from colophon.operators.components import shared_home
+
+    there = lambda: {p.name for p in Path(shared_home(spark).removeprefix("file:")).iterdir()}
+    before = there()
+    links = C.title_links(C.title_classes(base.records))
+    assert not {n for n in there() - before if n.startswith(("texts", "grams"))}
+    assert links.count() > 0
