@@ -562,3 +562,12 @@ def test_the_pairing_deletes_its_tables(spark, base):
     links = C.title_links(C.title_classes(base.records))
     assert not {n for n in there() - before if n.startswith(("texts", "grams"))}
     assert links.count() > 0
+
+
+def test_a_scan_pairs_once(base, spark, monkeypatch):
+    """What a scan left out was counted by pairing all its titles anew."""
+    dismissed = ignore.add_ignored(spark.createDataFrame([], ignore.ENTRY), spark.createDataFrame([(1, 2)], "a long, b long"), base.records, "now")
+    again = run_scan(records(spark, BASE), ignored=dismissed)
+    wanted = C.scan_stats(base.records).first().asDict()
+    monkeypatch.setattr(C, "title_links", None)
+    assert wanted.items() <= base.stats().first().asDict().items() and wanted.items() <= again.stats().first().asDict().items()
