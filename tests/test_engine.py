@@ -548,7 +548,7 @@ def test_long_texts_that_are_unlike_do_not_meet(spark):
     sets = C.S.gram_sets(spark.createDataFrame([(i, "b", 3, t) for i, t in enumerate(texts)], "tid long, block string, n int, text string"), lambda m: C._at_least(m, 0.85))
     found = {tuple(x) for x in C._found(sets, 0.85).collect()}
     assert {(i, 60 + i) for i in range(5)} <= found and len(found) < 30  # of 2080
-    assert all(x["size"] < 4 * C.MANY_GRAMS for x in sets.select("size").collect())
+    assert all(x["size"] < 4 * C.S.PART for x in sets.select("size").collect())
 
 
 def test_the_pairing_deletes_its_tables(spark, base):
